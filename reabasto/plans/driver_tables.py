@@ -260,3 +260,354 @@ def sources(spark: SparkSession, sf_dir: str) -> Sources:
         catalogue=catalogue(spark, sf_dir),
         cost=cost(spark, sf_dir),
     )
+
+
+# Serving tables
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published table: one row per product and branch, figures from the order lines."""
+    quantity = F.col("l_quantity")
+    base = (
+        lines(spark, sf_dir)
+        .groupBy(F.col("Producto").alias("producto"), F.col("n_name").alias("sucursal_id"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+            F.min("p_name").alias("descripcion"),
+            F.min("s_name").alias("_proveedor"),
+            F.min("p_brand").alias("filtro1_final"),
+            F.min("p_type").alias("unidad_medida"),
+            F.max("p_retailprice").alias("_costo"),
+            F.sum(quantity).alias("_q"),
+            F.sum(F.when(F.col("l_returnflag") == "A", quantity)).alias("total_sugerido_suc"),
+            F.sum(F.when(F.col("l_tax") > 0.07, quantity)).alias("stock_activo_suc"),
+            F.sum(F.when(F.col("l_tax") < 0.01, quantity)).alias("stock_en_transito_suc"),
+        )
+    )
+    n, total = F.col("n"), F.col("total_sugerido_suc")
+    foreign = F.col("filtro1_final").isin("Brand#1", "Brand#2")
+    order = F.when(total > 0, "Si").otherwise("No")
+    moved = F.when(n % 6 == 0, F.floor(total / 2).cast("double"))
+    return base.withColumns(
+        {
+            "nombre_sucursal": F.concat(F.lit("Suc "), "sucursal_id"),
+            "clasificacion_abc": F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1)),
+            "proveedor": F.when(n % 11 != 0, F.col("_proveedor")),
+            "tipo_origen": F.when(foreign, "Importado").otherwise("Nacional"),
+            "es_importado": F.when(n % 5 != 0, foreign),
+            "abastece_cd": F.when(n % 3 == 0, "Si").when(n % 3 == 1, "No"),
+            "demanda_mensual": F.col("_q") / 84,
+            "demanda_diaria": F.when(n % 7 != 0, F.col("_q") / 84 / 22),
+            "lt_efectivo": n % 9,
+            "stock_seguridad": F.floor(F.col("_q") / 100),
+            "costo_unitario": F.when(n % 13 != 0, F.col("_costo")),
+            "sugerido_traslado": moved,
+            "sugerido_compra_neto": F.when(n % 10 == 0, 0.0).when(
+                n % 10 != 1, total - F.coalesce(moved, F.lit(0.0))
+            ),
+            "total_valor_sugerido_clp": total * F.when(n % 13 != 0, F.col("_costo")),
+            "pedir": order,
+            "pedir_flag": order,
+            "reemplazos": F.when(n % 2 == 1, ""),
+        }
+    ).drop("n", "_proveedor", "_costo", "_q")
+
+
+def serving_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the parts, and as many codes of their own that no suggestion has."""
+    part = table(spark, sf_dir, "part")
+    codes = F.array(product_code(), F.concat(F.lit("X"), F.col("p_partkey").cast("string")))
+    return (
+        part.withColumn("producto", F.explode(codes))
+        .groupBy("producto")
+        .agg(
+            F.min("p_name").alias("glosa"),
+            F.min("p_type").alias("familia"),
+            F.when(F.min("p_partkey") % 3 == 0, "IMPORTADO").otherwise("NACIONAL").alias("procedencia"),
+            F.max("p_brand").alias("categoria"),
+            F.max("p_retailprice").alias("costo"),
+            F.lit("UN").alias("unidad"),
+            F.concat(F.lit("R-"), F.min("p_partkey").cast("string")).alias("reemplazo"),
+            F.sum(F.col("p_size") - 25).cast("double").alias("stock_total"),
+        )
+    )
+
+
+def unified_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        lines(spark, sf_dir)
+        .filter("l_linenumber = 5")
+        .groupBy(
+            F.col("Producto").alias("producto"),
+            F.concat(F.lit("B"), (F.col("l_orderkey") % 3).cast("string")).alias("bodega"),
+            F.col("n_name").alias("sucursal_id"),
+            F.when(_is_border(), "B").otherwise("M").alias("origen"),
+        )
+        .agg(F.sum("l_quantity").alias("stock"))
+    )
+
+
+def monthly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    return (
+        lines(spark, sf_dir)
+        .groupBy(
+            F.col("Producto").alias("producto"),
+            F.col("n_name").alias("sucursal_id"),
+            F.date_format("l_shipdate", "yyyyMM").alias("mes"),
+        )
+        .agg(F.sum(signed).alias("cantidad"))
+    )
+
+
+def _event_products(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Events of a kind with the product of the part numbered like their user."""
+    part = table(spark, sf_dir, "part").select("p_partkey", product_code().alias("codigo"))
+    number = F.col("event_id")
+    own = F.concat(F.lit("X"), F.col("user_id").cast("string"))
+    return (
+        table(spark, sf_dir, "events")
+        .filter(F.col("event_type") == kind)
+        .join(part, F.col("user_id") == F.col("p_partkey"))
+        .withColumns(
+            {
+                "producto": F.when(number % 9 == 0, own).otherwise(F.col("codigo")),
+                "sucursal_id": F.concat(F.lit("NATION_"), (number % 25).cast("string")),
+            }
+        )
+    )
+
+
+def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("event_id")
+    return _event_products(spark, sf_dir, "purchase").select(
+        F.concat(F.lit("M"), number.cast("string")).alias("id"),
+        "producto",
+        "sucursal_id",
+        F.ceil("value").cast("long").alias("unidades"),
+        F.lit(None).cast("string").alias("motivo"),
+        F.lit("ana").alias("creado_por"),
+        F.date_trunc("second", "ts").alias("creado_en"),
+        (number % 7 == 0).alias("archivada"),
+        F.when(number % 5 == 0, F.concat(F.lit("R"), (number % 500).cast("string"))).alias("recurrente_id"),
+        F.when(number % 3 == 0, F.concat(F.lit("L"), (number % 20).cast("string"))).alias("lote_id"),
+        F.when(
+            number % 4 != 0, F.timestamp_add("DAY", F.ceil("value").cast("int"), F.date_trunc("day", "ts"))
+        ).alias("expira_en"),
+    )
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, day = F.col("event_id"), F.to_date("ts")
+    brand = F.concat(F.lit("Brand#"), (number % 25 + 1).cast("string"))
+    branch = F.concat(F.lit("Suc NATION_"), (number % 25).cast("string"))
+    narrow = F.concat(
+        F.lit('{"sucursales":["'), branch, F.lit('"],"abc":["A","B"],"filtro1":["'), brand, F.lit('"]}')
+    )
+    wide = F.concat(
+        F.lit('{"abc":["C"],"filtro1":["'), brand, F.lit('"],"solo_pedir":false,"vista":"sucursales"}')
+    )
+    return _event_products(spark, sf_dir, "signup").select(
+        F.concat(F.lit("R"), number.cast("string")).alias("id"),
+        F.when(number % 3 == 0, "grupo").otherwise("individual").alias("modo"),
+        "producto",
+        "sucursal_id",
+        F.when(number % 3 == 0, F.when(number % 2 == 0, narrow).otherwise(wide)).alias("filtros"),
+        (number % 5 + 1).alias("unidades"),
+        F.when(number % 4 == 0, 60).alias("dias_inventario"),
+        F.lit(None).cast("string").alias("motivo"),
+        (number % 7 + 1).cast("int").alias("cada_dias"),
+        day.alias("proxima_ejecucion"),
+        F.when(number % 5 == 0, F.date_add(day, (number % 30).cast("int"))).alias("fecha_fin"),
+        (number % 6 != 0).alias("activa"),
+        F.lit(None).cast("date").alias("ultima_ejecucion"),
+    )
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("accion"),
+        F.date_trunc("second", "ts").alias("creado_en"),
+        F.col("props").alias("detalle"),
+    )
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("event_id")
+    seen = F.when(number % 3 == 0, "").when(number % 3 == 1, "ana,beto").otherwise(" caro , ana,")
+    return (
+        table(spark, sf_dir, "events")
+        .filter("event_type = 'error'")
+        .select(
+            number.cast("string").alias("id"),
+            F.date_trunc("second", "ts").alias("creado_en"),
+            F.when(number % 4 != 0, seen).alias("vistas_por"),
+        )
+    )
+
+
+def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.when(kind == "click", "stock_bodegas")
+        .when(kind == "view", "seguimiento_frontera")
+        .when(kind == "error", "ventas_frontera")
+        .when(kind == "signup", "catalogo")
+        .otherwise("otra")
+        .alias("fuente"),
+        F.to_date("ts").alias("entregado"),
+    )
+
+
+SHEET_HEADERS = ["Periodo", "Local", "SUCURSAL", "Producto", "Fecha", "Cantidad", "Total", "Total Neta"]
+
+
+def raw_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sheet rows: some one cell short, some one too long, days in four spellings."""
+    number, day = F.col("o_orderkey"), F.col("o_orderdate")
+    joined = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    )
+    spelled = (
+        F.when(number % 4 == 0, F.date_format(day, "MM/dd/yyyy HH:mm:ss"))
+        .when(number % 4 == 1, F.date_format(day, "dd/MM/yyyy"))
+        .when(number % 4 == 2, F.date_format(day, "yyyy-MM-dd"))
+        .otherwise("sin fecha")
+    )
+    amount = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    cells = F.array(
+        F.when(number % 50 != 0, F.date_format(day, "yyyyMM")).otherwise(" "),
+        F.concat(F.lit("SUC"), F.col("n_nationkey").cast("string")),
+        F.when(number % 40 != 0, F.concat(F.lit(" "), "n_name")),
+        F.col("o_orderpriority"),
+        spelled,
+        (number % 9).cast("string"),
+        F.format_string("%.2f", "o_totalprice"),
+        amount,
+    )
+    cut = F.when(number % 5 == 0, F.slice(cells, 1, 7)).when(
+        number % 7 == 0, F.concat(cells, F.array(F.lit("sobra")))
+    )
+    return joined.select(number.alias("id"), F.coalesce(cut, cells).alias("valores"))
+
+
+def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as catalogue lines: several per code, blanks and both number spellings."""
+    number = F.col("p_partkey")
+    price = F.format_number("p_retailprice", 2)
+    return table(spark, sf_dir, "part").select(
+        number.alias("fila"),
+        F.when(number % 97 != 0, F.concat(F.lit(" "), product_code())).otherwise(" ").alias("Producto"),
+        F.when(number % 3 != 0, F.col("p_name")).otherwise("").alias("Glosa"),
+        F.when(number % 4 != 0, F.col("p_type")).alias("Familia"),
+        F.lit("UN").alias("Unidad"),
+        F.when(number % 2 == 0, F.translate(price, ",.", ".,")).otherwise(
+            F.translate(F.format_string("%.2f", "p_retailprice"), ".", ",")
+        ).alias("Costo"),
+        F.when(number % 5 != 0, (F.col("p_size") * 2).cast("string")).alias("Stock"),
+        F.when(number % 6 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("StockMinimo"),
+    )
+
+
+def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines as four report files: title rows, a header row in another column order in
+    each, and one file whose header lacks a required column."""
+    file_of = lambda key: F.concat(F.lit("informe_"), (key % 4).cast("string"))
+    titles = table(spark, sf_dir, "nation").select(
+        file_of(F.col("n_nationkey")).alias("archivo"),
+        F.floor(F.col("n_nationkey") / 4).alias("fila"),
+        F.array(F.col("n_name"), *[F.lit(None).cast("string")] * 8).alias("celdas"),
+    )
+    layouts = [
+        ["Producto", "SUCURSAL", "Tipo-Venta", "Fecha", "Cantidad", "tipoDocto", "Tipo Producto", "tipoproducto", "x"],
+        ["TIPOPRODUCTO", "tipo docto", "Cantidad ", "FECHA", "Tipo Venta", "Sucursal", "Código", "producto", "x"],
+        ["Fecha", "Cantidad", "tipoproducto", "tipoDocto", "Producto", "Producto", "x", "SUCURSAL", "Tipo-Venta"],
+        ["Fecha", "Cantidad", "tipoproducto", "x", "Producto", "y", "z", "SUCURSAL", "Tipo-Venta"],
+    ]
+    header = F.lit(None)
+    for i, names in enumerate(layouts):
+        header = F.when(F.col("r_regionkey") == i, F.array(*[F.lit(n) for n in names])).otherwise(header)
+    headers = (
+        table(spark, sf_dir, "region")
+        .filter("r_regionkey < 4")
+        .select(file_of(F.col("r_regionkey")).alias("archivo"), F.lit(9).cast("long").alias("fila"), header.alias("celdas"))
+    )
+    number = F.col("l_linenumber")
+    day = (
+        F.when(number % 3 == 0, F.date_format("l_shipdate", "dd/MM/yyyy"))
+        .when(number % 3 == 1, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.datediff("l_shipdate", F.lit("1899-12-30").cast("date")).cast("string"))
+    )
+    code = F.concat(F.col("Producto"), F.lit(" "))
+    quantity = F.col("l_quantity").cast("string")
+    kind = F.when(number == 7, "1M.O.").otherwise("4Repuesto")
+    document = F.when(F.col("l_returnflag") == "R", "NC LIQ FACT").otherwise("FACTURA")
+    sale = F.lit("VTA MESON")
+    none, noise, branch = F.lit(None).cast("string"), F.lit("ruido"), _numbered_branch()
+    cells = (
+        F.when(F.col("l_suppkey") % 4 == 0, F.array(code, branch, sale, day, quantity, document, noise, kind, none))
+        .when(F.col("l_suppkey") % 4 == 1, F.array(kind, document, quantity, day, sale, branch, noise, code, none))
+        .when(F.col("l_suppkey") % 4 == 2, F.array(day, quantity, kind, document, code, noise, none, branch, sale))
+        .otherwise(F.array(day, quantity, kind, none, code, none, none, branch, sale))
+    )
+    data = lines(spark, sf_dir).select(
+        file_of(F.col("l_suppkey")).alias("archivo"), (F.col("l_orderkey") + 100).alias("fila"), cells.alias("celdas")
+    )
+    return titles.unionByName(headers).unionByName(data)
+
+
+def upload_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock uploads of three layouts, header in the first row."""
+    file_of = lambda key: F.concat(F.lit("stock_"), (key % 3).cast("string"))
+    layouts = [
+        ["Código", "Bodega", "Sucursal ID", "Stock", "Empresa", "Nota"],
+        ["Stock", "ORIGEN", "Producto", "bodega", "SUCURSAL", "Cantidad"],
+        ["Codigo-Producto", "producto", "Bodega.", "stock", "otro %", "origen"],
+    ]
+    header = F.lit(None)
+    for i, names in enumerate(layouts):
+        header = F.when(F.col("r_regionkey") == i, F.array(*[F.lit(n) for n in names])).otherwise(header)
+    headers = (
+        table(spark, sf_dir, "region")
+        .filter("r_regionkey < 3")
+        .select(file_of(F.col("r_regionkey")).alias("archivo"), F.lit(0).cast("long").alias("fila"), header.alias("celdas"))
+    )
+    place = F.concat(F.lit("B"), (F.col("l_orderkey") % 3).cast("string"))
+    amount = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
+    tag, note = F.when(F.col("l_linenumber") > 3, "M").otherwise(" "), F.lit("nota")
+    cells = (
+        F.when(F.col("l_suppkey") % 3 == 0, F.array("Producto", place, "n_name", amount, tag, note))
+        .when(F.col("l_suppkey") % 3 == 1, F.array(F.lit("1"), tag, F.col("Producto"), place, F.col("n_name"), amount))
+        .otherwise(F.array(note, F.col("Producto"), place, amount, note, tag))
+    )
+    data = lines(spark, sf_dir).select(
+        file_of(F.col("l_suppkey")).alias("archivo"), (F.col("l_orderkey") + 1).alias("fila"), cells.alias("celdas")
+    )
+    return headers.unionByName(data)
+
+
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacement base with planted conflicts and shared replacements."""
+    number = F.col("p_partkey")
+    code = lambda step: F.concat(F.lit("K"), (number + step).cast("string"))
+    first = F.when(number % 4 == 0, code(1)).when(number % 40 == 1, code(1)).when(number % 60 == 58, code(3))
+    second = F.when(number % 8 == 0, code(2)).otherwise(" ")
+    third = F.when(number % 16 == 0, code(3))
+    return table(spark, sf_dir, "part").select(
+        F.concat(code(0), F.lit(" ")).alias("Producto"),
+        first.alias("Reem1"),
+        second.alias("Reem2"),
+        third.alias("Reem3"),
+    )
+
+
+def mix_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("K"), F.col("l_partkey").cast("string")).alias("Producto"),
+        F.to_date("l_shipdate").alias("Fecha"),
+        F.col("l_quantity").cast("long").alias("Cantidad"),
+    )
