@@ -147,7 +147,7 @@ CTES = {
                   WHEN abs(coalesce(b.total_sugerido_suc, 0) - coalesce(a.total_sugerido_suc, 0)) <= 0.5 THEN 'igual' ELSE 'distinta' END AS estado
       FROM v1 a FULL JOIN v2 b ON a.k = b.k""",
     "valores": "SELECT DISTINCT producto AS valor FROM sgx",
-    "codigos": "SELECT unnest(['13 Brand#14', '1 brand#1', 'RAND#25', 'nada', '7 Brand#2', '50']) AS codigo",
+    "codigos": "SELECT unnest(['11 Brand#2', '1 brand#1', 'RAND#25', 'nada', '7 Brand#2', '50']) AS codigo",
     "calce": """
       SELECT codigo, valor, CASE WHEN lower(valor) = lower(codigo) THEN 0 WHEN starts_with(lower(valor), lower(codigo)) THEN 1 ELSE 2 END AS r
       FROM codigos JOIN valores ON contains(lower(valor), lower(codigo))""",
@@ -216,7 +216,7 @@ BODIES = {
     "upload_stock": """SELECT 'stock_' || (l_suppkey % 3) AS archivo, producto, 'B' || (l_orderkey % 3) AS bodega,
         CASE WHEN l_suppkey % 3 < 2 THEN n_name END AS sucursal_id, round(l_extendedprice, 2) AS stock,
         CASE WHEN l_linenumber > 3 THEN 'M' END AS origen FROM lin""",
-    "upload_ignored": """SELECT * FROM (VALUES ('stock_0', 'Nota'), ('stock_2', 'otro %')) t(archivo, columna) WHERE EXISTS (SELECT 1 FROM region)""",
+    "upload_ignored": """SELECT * FROM (VALUES ('stock_0', 'Nota'), ('stock_2', 'otro %'), ('stock_2', 'Codigo-Producto')) t(archivo, columna) WHERE EXISTS (SELECT 1 FROM region)""",
     "stock_by_branch_map": """SELECT producto AS "Producto", CASE WHEN s_nationkey < 20 THEN n_name ELSE 'DESCONOCIDO' END AS "SucursalID",
         CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) END AS "Stock", ' -' AS "Costo" FROM lin WHERE l_linenumber = 5 AND l_partkey % 50 <> 0""",
     "border_extract": """SELECT strftime(o_orderdate, '%Y%m') AS "Periodo", docto AS "Documento", o_orderkey AS numero, CAST(o_orderdate AS DATE) AS fecha, CAST(p_partkey AS VARCHAR) AS producto,
@@ -297,7 +297,7 @@ BODIES = {
     "grouped_supplier": grouped("proveedor"),
     "ranking": grouped("filtro1_final", "(SELECT * FROM ped WHERE sucursal_id = 'NATION_0')", 7),
     "units_from_days": "SELECT producto, sucursal_id, greatest(1, CAST(ceil(demanda_diaria * 45) AS BIGINT)) AS unidades FROM sgx WHERE demanda_diaria > 0",
-    "detail": "SELECT producto, sucursal_id, descripcion, total_sugerido_suc, proveedor FROM sgx WHERE producto = '13 Brand#14' AND sucursal_id = 'NATION_4'",
+    "detail": "SELECT producto, sucursal_id, descripcion, total_sugerido_suc, proveedor FROM sgx WHERE producto = '11 Brand#2' AND sucursal_id = 'NATION_9'",
     "sales_12m": "SELECT * FROM s12",
     "sales_12m_totals": """SELECT producto, sum(cantidad_general) AS total_general, sum(cantidad_sucursal) AS total_sucursal, round(avg(cantidad_general), 4) AS promedio_general,
         round(avg(cantidad_sucursal), 4) AS promedio_sucursal FROM s12 GROUP BY producto""",
@@ -311,7 +311,7 @@ BODIES = {
     "purchase_orders": """SELECT proveedor, 0 AS renglon, producto AS "Producto", descripcion AS "Descripcion", clasificacion_abc AS "ABC", cantidad AS "Cantidad", costo_unitario AS "Costo Unitario",
         round(cantidad * coalesce(costo_unitario, 0), 2) AS "Subtotal" FROM carro
         UNION ALL SELECT proveedor, 1, 'TOTAL', NULL, NULL, NULL, NULL, round(sum(cantidad * coalesce(costo_unitario, 0)), 2) FROM carro GROUP BY proveedor""",
-    "export_columns": """SELECT producto AS "Producto", sucursal_id AS "Sucursal ID", pedir AS "Pedir", lt_efectivo AS "LT Efectivo" FROM sgx""",
+    "export_columns": """SELECT producto AS "Producto", sucursal_id AS "ID Sucursal", pedir AS "Pedir", lt_efectivo AS "LT Efectivo" FROM sgx""",
     "suggestion_with_manual": """SELECT s.producto, s.sucursal_id, CAST(coalesce(u, 0) AS BIGINT) AS ajuste_manual_vigente, coalesce(total_sugerido_suc, 0) + coalesce(u, 0) AS total_sugerido_con_manual
         FROM sgx s LEFT JOIN act a ON a.producto = s.producto AND a.sucursal_id = s.sucursal_id""",
     "supplier_list": "SELECT DISTINCT proveedor FROM sgx WHERE proveedor IS NOT NULL",
@@ -319,10 +319,10 @@ BODIES = {
           ORDER BY costo DESC NULLS LAST, producto LIMIT 25 OFFSET 25) c LEFT JOIN (SELECT producto, sum(stock) AS t FROM stu GROUP BY producto) s ON s.producto = c.producto""",
     "catalogue_detail": """SELECT c.producto, coalesce(t, stock_total) AS stock_total, coalesce(p, '') AS partes FROM ctg c LEFT JOIN (
           SELECT producto, sum(stock) AS t, string_agg(bodega || '|' || sucursal_id || '|' || origen || '|' || CAST(stock AS INTEGER), ';' ORDER BY stock DESC, bodega, sucursal_id, origen) AS p FROM stu GROUP BY producto) s
-        ON s.producto = c.producto WHERE c.producto = '13 Brand#14'""",
+        ON s.producto = c.producto WHERE c.producto = '11 Brand#2'""",
     "filter_options": """SELECT DISTINCT 'familia' AS campo, familia AS valor FROM ctg UNION SELECT 'procedencia', procedencia FROM ctg UNION SELECT 'categoria', categoria FROM ctg""",
     "stock_totals": "SELECT producto, sum(stock) AS stock_total FROM stu GROUP BY producto",
-    "stock_of_product": "SELECT bodega, sucursal_id, stock, origen FROM stu WHERE producto = '13 Brand#14'",
+    "stock_of_product": "SELECT bodega, sucursal_id, stock, origen FROM stu WHERE producto = '11 Brand#2'",
     "product_card": """SELECT c.producto, glosa AS descripcion, familia, procedencia, costo AS costo_unitario, stock_total AS stock_total_catalogo, coalesce(n, 0) AS en_sugerido_sucursales,
         coalesce(t, 0.0::DOUBLE) AS total_sugerido_todas_sucursales FROM ctg c LEFT JOIN (SELECT producto, count(*) AS n, sum(total_sugerido_suc) AS t FROM sgx GROUP BY producto) s ON s.producto = c.producto""",
     "product_search": f"""WITH d AS (SELECT * FROM {DIMP} WHERE {MATCH7.format('descripcion')} ORDER BY producto LIMIT 60),

@@ -188,23 +188,27 @@ def add_cd_rows(pairs: DataFrame, params: Params) -> DataFrame:
             "_principal": F.bool_or(at_cd & F.col("de_principal")).over(by_master),
         }
     ).filter("en_ventana")
-    kept = [c for c in pairs.columns if c != "en_ventana"]
     blank = {
         "sucursal_final": F.lit(params.cd_id),
-        "m3": F.lit(0).cast("long"),
-        "m6": F.lit(0).cast("long"),
-        "m12": F.lit(0).cast("long"),
+        "m3": F.lit(0),
+        "m6": F.lit(0),
+        "m12": F.lit(0),
         "clasificacion_abc": F.lit("D"),
         "serie": F.transform("serie", lambda _: F.lit(0.0)),
         "de_frontera": F.col("_frontera"),
         "de_principal": F.col("_principal"),
     }
-    same = F.struct(*[F.col(c) for c in kept])
-    made = F.struct(*[blank.get(c, F.col(c)).alias(c) for c in kept])
-    rows = F.when(F.col("_falta_cd") & F.col("_primera"), F.array(same, made)).otherwise(
-        F.array(same)
+    copies = F.when(
+        F.col("_falta_cd") & F.col("_primera"), F.array(F.lit(False), F.lit(True))
+    ).otherwise(F.array(F.lit(False)))
+    # The head stays an untouched column, so the layout by head survives the explode.
+    return (
+        marked.withColumn("_hecha", F.explode(copies))
+        .withColumns(
+            {c: F.when(F.col("_hecha"), made).otherwise(F.col(c)) for c, made in blank.items()}
+        )
+        .select(*[c for c in pairs.columns if c != "en_ventana"])
     )
-    return marked.select(F.explode(rows).alias("fila")).select("fila.*")
 
 
 def abc(

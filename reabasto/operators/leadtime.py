@@ -148,24 +148,38 @@ def _fold_branches(table: DataFrame) -> DataFrame:
     )
 
 
+# Largest order number the latest-order key leaves room for.
+ORDER_NUMBERS = "1e19"
+
+
 def order_suppliers(tracking: DataFrame, params: Params) -> DataFrame:
     """Per product and branch: smallest supplier name among replenishment orders, among all
-    orders, and the supplier of the latest dated replenishment order."""
+    orders, and the supplier of the latest dated replenishment order.
+
+    Orders are first counted down to one row per product, branch and supplier. That step
+    keeps numbers only (the order key is day and order number as one decimal), so it hashes;
+    the texts are compared on what is left, a few suppliers per product.
+    """
     name = F.col("RazonSocial")
-    sortable = F.struct(F.lower(name).alias("clave"), name.alias("nombre"))
-    recent = F.struct(
-        F.col("FechaOC"), F.coalesce(F.col("NOC"), F.lit(-1)).alias("NOC"), name.alias("nombre")
-    )
+    day = F.unix_date("FechaOC").cast("decimal(10,0)")
+    number = F.coalesce(F.col("NOC"), F.lit(-1)).cast("decimal(20,0)")
+    key = day * F.lit(ORDER_NUMBERS).cast("decimal(20,0)") + number
     replenish = is_true(_is_replenishment(params))
-    return (
+    per_supplier = (
         tracking.filter(name.isNotNull() & F.col("Producto").isNotNull())
-        .groupBy("Producto", "SucursalID")
+        .groupBy("Producto", "SucursalID", "RazonSocial")
         .agg(
-            F.min(F.when(replenish, sortable)).alias("filtrado"),
-            F.min(sortable).alias("todo"),
-            F.max(F.when(replenish & F.col("FechaOC").isNotNull(), recent)).alias("reciente"),
+            F.bool_or(replenish).alias("repone"),
+            F.max(F.when(replenish, key)).alias("orden"),
         )
     )
+    sortable = F.struct(F.lower(name).alias("clave"), name.alias("nombre"))
+    recent = F.struct(F.col("orden"), name.alias("nombre"))
+    return per_supplier.groupBy("Producto", "SucursalID").agg(
+        F.min(F.when(F.col("repone"), sortable)).alias("filtrado"),
+        F.min(sortable).alias("todo"),
+        F.max(F.when(F.col("orden").isNotNull(), recent)).alias("reciente"),
+    )
 
 
 def product_suppliers(tracking: DataFrame, params: Params) -> DataFrame:

@@ -384,7 +384,7 @@ def last_event(log: DataFrame, action: str) -> DataFrame:
 
 def readers(text: Column) -> Column:
     """Comma text to the set of its filled names."""
-    names = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    names = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda n: F.trim(n))
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 

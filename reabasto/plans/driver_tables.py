@@ -12,6 +12,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reabasto.functions.columns import map_value
 from reabasto.params import Params
 from reabasto.sources import sales as sales_source
 from reabasto.sources import tracking as tracking_source
@@ -46,8 +47,30 @@ PARAMS = Params(
 )
 
 
+# Columns of the test tables, stated so that no read infers them.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def product_code() -> Column:
@@ -56,13 +79,12 @@ def product_code() -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their part, supplier and nation."""
-    nation = table(spark, sf_dir, "nation")
-    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     part = table(spark, sf_dir, "part").withColumn("Producto", product_code())
     return (
         table(spark, sf_dir, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
 
 
@@ -193,7 +215,8 @@ def raw_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tracking(spark: SparkSession, sf_dir: str, mode: str = "base") -> DataFrame:
+def tracking_by_origin(spark: SparkSession, sf_dir: str, mode: str = "base") -> DataFrame:
+    """The three origins as the reports deliver them, each normalised, then united."""
     raw = raw_tracking(spark, sf_dir)
     border = raw.filter("origen = 2").drop("NOC", "Motivo")
     return tracking_source.union_tracking(
@@ -203,6 +226,36 @@ def tracking(spark: SparkSession, sf_dir: str, mode: str = "base") -> DataFrame:
     )
 
 
+def tracking(spark: SparkSession, sf_dir: str, mode: str = "base") -> DataFrame:
+    """The same rows in one pass over the order lines."""
+    kind, unknown = F.col("origen"), F.lit(PARAMS.unknown_branch)
+    border = kind == 2
+    branch = (
+        F.when(kind == 0, map_value(F.col("Sucursal"), PARAMS.tracking_map_national))
+        .when(kind == 1, map_value(F.col("Sucursal"), PARAMS.tracking_map_imported))
+        .otherwise(map_value(F.col("NombreLocal"), PARAMS.tracking_map_border))
+    )
+    origin = (
+        F.when(kind == 0, PARAMS.origin_national)
+        .when(kind == 1, PARAMS.origin_imported)
+        .otherwise(PARAMS.origin_border)
+    )
+    return (
+        raw_tracking(spark, sf_dir)
+        .withColumns(
+            {
+                "SucursalID": F.coalesce(branch, unknown),
+                "Origen_": origin,
+                "NOC": F.when(~border, F.col("NOC")),
+                "Motivo": F.when(~border, F.col("Motivo")),
+            }
+        )
+        .drop("origen")
+        .withColumnRenamed("Origen_", "Origen")
+        .select(*tracking_source.PROJECTIONS[mode])
+    )
+
+
 def _stock_rows(spark: SparkSession, sf_dir: str, kept: Column) -> DataFrame:
     return (
         lines(spark, sf_dir)

@@ -96,17 +96,17 @@ def sales_years(spark, d):
 
 @query
 def tracking_union(spark, d):
-    return D.tracking(spark, d)
+    return D.tracking_by_origin(spark, d)
 
 
 @query
 def tracking_transit(spark, d):
-    return D.tracking(spark, d, "transit")
+    return D.tracking_by_origin(spark, d, "transit")
 
 
 @query
 def tracking_lead_time(spark, d):
-    return D.tracking(spark, d, "lead_time")
+    return D.tracking_by_origin(spark, d, "lead_time")
 
 
 @query

@@ -364,7 +364,7 @@ def units_from_days(spark, d):
 
 @query
 def detail(spark, d):
-    return serving.detail(D.suggestions(spark, d), "13 Brand#14", "NATION_4").select(
+    return serving.detail(D.suggestions(spark, d), "11 Brand#2", "NATION_9").select(
         *PAIR, "descripcion", "total_sugerido_suc", "proveedor"
     )
 
@@ -439,7 +439,7 @@ def catalogue_list(spark, d):
 
 @query
 def catalogue_detail(spark, d):
-    made = catalogue_ops.catalogue_detail(D.serving_catalogue(spark, d), D.unified_stock(spark, d), "13 Brand#14")
+    made = catalogue_ops.catalogue_detail(D.serving_catalogue(spark, d), D.unified_stock(spark, d), "11 Brand#2")
     parts = F.transform("stock_por_sucursal", lambda e: F.concat_ws("|", e["bodega"], e["sucursal_id"], e["origen"], e["stock"].cast("int").cast("string")))
     return made.select("producto", "stock_total", F.array_join(parts, ";").alias("partes"))
 
@@ -456,7 +456,7 @@ def stock_totals(spark, d):
 
 @query
 def stock_of_product(spark, d):
-    return catalogue_ops.stock_by_branch(D.unified_stock(spark, d), "13 Brand#14")
+    return catalogue_ops.stock_by_branch(D.unified_stock(spark, d), "11 Brand#2")
 
 
 @query
@@ -543,7 +543,7 @@ def last_periods_extract(spark, d):
     return postsale.last_periods_extract(D.monthly_sales(spark, d))
 
 
-CODES = ["13 Brand#14", "1 brand#1", "RAND#25", "nada", "7 Brand#2", "50"]
+CODES = ["11 Brand#2", "1 brand#1", "RAND#25", "nada", "7 Brand#2", "50"]
 
 
 @query

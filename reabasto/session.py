@@ -30,6 +30,7 @@ def local_session(
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("REABASTO_DRIVER_MEMORY", "8g"))
     )

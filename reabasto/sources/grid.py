@@ -41,8 +41,8 @@ def grid_from_csv(spark: SparkSession, paths: list[str], width: int, sep: str =
 
 def _position(cells: Column, name: str) -> Column:
     """Place of a wanted header: literal text first, normalised text second, else null."""
-    trimmed = F.transform(cells, F.trim)
-    keys = F.transform(cells, T.label_compact)
+    trimmed = F.transform(cells, lambda c: F.trim(c))
+    keys = F.transform(cells, lambda c: T.label_compact(c))
     literal = F.array_position(trimmed, F.lit(name.strip()))
     loose = F.array_position(keys, T.label_compact(F.lit(name)))
     return F.coalesce(F.nullif(literal, F.lit(0)), F.nullif(loose, F.lit(0)))
