@@ -263,7 +263,7 @@ CTES["plan"] = f"""
          t.cl AS "Clasificacion ABC", t.ca AS "Clasificacion ABC Agregada", t.proveedor AS "Proveedor",
          round(t.lt_dias, 4) AS "Lead Time Dias", t.lt_origen AS "LT Origen", t.lt_cd AS "LT CD a Sucursal Dias",
          round(t.lt_ef, 4) AS "LT Efectivo", t.abastece AS "Abastece CD", CAST(t.prioridad AS INTEGER) AS "Prioridad CD",
-         round(t.media, 6) AS "Demanda Mensual", round(t.desv, 6) AS "Desv Std Mensual", round(t.dd, 6) AS "Demanda Diaria",
+         round(t.media, 6) AS "Demanda Mensual", round(t.desv, 6) AS "Desv Std Mensual", round(t.dd, 8) AS "Demanda Diaria",
          t.ss AS "Stock de Seguridad", round(k.costo, 4) AS "Costo Unitario",
          CASE WHEN t.importado THEN 'True' ELSE 'False' END AS "Es Importado",
          CASE WHEN cd.producto IS NOT NULL THEN 'True' ELSE 'False' END AS "Tiene Stock CD",
@@ -301,7 +301,7 @@ BODIES = {
     "dense_series": f"SELECT {PAIR}, mes, total FROM serie12",
     "demand_local": f"SELECT {PAIR}, {rounded('media desv', 6).replace('AS media', 'AS demanda_mensual').replace('AS desv', 'AS desv_std_mensual')} FROM dem_loc",
     "demand_cd": "SELECT pm AS producto_master, round(media, 6) AS demanda_mensual, round(desv, 6) AS desv_std_mensual FROM dem_cd",
-    "demand": f"SELECT {PAIR}, round(media, 6) AS demanda_mensual, round(desv, 6) AS desv_std_mensual, round(media / 22.0, 6) AS demanda_diaria FROM dem",
+    "demand": f"SELECT {PAIR}, round(media, 6) AS demanda_mensual, round(desv, 6) AS desv_std_mensual, round(media / 22.0, 8) AS demanda_diaria FROM dem",
     "lead_time_supplier": """SELECT razon AS "Razon Social Proveedor", round(dias, 4) AS "Lead Time Dias" FROM lt_prov""",
     "lead_time_supplier_branch": """SELECT razon AS "Razon Social Proveedor", sucursal AS "SucursalID", round(dias, 4) AS "Lead Time Dias", n AS "N Muestras" FROM lt_suc""",
     "deduced_supplier": f"SELECT {PAIR}, prov_lt AS proveedor_lt FROM prov",

@@ -34,10 +34,12 @@ def postventa_summary(rows: DataFrame, headers: list[str]) -> DataFrame:
     units = sheet_index(headers, "cantidad", "items")
 
     def total(place: int | None) -> Column:
-        return F.coalesce(F.sum(T.upload_number(_cell(place))), F.lit(0.0))
+        cell = F.lit(None).cast("string") if place is None else F.get("_c", F.lit(place))
+        return F.coalesce(F.sum(T.upload_number(cell)), F.lit(0.0))
 
     return (
         rows.filter(F.col("periodo").isNotNull())
+        .select("periodo", "sucursal", _cells().alias("_c"))
         .groupBy("periodo", "sucursal")
         .agg(
             total(amount).alias("total_clp"),

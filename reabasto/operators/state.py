@@ -206,11 +206,13 @@ def advance_rules(rules: DataFrame, today: date) -> DataFrame:
     )
 
 
-ANY_BRANCH = "*"
+ANY = "*"
+# Filter lists that rules and rows are joined on, and the column each one names.
+KEYED = {"sucursales": "nombre_sucursal", "filtro1": "filtro1_final", "abc": "clasificacion_abc"}
 
 
 def _rule_accepts(params: Params) -> Column:
-    """The filters of `filter_suggestions` with the wanted values in columns `f.*`."""
+    """The filters of `filter_suggestions` that are not joined on, wanted values in `f.*`."""
     def holds(text: Column) -> Column:
         return F.concat(F.lit("%"), F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
 
@@ -236,9 +238,7 @@ def _rule_accepts(params: Params) -> Column:
     ordered = ~F.coalesce("f.solo_pedir", F.lit(True)) | is_true(F.lower("pedir") == "si")
     national = ~is_true(F.col("f.solo_nacionales")) | ~is_true(F.col("es_importado"))
     return (
-        listed("abc", "clasificacion_abc")
-        & listed("filtro1", "filtro1_final")
-        & listed("tipo_origen", "tipo_origen")
+        listed("tipo_origen", "tipo_origen")
         & listed("proveedores", "proveedor")
         & (~is_true(supplier != "") | named)
         & F.when(searching, hit).otherwise(ordered & national & shown)
@@ -246,8 +246,9 @@ def _rule_accepts(params: Params) -> Column:
 
 
 def _group_targets(rules: DataFrame, rows: DataFrame, params: Params) -> DataFrame:
-    """Pairs of each group rule. Rules meet rows by equality on the branch they name; a rule
-    that names none stands under a key every row also has."""
+    """Pairs of each group rule. Rules meet rows by equality on branch, brand and class; a
+    rule that leaves one open stands under a mark every row also has, so only rows that
+    already agree on all three are paired."""
     wanted = rules.filter(F.col("modo") != "individual").select(
         F.col("id").alias("recurrente_id"),
         F.col("motivo").alias("motivo"),
@@ -255,16 +256,19 @@ def _group_targets(rules: DataFrame, rows: DataFrame, params: Params) -> DataFra
         "dias_inventario",
         F.from_json(F.coalesce("filtros", F.lit("{}")), S.FILTERS).alias("f"),
     )
-    branches = F.when(is_true(F.size("f.sucursales") > 0), F.col("f.sucursales")).otherwise(
-        F.array(F.lit(ANY_BRANCH))
-    )
-    placed = wanted.withColumn("clave", F.explode(F.array_distinct(branches)))
-    visible = filter_suggestions(rows, Filters(solo_pedir=False), params)
-    keyed = visible.withColumn(
-        "clave",
-        F.explode(F.array_compact(F.array(F.col("nombre_sucursal"), F.lit(ANY_BRANCH)))),
-    )
-    return keyed.join(placed, "clave").filter(_rule_accepts(params))
+    def named(name: str) -> Column:
+        values = F.col(f"f.{name}")
+        return F.when(is_true(F.size(values) > 0), F.array_distinct(values)).otherwise(
+            F.array(F.lit(ANY))
+        )
+
+    placed, keyed = wanted, filter_suggestions(rows, Filters(solo_pedir=False), params)
+    for name, column in KEYED.items():
+        placed = placed.withColumn(f"_{name}", F.explode(named(name)))
+        either = F.array_compact(F.array(F.col(column), F.lit(ANY)))
+        keyed = keyed.withColumn(f"_{name}", F.explode(either))
+    met = keyed.join(placed, [f"_{name}" for name in KEYED])
+    return met.filter(_rule_accepts(params))
 
 
 def recurring_entries(

@@ -168,8 +168,9 @@ def demand_cd(spark, d):
 @query
 def demand(spark, d):
     made = demand_ops.demand(_pairs(spark, d), P)
-    columns = ["demanda_mensual", "desv_std_mensual", "demanda_diaria"]
-    return rounded(made.select(*PAIR, *columns), *columns, digits=6)
+    columns = ["demanda_mensual", "desv_std_mensual"]
+    kept = rounded(made.select(*PAIR, *columns, "demanda_diaria"), *columns, digits=6)
+    return rounded(kept, "demanda_diaria", digits=8)
 
 
 @query
@@ -320,5 +321,6 @@ def contract(spark, d):
         "LT Efectivo",
         "Costo Unitario",
     )
-    tidy = rounded(tidy, "Demanda Mensual", "Desv Std Mensual", "Demanda Diaria", digits=6)
+    tidy = rounded(tidy, "Demanda Mensual", "Desv Std Mensual", digits=6)
+    tidy = rounded(tidy, "Demanda Diaria", digits=8)
     return rounded(tidy, "total_valor_sugerido_clp", digits=2)
