@@ -21,8 +21,8 @@ ACTIVE = f"NOT archivada AND (expira_en IS NULL OR expira_en > {NOW})"
 CTES = {
     **ENGINE,
     "sg0": """
-      SELECT producto, n_name AS sucursal_id, count(*) AS n, min(l_orderkey * 8 + l_linenumber) AS id, min(p_name) AS descripcion,
-             min(s_name) AS prov, min(p_brand) AS filtro1_final, min(p_type) AS unidad_medida, max(p_retailprice) AS co, sum(l_quantity) AS q,
+      SELECT producto, n_name AS sucursal_id, count(*) AS n, min(l_orderkey * 8 + l_linenumber) AS id, arg_min(p_name, p_partkey) AS descripcion,
+             arg_min(s_name, s_suppkey) AS prov, any_value(p_brand) AS filtro1_final, arg_min(p_type, p_partkey) AS unidad_medida, max(p_retailprice) AS co, sum(l_quantity) AS q,
              sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS total_sugerido_suc,
              sum(l_quantity) FILTER (WHERE l_tax > 0.07) AS stock_activo_suc, sum(l_quantity) FILTER (WHERE l_tax < 0.01) AS stock_en_transito_suc
       FROM lin GROUP BY producto, n_name""",
@@ -367,6 +367,8 @@ BODIES = {
                  concat_ws('; ', CASE WHEN a.total_sugerido_suc IS DISTINCT FROM b.total_sugerido_suc THEN 'total_sugerido_suc: ' || coalesce(CAST(CAST(a.total_sugerido_suc AS BIGINT) AS VARCHAR), 'None') || ' -> ' || coalesce(CAST(CAST(b.total_sugerido_suc AS BIGINT) AS VARCHAR), 'None') END,
                            CASE WHEN a.pedir IS DISTINCT FROM b.pedir THEN 'pedir: ' || coalesce(a.pedir, 'None') || ' -> ' || coalesce(b.pedir, 'None') END) AS detalle
           FROM v1 a FULL JOIN v2 b ON a.k = b.k) WHERE cambio <> 'modificada' OR detalle <> ''""",
+    "expire_at": """SELECT o_orderkey, timezone('UTC', timezone('America/Santiago', CAST(CAST(o_orderdate AS DATE) + 1 AS TIMESTAMP))) AS expira_en,
+        CAST(o_orderdate AS DATE) >= DATE '1999-01-01' AS aceptada FROM orders""",
     "bulk_manual": f"""SELECT 'LOTE:' || producto || ':' || sucursal_id AS id, producto, sucursal_id, greatest(1, CAST(ceil(demanda_diaria * 30) AS BIGINT)) AS unidades, 'LOTE' AS lote_id, {NOW} AS creado_en, false AS archivada
         FROM ped WHERE clasificacion_abc = 'B' AND sucursal_id <> 'NATION_0' AND NOT {VIA_CD} AND demanda_diaria > 0""",
     "bulk_counts": f"""SELECT count(*) FILTER (WHERE coalesce(demanda_diaria > 0, false)) AS creadas, count(*) FILTER (WHERE NOT coalesce(demanda_diaria > 0, false)) AS omitidas

@@ -7,16 +7,27 @@ from functools import reduce
 from itertools import chain
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _sql_literal(value: Any) -> str:
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def map_literal(table: Mapping[Any, Any]) -> Column:
+    """The whole dictionary as one literal, parsed in a single call."""
+    return F.expr(f"map({', '.join(_sql_literal(x) for x in chain.from_iterable(table.items()))})")
+
+
 def map_value(col: Column, table: Mapping[Any, Any], default: Column | None = None) -> Column:
     """Dictionary lookup inside the row; keys absent from `table` give `default` (null)."""
     if not table:
         return F.lit(None) if default is None else default
-    literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    found = F.when(col.isNotNull(), F.try_element_at(literal, col))
+    found = F.when(col.isNotNull(), F.try_element_at(map_literal(table), col))
     return found if default is None else F.coalesce(found, default)
 
 
@@ -50,3 +61,15 @@ def is_yes(col: Column) -> Column:
 def first_by(value: Column, order: Column) -> Column:
     """Value of the row with the smallest `order` among rows where the value is present."""
     return F.min_by(value, F.when(value.isNotNull(), order))
+
+
+def side_by_side(counts: Mapping[str, DataFrame]) -> DataFrame:
+    """Row counts of several frames as one row, one column each."""
+    singles = [
+        frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("nombre"), "n")
+        for name, frame in counts.items()
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b), singles)
+    return stacked.agg(
+        *[F.sum(F.when(F.col("nombre") == name, F.col("n"))).alias(name) for name in counts]
+    )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reabasto.functions.columns import side_by_side
 from reabasto.functions.text import like_any
 from reabasto.operators.serving import page_of, sort_keys
 
@@ -177,19 +178,12 @@ def search_total(
     """Matches of the dimension plus, when the page falls short, the catalogue's others."""
     matching = _matching(dim, q, "descripcion")
     shown = page_of(matching, [F.col("producto")], page, limit)
-    total = matching.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
     if not q:
-        return total.select(F.col("n").alias("total"))
-    others = (
-        _matching(catalogue, q, "glosa")
-        .join(shown.select("producto"), "producto", "left_anti")
-        .agg(F.count(F.lit(1)).alias("otros"))
-        .withColumn("k", F.lit(1))
-    )
-    held = shown.agg(F.count(F.lit(1)).alias("en_pagina")).withColumn("k", F.lit(1))
-    return total.join(others, "k").join(held, "k").select(
-        (F.col("n") + F.when(F.col("en_pagina") < limit, F.col("otros")).otherwise(0)).alias("total")
-    )
+        return matching.agg(F.count(F.lit(1)).alias("total"))
+    others = _matching(catalogue, q, "glosa").join(shown.select("producto"), "producto", "left_anti")
+    counts = side_by_side({"propios": matching, "en_pagina": shown, "otros": others})
+    filled = F.when(F.col("en_pagina") < limit, F.col("otros")).otherwise(0)
+    return counts.select((F.col("propios") + filled).alias("total"))
 
 
 def search_catalogue(catalogue: DataFrame, text: str, limit: int = 10) -> DataFrame:

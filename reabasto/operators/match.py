@@ -81,18 +81,15 @@ def match_codes(rows: DataFrame, column: str, codes: list[str], params: Params)
         .agg(F.min(rank).alias("rango"))
     )
     best = found.groupBy("codigo").agg(F.min("rango").alias("rango"))
-    # `best` has at most one row per pasted code.
-    kept = found.join(F.broadcast(best), ["codigo", "rango"])
+    # `best` has at most one row per pasted code, so both joins with it are map-side and a
+    # code that half of the values hold is never gathered.
+    best = F.broadcast(best)
     kind = F.when(F.col("rango") == 0, KINDS[0]).when(F.col("rango") == 1, KINDS[1])
-    return (
-        wanted.select("codigo")
-        .join(kept, "codigo", "left")
-        .select(
-            "codigo",
-            "valor",
-            F.when(F.col("rango").isNotNull(), kind.otherwise(KINDS[2])).alias("tipo"),
-        )
+    matched = found.join(best, ["codigo", "rango"]).select(
+        "codigo", "valor", kind.otherwise(KINDS[2]).alias("tipo")
     )
+    unmatched = wanted.select("codigo").join(best, "codigo", "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def match_counts(matches: DataFrame) -> DataFrame:

@@ -124,9 +124,12 @@ def fixture_subset(
         *[part for name, (_, n) in conditions.items() for part in (F.lit(name), F.lit(n))]
     )
     place = F.row_number().over(Window.partitionBy("condicion").orderBy("Producto"))
+    # The plain bound lets Spark cut each task to the largest quota before the shuffle.
+    most = max(n for _, n in conditions.values())
     picked = (
         tagged.distinct()
         .withColumn("puesto", place)
+        .filter(F.col("puesto") <= most)
         .filter(F.col("puesto") <= F.try_element_at(quota, F.col("condicion")))
         .select("Producto")
         .distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reabasto import schemas as S
-from reabasto.functions.columns import any_of, is_true, is_yes
+from reabasto.functions.columns import any_of, is_true, is_yes, side_by_side
 from reabasto.operators.manual import is_active
 from reabasto.operators.serving import (
     PAIR,
@@ -344,11 +344,12 @@ def process_recurring(
 def recurring_counts(
     rules: DataFrame, rows: DataFrame, today: date, now: datetime, params: Params
 ) -> DataFrame:
-    ran = due_rules(rules, today).agg(F.count(F.lit(1)).alias("recurrencias_procesadas"))
-    made = recurring_entries(rules, rows, today, now, params).agg(
-        F.count(F.lit(1)).alias("sugerencias_creadas")
+    return side_by_side(
+        {
+            "recurrencias_procesadas": due_rules(rules, today),
+            "sugerencias_creadas": recurring_entries(rules, rows, today, now, params),
+        }
     )
-    return ran.withColumn("k", F.lit(1)).join(made.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 def archive_expired(manual: DataFrame, now: datetime) -> DataFrame:

@@ -319,18 +319,24 @@ def sources(spark: SparkSession, sf_dir: str) -> Sources:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A published table: one row per product and branch, figures from the order lines."""
+    """A published table: one row per product and branch, figures from the order lines.
+
+    Only numbers are aggregated over the lines; names come afterwards from the part and the
+    supplier with the smallest key.
+    """
     quantity = F.col("l_quantity")
-    base = (
+    numbers = (
         lines(spark, sf_dir)
-        .groupBy(F.col("Producto").alias("producto"), F.col("n_name").alias("sucursal_id"))
+        .groupBy(
+            F.col("Producto").alias("producto"),
+            F.col("p_brand").alias("filtro1_final"),
+            F.col("n_name").alias("sucursal_id"),
+        )
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-            F.min("p_name").alias("descripcion"),
-            F.min("s_name").alias("_proveedor"),
-            F.min("p_brand").alias("filtro1_final"),
-            F.min("p_type").alias("unidad_medida"),
+            F.min("l_partkey").alias("_parte"),
+            F.min("l_suppkey").alias("_prov"),
             F.max("p_retailprice").alias("_costo"),
             F.sum(quantity).alias("_q"),
             F.sum(F.when(F.col("l_returnflag") == "A", quantity)).alias("total_sugerido_suc"),
@@ -338,6 +344,13 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.when(F.col("l_tax") < 0.01, quantity)).alias("stock_en_transito_suc"),
         )
     )
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("_parte"), F.col("p_name").alias("descripcion"), F.col("p_type").alias("unidad_medida")
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("_prov"), F.col("s_name").alias("_proveedor")
+    )
+    base = numbers.join(parts, "_parte").join(suppliers, "_prov").drop("_parte", "_prov")
     n, total = F.col("n"), F.col("total_sugerido_suc")
     foreign = F.col("filtro1_final").isin("Brand#1", "Brand#2")
     order = F.when(total > 0, "Si").otherwise("No")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reabasto.functions.columns import side_by_side
 from reabasto.operators.dims import dim_branch_from_upload, dim_product_from_upload
 from reabasto.params import Params
 from reabasto.sources.files import path_exists
@@ -127,11 +128,10 @@ def anomalous_products(rows: DataFrame, params: Params, n: int = 10) -> DataFram
 
 def received_check(received: DataFrame, loaded: DataFrame, source_limit: int = 100_000) -> DataFrame:
     """Rows handed over against rows loaded, and whether the source limit was reached."""
-    a = received.agg(F.count(F.lit(1)).alias("recibidas")).withColumn("k", F.lit(1))
-    b = loaded.agg(F.count(F.lit(1)).alias("cargadas")).withColumn("k", F.lit(1))
-    return a.join(b, "k").select(
-        "recibidas",
-        "cargadas",
-        (F.col("recibidas") != F.col("cargadas")).alias("difiere"),
-        (F.col("recibidas") >= source_limit).alias("en_limite"),
+    counts = side_by_side({"recibidas": received, "cargadas": loaded})
+    return counts.withColumns(
+        {
+            "difiere": F.col("recibidas") != F.col("cargadas"),
+            "en_limite": F.col("recibidas") >= source_limit,
+        }
     )
