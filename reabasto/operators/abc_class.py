@@ -88,28 +88,57 @@ def monthly_cube(
     return _to_masters(cube, mapping, dim_product, params)
 
 
+def _monthly_totals(months: list[int]) -> Column:
+    """Aggregate: the totals of the given months in order, 0 where there is none."""
+    return F.array(
+        *[
+            F.coalesce(F.sum(F.when(F.col("mes") == m, F.col("total"))), F.lit(0)).cast("double")
+            for m in months
+        ]
+    )
+
+
 def dense_monthly_series(
     totals: DataFrame, keys: tuple[str, ...], months: list[int], name: str = "serie"
 ) -> DataFrame:
-    """One row per key with its totals of the given months in order, 0 where none."""
-    sums = [
-        F.coalesce(F.sum(F.when(F.col("mes") == m, F.col("total"))), F.lit(0)).cast("double")
-        for m in months
-    ]
-    return totals.groupBy(*keys).agg(F.array(*sums).alias(name))
+    """One row per key with its dense monthly series."""
+    return totals.groupBy(*keys).agg(_monthly_totals(months).alias(name))
 
 
-def frequency_class(short: Column, mid: Column, long: Column) -> Column:
+def frequency_class(short: Column, mid: Column, long: Column, params: Params) -> Column:
     """Class by the number of months with a sale in the last 3, 6 and 12."""
+    at_c = mid == params.months_c
+    recent = short >= params.recent_months_c
     return (
-        F.when(mid >= 5, F.lit("A"))
-        .when(mid == 4, F.lit("B"))
-        .when((mid == 3) & (short >= 2), F.lit("C"))
-        .when((long > 6) & (mid == 3) & (short < 2), F.lit("C"))
+        F.when(mid >= params.months_a, F.lit("A"))
+        .when(mid == params.months_b, F.lit("B"))
+        .when(at_c & recent, F.lit("C"))
+        .when((long > params.long_months_c) & at_c & ~recent, F.lit("C"))
         .otherwise(F.lit("D"))
     )
 
 
+def pair_frame(cube: DataFrame, closed_month: date, params: Params) -> DataFrame:
+    """One row per group head and branch.
+
+    Holds the dense series of the closed months, the set of months with a sale, and the
+    company flags over all loaded months: one aggregate feeds classes and demand alike.
+    Pairs sold only before the window stay, marked by `en_ventana`, until `add_cd_rows`:
+    a made centre row takes its company flags from them.
+    """
+    months = window_months(closed_month, params.window_long)
+    in_window = F.col("mes") >= months[0]
+    if params.closed_months_only:
+        in_window = in_window & (F.col("mes") <= months[-1])
+    return cube.groupBy(*PAIR).agg(
+        _monthly_totals(months).alias("serie"),
+        F.collect_set(F.when(F.col("vendio") & in_window, F.col("mes"))).alias("meses"),
+        F.bool_or(in_window).alias("en_ventana"),
+        F.bool_or("de_frontera").alias("de_frontera"),
+        F.bool_or("de_principal").alias("de_principal"),
+    )
+
+
 def _months_since(months: Column, start: int) -> Column:
     return F.size(F.filter(months, lambda m: m >= start)).cast("long")
 
@@ -158,8 +187,10 @@ def classify(pairs: DataFrame, closed_month: date, params: Params) -> DataFrame:
     ).drop("_meses_agg", "meses")
     return counted.withColumns(
         {
-            "clasificacion_abc": frequency_class(F.col("m3"), F.col("m6"), F.col("m12")),
-            "clasificacion_abc_agregada": frequency_class(F.col("m3a"), F.col("m6a"), F.col("m12a")),
+            "clasificacion_abc": frequency_class(F.col("m3"), F.col("m6"), F.col("m12"), params),
+            "clasificacion_abc_agregada": frequency_class(
+                F.col("m3a"), F.col("m6a"), F.col("m12a"), params
+            ),
         }
     )
 

@@ -61,6 +61,11 @@ class Params:
     window_short: int = 3
     window_mid: int = 6
     window_long: int = 12
+    months_a: int = 5
+    months_b: int = 4
+    months_c: int = 3
+    recent_months_c: int = 2
+    long_months_c: int = 6
     # demand
     winsor_k: float = 3.0
     mad_scale: float = 1.4826

@@ -42,10 +42,10 @@ def classified(spark, params, entries, mapping=(), categories=()):
     )
 
 
-def test_classes(spark):
+def test_classes(spark, params):
     cases = {(1, 5, 5): "A", (0, 4, 9): "B", (2, 3, 3): "C", (1, 3, 7): "C", (1, 3, 6): "D", (0, 0, 12): "D"}
     df = spark.createDataFrame([(*k, v) for k, v in cases.items()], "a int, b int, c int, e string")
-    assert df.filter(abc_class.frequency_class(F.col("a"), F.col("b"), F.col("c")) != F.col("e")).count() == 0
+    assert df.filter(abc_class.frequency_class(F.col("a"), F.col("b"), F.col("c"), params) != F.col("e")).count() == 0
 
 
 def test_only_pairs_of_the_last_year(spark, params, rows):
@@ -88,6 +88,23 @@ def tail_and_fast(branches=("TALCA", "CURICO", "CHILLAN")):
     return [("P", branches[i % 3], m, 3) for i, m in enumerate(MONTHS)]
 
 
+def test_dense_series(spark, rows):
+    totals = spark.createDataFrame([("P", 202605, 3), ("P", 202606, 4), ("P", 202606, 1), ("Q", 202001, 9)], "p string, mes int, total long")
+    made = abc_class.dense_monthly_series(totals, ("p",), [202604, 202605, 202606])
+    assert rows(made) == [("P", [0.0, 3.0, 5.0]), ("Q", [0.0, 0.0, 0.0])]
+
+
+def test_a_hot_product_is_reduced_before_the_lookup(spark, params, rows):
+    """A third of the lines in one product: the rows that reach the lookups are its months."""
+    hot = [("HOT", "TALCA", m, 1) for m in MONTHS for _ in range(50)]
+    rest = [(f"P{i % 40}", "CURICO", MONTHS[i % 12], 1) for i in range(1200)]
+    cube = abc_class.monthly_cube(
+        sales(spark, hot + rest), empty(spark, S.MAPPING), empty(spark, S.DIM_PRODUCT), params
+    )
+    assert cube.filter("producto_master = 'HOT'").count() == 12
+    assert rows(cube.groupBy().agg(F.sum("total"))) == [(1800,)]
+
+
 def test_centre_row_is_made_once(spark, params, rows):
     made = classified(spark, params, tail_and_fast() + [("Q", "TALCA", 202606, 1)])
     cd = made.filter(F.col("sucursal_final") == "CD REPUESTOS")

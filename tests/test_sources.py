@@ -208,3 +208,25 @@ def test_sheet_rows_are_padded_and_cut(spark, rows):
         (1, "202401", None, '[" 202401 ","SUC130","",""]'),
         (2, None, "RANCAGUA", '["","b"," RANCAGUA ","5"]'),
     ]
+
+
+def test_extract_rows(spark, tmp_path, rows):
+    (tmp_path / "e.json").write_text('{"producto": "P", "mes": "202601", "cantidad": 2}\n{"producto": "Q"}\n')
+    schema = "producto string, mes string, cantidad double"
+    assert rows(files.read_extract(spark, str(tmp_path / "e.json"), schema)) == [("P", "202601", 2.0), ("Q", None, None)]
+    (tmp_path / "e.csv").write_text("cantidad,producto,mes\nx,P,202601\n")
+    assert rows(files.read_extract(spark, str(tmp_path / "e.csv"), schema, "csv")) == [("P", "202601", None)]
+
+
+def test_border_extract_columns(spark, rows):
+    documents = spark.createDataFrame(
+        [("E07", t, i, i, "202601", DAY, "CLIENTE", None, "xx NQR", "SUC070", "N", v) for i, (t, v) in enumerate([("NOTA CREDITO ST", "V"), ("CARGO INTERNO", "V"), ("FACTURA ST", "A")])],
+        "empresa string, tipodocto string, correlativo int, numero int, periodolibro string, fecha date, tipo_venta string, marca string, modelo string, local string, emitido string, vigencia string",
+    )
+    lines = spark.createDataFrame([("E07", t, i, "2723982", 1, 2.0, 9.0, 10.0, 4.0) for i, t in enumerate(["NOTA CREDITO ST", "CARGO INTERNO", "FACTURA ST"])], "empresa string, tipodocto string, correlativo int, producto string, linea int, cantidad double, neto double, total double, costo double")
+    products = spark.createDataFrame([("E07", "2723982", "aceite de motor diesel 4T", "REPUESTO")], "empresa string, producto string, glosa string, tipoproducto string")
+    made = sales.border_sales_extract(documents, lines, products, "E07", DAY, DAY)
+    assert rows(made, "Documento", "SERIE UNIDAD", "TIPO PRODUCTO", "SUCURSAL", "Total Neta", "Docto-Emitido", "Descripcion Producto") == [
+        ("CARGO INTERNO", "SERIE N", "LUBRICANTE", "02 LINDEROS", 10.0, "Emitido", "aceite de motor dies"),
+        ("NOTA CREDITO ST", "SERIE N", "LUBRICANTE", "02 LINDEROS", -10.0, "Emision Pendiente", "aceite de motor dies"),
+    ]
