@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
 from reabasto.functions import text as T
-from reabasto.functions.columns import any_of, map_value
+from reabasto.functions.columns import any_of, broadcast_if_few, map_value
 
 HEADER_SCAN_ROWS = 40
+# Spark numbers rows from this multiple of the task's number on.
+ROWS_PER_TASK = 1 << 33
 
 
 def grid_from_csv(spark: SparkSession, paths: list[str], width: int, sep: str = ",") -> DataFrame:
-    """Grid of delimited files. Rows keep file order inside each split, and splits are
-    numbered by their offset, so `fila` is the position for the first split (where the
-    header lies) and larger for every later one."""
+    """Grid of delimited files. In the first split of a file, where the header lies, `fila`
+    is the row's position; in later ones it only has to be larger, so it starts at their
+    byte offset and no row needs the count of the rows before it."""
     schema = ", ".join(f"c{i} string" for i in range(width))
     raw = spark.read.options(header=False, sep=sep).schema(schema).csv(paths)
     cells = raw.select(
@@ -30,11 +32,14 @@ def grid_from_csv(spark: SparkSession, paths: list[str], width: int, sep: str =
         F.monotonically_increasing_id().alias("orden"),
         F.array(*raw.columns).alias("celdas"),
     )
-    # One row per split: the lowest running id, taken off so each split counts from zero.
-    base = cells.groupBy("archivo", "desde").agg(F.min("orden").alias("base"))
-    return cells.join(base, ["archivo", "desde"]).select(
+    # One row per file: the running id its first split starts at.
+    base = cells.groupBy("archivo").agg(F.min(F.when(F.col("desde") == 0, F.col("orden"))).alias("base"))
+    within = F.col("orden").bitwiseAND(F.lit(ROWS_PER_TASK - 1))
+    return cells.join(broadcast_if_few(base), "archivo").select(
         "archivo",
-        (F.col("orden") - F.col("base") + F.col("desde")).alias("fila"),
+        F.when(F.col("desde") == 0, F.col("orden") - F.col("base"))
+        .otherwise(F.col("desde") + within)
+        .alias("fila"),
         "celdas",
     )
 
@@ -76,11 +81,13 @@ def read_report(
 ) -> DataFrame:
     """Wanted columns of every file as trimmed text; rows with none of them are dropped.
 
+    The header places, one row per file, are counted before they are broadcast, so a file
+    that holds a third of all rows is not gathered by its name.
+
     Files without a recognisable header give no rows; `files_without_header` lists them.
     """
-    rows = grid.join(find_headers(grid, columns, required), "archivo").filter(
-        F.col("fila") > F.col("fila_cabecera")
-    )
+    headers = broadcast_if_few(find_headers(grid, columns, required))
+    rows = grid.join(headers, "archivo").filter(F.col("fila") > F.col("fila_cabecera"))
     values = [
         F.trim(F.get(F.col("celdas"), (F.col(f"lugar.`{dst}`") - 1).cast("int"))).alias(dst)
         for dst in columns
@@ -123,9 +130,8 @@ def conform_uploads(grid: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     When two headers of a file mean the same field the one further right wins.
     """
     fields = list(dict.fromkeys(aliases.values()))
-    rows = grid.filter(F.col("fila") > 0).join(
-        _upload_fields(grid, aliases).drop("titulos"), "archivo"
-    )
+    places = broadcast_if_few(_upload_fields(grid, aliases).drop("titulos"))
+    rows = grid.filter(F.col("fila") > 0).join(places, "archivo")
 
     def cell(name: str) -> Column:
         from_right = F.array_position(F.reverse("campos"), F.lit(name))
