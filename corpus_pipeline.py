@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reabasto.llm import mixing, packing, toxicity
+from reabasto.llm import minhash, mixing, packing, suffix_dedup, toxicity
 from reabasto.llm.common import scratch
 from reabasto.llm.queries import tokenizer_path
 
@@ -16,6 +17,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(f"score < {toxicity.THRESHOLD}").drop("score")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings that occur more than once; n_chars is counted anew."""
+    return suffix_dedup.removed(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
     return mixing.repeated(docs)
@@ -28,6 +39,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("repeated_strings", cut_repeats),
     ("source_mix", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]

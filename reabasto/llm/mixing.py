@@ -182,14 +182,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows are found again by id and a hash of the text; rows that share both are told apart by number.
     """
-    nth = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))
-    copies = _taken(docs, id_col=id_col, text_col=text_col, **options).select(
-        "_id", "_text", nth.alias("_nth"), (F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_copies")
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)
+    on = ["_known", "_null", "_text", "_nth"]
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_known": F.coalesce("_id", zero), "_null": F.col("_id").isNull()})
+        return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(on[:3]).orderBy("_known")))
+
+    copies = numbered(_taken(docs, id_col=id_col, text_col=text_col, **options)).select(
+        *on, (F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_copies")
     )
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc")).withColumns(
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumns(
         {"_id": F.col(f"_doc.`{id_col}`"), "_text": F.xxhash64(f"_doc.`{text_col}`")}
     )
-    mine = keyed.withColumn("_nth", nth).alias("d")
-    same = F.col("d._id").eqNullSafe(F.col("c._id")) & (F.col("d._text") == F.col("c._text")) & (F.col("d._nth") == F.col("c._nth"))
-    found = mine.join(copies.where("_copies > 0").alias("c"), same)
-    return found.select("d._doc", F.explode(F.sequence(F.lit(1), F.col("c._copies")))).select("_doc.*")
+    found = numbered(keyed).join(copies.where("_copies > 0"), on)
+    return found.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

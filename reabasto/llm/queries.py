@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reabasto.llm import mixing, packing, toxicity, url_rules
+from reabasto.llm import minhash, mixing, multi_index, packing, sorted_passes, suffix_dedup, toxicity, url_rules
 
 #: Rules of op7: host, path, verdict.
 URL_RULES = (
@@ -34,6 +34,18 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_sorted_passes(spark: SparkSession, folder: str) -> DataFrame:
+    return sorted_passes.link(_table(spark, folder, "embeddings"))
+
+
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.measure(_table(spark, folder, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     shapes = sorted({(len(h.split(".")), len(p)) for h, p, _ in URL_RULES})
     return url_rules.judge(_table(spark, folder, "pages"), url_rules.rules_frame(spark, URL_RULES), shapes=shapes)
@@ -49,11 +61,19 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.groups(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_multi_index": op3_multi_index,
+    "op5_sorted_passes": op5_sorted_passes,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_rules": op7_url_rules,
     "op8_toxicity": op8_toxicity,
     "op9_source_mix": op9_source_mix,
+    "op10_probminhash": op10_probminhash,
 }
 
 
