@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reabasto.llm import minhash, mixing, multi_index, packing, sorted_passes, suffix_dedup, toxicity, url_rules
+from reabasto.llm import archives, main_text, minhash, mixing, multi_index, packing, sorted_passes, suffix_dedup, toxicity, url_rules
 
 #: Rules of op7: host, path, verdict.
 URL_RULES = (
@@ -30,6 +30,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.round_trip(_table(spark, folder, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
@@ -38,6 +42,10 @@ def op3_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(_table(spark, folder, "pages"))
+
+
 def op5_sorted_passes(spark: SparkSession, folder: str) -> DataFrame:
     return sorted_passes.link(_table(spark, folder, "embeddings"))
 
@@ -66,8 +74,10 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_arc_to_warc": op1_arc_to_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_multi_index": op3_multi_index,
+    "op4_main_text": op4_main_text,
     "op5_sorted_passes": op5_sorted_passes,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_rules": op7_url_rules,
