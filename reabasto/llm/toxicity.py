@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 BITS = 20
-TERMS = 4096  # terms that the machine knows
+TERMS = 4096  # terms that the machine knows, at most
+EVIDENCE = 6.0  # log-likelihood ratio that a term must have
 SAMPLE = 30_000  # labelled rows that it is fitted on, at most
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 30
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
 
@@ -63,10 +64,10 @@ def _margin(flat, of, n, bias, linear, factors):
     return np.clip(z, -30, 30), v, total
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int = 0, epochs: int = EPOCHS, decay: float = 2e-4):
-    """Adagrad on the logistic loss in mini-batches; (bias, linear, factors)."""
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, start: np.ndarray, seed: int = 0, epochs: int = EPOCHS, decay: float = 1e-5):
+    """Adagrad on the logistic loss in mini-batches, from given linear weights; (bias, linear, factors)."""
     rng = np.random.default_rng(seed)
-    linear, factors = np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS))
+    linear, factors = start.astype(float), rng.normal(0, 0.02, (len(start), FACTORS))
     rate = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 1e-3
     bias = float(np.log(rate / (1 - rate)))
     seen = [np.full(linear.shape, 1e-2), np.full(factors.shape, 1e-2), 1e-2]
@@ -149,7 +150,8 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     """The machine from rows (text, label 0 or 1); rows with a null label are left out.
 
     Terms are counted over all rows, at most 2**BITS of them; the `terms` most telling come to the
-    driver. The machine is fitted on at most `sample` rows, those with the smallest text hashes. No
+    driver, and their counts give the linear weights to start from (half the log odds). The machine
+    is fitted on at most `sample` rows, those with the smallest text hashes. No
     rows, or rows of one class only: a machine that gives every text the same low or high score.
     """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label"))
@@ -161,13 +163,15 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     a, b, n = F.col("a"), F.col("b"), n_clean + n_toxic
     expected = [(a + b) * n_clean / n, (a + b) * n_toxic / n, (n - a - b) * n_clean / n, (n - a - b) * n_toxic / n]
     ratio = sum(part(x, y) for x, y in zip([a, b, n_clean - a, n_toxic - b], expected, strict=True))
-    best = counts.where("a + b >= 5").orderBy(ratio.desc(), "term").select("term").limit(terms).collect()
+    telling = counts.where("a + b >= 5").withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
+    best = telling.orderBy(F.desc("ratio"), "term").select("term", "a", "b").limit(terms).collect()
     known = {int(r[0]): i for i, r in enumerate(best)}
+    start = [0.5 * np.log((r[2] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (r[1] + 0.5)) for r in best] or [0.0]
     some = rows.orderBy(F.xxhash64("_text"), "_text").limit(sample).repartition(labelled.sparkSession.sparkContext.defaultParallelism)
     drawn = some.mapInPandas(_numbers(known, ["_label"]), "_label int, _terms array<int>").collect()
     drawn.sort(key=lambda r: (r[0], r[1]))  # as drawn, whatever the order of tasks
     labels = np.array([r[0] for r in drawn], dtype=float)
-    return Machine(known, *fit_machine([np.array(r[1], dtype=np.int64) for r in drawn], labels, max(1, len(known))))
+    return Machine(known, *fit_machine([np.array(r[1], dtype=np.int64) for r in drawn], labels, np.array(start)))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: dict | None = None) -> DataFrame:
