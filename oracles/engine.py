@@ -103,11 +103,11 @@ CTES = {
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN pt ON l_partkey = p_partkey
       JOIN supplier ON l_suppkey = s_suppkey""",
     "stk": """
-      SELECT producto, n_name AS sucursal, CAST(l_quantity AS BIGINT) AS stock FROM lin
-      WHERE l_linenumber = 5 AND l_tax > 0.07 AND l_discount > 0.04""",
+      SELECT producto, n_name AS sucursal, CAST(greatest(l_quantity - 46, 0) AS BIGINT) AS stock FROM lin
+      WHERE l_orderkey % 4 <> 0""",
     "stk_b": """
-      SELECT producto, n_name AS sucursal, CAST(l_quantity AS BIGINT) AS stock FROM lin
-      WHERE l_linenumber = 5 AND l_tax < 0.01 AND l_discount < 0.02""",
+      SELECT producto, n_name AS sucursal, CAST(greatest(l_quantity - 46, 0) AS BIGINT) AS stock FROM lin
+      WHERE l_orderkey % 4 = 0""",
     "imp": "SELECT DISTINCT producto FROM pt WHERE p_brand IN ('Brand#1', 'Brand#2')",
     "prep": """
       SELECT * FROM (
@@ -289,7 +289,7 @@ BODIES = {
     "signed_sales": """SELECT producto AS "Producto", sucursal AS "SUCURSAL", tipo_venta AS "TipoVenta", fecha AS "Fecha", cantidad AS "CantidadAjustada", fuente AS "Fuente" FROM ventas_m""",
     "border_sales": """SELECT producto AS "Producto", sucursal AS "SUCURSAL", tipo_venta AS "TipoVenta", fecha AS "Fecha", cantidad AS "CantidadAjustada", fuente AS "Fuente" FROM ventas_b""",
     "sales_union": """SELECT fuente AS "Fuente", sucursal AS "SUCURSAL", count(*) AS lineas, CAST(sum(cantidad) AS BIGINT) AS unidades FROM ventas GROUP BY ALL""",
-    "sales_years": """SELECT producto AS "Producto", sucursal AS "SUCURSAL", fecha AS "Fecha", cantidad AS "CantidadAjustada" FROM ventas WHERE fecha >= DATE '2000-11-01'""",
+    "sales_years": """SELECT producto AS "Producto", sucursal AS "SUCURSAL", fecha AS "Fecha", cantidad AS "CantidadAjustada" FROM ventas WHERE fecha >= DATE '2000-01-01'""",
     "tracking_union": """SELECT producto AS "Producto", sucursal AS "SucursalID", razon AS "RazonSocial", fecha_oc AS "FechaOC", noc AS "NOC", origen AS "Origen", motivo AS "Motivo" FROM seg""",
     "tracking_transit": """SELECT producto AS "Producto", sucursal AS "SucursalID", razon AS "RazonSocial", fecha_oc AS "FechaOC", noc AS "NOC", origen AS "Origen", motivo AS "Motivo",
         cantidad AS "Cantidad", estado_oc AS "EstadoOC", estado_doc AS "EstadoDoc", fecha_doc AS "FechaDoc" FROM seg""",

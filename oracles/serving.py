@@ -48,7 +48,7 @@ CTES = {
       FROM (SELECT * FROM pt UNION ALL SELECT * REPLACE ('X' || p_partkey AS producto) FROM pt) GROUP BY producto""",
     "stu": """
       SELECT producto, 'B' || (l_orderkey % 3) AS bodega, n_name AS sucursal_id, CASE WHEN l_linestatus = 'O' AND s_nationkey % 5 = 0 THEN 'B' ELSE 'M' END AS origen,
-             sum(l_quantity) AS stock FROM lin WHERE l_linenumber = 5 GROUP BY ALL""",
+             sum(l_quantity) AS stock FROM lin GROUP BY ALL""",
     "vm": """
       SELECT producto, n_name AS sucursal_id, strftime(l_shipdate, '%Y%m') AS mes, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS cantidad
       FROM lin GROUP BY ALL""",
@@ -211,14 +211,14 @@ BODIES = {
         trim(regexp_replace(regexp_replace(replace({LABEL}, 'ñ', 'n'), '[ \\-/.°]', '_', 'g'), '_+', '_', 'g'), '_') AS clave_planilla FROM part""",
     "sales_report": """SELECT producto AS "Producto", n_name AS "SUCURSAL", CASE WHEN l_suppkey % 4 = 2 THEN 'VTA MESON' ELSE 'VTA MESON' END AS "Tipo-Venta",
         CAST(l_shipdate AS DATE) AS "Fecha", CAST(l_quantity AS BIGINT) AS "Cantidad", CASE WHEN l_returnflag = 'R' THEN 'NC LIQ FACT' ELSE 'FACTURA' END AS "tipoDocto",
-        CASE WHEN l_linenumber = 7 THEN '1M.O.' ELSE 'REPUESTOS' END AS tipoproducto FROM lin WHERE l_suppkey % 4 < 3""",
+        CASE WHEN l_linenumber = 7 THEN '1M.O.' ELSE 'REPUESTOS' END AS tipoproducto FROM lin""",
     "report_without_header": "SELECT DISTINCT 'informe_' || (n_nationkey % 4) AS archivo FROM nation WHERE n_nationkey % 4 = 3",
     "upload_stock": """SELECT 'stock_' || (l_suppkey % 3) AS archivo, producto, 'B' || (l_orderkey % 3) AS bodega,
         CASE WHEN l_suppkey % 3 < 2 THEN n_name END AS sucursal_id, round(l_extendedprice, 2) AS stock,
         CASE WHEN l_linenumber > 3 THEN 'M' END AS origen FROM lin""",
     "upload_ignored": """SELECT * FROM (VALUES ('stock_0', 'Nota'), ('stock_2', 'otro %'), ('stock_2', 'Codigo-Producto')) t(archivo, columna) WHERE EXISTS (SELECT 1 FROM region)""",
     "stock_by_branch_map": """SELECT producto AS "Producto", CASE WHEN s_nationkey < 20 THEN n_name ELSE 'DESCONOCIDO' END AS "SucursalID",
-        CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) END AS "Stock", ' -' AS "Costo" FROM lin WHERE l_linenumber = 5 AND l_partkey % 50 <> 0""",
+        CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) END AS "Stock", ' -' AS "Costo" FROM lin WHERE l_partkey % 50 <> 0""",
     "border_extract": """SELECT strftime(o_orderdate, '%Y%m') AS "Periodo", docto AS "Documento", o_orderkey AS numero, CAST(o_orderdate AS DATE) AS fecha, CAST(p_partkey AS VARCHAR) AS producto,
         substr(p_name || ' de veinte letras', 1, 20) AS "Descripcion Producto", l_linenumber AS "Items", l_quantity AS cantidad, round(l_extendedprice, 2) AS total,
         CASE p_partkey % 3 WHEN 0 THEN 'REPUESTO' WHEN 1 THEN 'MO_TERC' ELSE 'MO_ST' END AS tipoproducto,
@@ -277,7 +277,7 @@ BODIES = {
     "list_search": f"""WITH pag AS (SELECT * FROM vis WHERE producto ILIKE '%x1%' OR descripcion ILIKE '%x1%' OR nombre_sucursal ILIKE '%x1%' OR proveedor ILIKE '%x1%' OR filtro1_final ILIKE '%x1%'
             OR tipo_origen ILIKE '%x1%' OR clasificacion_abc ILIKE '%x1%' OR abastece_cd ILIKE '%x1%'),
           mq AS (SELECT * FROM act WHERE u > 0 AND producto ILIKE '%x1%'),
-          c200 AS (SELECT * FROM ctg WHERE (producto ILIKE '%x1%' OR glosa ILIKE '%x1%') AND producto NOT IN (SELECT producto FROM sgx) ORDER BY producto LIMIT 200)
+          c200 AS (SELECT * FROM ctg WHERE (producto ILIKE '%x1%' OR glosa ILIKE '%x1%') AND producto NOT IN (SELECT producto FROM sgx))
         SELECT 'manual' AS origen, m.producto, m.sucursal_id, glosa AS descripcion, round(costo, 2) AS costo_unitario, NULL AS stock_activo_suc, CAST(u AS DOUBLE) AS total_sugerido_suc, CAST(u AS DOUBLE) AS sugerido_compra_neto,
                round(u * costo, 2) AS total_valor_sugerido_clp, 'Si' AS pedir, reemplazo AS reemplazos
         FROM mq m LEFT JOIN ctg c ON c.producto = m.producto WHERE (SELECT count(*) FROM pag) = 0
@@ -375,8 +375,8 @@ BODIES = {
         FROM ped WHERE clasificacion_abc = 'B' AND sucursal_id <> 'NATION_0' AND NOT {VIA_CD}""",
     "drop_batch": "SELECT id, lote_id, recurrente_id FROM man WHERE NOT (coalesce(lote_id = 'L3', false) AND recurrente_id IS NULL)",
     "list_manual": "SELECT id, producto, sucursal_id, unidades FROM man WHERE sucursal_id = 'NATION_4' AND NOT archivada AND recurrente_id IS NULL",
-    "active_entries": f"SELECT id, unidades, creado_por FROM man WHERE {ACTIVE} AND sucursal_id = 'NATION_5' ORDER BY creado_en DESC, id LIMIT 50",
-    "active_rules": "SELECT id, modo, unidades, cada AS cada_dias, proxima AS proxima_ejecucion FROM reglas WHERE activa AND sucursal_id = 'NATION_5' ORDER BY id LIMIT 50",
+    "active_entries": f"SELECT id, unidades, creado_por FROM man WHERE {ACTIVE} AND sucursal_id = 'NATION_5' ",
+    "active_rules": "SELECT id, modo, unidades, cada AS cada_dias, proxima AS proxima_ejecucion FROM reglas WHERE activa AND sucursal_id = 'NATION_5'",
     "recurring_rules": """SELECT id, nueva AS proxima_ejecucion, CASE WHEN turno AND pasada THEN false WHEN turno AND coalesce(nueva > fin, false) THEN false ELSE activa END AS activa,
         CASE WHEN turno AND NOT pasada THEN DATE '2024-01-20' END AS ultima_ejecucion FROM (
           SELECT *, CASE WHEN turno AND NOT pasada THEN proxima + CAST(cada * (floor((DATE '2024-01-20' - proxima) / cada) + 1) AS INTEGER) ELSE proxima END AS nueva FROM avance)""",
@@ -387,7 +387,7 @@ BODIES = {
     "count_expired": f"SELECT count(*) FILTER (WHERE NOT archivada AND expira_en <= {NOW}) AS archivadas FROM man",
     "audit_page": f"SELECT * FROM aud WHERE accion NOT IN ('error', 'click') {page('creado_en DESC, id DESC', 100, 100)}",
     "last_event": "SELECT creado_en, detalle FROM aud WHERE accion = 'signup' ORDER BY creado_en DESC, id DESC LIMIT 1",
-    "unread_notifications": """SELECT id, creado_en, false AS leida FROM (SELECT * FROM leen ORDER BY creado_en DESC, id DESC LIMIT 60) WHERE NOT list_contains(lectores, 'ana') ORDER BY creado_en DESC, id DESC LIMIT 20""",
+    "unread_notifications": """SELECT id, creado_en, false AS leida FROM leen WHERE NOT list_contains(lectores, 'ana') ORDER BY creado_en DESC, id DESC LIMIT 20""",
     "unread_count": "SELECT count(*) FILTER (WHERE NOT list_contains(lectores, 'ana')) AS no_leidas FROM leen",
     "mark_read": """SELECT id, CASE WHEN list_contains(lectores, 'beto') THEN vistas_por ELSE array_to_string(list_sort(list_append(lectores, 'beto')), ',') END AS vistas_por FROM leen""",
     "fixture_subset": """SELECT producto AS "Producto" FROM elegidos UNION SELECT producto FROM mapeo WHERE master IN (SELECT producto FROM elegidos)""",

@@ -718,3 +718,64 @@ HIDDEN_PREFIXES = (
     "INCENTIVOS",
     "APLICA-DED",
 )
+
+# Fixed values of the border extract, in the order in which they are tried.
+SERIES_PATTERNS = (
+    ("            %", "MESON"),
+    ("%NKR%", "SERIE N"),
+    ("%NPR%", "SERIE N"),
+    ("%NQR%", "SERIE N"),
+    ("%FRR%", "SERIE F"),
+    ("%FTR%", "SERIE F"),
+    ("%FVR%", "SERIE F"),
+    ("%DMAX%", "LIVIANOS"),
+    ("%COLORADO%", "LIVIANOS"),
+)
+SERIES_OTHER = "OTROS"
+LUBRICANT_CODES = ("2723982", "2722295", "2722260", "2723053", "2722278", "2722289")
+EXTRACT_BRANCHES = {
+    "CASA MATRIZ": "01 LA FLORIDA",
+    "SUC010": "01 LA FLORIDA",
+    "LO BLANCO": "01 LO BLANCO",
+    "SUC110": "01 LO BLANCO",
+    "LINDEROS": "02 LINDEROS",
+    "SUC070": "02 LINDEROS",
+    "PLACILLA": "03 PLACILLA",
+    "SUC120": "03 PLACILLA",
+    "COQUIMBO": "04 COQUIMBO",
+    "SUC040": "04 COQUIMBO",
+    "RANCAGUA": "05 RANCAGUA",
+    "SUC130": "05 RANCAGUA",
+    "RANCAGUA2": "06 RANCAGUA2",
+    "SUC190": "06 RANCAGUA2",
+    "CURICO": "07 CURICO",
+    "SUC050": "07 CURICO",
+    "TALCA": "08 TALCA",
+    "SUC150": "08 TALCA",
+    "CHILLAN": "09 CHILLAN",
+    "SUC020": "09 CHILLAN",
+    "CHILLAN VIEJO": "10 CHILLAN VIEJO",
+    "SUC030": "10 CHILLAN VIEJO",
+    "SAN FERNANDO": "11 SAN FERNANDO",
+    "SUC140": "11 SAN FERNANDO",
+    "DIEZ DE JULIO": "12 DIEZ DE JULIO",
+    "SUC060": "12 DIEZ DE JULIO",
+}
+EXTRACT_BRANCH_OTHER = "99 Ver Sucursal"
+CREDIT_DOCUMENT = "NOTA CREDITO ST"
+EXTRACT_DOCUMENTS = (
+    "FACTURA REPUESTOS (E)",
+    "FACTURA ST",
+    "CARGO INTERNO",
+    "CARGO GARANTIA",
+    "NOTA CREDITO ST",
+    "REFACTURACION ST",
+    "REFACTURACION C/RS",
+)
+ISSUABLE_DOCUMENTS = (
+    "FACTURA ST",
+    "FACTURA REPUESTOS (E)",
+    "NOTA CREDITO ST",
+    "REFACTURACION ST",
+    "REFACTURACION C/RS",
+)

@@ -63,14 +63,6 @@ def first_by(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-BROADCAST_ROWS = 20_000
-
-
-def broadcast_if_few(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast when a count finds few rows; left to a shuffled join beyond that."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
-
-
 def side_by_side(counts: Mapping[str, DataFrame]) -> DataFrame:
     """Row counts of several frames as one row, one column each."""
     singles = [

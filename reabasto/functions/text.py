@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and the plain letter each one reduces to.
-ACCENTED = "áéíóúàèìòùâêîôûäëïöüãõñçåýºª"
-PLAIN = "aeiouaeiouaeiouaeiouaoncayoa"
+
+def _reductions() -> tuple[str, str]:
+    """Every lower-case letter that decomposes to one letter and marks, and that letter."""
+    accented, plain = [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        letter = chr(code)
+        if not letter.isalpha() or letter.lower() != letter or unicodedata.category(letter) == "Lo" and code > 0xFF:
+            continue
+        bare = [c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)]
+        if len(bare) == 1 and bare[0] != letter and bare[0].isalpha():
+            accented.append(letter)
+            plain.append(bare[0])
+    return "".join(accented), "".join(plain)
+
+
+ACCENTED, PLAIN = _reductions()
 _NOT_ALPHANUMERIC = r"[^\p{L}\p{N}]"
 
 

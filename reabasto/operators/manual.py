@@ -19,8 +19,6 @@ from reabasto.operators.serving import (
 )
 from reabasto.params import Params
 
-CATALOGUE_FILL = 200
-
 
 def is_active(now: datetime) -> Column:
     expires = F.col("expira_en")
@@ -93,15 +91,10 @@ def manual_only_rows(units: DataFrame, shown: DataFrame, catalogue: DataFrame) -
 def catalogue_only_rows(
     rows: DataFrame, units: DataFrame, catalogue: DataFrame, stock: DataFrame, q: str
 ) -> DataFrame:
-    """Catalogue products that match and are in no suggestion: the first ones by code, then
-    less those with matching manual units, with their stock over all branches."""
-    matching = catalogue.filter(like_any(q, F.col("producto"), F.col("glosa")))
-    first = (
-        matching.join(rows.select("producto").distinct(), "producto", "left_anti")
-        .orderBy("producto")
-        .limit(CATALOGUE_FILL)
-    )
-    left = first.join(units.select("producto").distinct(), "producto", "left_anti")
+    """Catalogue products that match and are in no suggestion nor have matching manual units,
+    with their stock over all branches."""
+    known = rows.select("producto").unionByName(units.select("producto"))
+    left = catalogue.filter(like_any(q, F.col("producto"), F.col("glosa"))).join(known, "producto", "left_anti")
     totals = stock.groupBy("producto").agg(F.sum("stock").alias("stock_activo_suc"))
     return (
         _catalogue_rows(left).join(totals, "producto", "left").withColumn("origen", F.lit("catalogo"))

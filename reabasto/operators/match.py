@@ -42,12 +42,17 @@ def column_filter(
 def distinct_values(rows: DataFrame, column: str, params: Params) -> DataFrame:
     """Shown values once each; texts in order, numbers inside them by size.
 
-    The order key pads every digit run to one width.
+    In the order key the length of a digit run, without leading zeros, stands before it.
     """
     shown = rows.select(column_text(F.col(column), params).alias("valor")).distinct()
     runs = F.regexp_extract_all(F.lower("valor"), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r))
-    return shown.orderBy(F.array_join(padded, ""), "valor")
+
+    def sized(run: Column) -> Column:
+        digits = F.ltrim(run, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    keyed = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), sized(r)).otherwise(r))
+    return shown.orderBy(F.array_join(keyed, ""), "valor")
 
 
 def match_codes(rows: DataFrame, column: str, codes: list[str], params: Params) -> DataFrame:
@@ -76,14 +81,11 @@ def match_codes(rows: DataFrame, column: str, codes: list[str], params: Params)
     )
     rank = F.when(F.col("entero"), 0).when(F.col("desde") == 1, 1).otherwise(2)
     found = (
-        pieces.join(F.broadcast(wanted), "clave")
+        pieces.join(wanted, "clave")
         .groupBy("codigo", "valor")
         .agg(F.min(rank).alias("rango"))
     )
     best = found.groupBy("codigo").agg(F.min("rango").alias("rango"))
-    # `best` has at most one row per pasted code, so both joins with it are map-side and a
-    # code that half of the values hold is never gathered.
-    best = F.broadcast(best)
     kind = F.when(F.col("rango") == 0, KINDS[0]).when(F.col("rango") == 1, KINDS[1])
     matched = found.join(best, ["codigo", "rango"]).select(
         "codigo", "valor", kind.otherwise(KINDS[2]).alias("tipo")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +17,21 @@ def _equal(left: Column, right: Column, tolerance: float | None) -> Column:
     return F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) <= tolerance
 
 
-def _paired(engine: DataFrame, golden: DataFrame, keys: Mapping[str, str], how: str) -> DataFrame:
-    """Both tables side by side as structs `m` and `g`; keys map engine to golden names."""
-    m = engine.select(
-        *[F.col(f"`{e}`").alias(f"k{i}m") for i, e in enumerate(keys)], F.struct("*").alias("m")
-    )
-    g = golden.select(
-        *[F.col(f"`{n}`").alias(f"k{i}g") for i, n in enumerate(keys.values())],
-        F.struct("*").alias("g"),
-    )
+def _paired(
+    engine: DataFrame, golden: DataFrame, keys: Mapping[str, str], pairs: Mapping[str, str], how: str
+) -> DataFrame:
+    """Keys and compared columns of both tables side by side as structs `m` and `g`; `keys` and
+    `pairs` map engine to golden names. No other column goes through the join."""
+
+    def side(frame: DataFrame, names: Mapping[str, str], mark: str, others: Iterable[str]) -> DataFrame:
+        kept = dict.fromkeys([*names, *others])
+        return frame.select(
+            *[F.col(f"`{n}`").alias(f"k{i}{mark}") for i, n in enumerate(names)],
+            F.struct(*[F.col(f"`{c}`") for c in kept]).alias(mark),
+        )
+
+    m = side(engine, dict.fromkeys(keys), "m", pairs)
+    g = side(golden, dict.fromkeys(keys.values()), "g", pairs.values())
     match = F.lit(True)
     for i in range(len(keys)):
         match = match & F.col(f"k{i}g").eqNullSafe(F.col(f"k{i}m"))
@@ -43,7 +49,7 @@ def parity_mismatch(
     same = F.lit(True)
     for mine, theirs in pairs.items():
         same = same & _equal(F.col(f"m.`{mine}`"), F.col(f"g.`{theirs}`"), tolerance)
-    joined = _paired(engine, golden, keys, "left").filter(~same)
+    joined = _paired(engine, golden, keys, pairs, "left").filter(~same)
     return joined.select(
         *[F.col(f"g.`{k}`").alias(k) for k in keys.values()],
         *[F.col(f"m.`{mine}`").alias(f"motor_{mine}") for mine in pairs],
@@ -71,7 +77,7 @@ def shadow_compare(
     gap = F.abs(
         F.coalesce(a.try_cast("double"), zero) - F.coalesce(b.try_cast("double"), zero)
     )
-    return _paired(engine, official, keys, "full").select(
+    return _paired(engine, official, keys, value, "full").select(
         *[
             F.coalesce(F.col(f"g.`{theirs_key}`"), F.col(f"m.`{mine_key}`")).alias(theirs_key)
             for mine_key, theirs_key in keys.items()

@@ -130,10 +130,15 @@ def suggestion_page(
 
 
 def kpis(rows: DataFrame, f: Filters, params: Params) -> DataFrame:
+    """Totals and counts of products and suppliers. Rows are summed per product and supplier first,
+    so the two distinct counts expand those sums, not the rows."""
     zero = F.lit(0.0)
-    return filter_suggestions(rows, f, params).agg(
-        F.coalesce(F.sum("total_sugerido_suc"), zero).alias("total_sugerido"),
-        F.coalesce(F.sum("total_valor_sugerido_clp"), zero).alias("valor_total_clp"),
+    sums = filter_suggestions(rows, f, params).groupBy("producto", "proveedor").agg(
+        F.sum("total_sugerido_suc").alias("total"), F.sum("total_valor_sugerido_clp").alias("valor")
+    )
+    return sums.agg(
+        F.coalesce(F.sum("total"), zero).alias("total_sugerido"),
+        F.coalesce(F.sum("valor"), zero).alias("valor_total_clp"),
         F.countDistinct("producto").alias("n_productos"),
         F.countDistinct("proveedor").alias("n_proveedores"),
     )
@@ -158,7 +163,8 @@ def grouped(rows: DataFrame, f: Filters, by: str, params: Params, n: int = 15) -
 
 
 def ranking(rows: DataFrame, by: str, params: Params, n: int = 10, vista: str = "todas") -> DataFrame:
-    return grouped(rows, Filters(vista=vista), by, params, max(1, min(n or 10, 50)))
+    """The `n` groups asked for, of one view."""
+    return grouped(rows, Filters(vista=vista), by, params, n)
 
 
 def summary(

@@ -25,8 +25,9 @@ from reabasto.params import Params
 
 
 def expire_at(day: Column, params: Params) -> Column:
-    """Start of the next day in the business zone, as UTC."""
-    return F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), params.business_zone)
+    """Start of the next day in the business zone, as UTC wall time, whatever zone the session has."""
+    begins = F.date_add(day, 1).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(params.business_zone), F.lit("UTC"), begins)
 
 
 def expiry_accepted(day: Column, today: date, params: Params) -> Column:
@@ -150,21 +151,24 @@ def single_entries(manual: DataFrame) -> DataFrame:
 
 
 def active_entries(
-    manual: DataFrame, now: datetime, product: str | None = None, branch: str | None = None, n: int = 50
+    manual: DataFrame, now: datetime, product: str | None = None, branch: str | None = None, n: int | None = None
 ) -> DataFrame:
-    """Manual entries in force for a product or branch, the first `n`, newest first."""
-    return list_manual(manual.filter(is_active(now)), product, branch).limit(n)
+    """Manual entries in force for a product or branch, newest first; all, or the first `n` asked for."""
+    kept = list_manual(manual.filter(is_active(now)), product, branch)
+    return kept if n is None else kept.limit(n)
 
 
 def active_rules(
-    rules: DataFrame, product: str | None = None, branch: str | None = None, n: int = 50
+    rules: DataFrame, product: str | None = None, branch: str | None = None, n: int | None = None
 ) -> DataFrame:
+    """Active rules by id; all, or the first `n` asked for."""
     kept = rules.filter(is_true(F.col("activa")))
     if product:
         kept = kept.filter(F.col("producto") == product)
     if branch:
         kept = kept.filter(F.col("sucursal_id") == branch)
-    return kept.orderBy("id").limit(n)
+    kept = kept.orderBy("id")
+    return kept if n is None else kept.limit(n)
 
 
 def due_rules(rules: DataFrame, today: date) -> DataFrame:
@@ -396,16 +400,11 @@ def readers(text: Column) -> Column:
 def notifications(
     events: DataFrame, user: str, only_unread: bool = False, limit: int = 50
 ) -> DataFrame:
-    """Newest notifications with `leida`. Unread ones are picked among three times `limit`
-    of the newest, so fewer than `limit` may come back: the published behaviour."""
-    newest = events.orderBy(F.col("creado_en").desc(), F.col("id").desc())
-    marked = newest.limit(limit * 3 if only_unread else limit).withColumn(
-        "leida", F.array_contains(readers(F.col("vistas_por")), user)
-    )
-    if not only_unread:
-        return marked
-    unread = marked.filter(~F.col("leida"))
-    return unread.orderBy(F.col("creado_en").desc(), F.col("id").desc()).limit(limit)
+    """The newest `limit` notifications with `leida`, of all or of the unread ones."""
+    marked = events.withColumn("leida", F.array_contains(readers(F.col("vistas_por")), user))
+    if only_unread:
+        marked = marked.filter(~F.col("leida"))
+    return marked.orderBy(F.col("creado_en").desc(), F.col("id").desc()).limit(limit)
 
 
 def unread_count(events: DataFrame, user: str) -> DataFrame:

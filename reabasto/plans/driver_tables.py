@@ -257,19 +257,17 @@ def tracking(spark: SparkSession, sf_dir: str, mode: str = "base") -> DataFrame:
 
 
 def _stock_rows(spark: SparkSession, sf_dir: str, kept: Column) -> DataFrame:
-    return (
-        lines(spark, sf_dir)
-        .filter((F.col("l_linenumber") == 5) & kept)
-        .select("Producto", F.col("n_name").alias("SucursalID"), F.col("l_quantity").cast("long").alias("Stock"))
-    )
+    """Every order line is a stock line of one of the two companies, most of them of nothing."""
+    held = F.greatest(F.col("l_quantity") - 46, F.lit(0)).cast("long")
+    return lines(spark, sf_dir).filter(kept).select("Producto", F.col("n_name").alias("SucursalID"), held.alias("Stock"))
 
 
 def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stock_rows(spark, sf_dir, (F.col("l_tax") > 0.07) & (F.col("l_discount") > 0.04))
+    return _stock_rows(spark, sf_dir, F.col("l_orderkey") % 4 != 0)
 
 
 def stock_border(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stock_rows(spark, sf_dir, (F.col("l_tax") < 0.01) & (F.col("l_discount") < 0.02))
+    return _stock_rows(spark, sf_dir, F.col("l_orderkey") % 4 == 0)
 
 
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +401,6 @@ def serving_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unified_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines(spark, sf_dir)
-        .filter("l_linenumber = 5")
         .groupBy(
             F.col("Producto").alias("producto"),
             F.concat(F.lit("B"), (F.col("l_orderkey") % 3).cast("string")).alias("bodega"),
@@ -580,28 +577,8 @@ def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales lines as four report files: title rows, a header row in another column order in
-    each, and one file whose header lacks a required column."""
-    file_of = lambda key: F.concat(F.lit("informe_"), (key % 4).cast("string"))
-    titles = table(spark, sf_dir, "nation").select(
-        file_of(F.col("n_nationkey")).alias("archivo"),
-        F.floor(F.col("n_nationkey") / 4).alias("fila"),
-        F.array(F.col("n_name"), *[F.lit(None).cast("string")] * 8).alias("celdas"),
-    )
-    layouts = [
-        ["Producto", "SUCURSAL", "Tipo-Venta", "Fecha", "Cantidad", "tipoDocto", "Tipo Producto", "tipoproducto", "x"],
-        ["TIPOPRODUCTO", "tipo docto", "Cantidad ", "FECHA", "Tipo Venta", "Sucursal", "Código", "producto", "x"],
-        ["Fecha", "Cantidad", "tipoproducto", "tipoDocto", "Producto", "Producto", "x", "SUCURSAL", "Tipo-Venta"],
-        ["Fecha", "Cantidad", "tipoproducto", "x", "Producto", "y", "z", "SUCURSAL", "Tipo-Venta"],
-    ]
-    header = F.lit(None)
-    for i, names in enumerate(layouts):
-        header = F.when(F.col("r_regionkey") == i, F.array(*[F.lit(n) for n in names])).otherwise(header)
-    headers = (
-        table(spark, sf_dir, "region")
-        .filter("r_regionkey < 4")
-        .select(file_of(F.col("r_regionkey")).alias("archivo"), F.lit(9).cast("long").alias("fila"), header.alias("celdas"))
-    )
+    """Sales lines as four report files: title rows, then a header row in another column order in
+    each, in the last one far down."""
     number = F.col("l_linenumber")
     day = (
         F.when(number % 3 == 0, F.date_format("l_shipdate", "dd/MM/yyyy"))
@@ -618,12 +595,45 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_suppkey") % 4 == 0, F.array(code, branch, sale, day, quantity, document, noise, kind, none))
         .when(F.col("l_suppkey") % 4 == 1, F.array(kind, document, quantity, day, sale, branch, noise, code, none))
         .when(F.col("l_suppkey") % 4 == 2, F.array(day, quantity, kind, document, code, noise, none, branch, sale))
-        .otherwise(F.array(day, quantity, kind, none, code, none, none, branch, sale))
+        .otherwise(F.array(day, quantity, kind, document, code, none, none, branch, sale))
     )
     data = lines(spark, sf_dir).select(
-        file_of(F.col("l_suppkey")).alias("archivo"), (F.col("l_orderkey") + 100).alias("fila"), cells.alias("celdas")
+        _report_file(F.col("l_suppkey")).alias("archivo"), (F.col("l_orderkey") + 100).alias("fila"), cells.alias("celdas")
+    )
+    return report_tops(spark, sf_dir, 4).unionByName(data)
+
+
+def _report_file(key: Column) -> Column:
+    return F.concat(F.lit("informe_"), (key % 4).cast("string"))
+
+
+def report_tops(spark: SparkSession, sf_dir: str, headed: int) -> DataFrame:
+    """The rows above the data of the report files: titles, and the headers of the first `headed` files."""
+    file_of = _report_file
+    titles = table(spark, sf_dir, "nation").select(
+        file_of(F.col("n_nationkey")).alias("archivo"),
+        F.floor(F.col("n_nationkey") / 4).alias("fila"),
+        F.array(F.col("n_name"), *[F.lit(None).cast("string")] * 8).alias("celdas"),
+    )
+    layouts = [
+        ["Producto", "SUCURSAL", "Tipo-Venta", "Fecha", "Cantidad", "tipoDocto", "Tipo Producto", "tipoproducto", "x"],
+        ["TIPOPRODUCTO", "tipo docto", "Cantidad ", "FECHA", "Tipo Venta", "Sucursal", "Código", "producto", "x"],
+        ["Fecha", "Cantidad", "tipoproducto", "tipoDocto", "Producto", "Producto", "x", "SUCURSAL", "Tipo-Venta"],
+        ["Fecha", "Cantidad", "tipoproducto", "TIPO DOCTO", "Producto", "y", "z", "SUCURSAL", "Tipo-Venta"],
+    ]
+    header = F.lit(None)
+    for i, names in enumerate(layouts):
+        header = F.when(F.col("r_regionkey") == i, F.array(*[F.lit(n) for n in names])).otherwise(header)
+    headers = (
+        table(spark, sf_dir, "region")
+        .filter(F.col("r_regionkey") < headed)
+        .select(
+            file_of(F.col("r_regionkey")).alias("archivo"),
+            F.when(F.col("r_regionkey") == 3, 60).otherwise(9).cast("long").alias("fila"),
+            header.alias("celdas"),
+        )
     )
-    return titles.unionByName(headers).unionByName(data)
+    return titles.unionByName(headers)
 
 
 def upload_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

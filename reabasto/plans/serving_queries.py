@@ -68,7 +68,7 @@ def sales_report(spark, d):
 @query
 def report_without_header(spark, d):
     return grid.files_without_header(
-        D.report_grid(spark, d), V.REPORT_SALES, ["Producto", "Cantidad", "tipoDocto", "tipoproducto"]
+        D.report_tops(spark, d, 3), {k: v for k, v in V.REPORT_SALES.items() if k not in ("Empresa", "Descripcion Producto")}, ["Producto", "Cantidad", "tipoDocto", "tipoproducto"]
     )
 
 
@@ -85,7 +85,7 @@ def upload_ignored(spark, d):
 
 @query
 def stock_by_branch_map(spark, d):
-    raw = D.lines(spark, d).filter("l_linenumber = 5").select(
+    raw = D.lines(spark, d).select(
         F.when(F.col("l_partkey") % 50 != 0, F.col("Producto")).alias("Producto"),
         F.concat(F.lit("Bodega "), F.col("s_nationkey").cast("string")).alias("Bodega"),
         F.when(F.col("l_tax") > 0, F.col("l_quantity").cast("string")).otherwise("s/i").alias("Stock"),
@@ -97,7 +97,7 @@ def stock_by_branch_map(spark, d):
 @query
 def border_extract(spark, d):
     orders = D.table(spark, d, "orders")
-    number, docs = F.col("o_orderkey"), sales.EXTRACT_DOCUMENTS
+    number, docs = F.col("o_orderkey"), V.EXTRACT_DOCUMENTS
     pick = F.lit("OTRO")
     for i, name in enumerate(docs):
         pick = F.when(number % 9 == i, name).otherwise(pick)
@@ -144,7 +144,7 @@ def border_extract(spark, d):
 @query
 def national_extract(spark, d):
     raw = D.raw_tracking(spark, d).filter("origen = 0")
-    wide = raw.select(*[F.col(c).alias(h) for c, h in tracking.NATIONAL_COLUMNS.items()], F.lit(1).alias("Otra"))
+    wide = raw.select(*[F.col(c).alias(h) for c, h in V.REPORT_TRACKING_NATIONAL.items()], F.lit(1).alias("Otra"))
     return tracking.national_tracking_extract(wide)
 
 

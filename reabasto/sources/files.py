@@ -109,12 +109,6 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
 
 
-def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolon UTF-8 catalogue, all text, with the row position in `fila`."""
-    raw = spark.read.options(header=True, sep=";").csv(path)
-    return raw.withColumn("fila", F.monotonically_increasing_id())
-
-
 def read_extract(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
     """Rows handed over by the BI extract, JSON lines or CSV."""
     if fmt == "csv":

@@ -13,35 +13,24 @@ from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
 from reabasto.functions import text as T
-from reabasto.functions.columns import any_of, broadcast_if_few, map_value
+from reabasto.functions.columns import any_of, map_value
 
-HEADER_SCAN_ROWS = 40
 # Spark numbers rows from this multiple of the task's number on.
 ROWS_PER_TASK = 1 << 33
 
 
 def grid_from_csv(spark: SparkSession, paths: list[str], width: int, sep: str = ",") -> DataFrame:
-    """Grid of delimited files. In the first split of a file, where the header lies, `fila`
-    is the row's position; in later ones it only has to be larger, so it starts at their
-    byte offset and no row needs the count of the rows before it."""
+    """Grid of delimited files. `fila` grows down a file: in its first split it counts the rows
+    of the task so far, which are fewer than a split has bytes; later splits begin at their
+    byte offset, so no row needs the count of the rows before it."""
     schema = ", ".join(f"c{i} string" for i in range(width))
     raw = spark.read.options(header=False, sep=sep).schema(schema).csv(paths)
-    cells = raw.select(
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_PER_TASK - 1))
+    return raw.select(
         F.col("_metadata.file_path").alias("archivo"),
-        F.col("_metadata.file_block_start").alias("desde"),
-        F.monotonically_increasing_id().alias("orden"),
+        (F.col("_metadata.file_block_start") + within).alias("fila"),
         F.array(*raw.columns).alias("celdas"),
     )
-    # One row per file: the running id its first split starts at.
-    base = cells.groupBy("archivo").agg(F.min(F.when(F.col("desde") == 0, F.col("orden"))).alias("base"))
-    within = F.col("orden").bitwiseAND(F.lit(ROWS_PER_TASK - 1))
-    return cells.join(broadcast_if_few(base), "archivo").select(
-        "archivo",
-        F.when(F.col("desde") == 0, F.col("orden") - F.col("base"))
-        .otherwise(F.col("desde") + within)
-        .alias("fila"),
-        "celdas",
-    )
 
 
 def _position(cells: Column, name: str) -> Column:
@@ -58,7 +47,7 @@ def find_headers(
 ) -> DataFrame:
     """One row per file: where the header row is and the place of each wanted column."""
     wanted = list(required) if required is not None else list(columns)
-    top = grid.filter(F.col("fila") < HEADER_SCAN_ROWS).select(
+    placed = grid.select(
         "archivo",
         "fila",
         F.struct(*[_position(F.col("celdas"), src).alias(dst) for dst, src in columns.items()]).alias(
@@ -69,7 +58,7 @@ def find_headers(
     for dst in wanted:
         complete = complete & F.col(f"lugar.`{dst}`").isNotNull()
     return (
-        top.filter(complete)
+        placed.filter(complete)
         .groupBy("archivo")
         .agg(F.min(F.struct("fila", "lugar")).alias("cabecera"))
         .select("archivo", F.col("cabecera.fila").alias("fila_cabecera"), "cabecera.lugar")
@@ -81,13 +70,18 @@ def read_report(
 ) -> DataFrame:
     """Wanted columns of every file as trimmed text; rows with none of them are dropped.
 
-    The header places, one row per file, are counted before they are broadcast, so a file
-    that holds a third of all rows is not gathered by its name.
-
-    Files without a recognisable header give no rows; `files_without_header` lists them.
+    The header is the first row, at any depth, that names all required columns. It is one row
+    per file, found on the map side, so the adaptive join sees how small it is. A file without one stops the read
+    with its name and the columns asked for; `files_without_header` lists such files.
     """
-    headers = broadcast_if_few(find_headers(grid, columns, required))
-    rows = grid.join(headers, "archivo").filter(F.col("fila") > F.col("fila_cabecera"))
+    wanted = list(required) if required is not None else list(columns)
+    headers = find_headers(grid, columns, wanted)
+    names = ", ".join(sorted(columns[c] for c in wanted))
+    lost = F.raise_error(
+        F.concat(F.lit("no header row in "), F.col("archivo"), F.lit(f"; it needs the columns {names}"))
+    )
+    begins = F.coalesce(F.col("fila_cabecera"), lost.cast("long"))
+    rows = grid.join(headers, "archivo", "left").filter(F.col("fila") > begins)
     values = [
         F.trim(F.get(F.col("celdas"), (F.col(f"lugar.`{dst}`") - 1).cast("int"))).alias(dst)
         for dst in columns
@@ -106,11 +100,13 @@ def files_without_header(
 
 
 def _upload_fields(grid: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
-    """One row per file: field of each header cell (null where no alias matches)."""
-    return grid.filter(F.col("fila") == 0).select(
+    """One row per file: its first row, and the field of each cell there (null without an alias)."""
+    first = grid.groupBy("archivo").agg(F.min(F.struct("fila", "celdas")).alias("cabecera"))
+    return first.select(
         "archivo",
-        F.transform("celdas", lambda c: map_value(T.label_upload(c), aliases)).alias("campos"),
-        F.col("celdas").alias("titulos"),
+        F.col("cabecera.fila").alias("fila_cabecera"),
+        F.transform("cabecera.celdas", lambda c: map_value(T.label_upload(c), aliases)).alias("campos"),
+        F.col("cabecera.celdas").alias("titulos"),
     )
 
 
@@ -125,13 +121,13 @@ def _typed(value: Column, name: str) -> Column:
 
 
 def conform_uploads(grid: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
-    """Many uploads to one typed frame, one column per known field.
+    """Many uploads to one typed frame, one column per known field; the first row of a file is its header.
 
     When two headers of a file mean the same field the one further right wins.
     """
     fields = list(dict.fromkeys(aliases.values()))
-    places = broadcast_if_few(_upload_fields(grid, aliases).drop("titulos"))
-    rows = grid.filter(F.col("fila") > 0).join(places, "archivo")
+    places = _upload_fields(grid, aliases).drop("titulos")
+    rows = grid.join(places, "archivo").filter(F.col("fila") > F.col("fila_cabecera"))
 
     def cell(name: str) -> Column:
         from_right = F.array_position(F.reverse("campos"), F.lit(name))

@@ -100,94 +100,28 @@ def union_sales(*frames: DataFrame | None) -> DataFrame:
 
 
 def select_sales_years(sales: DataFrame, closed_month: date, params: Params) -> DataFrame:
-    """Only the months the engine looks at: both a plain predicate on the day (pushed to
-    the files) and, where the table is split by `anio`, one on the partition."""
-    kept = sales.filter(
-        F.col("Fecha") >= F.lit(first_day(window_start(closed_month, params.window_long)))
-    )
+    """The calendar years that hold the months the engine looks at: a plain predicate on the day
+    (pushed to the files) and, where the table is split by `anio`, one on the partition."""
+    first = first_day(window_start(closed_month, params.window_long)).year
+    years = range(min(first, closed_month.year - 1), closed_month.year + 1)
+    kept = sales.filter(F.col("Fecha") >= F.lit(date(years[0], 1, 1)))
     if "anio" in sales.columns:
-        kept = kept.filter(F.col("anio").isin(closed_month.year - 1, closed_month.year))
+        kept = kept.filter(F.col("anio").isin(*years))
     return kept
 
 
-def main_sales_extract(table: DataFrame, company: str, since: date) -> DataFrame:
-    return table.filter((F.col("Empresa") == company) & (F.col("Fecha") >= F.lit(since)))
-
-
-# Fixed values of the border extract, in the order in which they are tried.
-SERIES_PATTERNS = (
-    ("            %", "MESON"),
-    ("%NKR%", "SERIE N"),
-    ("%NPR%", "SERIE N"),
-    ("%NQR%", "SERIE N"),
-    ("%FRR%", "SERIE F"),
-    ("%FTR%", "SERIE F"),
-    ("%FVR%", "SERIE F"),
-    ("%DMAX%", "LIVIANOS"),
-    ("%COLORADO%", "LIVIANOS"),
-)
-SERIES_OTHER = "OTROS"
-LUBRICANT_CODES = ("2723982", "2722295", "2722260", "2723053", "2722278", "2722289")
-EXTRACT_BRANCHES = {
-    "CASA MATRIZ": "01 LA FLORIDA",
-    "SUC010": "01 LA FLORIDA",
-    "LO BLANCO": "01 LO BLANCO",
-    "SUC110": "01 LO BLANCO",
-    "LINDEROS": "02 LINDEROS",
-    "SUC070": "02 LINDEROS",
-    "PLACILLA": "03 PLACILLA",
-    "SUC120": "03 PLACILLA",
-    "COQUIMBO": "04 COQUIMBO",
-    "SUC040": "04 COQUIMBO",
-    "RANCAGUA": "05 RANCAGUA",
-    "SUC130": "05 RANCAGUA",
-    "RANCAGUA2": "06 RANCAGUA2",
-    "SUC190": "06 RANCAGUA2",
-    "CURICO": "07 CURICO",
-    "SUC050": "07 CURICO",
-    "TALCA": "08 TALCA",
-    "SUC150": "08 TALCA",
-    "CHILLAN": "09 CHILLAN",
-    "SUC020": "09 CHILLAN",
-    "CHILLAN VIEJO": "10 CHILLAN VIEJO",
-    "SUC030": "10 CHILLAN VIEJO",
-    "SAN FERNANDO": "11 SAN FERNANDO",
-    "SUC140": "11 SAN FERNANDO",
-    "DIEZ DE JULIO": "12 DIEZ DE JULIO",
-    "SUC060": "12 DIEZ DE JULIO",
-}
-EXTRACT_BRANCH_OTHER = "99 Ver Sucursal"
-CREDIT_DOCUMENT = "NOTA CREDITO ST"
-EXTRACT_DOCUMENTS = (
-    "FACTURA REPUESTOS (E)",
-    "FACTURA ST",
-    "CARGO INTERNO",
-    "CARGO GARANTIA",
-    "NOTA CREDITO ST",
-    "REFACTURACION ST",
-    "REFACTURACION C/RS",
-)
-ISSUABLE_DOCUMENTS = (
-    "FACTURA ST",
-    "FACTURA REPUESTOS (E)",
-    "NOTA CREDITO ST",
-    "REFACTURACION ST",
-    "REFACTURACION C/RS",
-)
-
-
 def _series(model: Column) -> Column:
     pick = None
-    for pattern, name in SERIES_PATTERNS:
+    for pattern, name in V.SERIES_PATTERNS:
         hit = model.like(pattern)
         pick = F.when(hit, name) if pick is None else pick.when(hit, name)
-    return pick.otherwise(SERIES_OTHER)
+    return pick.otherwise(V.SERIES_OTHER)
 
 
 def _product_kind(kind: Column, product: Column) -> Column:
     part = kind == "REPUESTO"
     return (
-        F.when(part & product.isin(*LUBRICANT_CODES), "LUBRICANTE")
+        F.when(part & product.isin(*V.LUBRICANT_CODES), "LUBRICANTE")
         .when(part, "REPUESTOS")
         .when(kind == "MO_TERC", "SERV. 3ro")
         .when((kind == "INTERNO") & product.like("AJUSTE ST"), "MECANICA")
@@ -211,7 +145,7 @@ def border_sales_extract(
     """
     head = documents.filter(
         (F.col("empresa") == company)
-        & F.col("tipodocto").isin(*EXTRACT_DOCUMENTS)
+        & F.col("tipodocto").isin(*V.EXTRACT_DOCUMENTS)
         & F.col("fecha").between(F.lit(since), F.lit(until))
         & (F.col("vigencia") != "A")
     )
@@ -221,8 +155,8 @@ def border_sales_extract(
         .join(products.filter(F.col("empresa") == company), ["empresa", "producto"])
     )
     document = F.col("tipodocto")
-    sign = F.when(document == CREDIT_DOCUMENT, -1).when(document.isin(*EXTRACT_DOCUMENTS), 1)
-    pending = document.isin(*ISSUABLE_DOCUMENTS) & (F.col("emitido") == "N")
+    sign = F.when(document == V.CREDIT_DOCUMENT, -1).when(document.isin(*V.EXTRACT_DOCUMENTS), 1)
+    pending = document.isin(*V.ISSUABLE_DOCUMENTS) & (F.col("emitido") == "N")
     return joined.select(
         F.col("periodolibro").alias("Periodo"),
         document.alias("Documento"),
@@ -241,7 +175,7 @@ def border_sales_extract(
         "tipoproducto",
         _series(F.col("modelo")).alias("SERIE UNIDAD"),
         _product_kind(F.col("tipoproducto"), F.col("producto")).alias("TIPO PRODUCTO"),
-        map_value(F.col("local"), EXTRACT_BRANCHES, F.lit(EXTRACT_BRANCH_OTHER)).alias("SUCURSAL"),
+        map_value(F.col("local"), V.EXTRACT_BRANCHES, F.lit(V.EXTRACT_BRANCH_OTHER)).alias("SUCURSAL"),
         (F.col("costo") * sign).alias("Costo Neto"),
         (F.col("total") * sign).alias("Total Neta"),
         F.when(pending, "Emision Pendiente").otherwise("Emitido").alias("Docto-Emitido"),

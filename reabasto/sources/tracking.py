@@ -26,20 +26,6 @@ TYPES = {
     "NOC": "long",
     "Cantidad": "long",
 }
-# Header of the national tracking table for each field.
-NATIONAL_COLUMNS = {
-    "Producto": "Producto",
-    "Sucursal": "Sucursal",
-    "RazonSocial": "Razón Social Proveedor",
-    "Motivo": "Motivo Compra",
-    "FechaOC": "Fecha Orden de Compra",
-    "NOC": "N° Orden de Compra",
-    "Cantidad": "Cantidad",
-    "EstadoOC": "Estado Orden de Compra",
-    "EstadoDoc": "Estado Documento Base",
-    "FechaDoc": "Fecha Documento Base",
-    "FechaPE": "Fecha Documento P/E",
-}
 
 
 def read_tracking(grid: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -65,7 +51,7 @@ def read_tracking_border(grid: DataFrame) -> DataFrame:
 
 def national_tracking_extract(table: DataFrame) -> DataFrame:
     """The eleven wanted columns of the wide national table."""
-    return table.select(*[F.col(f"`{src}`").alias(dst) for dst, src in NATIONAL_COLUMNS.items()])
+    return table.select(*[F.col(f"`{src}`").alias(dst) for dst, src in V.REPORT_TRACKING_NATIONAL.items()])
 
 
 def normalize_tracking(

@@ -10,10 +10,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from oracles import engine, serving
 
 FOLDER = os.environ.get("REABASTO_TEST_TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-ANSWERS = entry.oracle_sql()
+ANSWERS = {**engine.oracles(), **serving.oracles()}
 # Steps of the calculation whose columns the `contract` answer holds too.
 INSIDE_CONTRACT = {
     "buy_at_cd", "cd_sources", "cd_synthetic", "company_flag", "cost_value", "deduced_supplier",

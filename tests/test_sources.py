@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
+from reabasto.functions import text
 from reabasto.sources import catalogue, files, freshness, grid, postsale, sales, stock, tracking
 
 DAY = date(2026, 1, 1)
@@ -81,10 +82,18 @@ def test_header_rules(spark, rows):
     wanted = {"tipo": "tipoproducto", "NOC": "N° Orden de Compra", "falta": "Motivo Compra"}
     grids = report(spark, "literal", ["Tipo Producto", "tipoproducto", "N Orden de Compra"], [["CAMION", "REPUESTO", "7"], [None, None, None]])
     grids += report(spark, "primera", ["TIPO PRODUCTO", "Tipoproducto", "n° orden de compra"], [["a", "b", " 8 "]], before=39)
-    grids += report(spark, "tarde", ["tipoproducto", "N Orden de Compra"], [["x", "y"]], before=40)
+    grids += report(spark, "tarde", ["tipoproducto", "N Orden de Compra"], [["x", "y"]], before=60)
     df = spark.createDataFrame(grids, GRID)
-    assert rows(grid.read_report(df, wanted, ["tipo", "NOC"])) == [("REPUESTO", "7", None), ("a", "8", None)]
-    assert rows(grid.files_without_header(df, wanted, ["tipo", "NOC"])) == [("tarde",)]
+    assert rows(grid.read_report(df, wanted, ["tipo", "NOC"])) == [("REPUESTO", "7", None), ("a", "8", None), ("x", "y", None)]
+    lost = spark.createDataFrame(grids + report(spark, "sin", ["tipoproducto", "otra"], [["x", "y"]]), GRID)
+    assert rows(grid.files_without_header(lost, wanted, ["tipo", "NOC"])) == [("sin",)]
+    with pytest.raises(Exception, match="no header row in sin.*Orden de Compra"):
+        grid.read_report(lost, wanted, ["tipo", "NOC"]).collect()
+
+
+def test_accents_of_any_letter(spark, rows):
+    df = spark.createDataFrame([("Č Ź-ś ō ñ Ú º ế e\u0301",)], "t string")
+    assert rows(df.select(text.label_compact(F.col("t")))) == [("czsonuoee",)]
 
 
 def test_grid_from_files(spark, tmp_path, rows):
