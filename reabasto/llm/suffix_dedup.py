@@ -5,12 +5,16 @@ array of the corpus would answer it, cut off at `length`. It is built by doublin
 ranked by their first bytes, then pairs (rank here, rank `offset` further on) are sorted and
 ranked again, at growing offsets, until a position is unique or its rank covers `length` bytes.
 
-Before that, positions that cannot repeat are set aside, losing none. Each string of `length` bytes
-is represented by the least hash among its parts of length/2 bytes; equal strings have the same.
-Neighbouring starts share that hash, so a document falls into runs of starts, about one in a hundred bytes:
-* a hash that occurs in one run only: nothing of the run repeats (unless the part repeats in it);
-* runs with equal hash and equal content: all of both repeats;
-* runs with equal hash and different content: these positions, one run per content, are doubled.
+Before that, positions whose answer is plain are set aside, losing none:
+
+* Each string of `length` bytes is represented by the least hash among its parts of length/2 bytes and
+  where the first such part begins; equal strings have the same. Neighbouring starts share it, so a
+  text falls into runs of starts, about one in a hundred bytes. A hash that occurs in one run only:
+  nothing of that run repeats. Runs with equal hash and content: all of both repeats.
+* Other runs are cut into cells of CELL starts, counted from the represented part. All strings of a cell
+  share a core: a core that occurs once means that none of them repeats. Cells with equal core and
+  content: all of both repeats.
+* What is left, cells with equal core and different content, one of each, is doubled.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from reabasto.llm.common import stage
 LENGTH = 400
 CHUNK = 1 << 21  # bytes that are hashed together
 SLICE = 1 << 23  # bytes of one text that are hashed together
+CELL = 16  # starts that are judged together where runs differ
 PLACE = 24  # bits of a position inside a range
+RANGES = 20  # bits of a range inside a task
 G1, G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -82,43 +88,63 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return make(BASE), make(INVERSE)
 
 
+class Contents:
+    """Hashes of any stretch of some bytes: a polynomial over the hashes of the eight bytes at each place."""
+
+    def __init__(self, eights: np.ndarray):
+        up, self.down = _powers(1 << max(16, int(len(eights)).bit_length()))
+        self.total = np.concatenate([[np.uint64(0)], np.cumsum(eights * up[: len(eights)], dtype=np.uint64)])
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """begin, end (excluded) of stretches of at least eight bytes."""
+        stop = end - 7
+        return _join((self.total[stop] - self.total[begin]) * self.down[begin], (stop - begin).astype(np.uint64))
+
+
 def runs_of(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts that share their least hash, in texts data[starts:ends].
+    """Runs of string starts that share their least hash and its first place, in texts data[starts:ends].
 
-    Returns arrays (text, first start, last start, least hash, content hash, whether a part repeats inside).
+    Returns arrays (text, first start, last start, place of the least part, least hash, content hash),
+    places counted from the beginning of the text.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     part = length // 2
     width = length - part + 1
-    eights, parts = part_hashes(raw, 8, part)
-    least = _sliding(parts, width, True)
     text = np.flatnonzero(ends - starts >= length)
-    counts = ends[text] - starts[text] - length + 1
     if not len(text):
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    eights, parts = part_hashes(raw, 8, part)
+    least = _sliding(parts, width, True)
+    counts = ends[text] - starts[text] - length + 1
     whose = np.repeat(text, counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + starts[whose]
     value = least[at]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (whose[1:] != whose[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    whose, value, begin, end = whose[first], value[first], at[first], at[last]
-    # content: a polynomial over the hashes of all eight bytes in it
-    up, down = _powers(1 << max(16, int(len(eights)).bit_length()))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(eights * up[: len(eights)], dtype=np.uint64)])
-    stop = end + length - 7
-    content = _join((total[stop] - total[begin]) * down[begin], (stop - begin).astype(np.uint64))
-    # parts that hold a least hash: does a run see its own more than once?
-    seen = np.flatnonzero(parts[width - 1 : len(parts) - width + 1] == _sliding(least, width, False)[: max(0, len(parts) - 2 * width + 2)]) + width - 1
-    edge = np.concatenate([np.arange(min(width - 1, len(parts))), np.arange(max(0, len(parts) - width + 1), len(parts))])
-    seen = np.union1d(seen, edge)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at)) - 1
+    whose, value, begin, end = whose[head], value[head], at[head], at[tail]
+    # parts that are the least of some string, and those at the edges of the data
+    edge = min(width - 1, len(parts))
+    far = max(edge, len(parts) - width + 1)
+    inner = np.flatnonzero(parts[edge:far] == _sliding(least, width, False)) if far > edge else np.zeros(0, dtype=np.int64)
+    seen = np.concatenate([np.arange(edge), inner + edge, np.arange(far, len(parts))])
     low, high = np.searchsorted(seen, begin), np.searchsorted(seen, end + width - 1, side="right")
     number = high - low
     run = np.repeat(np.arange(len(begin)), number)
-    place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low, number)
-    held = np.bincount(run[parts[seen[place]] == value[run]], minlength=len(begin))
-    return whose, begin - starts[whose], end - starts[whose], value.view(np.int64), content.view(np.int64), held > 1
+    place = seen[np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low, number)]
+    own = parts[place] == value[run]
+    run, place = run[own], place[own]
+    # a run ends where its part does: the strings from there on have the next one as their first
+    fresh = np.ones(len(run), dtype=bool)
+    fresh[1:] = run[1:] != run[:-1]
+    first = np.where(fresh, begin[run], np.append(0, place[:-1]) + 1)
+    last = np.minimum(place, end[run])
+    some = first <= last
+    run, place, first, last = run[some], place[some], first[some], last[some]
+    content = Contents(eights)(first, last + length)
+    base = starts[whose[run]]
+    return whose[run], first - base, last - base, place - base, value[run].view(np.int64), content.view(np.int64)
 
 
 def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,62 +170,137 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray
         yield joined()
 
 
-RUN = "_key string, first int, last int, least long, content long, again boolean"
+RUN = "_key long, _size int, first int, last int, place int, least long, content long"
+SPAN = "_key long, _size int, first int, last int"
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _runs(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["_key"].to_numpy()
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch["_text"]]
+            keys, sizes = batch["_key"].to_numpy(), batch["_size"].to_numpy()
+            texts = [_bytes(t) for t in batch["_text"]]
             for data, starts, ends, number, offset in _chunks(texts, length):
-                whose, first, last, least, content, again = runs_of(data, starts, ends, length)
+                whose, first, last, place, least, content = runs_of(data, starts, ends, length)
+                text, shift = number[whose], offset[whose]
                 yield pd.DataFrame(
-                    {"_key": keys[number[whose]], "first": first + offset[whose], "last": last + offset[whose], "least": least, "content": content, "again": again}
+                    {
+                        "_key": keys[text],
+                        "_size": sizes[text],
+                        "first": first + shift,
+                        "last": last + shift,
+                        "place": place + shift,
+                        "least": least,
+                        "content": content,
+                    }
                 )
 
     return run
 
 
-def _ranges(length: int, begin: int):
-    """Per text with open runs: its ranges of starts, each with a number, and the first pairs of names of their positions."""
-
-    def frame(parts: list[tuple]) -> pd.DataFrame:
-        keys, starts, bases, names = zip(*parts, strict=True)
-        sizes = [len(x) - begin for x in names]
-        first = np.cumsum(sizes) - sizes
-        heads = np.full(sum(sizes), None, dtype=object)
-        heads[first] = keys  # a range's first position tells whose it is
-        return pd.DataFrame(
-            {
-                "_key": heads,
-                "start": np.repeat(starts, sizes),
-                "at": np.repeat(bases, sizes) + np.arange(sum(sizes)) - np.repeat(first, sizes),
-                "left": np.concatenate([x[:-begin] for x in names]),
-                "right": np.concatenate([x[begin:] for x in names]),
-            }
-        )
+def _cells(length: int):
+    """Cells of the open runs of a text: spans of starts, hash of their core, hash of their content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, number, parts, size = TaskContext.get().partitionId() << 23, 0, [], 0
         for batch in batches:
-            for key, text, spans in zip(batch["_key"], batch["_text"], batch["_spans"], strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                for first, last in merged([(s["first"], s["last"]) for s in spans], 1):
-                    for at in range(first, last + 1, SLICE):
-                        until = min(last, at + SLICE - 1)
-                        names = part_hashes(data[at : until + length], begin)[0].view(np.int64)
-                        names = names[: until - at + 1 + length - begin]
-                        parts.append((key, at, (block + number) << PLACE, names))
-                        number += 1
-                        size += len(names)
-                        if size > CHUNK:
-                            yield frame(parts)
-                            parts, size = [], 0
+            for key, size, text, spans in zip(batch["_key"], batch["_size"], batch["_text"], batch["_spans"], strict=True):
+                data = np.frombuffer(_bytes(text), dtype=np.uint8)
+                for group in _near([(s["first"], s["last"], s["place"]) for s in spans], length):
+                    from_, until = group[0][0], max(g[1] for g in group) + length
+                    table = np.array(group, dtype=np.int64) - from_
+                    content = Contents(part_hashes(data[from_:until], 8)[0])
+                    lead, trail = (table[:, 2] - table[:, 1]) // CELL, (table[:, 2] - table[:, 0]) // CELL
+                    number = trail - lead + 1
+                    row = np.repeat(np.arange(len(table)), number)
+                    cell = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(lead, number)
+                    begin, end, place = table[row].T
+                    first = np.maximum(begin, place - cell * CELL - CELL + 1)
+                    last = np.minimum(end, place - cell * CELL)
+                    core = content(place - cell * CELL, place - cell * CELL - CELL + 1 + length)
+                    yield pd.DataFrame(
+                        {
+                            "_key": key,
+                            "_size": size,
+                            "first": first + from_,
+                            "last": last + from_,
+                            "least": _join(core, cell.astype(np.uint64)).view(np.int64),
+                            "content": content(first, last + length).view(np.int64),
+                        }
+                    )
+
+    return _gathered(run)
+
+
+def _near(spans: list[tuple], length: int) -> Iterator[list[tuple]]:
+    """Spans in order, in groups that lie close and fit into a slice."""
+    group: list[tuple] = []
+    for span in sorted(spans):
+        if group and (span[0] - group[-1][1] > length or span[1] - group[0][0] > SLICE):
+            yield group
+            group = []
+        group.append(span)
+    if group:
+        yield group
+
+
+def _gathered(run):
+    """The frames of `run`, united to about CHUNK rows."""
+
+    def wider(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
+        for part in run(batches):
+            parts.append(part)
+            size += len(part)
+            if size > CHUNK // 8 or len(parts) > 2000:
+                yield pd.concat(parts)
+                parts, size = [], 0
         if parts:
-            yield frame(parts)
+            yield pd.concat(parts)
 
-    return run
+    return wider
+
+
+def _offsets(length: int) -> list[int]:
+    """Offsets of the doubling, from ranks of length/4 bytes twice on."""
+    covered, found = 2 * (length // 4), []
+    while covered < length:
+        found.append(min(covered, length - covered))
+        covered += found[-1]
+    return found
+
+
+def _positions(length: int):
+    """Of the open cells of a text, the positions whose ranks are needed and the names of the two parts there.
+
+    Names are hashes of length/4 bytes. Positions are numbered by range (a slice of a text) and place; a range's first
+    row tells whose it is.
+    """
+    begin = length // 4
+    needed = np.zeros(1, dtype=np.int64)
+    for offset in _offsets(length):
+        needed = np.union1d(needed, needed + offset)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << RANGES
+        for batch in batches:
+            for key, size, text, spans in zip(batch["_key"], batch["_size"], batch["_text"], batch["_spans"], strict=True):
+                data = np.frombuffer(_bytes(text), dtype=np.uint8)
+                for group in _near([(s["first"], s["last"]) for s in spans], SLICE):
+                    from_, until = group[0][0], max(g[1] for g in group) + length
+                    names = part_hashes(data[from_:until], begin)[0].view(np.int64)
+                    starts = np.concatenate([np.arange(a, b + 1) for a, b in group]) - from_
+                    at = np.unique((starts[:, None] + needed).ravel())
+                    head = np.full(len(at), None, dtype=object)
+                    head[0] = key
+                    yield pd.DataFrame(
+                        {"_key": head, "_size": size, "start": from_, "at": (number << PLACE) + at, "left": names[at], "right": names[at + begin]}
+                    )
+                    number += 1
+
+    return _gathered(run)
 
 
 def merged(spans, gap: int = 0) -> list[tuple[int, int]]:
@@ -233,48 +334,63 @@ def _islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"low": at[np.append(0, cut)], "high": at[np.append(cut, len(at)) - 1]})
 
 
+def _alike(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of spans with two hashes: those whose content occurs again, and, where contents differ, one span of each content."""
+    place = F.struct(*[c for c in spans.columns if c not in ("least", "content")])
+    classes = spans.groupBy("least", "content").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    classes = stage(classes, "classes")
+    again = spans.join(classes.where("n > 1").select("least", "content"), ["least", "content"])
+    several = classes.groupBy("least").agg(F.count("*").alias("contents")).where("contents > 1")
+    return again.select("_key", "_size", "first", "last"), classes.join(several, "least").select("one.*")
+
+
+def _by_text(spans: DataFrame) -> DataFrame:
+    """Spans gathered per text; a text has no more of them than bytes."""
+    others = [c for c in spans.columns if c not in ("_key", "_size")]
+    return spans.groupBy("_key", "_size").agg(F.collect_list(F.struct(*others)).alias("_spans"))
+
+
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per text key: spans, a list of (first, last) starts of strings that also start elsewhere.
+    """Per text (_key, _size): spans, a list of (first, last) starts of strings that also start elsewhere.
 
-    texts: _key, _text (not null), rows with the same key have the same text. Texts without repeats give no row.
+    texts: _key, _size, _text (not null); the first two tell different texts apart. Texts without repeats give no row.
+    Everything is counted on the map side before it is shuffled and hot values meet in joins that Spark can split.
     """
-    if length < 32:
-        raise ValueError("strings of at least 32 bytes are asked for")
-    begin = length // 4
+    if length < 64:
+        raise ValueError("strings of at least 64 bytes are asked for")
+    on = ["_key", "_size"]
     runs = stage(texts.mapInPandas(_runs(length), RUN), "runs")
-    place = F.struct("_key", "first", "last")
-    classes = stage(
-        runs.groupBy("least", "content").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max("again").alias("again")), "classes"
-    )
-    hashes = classes.groupBy("least").agg(F.count("*").alias("contents"))
-    whole = runs.join(classes.where("n > 1").select("least", "content"), ["least", "content"]).select("_key", "first", "last")
-    opened = classes.join(hashes, "least").where("contents > 1 or (again and n = 1)").select("one.*")
-    per_text = opened.groupBy("_key").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    one_text = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
-    pairs = stage(
-        one_text.join(per_text, "_key").mapInPandas(_ranges(length, begin), "_key string, start int, at long, left long, right long"), "pairs"
-    )
-    ranges = pairs.where("_key is not null").select(F.shiftright("at", PLACE).alias("_range"), "_key", "start")
-    covered, ranked = 2 * begin, _reranked(pairs.select("at", "left", "right"))
-    while covered < length:
-        offset = min(covered, length - covered)
+    common = runs.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
+    shared = stage(runs.join(common, "least"), "shared")
+    whole, opened = _alike(shared)
+    one_text = texts.groupBy(*on).agg(F.first("_text").alias("_text"))
+    open_texts = stage(one_text.join(_by_text(opened), on), "texts")
+    cells = stage(open_texts.mapInPandas(_cells(length), SPAN + ", least long, content long"), "cells")
+    whole_cells, opened = _alike(cells)
+    left = open_texts.drop("_spans").join(_by_text(opened), on)
+    schema = "_key long, _size int, start int, at long, left long, right long"
+    pairs = stage(left.mapInPandas(_positions(length), schema), "pairs")
+    ranges = pairs.where("_key is not null").select(F.shiftright("at", PLACE).alias("_range"), "_key", "_size", "start")
+    ranked = _reranked(pairs.select("at", "left", "right"))
+    for offset in _offsets(length):
         ranked = stage(ranked, "ranks")
         later = ranked.select((F.col("at") - offset).alias("at"), F.col("rank").alias("right"))
         ranked = _reranked(ranked.withColumnRenamed("rank", "left").join(later, "at"))
-        covered += offset
-    found = ranked.select("at").repartition(F.shiftright("at", PLACE)).sortWithinPartitions("at").mapInPandas(_islands, "low long, high long")
-    low = F.col("low").bitwiseAND((1 << PLACE) - 1)
+    range_of = F.shiftright("at", PLACE)
+    found = ranked.select("at").repartition(range_of).sortWithinPartitions("at").mapInPandas(_islands, "low long, high long")
+    first = (F.col("start") + F.col("low").bitwiseAND((1 << PLACE) - 1)).cast("int")
     back = (
         found.withColumn("_range", F.shiftright("low", PLACE))
         .join(ranges, "_range")
-        .select("_key", (F.col("start") + low).cast("int").alias("first"), (F.col("start") + low + F.col("high") - F.col("low")).cast("int").alias("last"))
+        .select(*on, first.alias("first"), (first + F.col("high") - F.col("low")).cast("int").alias("last"))
     )
-    return whole.unionByName(back).distinct().groupBy("_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = whole.unionByName(whole_cells).unionByName(back).distinct()
+    return spans.groupBy(*on).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def cut(text: str, spans, length: int) -> tuple[bytes, int, int, int]:
     """What is left of a text without its repeated strings: bytes, bytes before, bytes removed, maximal removed runs."""
-    data = text.encode("utf-8", "surrogatepass")
+    data = _bytes(text)
     gone = merged([(s["first"], s["last"] + length - 1) for s in spans], 1)
     kept, at = [], 0
     for first, last in gone:
@@ -284,11 +400,12 @@ def cut(text: str, spans, length: int) -> tuple[bytes, int, int, int]:
     return left, len(data), len(data) - len(left), len(gone)
 
 
-def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"_doc.`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumn("_text", text).withColumn("_key", F.md5("_text"))
-    spans = repeats(rows.select("_key", "_text"), length)
-    return rows.join(spans, "_key", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumn("_text", text)
+    rows = rows.withColumns({"_key": F.xxhash64("_text"), "_size": F.octet_length("_text")})
+    spans = repeats(rows.select("_key", "_size", "_text"), length)
+    return rows.join(spans, ["_key", "_size"], "left")
 
 
 def measure(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +425,7 @@ def measure(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 [(n, gone, runs, hashlib.sha256(left).hexdigest()) for left, n, gone, runs in made], columns=[f.name for f in kind]
             )
 
-    rows = _with_spans(docs.select(id_col, text_col), length, id_col, text_col)
+    rows = _with_spans(docs.select(id_col, text_col), length, text_col)
     plain = F.struct(
         F.octet_length("_text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"),
@@ -330,7 +447,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         for texts, spans in batches:
             yield pd.Series([cut(t, s, length)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    rows = _with_spans(docs, length, id_col, text_col)
+    rows = _with_spans(docs, length, text_col)
     empty = F.array().cast("array<struct<first:int,last:int>>")
     rows = rows.withColumn("_rest", rest(F.when(F.col("spans").isNotNull(), F.col("_text")).otherwise(F.lit("")), F.coalesce("spans", empty)))
     left = F.when(F.col("spans").isNull(), F.col(f"_doc.`{text_col}`")).otherwise(F.col("_rest"))
