@@ -6,34 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reabasto.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from reabasto.llm.common import scratch
+from reabasto.llm.common import scratch, ship
 from reabasto.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject; its machine is trained on all given documents with labels."""
+    """Documents that the toxicity operator doesn't reject.
+
+    Its machine is trained on those of the documents that have a label, without the held-out ones.
+    """
+    ship(spark)
     machine = toxicity.machine_for(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, machine)
-    return scored.where(f"score < {toxicity.THRESHOLD}").drop("score")
+    return toxicity.accepted(docs, machine)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest id."""
+    ship(spark)
     return minhash.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings that occur more than once; n_chars is counted anew."""
+    ship(spark)
     return suffix_dedup.removed(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them."""
+    """Documents as often as the source mix takes them: not at all, once or twice."""
+    ship(spark)
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in the packed sequences."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path())
 
 
@@ -45,7 +52,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Learned scores, similarity classes and packing have no SQL form; tests hold the stages against brute force.
+#: Learned scores, similarity groups and packing have no SQL form; a test holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if any(str(name).endswith("reabasto-tasks.zip") for name in context._python_includes):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tasks-")) / "reabasto-tasks.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, used by nobody else."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reabasto.llm import archives, main_text, minhash, mixing, multi_index, packing, sorted_passes, suffix_dedup, toxicity, url_rules
+from reabasto.llm.common import ship
 
 #: Rules of op7: host, path, verdict.
 URL_RULES = (
@@ -27,6 +28,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

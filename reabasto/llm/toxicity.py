@@ -207,3 +207,10 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
     """Per row: id, held_out, score, predicted (1 from the threshold on). Null or empty text: the score of no terms."""
     out = score(docs, machine, text_col, {id_col: F.col(id_col), "held_out": held_out(id_col)})
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns kept."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
+    scored = score(whole, machine, "_text", {"_doc": F.col("_doc")})
+    return scored.where(F.col("score") < threshold).select("_doc.*")
