@@ -112,16 +112,14 @@ def enrich(
     pairs: DataFrame,
     mapping: DataFrame,
     dim_branch: DataFrame,
-    stock: DataFrame,
-    stock_border: DataFrame,
     catalogue: DataFrame | None,
     cost: DataFrame | None,
     params: Params,
 ) -> DataFrame:
-    """Every lookup is one row per head, joined on the head the frame is already laid out by."""
+    """Every lookup is one row per head, joined on the head the frame is already laid out by. Stock at
+    the centre came with the stock maps."""
     rows = cd_sources(stock_pivot(pairs, params), params)
     rows = rows.join(replacements(mapping), "producto_master", "left")
-    rows = rows.join(products_in_cd(stock, stock_border, params), "producto_master", "left")
     if catalogue is not None:
         rows = rows.join(catalogue_columns(catalogue), "producto_master", "left")
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,9 +154,10 @@ def _fold_branches(table: DataFrame) -> DataFrame:
 ORDER_NUMBERS = "1e19"
 
 
-def order_suppliers(tracking: DataFrame, params: Params) -> DataFrame:
+def order_suppliers(tracking: DataFrame, params: Params, pending: Column | None = None) -> DataFrame:
     """Per product and branch: smallest supplier name among replenishment orders, among all
-    orders, and the supplier of the latest dated replenishment order.
+    orders, and the supplier of the latest dated replenishment order; with `pending`, also the
+    units (`en_camino`) of the orders it holds for, in the same pass.
 
     Orders are first counted down to one row per product, branch and supplier. That step
     keeps numbers only (the order key is day and order number as one decimal), so it hashes;
@@ -165,25 +168,30 @@ def order_suppliers(tracking: DataFrame, params: Params) -> DataFrame:
     number = F.coalesce(F.col("NOC"), F.lit(-1)).cast("decimal(20,0)")
     key = day * F.lit(ORDER_NUMBERS).cast("decimal(20,0)") + number
     replenish = is_true(_is_replenishment(params))
+    wanted = F.col("Producto").isNotNull() & (name.isNotNull() if pending is None else name.isNotNull() | pending)
+    units = [] if pending is None else [F.sum(F.when(pending, F.col("Cantidad"))).alias("en_camino")]
     per_supplier = (
-        tracking.filter(name.isNotNull() & F.col("Producto").isNotNull())
+        tracking.filter(wanted)
         .groupBy("Producto", "SucursalID", "RazonSocial")
         .agg(
             F.bool_or(replenish).alias("repone"),
             F.max(F.when(replenish, key)).alias("orden"),
+            *units,
         )
     )
-    sortable = F.struct(F.lower(name).alias("clave"), name.alias("nombre"))
+    sortable = F.when(name.isNotNull(), F.struct(F.lower(name).alias("clave"), name.alias("nombre")))
     recent = F.struct(F.col("orden"), name.alias("nombre"))
     return per_supplier.groupBy("Producto", "SucursalID").agg(
         F.min(F.when(F.col("repone"), sortable)).alias("filtrado"),
         F.min(sortable).alias("todo"),
-        F.max(F.when(F.col("orden").isNotNull(), recent)).alias("reciente"),
+        F.max(F.when(F.col("orden").isNotNull() & name.isNotNull(), recent)).alias("reciente"),
+        *([F.sum("en_camino").alias("en_camino")] if units else []),
     )
 
 
-def product_suppliers(tracking: DataFrame, params: Params) -> DataFrame:
-    """The same folded to one row per product: branch entries in a map, overall names aside."""
+def product_suppliers(tracking: DataFrame, params: Params, pending: Column | None = None) -> DataFrame:
+    """The same folded to one row per product: branch entries in maps, overall names aside."""
+    here = F.col("SucursalID").isNotNull()
     entry = F.struct(
         F.col("SucursalID"),
         F.struct(
@@ -192,24 +200,26 @@ def product_suppliers(tracking: DataFrame, params: Params) -> DataFrame:
             F.col("reciente.nombre").alias("reciente"),
         ),
     )
+    coming = F.when(here & F.col("en_camino").isNotNull(), F.struct("SucursalID", "en_camino"))
+    maps = {"proveedores": F.when(here, entry)} | ({} if pending is None else {"en_camino": coming})
     return (
-        order_suppliers(tracking, params)
+        order_suppliers(tracking, params, pending)
         .groupBy(F.col("Producto").alias("producto_master"))
         .agg(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("SucursalID").isNotNull(), entry))
-            ).alias("proveedores"),
+            *[F.map_from_entries(F.collect_list(e)).alias(n) for n, e in maps.items()],
             F.min("filtrado").getField("nombre").alias("prov_global"),
             F.min("todo").getField("nombre").alias("prov_global_todo"),
         )
     )
 
 
-def assign_supplier(pairs: DataFrame, tracking: DataFrame, params: Params) -> DataFrame:
+def assign_supplier(
+    pairs: DataFrame, tracking: DataFrame, params: Params, pending: Column | None = None
+) -> DataFrame:
     """`proveedor_lt` deduced from the names, `proveedor` from the latest order first."""
     here = F.try_element_at("proveedores", F.col("sucursal_final"))
     return (
-        pairs.join(product_suppliers(tracking, params), "producto_master", "left")
+        pairs.join(product_suppliers(tracking, params, pending), "producto_master", "left")
         .withColumn("_aqui", here)
         .withColumn(
             "proveedor_lt",
@@ -220,6 +230,32 @@ def assign_supplier(pairs: DataFrame, tracking: DataFrame, params: Params) -> Da
     )
 
 
+def is_pending(today: date, params: Params) -> Column:
+    """Whether an order is valid and still on its way; never null."""
+    origin, reason = F.lower(F.col("Origen")), F.lower(F.col("Motivo"))
+    ordered = F.datediff(F.lit(today), F.col("FechaOC"))
+    documented = F.datediff(F.lit(today), F.col("FechaDoc"))
+    national = (
+        (origin == params.origin_national.lower())
+        & (reason == params.reason_replenish)
+        & (ordered <= params.transit_days_national)
+    )
+    imported = (origin == params.origin_imported.lower()) & (
+        ordered <= params.transit_days_imported
+    )
+    main = (
+        (F.lower(F.col("EstadoOC")) == params.state_pending)
+        & F.col("FechaOC").isNotNull()
+        & (national | imported)
+    )
+    border = (
+        (origin == params.origin_border.lower())
+        & (F.lower(F.col("EstadoDoc")) == params.state_pending)
+        & (documented <= params.transit_days_border)
+    )
+    return is_true(main) | is_true(border)
+
+
 def cd_days(branch: Column, region: Column, params: Params) -> Column:
     return F.coalesce(
         map_value(branch, params.cd_days_special),
@@ -235,14 +271,20 @@ def lead_time(
     dim_branch: DataFrame,
     imported: DataFrame,
     params: Params,
+    today: date | None = None,
 ) -> DataFrame:
-    """Supplier, its days, days from the centre, route and effective days of every pair."""
+    """Supplier, its days, days from the centre, route and effective days of every pair.
+
+    With `today` the orders are those with states and quantities, and the units on the way come
+    out of the same pass over them as `en_camino`, a map by branch.
+    """
+    pending = None if today is None else is_pending(today, params)
     spec = F.try_element_at("lt_por_sucursal", F.col("sucursal_final"))
     regions = dim_branch.select(F.col("SucursalID").alias("sucursal_final"), "Region")
     marked = imported.select(F.col("Producto").alias("producto_master")).distinct()
     at_cd = F.col("sucursal_final") == params.cd_id
     return (
-        assign_supplier(pairs, tracking, params)
+        assign_supplier(pairs, tracking, params, pending)
         .join(marked.withColumn("_importado", F.lit(True)), "producto_master", "left")
         .join(lt_lookup, "proveedor_lt", "left")
         .join(regions, "sucursal_final", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reabasto.functions.columns import is_true, map_value, round_half_up, yes_no
+from reabasto.operators.leadtime import is_pending
 from reabasto.params import Params
 
 
@@ -46,58 +47,40 @@ def replacement_members(products: DataFrame, mapping: DataFrame) -> DataFrame:
     return own.unionByName(mapped).distinct()
 
 
-def active_stock(stock: DataFrame, stock_border: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Stock of both companies per head and branch.
+def _stock_sums(stock: DataFrame, stock_border: DataFrame | None, mapping: DataFrame) -> DataFrame:
+    """Stock summed per product and branch, then once for the product and once for its head.
 
-    Stock is summed per product first, so a product with many warehouse rows reaches the
-    group lookup as one row per branch; it then counts for itself and for its heads.
+    A product with many warehouse rows reaches the group lookup as one row per branch.
+    `propio` marks the product's own rows, `hay` branches where some row of it is positive.
     """
     columns = ["Producto", "SucursalID", "Stock"]
-    per_product = (
-        stock.select(*columns)
-        .unionByName(stock_border.select(*columns))
-        .groupBy("Producto", "SucursalID")
-        .agg(F.sum("Stock").alias("Stock"))
+    rows = stock.select(*columns)
+    if stock_border is not None:
+        rows = rows.unionByName(stock_border.select(*columns))
+    per_product = rows.groupBy("Producto", "SucursalID").agg(
+        F.sum("Stock").alias("Stock"), is_true(F.max("Stock") > 0).alias("hay")
     )
-    # A mapped product counts for its heads and for itself; the others only for themselves.
     targets = mapping.select(
         "Producto", F.explode(F.array("Producto", "Producto_Master")).alias("cabeza")
     ).distinct()
-    return (
-        per_product.join(targets, "Producto", "left")
-        .groupBy(
-            F.coalesce("cabeza", "Producto").alias("producto_master"),
-            F.col("SucursalID").alias("sucursal_final"),
-        )
-        .agg(F.sum("Stock").alias("stock_activo"))
+    return per_product.join(targets, "Producto", "left").select(
+        F.coalesce("cabeza", "Producto").alias("producto_master"),
+        F.col("SucursalID").alias("sucursal_final"),
+        "Stock",
+        (F.col("hay") & (F.coalesce("cabeza", "Producto") == F.col("Producto"))).alias("propio"),
     )
 
 
+def active_stock(stock: DataFrame, stock_border: DataFrame | None, mapping: DataFrame) -> DataFrame:
+    """Stock of both companies per head and branch; a mapped product counts for its heads and for itself."""
+    sums = _stock_sums(stock, stock_border, mapping)
+    return sums.groupBy("producto_master", "sucursal_final").agg(F.sum("Stock").alias("stock_activo"))
+
+
 def in_transit(tracking: DataFrame, today: date, params: Params) -> DataFrame:
     """Units on valid pending orders per product and branch; replacements do not pool."""
-    origin, reason = F.lower(F.col("Origen")), F.lower(F.col("Motivo"))
-    ordered = F.datediff(F.lit(today), F.col("FechaOC"))
-    documented = F.datediff(F.lit(today), F.col("FechaDoc"))
-    national = (
-        (origin == params.origin_national.lower())
-        & (reason == params.reason_replenish)
-        & (ordered <= params.transit_days_national)
-    )
-    imported = (origin == params.origin_imported.lower()) & (
-        ordered <= params.transit_days_imported
-    )
-    main = (
-        (F.lower(F.col("EstadoOC")) == params.state_pending)
-        & F.col("FechaOC").isNotNull()
-        & (national | imported)
-    )
-    border = (
-        (origin == params.origin_border.lower())
-        & (F.lower(F.col("EstadoDoc")) == params.state_pending)
-        & (documented <= params.transit_days_border)
-    )
     return (
-        tracking.filter(is_true(main) | is_true(border))
+        tracking.filter(is_pending(today, params))
         .groupBy(
             F.col("Producto").alias("producto_master"), F.col("SucursalID").alias("sucursal_final")
         )
@@ -122,23 +105,43 @@ def by_branch_map(frame: DataFrame, value: Column, name: str) -> DataFrame:
 def attach_stock(
     pairs: DataFrame,
     stock: DataFrame,
-    stock_border: DataFrame,
-    tracking_transit: DataFrame,
+    stock_border: DataFrame | None,
+    tracking_transit: DataFrame | None,
     mapping: DataFrame,
     dim_branch: DataFrame,
     today: date,
     params: Params,
 ) -> DataFrame:
-    """Branch maps of stock (with branch names) and of units on the way, by head."""
+    """Branch maps of stock (with branch names) and of units on the way, by head, and whether the
+    head has stock of its own at the centre.
+
+    `stock_border` is None where `stock` holds both companies, `tracking_transit` where the pairs
+    already have the units on the way.
+    """
     names = dim_branch.select(F.col("SucursalID").alias("sucursal_final"), "Nombre")
-    stocked = active_stock(stock, stock_border, mapping).join(names, "sucursal_final", "left")
-    held = by_branch_map(
-        stocked, F.struct(F.col("stock_activo").alias("stock"), F.col("Nombre").alias("nombre")), "existencias"
+    at_cd = F.col("sucursal_final") == params.cd_id
+    stocked = (
+        _stock_sums(stock, stock_border, mapping)
+        .groupBy("producto_master", "sucursal_final")
+        .agg(F.sum("Stock").alias("stock"), F.bool_or(F.col("propio") & at_cd).alias("en_cd"))
+        .join(names, "sucursal_final", "left")
+    )
+    entry = F.struct("sucursal_final", F.struct("stock", F.col("Nombre").alias("nombre")))
+    held = (
+        stocked.filter(F.col("producto_master").isNotNull() & F.col("sucursal_final").isNotNull())
+        .groupBy("producto_master")
+        .agg(
+            F.map_from_entries(F.collect_list(entry)).alias("existencias"),
+            F.bool_or("en_cd").alias("tiene_stock_cd"),
+        )
     )
+    rows = pairs.join(held, "producto_master", "left")
+    if tracking_transit is None:
+        return rows
     coming = by_branch_map(
         in_transit(tracking_transit, today, params), F.col("stock_transito"), "en_camino"
     )
-    return pairs.join(held, "producto_master", "left").join(coming, "producto_master", "left")
+    return rows.join(coming, "producto_master", "left")
 
 
 def suggestion(pairs: DataFrame, params: Params) -> DataFrame:

@@ -136,13 +136,37 @@ def raw_sales_border(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of the two companies as the reports deliver them, each normalised, then united."""
     return sales_source.union_sales(
         sales_source.normalize_sales_main(raw_sales_main(spark, sf_dir), PARAMS),
         sales_source.normalize_sales_border(raw_sales_border(spark, sf_dir), PARAMS),
     )
 
 
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in one pass over the order lines."""
+    number, flag, border = F.col("l_linenumber"), F.col("l_returnflag"), _is_border()
+    raw = lines(spark, sf_dir).select(
+        border.alias("frontera"),
+        "Producto",
+        F.when(border, _numbered_branch()).otherwise(F.col("n_name")).alias("SUCURSAL"),
+        F.when(border, "CLIENTE").when(number == 1, "VTA MOVIL").otherwise("VTA MESON").alias("Tipo-Venta"),
+        F.to_date("l_shipdate").alias("Fecha"),
+        F.col("l_quantity").cast("long").alias("Cantidad"),
+        F.when(border & (flag == "R"), "NOTA CREDITO ST")
+        .when(border & (flag == "A"), "FACTURA ST")
+        .when(border & (number == 2), "FACTURA REPUESTOS (E)")
+        .when(border, "CARGO INTERNO")
+        .when(flag == "R", "NC CLIENTE S/T")
+        .otherwise("FACTURA")
+        .alias("documento"),
+        F.when(number == 3, "Emision Pendiente").otherwise("Emitido").alias("emitido"),
+        F.when(number == 7, "MO_ST").when(border, "REPUESTO").otherwise("REPUESTOS").alias("tipoproducto"),
+    )
+    return sales_source.normalize_sales(raw, F.col("frontera"), PARAMS)
+
+
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd brands form one group each, headed by their smallest size."""
     part = table(spark, sf_dir, "part").filter(
@@ -270,6 +294,11 @@ def stock_border(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stock_rows(spark, sf_dir, F.col("l_orderkey") % 4 == 0)
 
 
+def all_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock of both companies in one pass."""
+    return _stock_rows(spark, sf_dir, F.lit(True))
+
+
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "part")
@@ -302,12 +331,12 @@ def sources(spark: SparkSession, sf_dir: str) -> Sources:
         mapping=mapping(spark, sf_dir),
         dim_product=dim_product(spark, sf_dir),
         dim_branch=dim_branch(spark, sf_dir),
-        tracking=tracking(spark, sf_dir),
+        tracking=None,
         tracking_transit=tracking(spark, sf_dir, "transit"),
         tracking_lead_time=tracking(spark, sf_dir, "lead_time"),
         imported=imported(spark, sf_dir),
-        stock=stock(spark, sf_dir),
-        stock_border=stock_border(spark, sf_dir),
+        stock=all_stock(spark, sf_dir),
+        stock_border=None,
         catalogue=catalogue(spark, sf_dir),
         cost=cost(spark, sf_dir),
     )

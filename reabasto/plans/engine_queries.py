@@ -41,16 +41,16 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 def _lead_time(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     lookup = leadtime.supplier_lookup_from_tracking(D.tracking(spark, d, "lead_time"), P)
     return leadtime.lead_time(
-        pairs, D.tracking(spark, d), lookup, D.dim_branch(spark, d), D.imported(spark, d), P
+        pairs, D.tracking(spark, d, "transit"), lookup, D.dim_branch(spark, d), D.imported(spark, d), P, D.TODAY
     )
 
 
 def _stocked(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     return suggest.attach_stock(
         pairs,
-        D.stock(spark, d),
-        D.stock_border(spark, d),
-        D.tracking(spark, d, "transit"),
+        D.all_stock(spark, d),
+        None,
+        None if "en_camino" in pairs.columns else D.tracking(spark, d, "transit"),
         D.mapping(spark, d),
         D.dim_branch(spark, d),
         D.TODAY,
@@ -83,7 +83,7 @@ def border_sales(spark, d):
 
 @query
 def sales_union(spark, d):
-    return D.sales(spark, d).groupBy("Fuente", "SUCURSAL").agg(
+    return D.sales_by_company(spark, d).groupBy("Fuente", "SUCURSAL").agg(
         F.count(F.lit(1)).alias("lineas"), F.sum("CantidadAjustada").alias("unidades")
     )
 
@@ -160,7 +160,7 @@ def demand_local(spark, d):
 @query
 def demand_cd(spark, d):
     merged = demand_ops.consolidated_series(_pairs(spark, d), P).filter("serie_cd IS NOT NULL")
-    made = demand_ops.winsorize(merged, "serie_cd", P, "demanda_mensual", "desv_std_mensual")
+    made = demand_ops.winsorize(merged, "serie_cd", P.window_long, P, "demanda_mensual", "desv_std_mensual")
     kept = made.select("producto_master", "demanda_mensual", "desv_std_mensual")
     return rounded(kept, "demanda_mensual", "desv_std_mensual", digits=6)
 

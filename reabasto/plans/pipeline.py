@@ -34,27 +34,30 @@ def run_pipeline(
 ) -> DataFrame:
     """Sales, tracking and stock to one row per group head and branch.
 
-    Each large input is read once and reduced to one row per head (or per head, branch and
-    month) before any join; the pair frame then gains columns stage by stage and is never
-    joined with itself.
+    Sales and stock are read once, orders once for suppliers and units on the way and once for
+    lead times (where those aren't given). Each is reduced to one row per head (or per head,
+    branch and month) before any join; the pair frame then gains columns stage by stage and is
+    never joined with itself.
     """
     params = params or Params()
+    one_pass = sources.tracking is None
     pairs = abc(sources.sales, sources.mapping, sources.dim_product, closed_month, params)
     pairs = demand(pairs, params)
     pairs = lead_time(
         pairs,
-        sources.tracking,
+        sources.tracking_transit if one_pass else sources.tracking,
         lead_time_lookup(sources, params),
         sources.dim_branch,
         sources.imported,
         params,
+        today if one_pass else None,
     )
     pairs = safety_stock(pairs, params)
     pairs = attach_stock(
         pairs,
         sources.stock,
         sources.stock_border,
-        sources.tracking_transit,
+        None if one_pass else sources.tracking_transit,
         sources.mapping,
         sources.dim_branch,
         today,
@@ -65,8 +68,6 @@ def run_pipeline(
         pairs,
         sources.mapping,
         sources.dim_branch,
-        sources.stock,
-        sources.stock_border,
         sources.catalogue,
         sources.cost,
         params,

@@ -12,17 +12,21 @@ from reabasto import schemas as S
 
 @dataclass(frozen=True)
 class Sources:
-    """Inputs of one engine run. The lead-time tables may be given ready or computed."""
+    """Inputs of one engine run. The lead-time tables may be given ready or computed.
+
+    `tracking` may be None where `tracking_transit` holds all orders, `stock_border` where `stock`
+    holds both companies.
+    """
 
     sales: DataFrame
     mapping: DataFrame
     dim_product: DataFrame
     dim_branch: DataFrame
-    tracking: DataFrame
+    tracking: DataFrame | None
     tracking_transit: DataFrame
     imported: DataFrame
     stock: DataFrame
-    stock_border: DataFrame
+    stock_border: DataFrame | None
     tracking_lead_time: DataFrame | None = None
     lt_supplier: DataFrame | None = None
     lt_supplier_branch: DataFrame | None = None

@@ -92,6 +92,27 @@ def normalize_sales_border(raw: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def normalize_sales(raw: DataFrame, border: Column, params: Params) -> DataFrame:
+    """Sales of both companies from one frame, where `border` tells whose a row is: the rules of
+    each, in one pass. Columns: Producto, SUCURSAL, Tipo-Venta, Fecha, Cantidad, documento,
+    emitido, tipoproducto."""
+    kind, document, branch = F.col("tipoproducto"), F.col("documento"), F.col("SUCURSAL")
+    of_border = (
+        (kind == params.border_product_type)
+        & (F.col("emitido") == params.border_issued)
+        & document.isin(*params.border_documents)
+    )
+    kept = F.when(border, of_border).otherwise(kind.isin(*params.part_product_types))
+    return raw.filter(kept).select(
+        "Producto",
+        F.when(border, map_value(branch, params.border_branch_prefixes, branch)).otherwise(branch).alias("SUCURSAL"),
+        F.col("Tipo-Venta").alias("TipoVenta"),
+        "Fecha",
+        signed_quantity(document, F.col("Cantidad"), params).alias("CantidadAjustada"),
+        F.when(border, params.source_border).otherwise(params.source_main).alias("Fuente"),
+    )
+
+
 def union_sales(*frames: DataFrame | None) -> DataFrame:
     present = [f for f in frames if f is not None]
     if not present:

@@ -131,7 +131,7 @@ def expected_demand(series):
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_capped_demand(spark, series):
     df = spark.createDataFrame([([float(x) for x in series],)], "serie array<double>")
-    row = demand.winsorize(df, "serie", Params(), "m", "s").first()
+    row = demand.winsorize(df, "serie", len(series), Params(), "m", "s").first()
     m, s = expected_demand([float(x) for x in series])
     assert row.m == pytest.approx(m, abs=1e-9) and row.s == pytest.approx(s, abs=1e-9)
 
