@@ -23,7 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from reabasto.llm.common import components, stage
 
@@ -32,6 +31,7 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 TEXTS = 512  # texts that are signed together
 CACHE_WORDS = 400_000
+TILE, TILE_CHARS = 200, 4_000_000  # documents and characters that are compared together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,6 +147,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.withColumn("_same", _similarity("_left", "_right")).where(F.col("_same") >= threshold).select("a", "b")
 
 
+def _links_between(threshold: float):
+    """Links between documents of different components in one block, or in two that meet."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_key")
+        sets = [shingles(t) for t in part["_text"]]
+        name, component = part["_key"].to_numpy(), pd.factorize(part["_component"])[0]
+        tile, one_tile = part["_tile"].to_numpy(), key[1] == key[2]
+        share = [w / w.sum() for _, w in sets]
+        codes = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)[1]
+        flat, starts = np.concatenate(share), np.cumsum([0, *(len(h) for h, _ in sets[:-1])])
+        mine, found = np.zeros(codes.max() + 1), []
+        for i in range(len(sets)):
+            own = slice(starts[i], starts[i] + len(share[i]))
+            mine[codes[own]] = share[i]
+            # J_P is at most the shares that two sets have in common
+            near = np.add.reduceat(np.minimum(mine[codes], flat), starts) >= threshold - 1e-9
+            mine[codes[own]] = 0
+            near[: i + 1] = False
+            near &= component != component[i]
+            if not one_tile:
+                near &= tile != tile[i]
+            for j in np.flatnonzero(near):
+                if probability_jaccard(sets[i], sets[j]) >= threshold:
+                    found.append((name[i], name[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links that one leader to a bucket didn't show: between components that meet in some bucket.
+
+    Documents that hang together by such buckets form a cluster. A cluster is dealt into tiles of
+    about TILE documents (fewer long ones), and every two tiles meet in a group of their own.
+    """
+    at = members.join(found.withColumnRenamed("node", "_key"), "_key", "left").select(
+        "_band", "_key", F.coalesce("component", "_key").alias("_component")
+    )
+    mixed_buckets = (
+        at.groupBy("_band")
+        .agg(F.min("_component").alias("l"), F.max("_component").alias("h"), F.min("_key").alias("_head"))
+        .where("l <> h")
+        .select("_band", "_head")
+    )
+    left = stage(at.join(mixed_buckets, "_band"), "open")
+    clusters = components(left.select(F.col("_key").alias("a"), F.col("_head").alias("b")))
+    docs = left.select("_key", "_component").distinct().join(clusters.select(F.col("node").alias("_key"), F.col("component").alias("_cluster")), "_key")
+    docs = stage(docs.join(texts, "_key"), "open")
+    sizes = docs.groupBy("_cluster").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("chars"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("chars") / TILE_CHARS)).cast("int")
+    dealt = docs.join(sizes.select("_cluster", tiles.alias("_tiles")), "_cluster").withColumn(
+        "_tile", F.pmod(F.xxhash64("_key"), F.col("_tiles")).cast("int")
+    )
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumns(
+        {"_one": F.least("_tile", "_other"), "_two": F.greatest("_tile", "_other")}
+    )
+    pairs = met.groupBy("_cluster", "_one", "_two").applyInPandas(_links_between(threshold), "a string, b string")
+    return stage(pairs, "links")
+
+
 def groups(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -159,10 +220,9 @@ def groups(
 
     Groups are the connected components of pairs with J_P >= threshold. Exact copies are one node
     from the start. In each band bucket every node is first compared with one leader, the smallest;
-    a bucket of near copies, however large, is settled by that. Only buckets that still hold
-    nodes of different components go on: further leaders, twice as many each time, are compared
-    with what is not in their component, until all pairs of such nodes have been looked at. No pair of
-    a bucket is left out, and no bucket is capped.
+    a bucket of near copies, however large, is settled by that. In buckets that still hold nodes of
+    different components all pairs of such nodes are looked at too, block by block and without a
+    row per pair. No pair of a bucket is left out, and no bucket is capped.
 
     Null text: as empty. A text without words is linked with nothing but its exact copies. Null
     ids come last among the ids of a group; class_id is null if all are. Rows that share an id and a text share
@@ -182,29 +242,9 @@ def groups(
     tried = stage(members.where("_key <> _leader").select(F.col("_leader").alias("a"), F.col("_key").alias("b")).distinct(), "pairs")
     links = stage(_verified(tried, texts, threshold), "links")
     found = components(links)
-    now, many = 1, 1  # leaders so far, leaders of the next round
-    while True:
-        at = members.join(found.withColumnRenamed("node", "_key"), "_key", "left").select(
-            "_band", "_key", F.coalesce("component", "_key").alias("_component")
-        )
-        mixed_buckets = at.groupBy("_band").agg(F.min("_component").alias("l"), F.max("_component").alias("h")).where("l <> h").select("_band")
-        ranked = at.join(mixed_buckets, "_band", "left_semi").withColumn(
-            "_rank", F.row_number().over(Window.partitionBy("_band").orderBy("_key"))
-        )
-        left = stage(ranked, "open")
-        if left.where(F.col("_rank") > now + 1).isEmpty():
-            break
-        lead = left.where((F.col("_rank") > now) & (F.col("_rank") <= now + many)).select(
-            "_band", F.col("_key").alias("a"), F.col("_component").alias("_mine"), F.col("_rank").alias("_place")
-        )
-        pairs = lead.join(left, "_band").where("_rank > _place and _component <> _mine").select("a", F.col("_key").alias("b")).distinct()
-        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = stage(_verified(pairs, texts, threshold), "links")
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        now, many = now + many, many * 2
+    more = _rest(members, found, texts, threshold)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     whole = nodes.select("_key", "_low").join(found.withColumnRenamed("node", "_key"), "_key", "left")
     whole = whole.withColumn("_component", F.coalesce("component", "_key"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from reabasto.llm import common
 from reabasto.llm.common import components
 
 
@@ -22,8 +23,9 @@ def roots(edges):
     return {x: top(x) for x in up}
 
 
-@pytest.mark.parametrize("n, m", [(40, 30), (200, 180), (100, 400)])
-def test_components(spark, n, m):
+@pytest.mark.parametrize("n, m, edges", [(40, 30, 200_000), (200, 180, 20), (100, 400, 50), (300, 290, 1)])
+def test_components(spark, monkeypatch, n, m, edges):
+    monkeypatch.setattr(common, "EDGES", edges)
     rng = random.Random(n)
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n + i, n + i + 1) for i in range(60)] + [(5000, n + 61 + i) for i in range(50)]
     made = components(spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long"))
