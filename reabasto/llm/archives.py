@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reabasto.llm.common import scratch, stage
@@ -68,45 +68,57 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write_files(rows: DataFrame, folder: str, suffix: str, encoder: Callable[[str], tuple[bytes, Callable]]) -> DataFrame:
-    """Writes rows as archive files; the list of files (path, records), cut from its lineage.
+class Roll:
+    """Writes records to archive files of a folder, one after the other.
 
-    encoder(file name) gives the bytes that a file begins with and a function from (row, offset so far, uncompressed) to a
-    record's bytes.
+    encoder(file name) gives the bytes that a file begins with and a function from (record, offset
+    so far, uncompressed) to a record's bytes.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = open_folder(folder)
-        system.create_dir(base, recursive=True)
-        out, name, size, offset, number, encode, done = None, "", 0, 0, 0, None, []
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if out is None:
-                    name = f"{uuid.uuid4().hex}.{suffix}.gz"
-                    head, encode = encoder(name)
-                    out = system.open_output_stream(f"{base}/{name}", compression=None)
-                    out.write(first := _member(head))
-                    size, offset, number = len(first), len(head), 0
-                record = encode(row, offset)
-                out.write(packed := _member(record))
-                size, offset, number = size + len(packed), offset + len(record), number + 1
-                if size >= FILE_BYTES:
-                    out.close()
-                    out = None
-                    done.append((f"{base}/{name}", number))
-        if out is not None:
-            out.close()
-            done.append((f"{base}/{name}", number))
-        yield pd.DataFrame(done, columns=["path", "records"])
-
-    return stage(rows.mapInPandas(run, "path string, records long"), "files")
+    def __init__(self, folder: str, suffix: str, encoder: Callable[[str], tuple[bytes, Callable]]):
+        self.system, self.base = open_folder(folder)
+        self.system.create_dir(self.base, recursive=True)
+        self.suffix, self.encoder, self.out, self.done = suffix, encoder, None, []
 
+    def add(self, record) -> None:
+        if self.out is None:
+            name = f"{uuid.uuid4().hex}.{self.suffix}.gz"
+            head, self.encode = self.encoder(name)
+            self.path, self.number = f"{self.base}/{name}", 0
+            self.out = self.system.open_output_stream(self.path, compression=None)
+            self.out.write(first := _member(head))
+            self.size, self.offset = len(first), len(head)
+        data = self.encode(record, self.offset)
+        self.out.write(packed := _member(data))
+        self.size, self.offset, self.number = self.size + len(packed), self.offset + len(data), self.number + 1
+        if self.size >= FILE_BYTES:
+            self.close()
 
-def read_files(files: DataFrame, folder: str, parse: Callable[[BinaryIO, str], Iterable[dict]], schema: str, tasks: int) -> DataFrame:
-    """The records of listed files, as `parse` gives them from a stream of uncompressed bytes and a file name.
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+            self.done.append((self.path, self.number))
 
-    A task holds a batch of about BATCH_BYTES, not a file.
-    """
+    def files(self) -> pd.DataFrame:
+        self.close()
+        return pd.DataFrame(self.done, columns=["path", "records"])
+
+
+FILES = "path string, records long"
+
+
+def records_of(system, path: str, parse: Callable[[BinaryIO, str], Iterable[dict]]) -> Iterator[dict]:
+    """The records of a file, as `parse` gives them from a stream of uncompressed bytes and a file name."""
+    with system.open_input_stream(path, compression=None) as raw:
+        start = raw.read(2)
+    with system.open_input_stream(path, compression=None) as raw:
+        stream = gzip.GzipFile(fileobj=raw) if start == b"\x1f\x8b" else raw
+        yield from parse(io.BufferedReader(stream, 1 << 18), path.rpartition("/")[2])
+
+
+def read_files(files: DataFrame, folder: str, parse: Callable[[BinaryIO, str], Iterable[dict]], schema: str, tasks: int) -> DataFrame:
+    """The records of listed files. A task holds a batch of about BATCH_BYTES, not a file."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,16 +126,12 @@ def read_files(files: DataFrame, folder: str, parse: Callable[[BinaryIO, str], I
         rows, size = [], 0
         for batch in batches:
             for path in batch["path"]:
-                with system.open_input_stream(path, compression=None) as raw:
-                    start = raw.read(2)
-                with system.open_input_stream(path, compression=None) as raw:
-                    stream = gzip.GzipFile(fileobj=raw) if start == b"\x1f\x8b" else raw
-                    for record in parse(io.BufferedReader(stream, 1 << 18) if stream is not raw else io.BytesIO(raw.read()), path.rpartition("/")[2]):
-                        rows.append(record)
-                        size += len(record.get("payload") or b"") + 500
-                        if size >= BATCH_BYTES:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows, size = [], 0
+                for record in records_of(system, path, parse):
+                    rows.append(record)
+                    size += len(record.get("payload") or b"") + 500
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
@@ -209,7 +217,7 @@ def _converted(archive: str, offset: int, version: int, record: dict, content: b
     """What a WARC record needs, made from an ARC record."""
     url = record.get("url", "")
     header, payload, status = b"", content, record.get("status", "")
-    http = url.startswith(("http:", "https:", "unknown:")) and content.startswith(b"HTTP/")
+    http = content.startswith(b"HTTP/") and record.get("mime") != "text/dns"
     if http:
         header, found, payload = content.partition(b"\r\n\r\n")
         header += found
@@ -256,26 +264,27 @@ def warc_encoder(name: str) -> tuple[bytes, Callable]:
         about,
     )
 
-    def encode(row, _: int) -> bytes:
-        revisit = row.refers_id is not None
-        block = bytes(row.header) + (b"" if revisit else bytes(row.payload))
+    def encode(record: dict, _: int) -> bytes:
+        """record: of RECORD; one that repeats another has `refers` with record_id, target_uri and date of that one."""
+        refers = record.get("refers")
+        block = record["header"] + (b"" if refers else record["payload"])
         fields = {
-            "WARC-Type": "revisit" if revisit else row.warc_type,
-            "WARC-Record-ID": f"<urn:uuid:{row.record_id}>",
-            "WARC-Date": row.date,
-            "WARC-Target-URI": row.target_uri,
-            "WARC-IP-Address": row.ip,
-            "WARC-Payload-Digest": f"sha256:{row.payload_digest}",
+            "WARC-Type": "revisit" if refers else record["warc_type"],
+            "WARC-Record-ID": f"<urn:uuid:{record['record_id']}>",
+            "WARC-Date": record["date"],
+            "WARC-Target-URI": record["target_uri"],
+            "WARC-IP-Address": record["ip"],
+            "WARC-Payload-Digest": f"sha256:{record['payload_digest']}",
             "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
         }
-        if revisit:
+        if refers:
             fields |= {
                 "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                "WARC-Refers-To": f"<urn:uuid:{row.refers_id}>",
-                "WARC-Refers-To-Target-URI": row.refers_uri,
-                "WARC-Refers-To-Date": row.refers_date,
+                "WARC-Refers-To": f"<urn:uuid:{refers['record_id']}>",
+                "WARC-Refers-To-Target-URI": refers["target_uri"],
+                "WARC-Refers-To-Date": refers["date"],
             }
-        fields["Content-Type"] = "application/http;msgtype=response" if row.header else row.mime
+        fields["Content-Type"] = "application/http;msgtype=response" if record["header"] else record["mime"]
         return warc_record(fields, block)
 
     return first, encode
@@ -335,41 +344,67 @@ def _bare(identifier: str) -> str:
 
 def write_arc(pages: DataFrame, folder: str, version: int | None = None, date: str = "20200101000000") -> DataFrame:
     """Pages (page_id, url, html) as ARC files; the list of files. Null html: an empty payload; null page_id or url: none in the record."""
-    rows = pages.select(F.col("page_id").cast("string"), "url", "html")
-    return write_files(rows, folder, "arc", arc_encoder(version, date))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roll = Roll(folder, "arc", arc_encoder(version, date))
+        for batch in batches:
+            for page in batch.itertuples(index=False):
+                roll.add(page)
+        yield roll.files()
+
+    return stage(pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(run, FILES), "files")
 
-def convert(spark: SparkSession, arcs: DataFrame, arc_folder: str, warc_folder: str, first: Column | None = None, min_revisit: int = MIN_REVISIT) -> DataFrame:
+
+def convert(arcs: DataFrame, arc_folder: str, warc_folder: str, first: Column | None = None, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """ARC files as WARC files; the list of files.
 
     Of records whose payloads are equal and at least `min_revisit` bytes, the first by `first` (columns of
     RECORD; the identifier decides ties) keeps its payload, the others become revisits of it. Records
     that couldn't be read are left out; errors() lists them.
 
-    Equal payloads meet as digests, counted on the map side; only a record's own row and its digest's
-    first one are joined, so a payload that most pages share is no single task's work.
+    Equal payloads meet as digests, counted on the map side, so a payload that most pages share is no
+    single task's work. Payloads themselves are not moved: a task reads a file again with the list
+    of its revisits, no longer than the file has records, and writes its records as it reads them.
     """
-    tasks = _tasks(spark, arcs)
-    records = read_files(arcs, arc_folder, parse_arc, RECORD, tasks).where("error is null")
-    order = F.struct(first if first is not None else F.lit(0), F.col("record_id").alias("refers_id"), F.col("target_uri").alias("refers_uri"), F.col("date").alias("refers_date"))
-    light = stage(records.select("record_id", "payload_digest", "payload_bytes", order.alias("place")), "digests")
+    records = read_files(arcs, arc_folder, _without_payload(parse_arc), RECORD, _tasks(arcs)).where("error is null")
+    place = F.struct(first if first is not None else F.lit(0), "record_id", "target_uri", "date")
+    light = stage(records.select("archive", "arc_offset", "record_id", "payload_digest", "payload_bytes", place.alias("place")), "digests")
     big = light.where(F.col("payload_bytes") >= min_revisit)
     lowest = big.groupBy("payload_digest").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1")
-    again = big.join(lowest, "payload_digest").where("record_id <> one.refers_id").select("record_id", "one.refers_id", "one.refers_uri", "one.refers_date")
-    return write_files(records.join(again, "record_id", "left"), warc_folder, "warc", warc_encoder)
+    again = big.join(lowest, "payload_digest").where("record_id <> one.record_id")
+    entry = F.struct("arc_offset", "one.record_id", "one.target_uri", "one.date")
+    per_file = again.groupBy("archive").agg(F.collect_list(entry).alias("revisits"))
+    listed = arcs.withColumn("archive", F.substring_index("path", "/", -1)).join(per_file, "archive", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roll = Roll(warc_folder, "warc", warc_encoder)
+        system, _ = open_folder(arc_folder)
+        for batch in batches:
+            for path, revisits in zip(batch["path"], batch["revisits"], strict=True):
+                refers = {r["arc_offset"]: r for r in (revisits if revisits is not None else ())}
+                for record in records_of(system, path, parse_arc):
+                    if record["error"] is None:
+                        roll.add(record | {"refers": refers.get(record["arc_offset"])})
+        yield roll.files()
+
+    return stage(listed.select("path", "revisits").repartition(_tasks(arcs), "path").mapInPandas(run, FILES), "files")
+
+
+def _without_payload(parse: Callable[[BinaryIO, str], Iterable[dict]]) -> Callable[[BinaryIO, str], Iterator[dict]]:
+    return lambda stream, name: ({**r, "payload": None, "header": None} for r in parse(stream, name))
 
 
-def errors(spark: SparkSession, arcs: DataFrame, arc_folder: str) -> DataFrame:
+def errors(arcs: DataFrame, arc_folder: str) -> DataFrame:
     """What the converter couldn't read: archive, arc_offset, error."""
-    return read_files(arcs, arc_folder, parse_arc, RECORD, _tasks(spark, arcs)).where("error is not null").select("archive", "arc_offset", "error")
+    return read_files(arcs, arc_folder, parse_arc, RECORD, _tasks(arcs)).where("error is not null").select("archive", "arc_offset", "error")
 
 
-def read_warc(spark: SparkSession, warcs: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_warc(warcs: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records of WARC files, columns of WARC."""
-    return read_files(warcs, folder, lambda stream, name: parse_warc(stream, name, payloads), WARC, _tasks(spark, warcs))
+    return read_files(warcs, folder, lambda stream, name: parse_warc(stream, name, payloads), WARC, _tasks(warcs))
 
 
-def _tasks(spark: SparkSession, files: DataFrame) -> int:
+def _tasks(files: DataFrame) -> int:
     return max(1, min(files.count(), 100_000))
 
 
@@ -380,12 +415,11 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     (page_id of the record that a revisit points at), target_uri, whole (digests in the file are right). A page with a null id
     comes last among equal ones. Rows that share an id are records of their own. Empty table: no rows.
     """
-    spark = pages.sparkSession
-    folder = folder or scratch(spark, "archives")
+    folder = folder or scratch(pages.sparkSession, "archives")
     arcs = write_arc(pages, f"{folder}/arc")
     first = F.struct(F.col("page_id").isNull(), F.col("page_id"))
-    warcs = convert(spark, arcs, f"{folder}/arc", f"{folder}/warc", first)
-    back = stage(read_warc(spark, warcs, f"{folder}/warc", payloads=False).drop("payload"), "records")
+    warcs = convert(arcs, f"{folder}/arc", f"{folder}/warc", first)
+    back = stage(read_warc(warcs, f"{folder}/warc", payloads=False).drop("payload"), "records")
     pointed = back.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
     return back.join(pointed, "refers_id", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "whole"
