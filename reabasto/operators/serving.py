@@ -310,8 +310,14 @@ def supplier_list(rows: DataFrame) -> DataFrame:
     return rows.filter(named).select("proveedor").distinct().orderBy("proveedor")
 
 
+def pair_id() -> Column:
+    """A positive number for a product and branch, the same in every publication."""
+    digits = F.substring(F.md5(F.concat_ws("|", *PAIR)), 1, 15)
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def from_contract(rows: DataFrame) -> DataFrame:
-    """Published contract columns under their serving names and types."""
+    """Published contract columns under their serving names and types, and an `id` of the pair."""
     renamed = {
         "Stock de Seguridad": "stock_seguridad",
         "Unidad de Medida": "unidad_medida",
@@ -327,4 +333,4 @@ def from_contract(rows: DataFrame) -> DataFrame:
         name, col = target(header), F.col(f"`{header}`")
         return (F.bround(col, 0).cast("long") if name in whole else col).alias(name)
 
-    return rows.select(*[typed(c) for c in rows.columns])
+    return rows.select(*[typed(c) for c in rows.columns]).withColumn("id", pair_id())

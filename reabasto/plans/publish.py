@@ -1,11 +1,14 @@
-"""Publishing a snapshot: staged write, shrink guard, switch of the current version.
+"""Publishing: staged write, shrink guard, switch of a table's current version.
 
-A snapshot folder holds `v=<n>/<table>` for every version and `versions`, one small row per
-published version. A version counts once its row is there, so readers never see a part of it.
+Every attempt writes to a folder of its own, `data/<attempt>/<table>`. A version of a table counts
+once its row stands in `versions/<table>/<number>`: a small file that holds the attempt and the row
+count. Readers follow that row, so they never see a part of a version; a failed or concurrent
+attempt leaves the published one as it was, and its own files are read by nobody.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,76 +19,110 @@ from reabasto.operators.dims import dim_branch_from_upload, dim_product_from_upl
 from reabasto.params import Params
 from reabasto.sources.files import path_exists
 
-VERSIONS = "version long, filas long"
+VERSIONS = "tabla string, version long, filas long, intento string"
+SUGGESTION, PRODUCTS, BRANCHES = "sugerido", "dim_producto", "dim_sucursal"
 
 
 class ShrinkError(ValueError):
     """The new snapshot is suspiciously smaller than the current one."""
 
 
-def current_version(spark: SparkSession, base: str) -> tuple[int, int]:
-    """Number and row count of the newest published version, (0, 0) before the first."""
-    if not path_exists(spark, f"{base}/versions"):
-        return 0, 0
-    newest = (
-        spark.read.schema(VERSIONS).json(f"{base}/versions").orderBy(F.col("version").desc()).first()
-    )
+class VersionTakenError(RuntimeError):
+    """Another publisher has published this version of the table meanwhile."""
+
+
+def _versions(spark: SparkSession, base: str, table: str) -> DataFrame | None:
+    folder = f"{base}/versions/{table}"
+    return spark.read.schema(VERSIONS).json(f"{folder}/*") if path_exists(spark, folder) else None
+
+
+def current_version(spark: SparkSession, base: str, table: str = SUGGESTION) -> tuple[int, int]:
+    """Number and row count of the newest published version of a table, (0, 0) before the first."""
+    known = _versions(spark, base, table)
+    newest = known.orderBy(F.col("version").desc()).first() if known is not None else None
     return (newest["version"], newest["filas"]) if newest else (0, 0)
 
 
 def read_current(spark: SparkSession, base: str, table: str) -> DataFrame:
-    version, _ = current_version(spark, base)
-    return spark.read.parquet(f"{base}/v={version}/{table}")
+    known = _versions(spark, base, table)
+    newest = known.orderBy(F.col("version").desc()).first() if known is not None else None
+    if newest is None:
+        raise FileNotFoundError(f"{table} has not been published in {base}")
+    return spark.read.parquet(f"{base}/data/{newest['intento']}/{table}")
+
+
+def _commit(spark: SparkSession, base: str, table: str, version: int, rows: int, attempt: str) -> None:
+    """Makes a written table the current one; refuses when the version is there already."""
+    target = f"{base}/versions/{table}/{version}"
+    row = spark.createDataFrame([(table, version, rows, attempt)], VERSIONS)
+    try:
+        row.coalesce(1).write.mode("errorifexists").json(target)
+    except Exception as e:
+        if path_exists(spark, target):
+            raise VersionTakenError(f"version {version} of {table} is published already") from e
+        raise
+    # two publishers that both found no folder: the row that was written last stands, the other gives way
+    found = spark.read.schema(VERSIONS).json(target).collect()
+    if [r["intento"] for r in found] != [attempt]:
+        raise VersionTakenError(f"version {version} of {table} was published by another attempt")
+
+
+def _write(rows: DataFrame, base: str, table: str, attempt: str) -> DataFrame:
+    path = f"{base}/data/{attempt}/{table}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
-def _commit(spark: SparkSession, base: str, version: int, rows: int) -> None:
-    row = spark.createDataFrame([(version, rows)], VERSIONS)
-    row.coalesce(1).write.mode("append").json(f"{base}/versions")
+def _filled(keys: tuple[str, ...]):
+    return reduce(lambda a, b: a & b, [F.coalesce(F.col(k), F.lit("")) != "" for k in keys])
 
 
 def valid_rows(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows with every key filled."""
-    filled = reduce(lambda a, b: a & b, [F.coalesce(F.col(k), F.lit("")) != "" for k in keys])
-    return rows.filter(filled)
+    return rows.filter(_filled(keys))
 
 
 def load_counts(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    filled = reduce(lambda a, b: a & b, [F.coalesce(F.col(k), F.lit("")) != "" for k in keys])
+    filled = _filled(keys)
     return rows.agg(F.count_if(filled).alias("cargadas"), F.count_if(~filled).alias("omitidas"))
 
 
-def publish_snapshot(rows: DataFrame, base: str, params: Params | None = None, order: str = "fila") -> int:
-    """Suggestion table and its two dimensions as the next version; gives its row count.
+def publish_snapshot(rows: DataFrame, base: str, params: Params | None = None, order: str | None = None) -> int:
+    """Suggestion table and its two dimensions as their next versions; gives the row count.
 
     The rows are written once, counted from the written files, and switched to only when
-    they are not far fewer than the current ones. The current version stays on any failure.
+    they are not far fewer than the current ones. The current versions stay on any failure.
+    `order` names the column of the upload order; without one (or the column `fila`) rows
+    follow product and branch, as the calculation has no order of its own.
     """
     params = params or Params()
     for column in ("producto", "sucursal_id"):
         if column not in rows.columns:
             raise ValueError(f"column {column} is missing")
-    spark = rows.sparkSession
+    order = order or ("fila" if "fila" in rows.columns else None)
+    spark, attempt = rows.sparkSession, uuid.uuid4().hex
     version, previous = current_version(spark, base)
-    target = f"{base}/v={version + 1}"
-    valid_rows(rows, ("producto", "sucursal_id")).write.mode("overwrite").parquet(f"{target}/sugerido")
-    written = spark.read.parquet(f"{target}/sugerido")
+    numbers = {t: current_version(spark, base, t)[0] + 1 for t in (PRODUCTS, BRANCHES)}
+    written = _write(valid_rows(rows, ("producto", "sucursal_id")), base, SUGGESTION, attempt)
     count = written.count()
     if previous and count < int(previous * params.min_rows_ratio):
         raise ShrinkError(f"{count} rows against {previous} published; the published ones stay")
-    dim_product_from_upload(written, order).write.mode("overwrite").parquet(f"{target}/dim_producto")
-    dim_branch_from_upload(written, order).write.mode("overwrite").parquet(f"{target}/dim_sucursal")
-    _commit(spark, base, version + 1, count)
+    placed = written if order else written.withColumn("_orden", F.struct("producto", "sucursal_id"))
+    products = _write(dim_product_from_upload(placed, order or "_orden"), base, PRODUCTS, attempt)
+    branches = _write(dim_branch_from_upload(placed, order or "_orden"), base, BRANCHES, attempt)
+    sizes = {PRODUCTS: products.count(), BRANCHES: branches.count()}
+    _commit(spark, base, SUGGESTION, version + 1, count, attempt)
+    for table, number in numbers.items():
+        _commit(spark, base, table, number, sizes[table], attempt)
     return count
 
 
 def replace_table(rows: DataFrame, base: str, table: str, keys: tuple[str, ...]) -> int:
-    """Any serving table replaced as a whole; rows lacking a key are dropped."""
-    spark = rows.sparkSession
-    version, _ = current_version(spark, base)
-    target = f"{base}/v={version + 1}/{table}"
-    valid_rows(rows, keys).write.mode("overwrite").parquet(target)
-    count = spark.read.parquet(target).count()
-    _commit(spark, base, version + 1, count)
+    """Any serving table replaced as a whole; rows lacking a key are dropped. Other tables keep their versions."""
+    spark, attempt = rows.sparkSession, uuid.uuid4().hex
+    version, _ = current_version(spark, base, table)
+    count = _write(valid_rows(rows, keys), base, table, attempt).count()
+    _commit(spark, base, table, version + 1, count, attempt)
     return count
 
 
@@ -102,7 +139,7 @@ def stock_rows(rows: DataFrame) -> DataFrame:
 
 def load_warnings(rows: DataFrame, params: Params) -> DataFrame:
     """Skipped rows, products with an improbable quantity, suggested rows without supplier."""
-    filled = (F.coalesce("producto", F.lit("")) != "") & (F.coalesce("sucursal_id", F.lit("")) != "")
+    filled = _filled(("producto", "sucursal_id"))
     total = F.coalesce("total_sugerido_suc", F.lit(0.0))
     wanted = filled & (total > 0)
     nameless = F.coalesce("proveedor", F.lit("")) == ""

@@ -1,16 +1,26 @@
 import json
+import os
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from reabasto import schemas as S
-from reabasto.operators import state
+from reabasto.operators import serving, state
 from reabasto.operators.serving import Filters
-from reabasto.plans import publish
+from reabasto.plans import driver_tables, publish
+from reabasto.plans.pipeline import contract, run_pipeline
 from tests.test_serving import NOW, entries, table
 
 TODAY = date(2026, 7, 10)
+FOLDER = os.environ.get("REABASTO_TEST_TABLES", "/root/testdata/sf0.001")
+PARAMS = driver_tables.PARAMS
+
+
+def inputs(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("test tables are not here")
+    return driver_tables.sources(spark, FOLDER), driver_tables.CLOSED_MONTH, driver_tables.TODAY, PARAMS
 
 
 def rules(spark, *given):
@@ -137,6 +147,55 @@ def test_snapshot_guard_keeps_the_published_rows(spark, params, tmp_path, rows):
         publish.publish_snapshot(big.drop("producto"), base, params)
 
 
+def test_tables_have_versions_of_their_own(spark, params, tmp_path):
+    base = str(tmp_path / "pub")
+    big = table(spark, *[{"producto": f"P{i}", "id": i} for i in range(10)]).withColumn("prioridad_cd", F.lit(1))
+    sold = spark.createDataFrame([("P", "T", "202601", 1.0)] * 40, S.MONTHLY_SALES)
+    assert publish.publish_snapshot(big, base, params) == 10
+    assert publish.replace_table(sold, base, "venta_mensual", ("producto",)) == 40
+    assert publish.read_current(spark, base, "sugerido").count() == 10
+    assert publish.publish_snapshot(big.filter("id < 8"), base, params) == 8
+    assert publish.current_version(spark, base) == (2, 8)
+    assert publish.current_version(spark, base, "venta_mensual") == (1, 40)
+    assert publish.read_current(spark, base, "venta_mensual").count() == 40
+    with pytest.raises(FileNotFoundError):
+        publish.read_current(spark, base, "stock")
+
+
+def test_a_taken_version_is_refused(spark, params, tmp_path, monkeypatch):
+    base = str(tmp_path / "pub")
+    big = table(spark, *[{"producto": f"P{i}", "id": i} for i in range(10)]).withColumn("prioridad_cd", F.lit(1))
+    publish.publish_snapshot(big, base, params)
+    seen = publish.current_version(spark, base)
+    publish.publish_snapshot(big.filter("id < 9"), base, params)
+    monkeypatch.setattr(publish, "current_version", lambda *_: seen)  # a publisher that looked before the other was done
+    with pytest.raises(publish.VersionTakenError):
+        publish.publish_snapshot(big, base, params)
+    monkeypatch.undo()
+    assert publish.read_current(spark, base, "sugerido").count() == 9
+
+
+def test_a_failed_attempt_leaves_the_published_rows(spark, params, tmp_path):
+    base = str(tmp_path / "pub")
+    big = table(spark, *[{"producto": f"P{i}", "id": i} for i in range(10)]).withColumn("prioridad_cd", F.lit(1))
+    publish.publish_snapshot(big, base, params)
+    broken = big.withColumn("descripcion", F.when(F.col("id") == 5, F.raise_error(F.lit("lost"))).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        publish.publish_snapshot(broken, base, params)
+    assert publish.read_current(spark, base, "sugerido").count() == 10
+
+
+def test_engine_output_is_published_and_listed(spark, params, tmp_path, rows):
+    base = str(tmp_path / "pub")
+    made = serving.from_contract(contract(run_pipeline(*inputs(spark)), PARAMS))
+    count = publish.publish_snapshot(made, base, PARAMS)
+    read = publish.read_current(spark, base, "sugerido")
+    assert count == made.count() == read.select("id").distinct().count() > 0
+    some = [r.id for r in read.limit(3).collect()]
+    assert [r.id for r in serving.list_by_ids(read, some).collect()] == some
+    assert publish.read_current(spark, base, "dim_producto").count() == read.select("producto").distinct().count()
+
+
 def test_other_tables_are_replaced(spark, tmp_path):
     base = str(tmp_path / "ventas")
     df = spark.createDataFrame([("P", "T", "202601", 1.0), ("P", "T", None, 1.0)], S.MONTHLY_SALES)
