@@ -272,6 +272,21 @@ BODIES = {
     "views_cd": "SELECT producto, sucursal_id FROM ped WHERE sucursal_id = 'NATION_0'",
     "views_distribucion": f"SELECT producto, sucursal_id FROM vis WHERE sucursal_id <> 'NATION_0' AND {VIA_CD} AND (sugerido_traslado > 0 OR total_sugerido_suc > 0)",
     "suggestion_page": f"SELECT producto, sucursal_id, costo_unitario FROM vis {page('costo_unitario ASC NULLS LAST, producto, sucursal_id', 80, 40)}",
+    "suggestion_total": "SELECT count(*) AS total FROM ped",
+    "list_search_total": """WITH pag AS (SELECT * FROM vis WHERE producto ILIKE '%x1%' OR descripcion ILIKE '%x1%' OR nombre_sucursal ILIKE '%x1%' OR proveedor ILIKE '%x1%' OR filtro1_final ILIKE '%x1%'
+            OR tipo_origen ILIKE '%x1%' OR clasificacion_abc ILIKE '%x1%' OR abastece_cd ILIKE '%x1%'),
+          mq AS (SELECT * FROM act WHERE u > 0 AND producto ILIKE '%x1%'),
+          visto AS (SELECT * FROM pag ORDER BY total_sugerido_suc DESC NULLS LAST, producto, sucursal_id LIMIT 30)
+        SELECT (SELECT count(*) FROM pag) + (SELECT count(*) FROM mq m WHERE NOT EXISTS (SELECT 1 FROM visto v WHERE v.producto = m.producto AND v.sucursal_id = m.sucursal_id))
+             + (SELECT count(*) FROM ctg WHERE (producto ILIKE '%x1%' OR glosa ILIKE '%x1%') AND producto NOT IN (SELECT producto FROM sgx) AND producto NOT IN (SELECT producto FROM mq)) AS total""",
+    "published": """SELECT CAST('0x' || substr(md5("Producto" || '|' || "SucursalID"), 1, 15) AS BIGINT) AS id, "Producto" AS producto, "SucursalID" AS sucursal_id, total_sugerido_suc,
+        CAST(round_even("LT Efectivo", 0) AS BIGINT) AS lt_efectivo, "Pedir" AS pedir FROM plan""",
+    "catalogue_total": "SELECT count(*) AS total FROM ctg WHERE (producto ILIKE '%red%' OR glosa ILIKE '%red%') AND procedencia = 'NACIONAL' AND stock_total > 0",
+    "recurring_events": """SELECT 'recurrente_aplicada' AS accion, c.id AS entidad_id, producto, sucursal_id, unidades, 'Ejecucion automatica: ' || coalesce(n, 0) || ' instancia(s) creada(s)' AS detalle
+        FROM corren c LEFT JOIN (SELECT regla, count(*) AS n FROM nuevas WHERE unidades > 0 GROUP BY regla) n ON n.regla = c.id""",
+    "expired_event": f"""SELECT 'expiradas_archivadas' AS accion, 'sugerencia_manual' AS entidad, 'Vencimiento automatico: ' || count(*) || ' sugerencia(s) manual(es) archivada(s)' AS detalle
+        FROM man WHERE NOT archivada AND expira_en <= {NOW} HAVING count(*) > 0""",
+    "audit_total": "SELECT count(*) AS total FROM aud WHERE accion NOT IN ('error', 'click')",
     "manual_active": "SELECT producto, sucursal_id, CAST(u AS BIGINT) AS manual FROM act WHERE u > 0",
     "list_with_manual": "SELECT producto, sucursal_id, total_sugerido_suc, sugerido_compra_neto, round(total_valor_sugerido_clp, 2) AS total_valor_sugerido_clp, pedir, pedir_flag FROM conman",
     "list_search": f"""WITH pag AS (SELECT * FROM vis WHERE producto ILIKE '%x1%' OR descripcion ILIKE '%x1%' OR nombre_sucursal ILIKE '%x1%' OR proveedor ILIKE '%x1%' OR filtro1_final ILIKE '%x1%'

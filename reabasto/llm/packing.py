@@ -19,6 +19,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from reabasto.llm.common import stage
 
 CAPACITY = 4096
 END = 1
-CACHE_PARTS = 600_000
+CACHE_PARTS = 400_000  # in a generation
+MARKS = ".,;:!?"
 PIECE = "_id {id}, piece int, start long, length long, ids_crc32 long, _block int, _number long"
 
 
@@ -109,17 +111,15 @@ def _three(there: list[int], counts: list[int], top: int, room: int) -> bool:
 
 def _best_two(there: list[int], counts: list[int], top: int, room: int) -> int:
     """The most that two pieces beside one of length `top` can weigh within the room."""
-    best, low, high = 0, 0, bisect_left(there, room) - 1
-    free = lambda l: counts[l] - (l == top)
+    free = {l: counts[l] - (l == top) for l in there[: bisect_left(there, room)]}
+    lengths = [l for l, n in free.items() if n > 0]
+    best, low, high = 0, 0, len(lengths) - 1
     while low <= high:
-        a, b = there[low], there[high]
-        if a + b > room:
+        weight = lengths[low] + lengths[high]
+        if weight > room or (low == high and free[lengths[low]] < 2):
             high -= 1
         else:
-            if free(a) > 0 and free(b) > 0 and (low != high or free(a) > 1):
-                best = max(best, a + b)
-            elif free(b) > 1 and 2 * b <= room:
-                best = max(best, 2 * b)
+            best = max(best, weight)
             low += 1
     return best
 
@@ -183,37 +183,95 @@ def runs(bins: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarray]
     return {l: np.array(rows, dtype=np.int64) for l, rows in found.items()}
 
 
-def token_bytes(texts: list[str], tokenizer, cache: dict[str, bytes]) -> Iterator[bytes]:
-    """Ids of each text as 32-bit words.
+class Words:
+    """Ids of texts as 32-bit words of bytes, by way of their blank-separated parts.
 
-    The vocabulary splits at white space before anything else, so a text's ids are those of its
-    blank-separated parts; a bounded cache of parts saves most of the work.
+    The vocabulary splits at white space before anything else, so a text's ids are those of its parts.
+    Ids of parts are remembered in two generations of bounded size, so that frequent parts stay. New
+    parts that are letters only, but for marks behind, are looked up many at a time: the letters
+    are one word there and the marks another, and each word's last id is one that ends a word.
     """
-    for at in range(0, len(texts), 64):
-        split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 64]]
-        parts = set().union(*split)
-        new = [p for p in parts if p not in cache]
-        if len(cache) + len(new) > CACHE_PARTS:
-            cache.clear()
-            new = list(parts)
-        for part, made in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[part] = array("I", made.ids).tobytes()
-        for parts in split:
-            yield b"".join(map(cache.__getitem__, parts))
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a text that holds their strings is ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(some):  # a letter that falls apart into more than letters
+                found += self._plain(some)
+                continue
+            data, first = ids.tobytes(), 0
+            for last in ends.tolist():
+                found.append(data[first:last])
+                first = last
+        return found
+
+    def learn(self, parts: set[str]) -> None:
+        """Makes sure that the parts are remembered."""
+        if len(self.now) > CACHE_PARTS:
+            self.now, self.old = {}, self.now
+        now, old, stops = self.now, self.old, self.stops
+        words, others, stopped = [], [], []
+        for part in parts - now.keys():
+            if part in old:
+                now[part] = old[part]
+            elif part.isalpha():
+                words.append(part)
+            elif (word := part.rstrip(MARKS)).isalpha():
+                stopped.append((part, word))
+            else:
+                others.append(part)
+        bare = {word for _, word in stopped}.difference(now, words)
+        words.extend(bare)
+        now.update(zip(words, self._letters(words), strict=True))
+        now.update(zip(others, self._plain(others), strict=True))
+        for part, word in stopped:
+            if not word.isascii() and self.ends[np.frombuffer(now[word], dtype=np.uint32)].sum() != 1:
+                now[part] = self._plain([part])[0]  # it ends in a mark that the next ones join
+                continue
+            mark = part[len(word) :]
+            if mark not in stops:
+                stops[mark] = self._plain([mark])[0]
+            now[part] = now[word] + stops[mark]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 256):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            self.learn(set().union(*split))
+            for parts in split:
+                yield b"".join(map(self.now.__getitem__, parts))
+
+
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One per worker, which keeps it from task to task."""
+    return Words(path)
 
 
 def _pieces(tokenizer_path: str, capacity: int, end: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # a text that holds their strings is ordinary text
-        block, numbers, cache = TaskContext.get().partitionId(), {}, {}
+        words, block, numbers = words_of(tokenizer_path), TaskContext.get().partitionId(), {}
         last = array("I", [end]).tobytes()
         for batch in batches:
             rows = []
             texts = ["" if t is None else t for t in batch["_text"]]
-            for doc, ids in zip(batch["_id"], token_bytes(texts, tokenizer, cache), strict=True):
+            for doc, ids in zip(batch["_id"], words.ids(texts), strict=True):
                 ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -221,9 +279,7 @@ def _pieces(tokenizer_path: str, capacity: int, end: int):
                     number = numbers.get(length, 0)
                     numbers[length] = number + 1
                     rows.append((doc, piece, at // 4, length, zlib.crc32(part), block, number))
-            yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "_block", "_number"]).astype(
-                {"_id": batch["_id"].dtype}
-            )
+            yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "_block", "_number"])
 
     return cut
 

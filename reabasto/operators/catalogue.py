@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reabasto.functions.columns import side_by_side
 from reabasto.functions.text import like_any
-from reabasto.operators.serving import page_of, sort_keys
+from reabasto.operators.serving import page_of, placed_page, sort_keys
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,15 @@ def catalogue_list(
     limit: int = 100,
     sort: str | None = None,
 ) -> DataFrame:
+    """One page in the order asked for, with the stock of the branches."""
     keys = sort_keys(sort, catalogue.columns, "producto", ("producto",))
-    return _with_stock(page_of(filter_catalogue(catalogue, f), keys, page, limit), stock)
+    shown = placed_page(filter_catalogue(catalogue, f), keys, page, limit)
+    return _with_stock(shown, stock).orderBy("pos").drop("pos")
+
+
+def catalogue_total(catalogue: DataFrame, f: CatalogueFilters) -> DataFrame:
+    """How many products all pages of `catalogue_list` hold."""
+    return filter_catalogue(catalogue, f).agg(F.count(F.lit(1)).alias("total"))
 
 
 def catalogue_detail(catalogue: DataFrame, stock: DataFrame, product: str) -> DataFrame:

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reabasto.functions.columns import is_true
+from reabasto.functions.columns import is_true, side_by_side
 from reabasto.functions.text import like_any
 from reabasto.operators.serving import (
     PAIR,
     Filters,
     enrich_replacements,
     filter_suggestions,
+    placed_suggestions,
     rule_stock_without_sale,
     suggestion_page,
 )
@@ -115,10 +118,11 @@ def list_suggestions(
     sort: str | None = None,
 ) -> DataFrame:
     """One page with manual units; a search also appends manual-only and catalogue-only
-    rows, on every page. `origen` tells the three kinds apart."""
+    rows, on every page. `origen` tells the three kinds apart, and they come in that order, the
+    first as sorted, the others by product and branch."""
     text = (f.q or "").strip() or None
     units = active_manual_units(manual, now, text)
-    shown = suggestion_page(rows, f, params, page, limit, sort)
+    shown = placed_suggestions(rows, f, params, page, limit, sort)
     listed = add_manual(shown, units).withColumn("origen", F.lit("sugerido"))
     if text:
         listed = listed.unionByName(
@@ -126,7 +130,37 @@ def list_suggestions(
         ).unionByName(
             catalogue_only_rows(rows, units, catalogue, stock, text), allowMissingColumns=True
         )
-    return rule_stock_without_sale(enrich_replacements(listed, catalogue), monthly_sales, now.date())
+    ruled = rule_stock_without_sale(enrich_replacements(listed, catalogue), monthly_sales, now.date())
+    kind = F.when(F.col("origen") == "sugerido", 0).when(F.col("origen") == "manual", 1).otherwise(2)
+    return ruled.orderBy(kind, "pos", *PAIR).drop("pos")
+
+
+def list_total(
+    rows: DataFrame,
+    manual: DataFrame,
+    catalogue: DataFrame,
+    f: Filters,
+    params: Params,
+    now: datetime,
+    page: int = 1,
+    limit: int = 50,
+    sort: str | None = None,
+) -> DataFrame:
+    """The total that goes with `list_suggestions`: all matching rows, and with a search the manual-only
+    and catalogue-only rows of that page."""
+    text = (f.q or "").strip() or None
+    counts = {"propias": filter_suggestions(rows, f, params)}
+    if text:
+        units = active_manual_units(manual, now, text)
+        shown = suggestion_page(rows, f, params, page, limit, sort)
+        known = rows.select("producto").unionByName(units.select("producto"))
+        matching = catalogue.filter(like_any(text, F.col("producto"), F.col("glosa")))
+        counts |= {
+            "manuales": units.join(shown.select(*PAIR), list(PAIR), "left_anti"),
+            "otros": matching.join(known, "producto", "left_anti"),
+        }
+    total = reduce(add, [F.col(c) for c in counts])
+    return side_by_side(counts).select(total.alias("total"))
 
 
 def list_by_ids_with_manual(

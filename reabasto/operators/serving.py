@@ -122,11 +122,27 @@ def page_of(rows: DataFrame, keys: list[Column], page: int, limit: int) -> DataF
     return rows.orderBy(*keys).offset((page - 1) * limit).limit(limit)
 
 
+def placed_page(rows: DataFrame, keys: list[Column], page: int, limit: int) -> DataFrame:
+    """A page with the place of each row in it, so that its order survives what comes after."""
+    return page_of(rows, keys, page, limit).withColumn("pos", F.row_number().over(Window.orderBy(*keys)))
+
+
+def suggestion_total(rows: DataFrame, f: Filters, params: Params) -> DataFrame:
+    """How many rows all pages of `suggestion_page` hold."""
+    return filter_suggestions(rows, f, params).agg(F.count(F.lit(1)).alias("total"))
+
+
 def suggestion_page(
     rows: DataFrame, f: Filters, params: Params, page: int = 1, limit: int = 50, sort: str | None = None
+) -> DataFrame:
+    return placed_suggestions(rows, f, params, page, limit, sort).orderBy("pos").drop("pos")
+
+
+def placed_suggestions(
+    rows: DataFrame, f: Filters, params: Params, page: int = 1, limit: int = 50, sort: str | None = None
 ) -> DataFrame:
     keys = sort_keys(sort, rows.columns, DEFAULT_SORT, PAIR)
-    return page_of(filter_suggestions(rows, f, params), keys, page, limit)
+    return placed_page(filter_suggestions(rows, f, params), keys, page, limit)
 
 
 def kpis(rows: DataFrame, f: Filters, params: Params) -> DataFrame:
@@ -225,8 +241,7 @@ def list_by_ids(rows: DataFrame, ids: list[int]) -> DataFrame:
     wanted = rows.sparkSession.createDataFrame(
         [(i, place) for place, i in enumerate(ids) if i > 0], "id long, pos int"
     )
-    # The id list comes from the caller's memory, so it is small by nature.
-    return rows.join(F.broadcast(wanted), "id").orderBy("pos")
+    return rows.join(wanted, "id").orderBy("pos")
 
 
 def sales_12m(

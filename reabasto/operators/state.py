@@ -6,6 +6,8 @@ Each operator takes the current table and gives the new one; nothing is changed
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,29 +251,42 @@ def _rule_accepts(params: Params) -> Column:
     )
 
 
+SALTS = 32  # parts that rows are dealt into by pair, so that no key of the join holds them all
+
+
 def _group_targets(rules: DataFrame, rows: DataFrame, params: Params) -> DataFrame:
-    """Pairs of each group rule. Rules meet rows by equality on branch, brand and class; a
-    rule that leaves one open stands under a mark every row also has, so only rows that
-    already agree on all three are paired."""
+    """Pairs of each group rule.
+
+    Rules meet rows by equality on those of branch, brand and class that the rule names. A row
+    stands once for each combination of named columns that some rule has, mostly one or two of
+    the eight, and under a salt of its pair; the few rules are repeated for every salt. So a rule
+    that names nothing meets all rows without a key that they share.
+    """
     wanted = rules.filter(F.col("modo") != "individual").select(
         F.col("id").alias("recurrente_id"),
+        "modo",
         F.col("motivo").alias("motivo"),
         F.col("unidades").alias("unidades_regla"),
         "dias_inventario",
         F.from_json(F.coalesce("filtros", F.lit("{}")), S.FILTERS).alias("f"),
     )
-    def named(name: str) -> Column:
-        values = F.col(f"f.{name}")
-        return F.when(is_true(F.size(values) > 0), F.array_distinct(values)).otherwise(
-            F.array(F.lit(ANY))
-        )
 
-    placed, keyed = wanted, filter_suggestions(rows, Filters(solo_pedir=False), params)
-    for name, column in KEYED.items():
-        placed = placed.withColumn(f"_{name}", F.explode(named(name)))
-        either = F.array_compact(F.array(F.col(column), F.lit(ANY)))
-        keyed = keyed.withColumn(f"_{name}", F.explode(either))
-    met = keyed.join(placed, [f"_{name}" for name in KEYED])
+    def closed(name: str) -> Column:
+        return is_true(F.size(F.col(f"f.{name}")) > 0)
+
+    code = reduce(add, [F.when(closed(n), 1 << i).otherwise(0) for i, n in enumerate(KEYED)])
+    wanted = wanted.withColumn("_code", code)
+    used = wanted.agg(F.collect_set("_code")).scalar()
+    placed = wanted
+    keyed = filter_suggestions(rows, Filters(solo_pedir=False), params).withColumn("_code", F.explode(used))
+    for i, (name, column) in enumerate(KEYED.items()):
+        values = F.when(closed(name), F.array_distinct(F.col(f"f.{name}"))).otherwise(F.array(F.lit(ANY)))
+        placed = placed.withColumn(f"_{name}", F.explode(values))
+        named = F.col("_code").bitwiseAND(F.lit(1 << i)) != 0
+        keyed = keyed.withColumn(f"_{name}", F.when(named, F.col(column)).otherwise(ANY))
+    placed = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*PAIR), F.lit(SALTS)).cast("int"))
+    met = keyed.join(placed, ["_code", *[f"_{name}" for name in KEYED], "_salt"])
     return met.filter(_rule_accepts(params))
 
 
@@ -279,16 +294,18 @@ def recurring_entries(
     rules: DataFrame, rows: DataFrame, today: date, now: datetime, params: Params
 ) -> DataFrame:
     """Manual entries the due rules create: the rule's units, or its stock days times the
-    current daily demand; pairs without demand are left out of day rules."""
+    current daily demand; pairs without demand are left out of day rules. A group rule of no
+    units makes its entries all the same, a single one doesn't."""
     due = due_rules(rules, today)
     single = due.filter(F.col("modo") == "individual").select(
         F.col("id").alias("recurrente_id"),
+        "modo",
         "motivo",
         F.col("unidades").alias("unidades_regla"),
         "dias_inventario",
         *PAIR,
     )
-    columns = ["recurrente_id", "motivo", "unidades_regla", "dias_inventario", *PAIR, "demanda_diaria"]
+    columns = ["recurrente_id", "modo", "motivo", "unidades_regla", "dias_inventario", *PAIR, "demanda_diaria"]
     demand = rows.select(*PAIR, "demanda_diaria")
     targets = (
         single.join(demand, list(PAIR), "left")
@@ -305,7 +322,7 @@ def recurring_entries(
     text = F.lit(None).cast("string")
     return (
         targets.withColumn("unidades", units)
-        .filter("unidades > 0")
+        .filter((F.col("unidades") > 0) | ((F.col("modo") != "individual") & ~by_days & F.col("unidades").isNotNull()))
         .select(
             F.concat_ws(":", "recurrente_id", F.lit(str(today)), *PAIR).alias("id"),
             *PAIR,
@@ -356,6 +373,44 @@ def recurring_counts(
     )
 
 
+def _event(action: str, kind: str, now: datetime) -> list[Column]:
+    return [
+        F.lit(action).alias("accion"),
+        F.lit(kind).alias("entidad"),
+        F.lit("cron").alias("usuario_email"),
+        F.lit(now).alias("creado_en"),
+    ]
+
+
+def recurring_events(
+    rules: DataFrame, rows: DataFrame, today: date, now: datetime, params: Params
+) -> DataFrame:
+    """One audit event per rule that ran, with the number of entries it made."""
+    made = (
+        recurring_entries(rules, rows, today, now, params)
+        .groupBy(F.col("recurrente_id").alias("id"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    count = F.coalesce("n", F.lit(0)).cast("string")
+    return due_rules(rules, today).join(made, "id", "left").select(
+        *_event("recurrente_aplicada", "sugerencia_recurrente", now),
+        F.col("id").alias("entidad_id"),
+        *PAIR,
+        "unidades",
+        "dias_inventario",
+        F.concat(F.lit("Ejecucion automatica: "), count, F.lit(" instancia(s) creada(s)")).alias("detalle"),
+    )
+
+
+def expired_event(manual: DataFrame, now: datetime) -> DataFrame:
+    """The audit event of a cleaning run; none when nothing had expired."""
+    counted = count_expired(manual, now).filter("archivadas > 0")
+    text = F.concat(
+        F.lit("Vencimiento automatico: "), F.col("archivadas").cast("string"), F.lit(" sugerencia(s) manual(es) archivada(s)")
+    )
+    return counted.select(*_event("expiradas_archivadas", "sugerencia_manual", now), text.alias("detalle"))
+
+
 def archive_expired(manual: DataFrame, now: datetime) -> DataFrame:
     """Entries past their limit archived; `count_expired` tells how many that are."""
     return manual.withColumn("archivada", F.col("archivada") | _has_expired(now))
@@ -385,6 +440,11 @@ def audit_page(
     return page_of(audit_rows(log, action, without), keys, page, limit)
 
 
+def audit_total(log: DataFrame, action: str | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """How many events all pages of `audit_page` hold."""
+    return audit_rows(log, action, without).agg(F.count(F.lit(1)).alias("total"))
+
+
 def last_event(log: DataFrame, action: str) -> DataFrame:
     """Time and detail of the newest event of a kind, such as the last synchronisation."""
     newest = F.max(F.struct("creado_en", "id", "detalle"))

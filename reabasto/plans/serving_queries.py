@@ -15,6 +15,7 @@ from reabasto.operators import dims, manual, match, parity, postsale, serving, s
 from reabasto.operators.serving import Filters
 from reabasto.plans import driver_tables as D
 from reabasto.plans import publish
+from reabasto.plans.pipeline import contract, run_pipeline
 from reabasto.sources import catalogue as catalogue_source
 from reabasto.sources import freshness, grid, postsale as sheet, sales, stock, tracking
 
@@ -275,6 +276,24 @@ def suggestion_page(spark, d):
     return page.select(*PAIR, "costo_unitario")
 
 
+@query
+def suggestion_total(spark, d):
+    return serving.suggestion_total(D.suggestions(spark, d), Filters(), P)
+
+
+@query
+def list_search_total(spark, d):
+    return manual.list_total(
+        D.suggestions(spark, d), D.manual(spark, d), D.serving_catalogue(spark, d), Filters(q="x1"), P, D.NOW, limit=30
+    )
+
+
+@query
+def published(spark, d):
+    rows = run_pipeline(D.sources(spark, d), D.CLOSED_MONTH, D.TODAY, P)
+    return serving.from_contract(contract(rows, P)).select("id", *PAIR, "total_sugerido_suc", "lt_efectivo", "pedir")
+
+
 @query
 def manual_active(spark, d):
     return manual.active_manual_units(D.manual(spark, d), D.NOW)
@@ -437,6 +456,12 @@ def catalogue_list(spark, d):
     return made.select("producto", "glosa", "costo", "stock_total")
 
 
+@query
+def catalogue_total(spark, d):
+    f = catalogue_ops.CatalogueFilters(q="red", procedencia=("NACIONAL",), con_stock=True)
+    return catalogue_ops.catalogue_total(D.serving_catalogue(spark, d), f)
+
+
 @query
 def catalogue_detail(spark, d):
     made = catalogue_ops.catalogue_detail(D.serving_catalogue(spark, d), D.unified_stock(spark, d), "11 Brand#2")
@@ -692,6 +717,22 @@ def recurring_counts(spark, d):
     return state.recurring_counts(D.rules(spark, d), D.suggestions(spark, d), D.NOW.date(), D.NOW, P)
 
 
+@query
+def recurring_events(spark, d):
+    made = state.recurring_events(D.rules(spark, d), D.suggestions(spark, d), D.NOW.date(), D.NOW, P)
+    return made.select("accion", "entidad_id", *PAIR, "unidades", "detalle")
+
+
+@query
+def expired_event(spark, d):
+    return state.expired_event(D.manual(spark, d), D.NOW).select("accion", "entidad", "detalle")
+
+
+@query
+def audit_total(spark, d):
+    return state.audit_total(D.audit_log(spark, d), without=("error", "click"))
+
+
 @query
 def expire_manual(spark, d):
     return state.archive_expired(D.manual(spark, d), D.NOW).select("id", "archivada")

@@ -19,7 +19,7 @@ ANSWERS = {**engine.oracles(), **serving.oracles()}
 INSIDE_CONTRACT = {
     "buy_at_cd", "cd_sources", "cd_synthetic", "company_flag", "cost_value", "deduced_supplier",
     "lateral_text", "lead_time", "months_with_sale", "net_purchase", "safety_stock", "stock_pivot",
-    "suggestion", "transfers",
+    "suggestion", "transfers", "published",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
