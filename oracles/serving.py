@@ -217,6 +217,15 @@ BODIES = {
         CASE WHEN l_suppkey % 3 < 2 THEN n_name END AS sucursal_id, round(l_extendedprice, 2) AS stock,
         CASE WHEN l_linenumber > 3 THEN 'M' END AS origen FROM lin""",
     "upload_ignored": """SELECT * FROM (VALUES ('stock_0', 'Nota'), ('stock_2', 'otro %'), ('stock_2', 'Codigo-Producto')) t(archivo, columna) WHERE EXISTS (SELECT 1 FROM region)""",
+    "upload_suggestions": """SELECT CASE WHEN id % 2 = 0 THEN 'sugerido_a' ELSE 'sugerido_b' END AS archivo, producto, sucursal_id,
+        CASE WHEN id % 2 = 0 THEN round(total_sugerido_suc, 2) END AS total_sugerido_suc, CASE WHEN id % 2 = 0 THEN es_importado END AS es_importado,
+        CASE WHEN id % 2 = 0 THEN CAST(lt_efectivo AS BIGINT) END AS lt_efectivo, CASE WHEN id % 2 = 0 THEN filtro1_final END AS filtro1_final,
+        CASE WHEN id % 2 = 1 THEN clasificacion_abc END AS clasificacion_abc, CASE WHEN id % 2 = 1 THEN round(total_valor_sugerido_clp, 2) END AS total_valor_sugerido_clp FROM sgx""",
+    "upload_sales": "SELECT producto, sucursal_id, mes, cantidad FROM vm",
+    "border_report": """SELECT producto AS "Producto", sucursal AS "SUCURSAL", tipo_venta AS "TipoVenta", fecha AS "Fecha", cantidad AS "CantidadAjustada", fuente AS "Fuente" FROM ventas_b""",
+    "tracking_reports": """SELECT producto AS "Producto", sucursal AS "SucursalID", razon AS "RazonSocial", CASE WHEN o = 2 THEN fecha_doc ELSE fecha_oc END AS "FechaOC", noc AS "NOC", origen AS "Origen", motivo AS "Motivo" FROM seg""",
+    "mix_report": """SELECT g.producto AS "Producto", jefe AS "Producto_Master" FROM grupo g JOIN cabeza c ON c.master = g.master""",
+    "sales_with_history": """SELECT producto AS "Producto", sucursal AS "SUCURSAL", tipo_venta AS "TipoVenta", fecha AS "Fecha", cantidad AS "CantidadAjustada", fuente AS "Fuente" FROM ventas_m""",
     "stock_by_branch_map": """SELECT producto AS "Producto", CASE WHEN s_nationkey < 20 THEN n_name ELSE 'DESCONOCIDO' END AS "SucursalID",
         CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) END AS "Stock", ' -' AS "Costo" FROM lin WHERE l_partkey % 50 <> 0""",
     "border_extract": """SELECT strftime(o_orderdate, '%Y%m') AS "Periodo", docto AS "Documento", o_orderkey AS numero, CAST(o_orderdate AS DATE) AS fecha, CAST(p_partkey AS VARCHAR) AS producto,
@@ -349,6 +358,7 @@ BODIES = {
     "list_branches": """SELECT sucursal_id, (arg_min({'x': nombre_sucursal}, (id, producto))).x AS nombre, (arg_min({'x': abastece_cd}, (id, producto))).x AS abastece_desde_cd,
         CAST(substr(sucursal_id, 8, 3) AS INTEGER) AS prioridad_cd FROM sgx GROUP BY sucursal_id""",
     "postventa_summary": "SELECT periodo, sucursal, round(total_clp, 2) AS total_clp, total_unidades, n_lineas FROM resumen",
+    "postventa_summary_stored": "SELECT periodo, sucursal, round(total_clp, 2) AS total_clp, total_unidades, n_lineas FROM resumen",
     "periods": "SELECT DISTINCT periodo FROM resumen",
     "sales_kpis": """SELECT periodo, round(clp, 2) AS clp, unidades, n_lineas, pa AS periodo_anterior, round(ca, 2) AS clp_anterior, ua AS unidades_anterior, la AS n_lineas_anterior,
         round((clp - ca) / ca * 100, 2) AS var_clp_pct, round((unidades - ua) / ua * 100, 2) AS var_unidades_pct

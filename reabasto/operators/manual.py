@@ -8,6 +8,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reabasto.functions.columns import is_true, side_by_side
 from reabasto.functions.text import like_any
@@ -18,6 +19,7 @@ from reabasto.operators.serving import (
     filter_suggestions,
     placed_suggestions,
     rule_stock_without_sale,
+    suggestion_condition,
     suggestion_page,
 )
 from reabasto.params import Params
@@ -204,42 +206,47 @@ def cart_lines(
     Products that only manual entries ask for stand under a label of their own, unless the
     filters narrow supplier, brand, origin or class.
     """
-    active = manual.filter(is_active(now))
-    units = active.groupBy(*PAIR).agg(F.sum("unidades").alias("manual"))
+    units = manual.filter(is_active(now)).groupBy(*PAIR).agg(F.sum("unidades").alias("manual"))
     quantity = F.coalesce("sugerido_compra_neto", "total_sugerido_suc", F.lit(0.0)) + F.coalesce(
         "manual", F.lit(0)
     )
-    bought = (
-        filter_suggestions(rows, f, params)
-        .filter(F.col("proveedor").isNotNull())
-        .join(units, list(PAIR), "left")
+    bought = is_true(suggestion_condition(f, params)) & F.col("proveedor").isNotNull()
+
+    def of_bought(column: Column) -> Column:
+        return F.when(bought, column)
+
+    # every product keeps a row, bought or not, to tell which ones only manual entries ask for
+    lines = (
+        rows.join(units, list(PAIR), "left")
         .groupBy("proveedor", "producto")
         .agg(
-            F.max("descripcion").alias("descripcion"),
-            F.max("clasificacion_abc").alias("clasificacion_abc"),
-            F.max("costo_unitario").alias("costo_unitario"),
-            F.sum(quantity).alias("cantidad"),
+            F.max(of_bought(F.col("descripcion"))).alias("descripcion"),
+            F.max(of_bought(F.col("clasificacion_abc"))).alias("clasificacion_abc"),
+            F.max(of_bought(F.col("costo_unitario"))).alias("costo_unitario"),
+            F.sum(of_bought(quantity)).alias("cantidad"),
         )
-        .filter("cantidad > 0")
     )
     if not (f.proveedor or f.filtro1 or f.tipo_origen or f.abc):
-        asked = (
-            active.groupBy("producto").agg(F.sum("unidades").cast("double").alias("cantidad"))
-        ).filter("cantidad > 0")
-        alone = (
-            asked.join(rows.select("producto").distinct(), "producto", "left_anti")
-            .join(_catalogue_rows(catalogue), "producto", "left")
+        asked = units.groupBy("producto").agg(F.sum("manual").cast("double").alias("pedidas"))
+        both = lines.withColumn("propio", F.lit(True)).unionByName(asked, allowMissingColumns=True)
+        listed = F.max("propio").over(Window.partitionBy("producto"))
+        lines = both.withColumn("propio", F.coalesce("propio", F.lit(False))).withColumn("listado", listed)
+        alone = ~F.col("listado") & (F.col("pedidas") > 0)
+        lines = (
+            lines.filter(alone | (F.col("propio") & (F.col("cantidad") > 0)))
+            .join(_catalogue_rows(catalogue).select("producto", F.col("descripcion").alias("_glosa"), F.col("costo_unitario").alias("_costo")), "producto", "left")
             .select(
-                F.lit(params.no_supplier_label).alias("proveedor"),
+                F.when(alone, F.lit(params.no_supplier_label)).otherwise(F.col("proveedor")).alias("proveedor"),
                 "producto",
-                "descripcion",
-                F.lit(None).cast("string").alias("clasificacion_abc"),
-                F.nullif(F.col("costo_unitario"), F.lit(0.0)).alias("costo_unitario"),
-                "cantidad",
+                F.when(alone, F.col("_glosa")).otherwise(F.col("descripcion")).alias("descripcion"),
+                "clasificacion_abc",
+                F.when(alone, F.nullif(F.col("_costo"), F.lit(0.0))).otherwise(F.col("costo_unitario")).alias("costo_unitario"),
+                F.when(alone, F.col("pedidas")).otherwise(F.col("cantidad")).alias("cantidad"),
             )
         )
-        bought = bought.unionByName(alone)
-    return bought.withColumn(
+    else:
+        lines = lines.filter("cantidad > 0")
+    return lines.withColumn(
         "subtotal_clp", F.col("cantidad") * F.coalesce("costo_unitario", F.lit(0.0))
     )
 

@@ -29,17 +29,21 @@ def _cell(place: int | None) -> Column:
 
 
 def postventa_summary(rows: DataFrame, headers: list[str]) -> DataFrame:
-    """Amount, units and lines per month and branch; rows without a month are left out."""
+    """Amount, units and lines per month and branch of stored rows; rows without a month are left out."""
+    return summarise_cells(rows.select("periodo", "sucursal", _cells().alias("valores")), headers)
+
+
+def summarise_cells(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """The same from the cells as they are loaded, without a way through their stored text."""
     amount = sheet_index(headers, "total_neta", "neto", "total")
     units = sheet_index(headers, "cantidad", "items")
 
     def total(place: int | None) -> Column:
-        cell = F.lit(None).cast("string") if place is None else F.get("_c", F.lit(place))
+        cell = F.lit(None).cast("string") if place is None else F.get("valores", F.lit(place))
         return F.coalesce(F.sum(T.upload_number(cell)), F.lit(0.0))
 
     return (
         rows.filter(F.col("periodo").isNotNull())
-        .select("periodo", "sucursal", _cells().alias("_c"))
         .groupBy("periodo", "sucursal")
         .agg(
             total(amount).alias("total_clp"),

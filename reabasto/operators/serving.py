@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, fields
 from datetime import date, datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,12 +84,12 @@ def view_condition(view: str, params: Params) -> Column:
     return F.lit(True)
 
 
-def filter_suggestions(rows: DataFrame, f: Filters, params: Params) -> DataFrame:
-    """All restrictions of `f`. A text search switches off the order, national and view
-    restrictions, so that every match shows."""
-    kept = rows.filter(_visible(params))
+def suggestion_condition(f: Filters, params: Params) -> Column:
+    """All restrictions of `f` as one condition. A text search switches off the order, national
+    and view restrictions, so that every match shows."""
+    wanted = [_visible(params)]
     if f.searching:
-        kept = kept.filter(like_any(f.q, *[F.col(c) for c in SEARCHED]))
+        wanted.append(like_any(f.q, *[F.col(c) for c in SEARCHED]))
     lists = {
         "nombre_sucursal": f.sucursales,
         "clasificacion_abc": f.abc,
@@ -95,18 +97,20 @@ def filter_suggestions(rows: DataFrame, f: Filters, params: Params) -> DataFrame
         "tipo_origen": f.tipo_origen,
         "proveedor": f.proveedores,
     }
-    for column, values in lists.items():
-        if values:
-            kept = kept.filter(F.col(column).isin(*values))
+    wanted += [F.col(column).isin(*values) for column, values in lists.items() if values]
     if f.proveedor:
-        kept = kept.filter(like_any(f.proveedor, F.col("proveedor")))
-    if f.searching:
-        return kept
-    if f.solo_pedir:
-        kept = kept.filter(F.lower("pedir") == "si")
-    if f.solo_nacionales:
-        kept = kept.filter(~is_true(F.col("es_importado")))
-    return kept.filter(view_condition((f.vista or "todas").lower(), params))
+        wanted.append(like_any(f.proveedor, F.col("proveedor")))
+    if not f.searching:
+        if f.solo_pedir:
+            wanted.append(F.lower("pedir") == "si")
+        if f.solo_nacionales:
+            wanted.append(~is_true(F.col("es_importado")))
+        wanted.append(view_condition((f.vista or "todas").lower(), params))
+    return reduce(and_, wanted)
+
+
+def filter_suggestions(rows: DataFrame, f: Filters, params: Params) -> DataFrame:
+    return rows.filter(suggestion_condition(f, params))
 
 
 def sort_keys(sort: str | None, columns: list[str], default: str, ties: tuple[str, ...]) -> list[Column]:

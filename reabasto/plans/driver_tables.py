@@ -716,3 +716,81 @@ def mix_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("l_shipdate").alias("Fecha"),
         F.col("l_quantity").cast("long").alias("Cantidad"),
     )
+
+
+# Reports and uploads as grids
+
+
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def _grid(spark: SparkSession, sf_dir: str, rows: DataFrame, name: str, fila: Column, at: int, cells: dict[str, Column]) -> DataFrame:
+    """Rows as one report file: titles, a header row at place `at`, then the cells under their headers."""
+    tops = table(spark, sf_dir, "region").filter("r_regionkey < 2").select(
+        F.lit(name).alias("archivo"),
+        F.when(F.col("r_regionkey") == 0, at).otherwise(0).cast("long").alias("fila"),
+        F.when(F.col("r_regionkey") == 0, F.array(*[F.lit(h) for h in cells]))
+        .otherwise(F.array(F.lit("Informe"), *[F.lit(None).cast("string")] * (len(cells) - 1)))
+        .alias("celdas"),
+    )
+    if at == 0:  # an upload has nothing above its header
+        tops = tops.filter(F.size(F.array_compact("celdas")) == len(cells))
+    return tops.unionByName(rows.select(F.lit(name).alias("archivo"), (fila + 100).alias("fila"), F.array(*cells.values()).alias("celdas")))
+
+
+def border_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Border sales as their report delivers them."""
+    rows = raw_sales_border(spark, sf_dir).withColumns(
+        {"fecha": F.date_format("fecha", "dd/MM/yyyy"), "cantidad": F.concat(_text("cantidad"), F.lit(".0"))}
+    )
+    headers = {"Docto-Emitido": "Docto-Emitido", "cantidad": "Cantidad", "SUCURSAL": "Sucursal", "producto": "PRODUCTO", "fecha": "fecha",
+               "Documento": "documento", "Tipo-Venta": "Tipo Venta", "tipoproducto": "tipoproducto"}
+    cells = {h: F.col(f"`{c}`") for c, h in headers.items()}
+    return _grid(spark, sf_dir, rows, "frontera", F.monotonically_increasing_id(), 50, cells)
+
+
+def tracking_grid(spark: SparkSession, sf_dir: str, kind: int, headers: dict[str, str]) -> DataFrame:
+    """Orders of one origin as its report delivers them; the border report has no order number."""
+    rows = raw_tracking(spark, sf_dir).filter(F.col("origen") == kind)
+    made = {
+        c: F.date_format(c, "yyyy-MM-dd") if tracking_source.TYPES.get(c) == "date" else _text(c)
+        for c in headers
+    }
+    if kind == 2:
+        made["NOC"] = F.lit(None).cast("string")
+    cells = {headers[c]: v for c, v in made.items() if not (kind == 2 and c == "FechaOC")}
+    return _grid(spark, sf_dir, rows, f"seguimiento_{kind}", F.monotonically_increasing_id(), 7, cells)
+
+
+def mix_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = {"Reem1": F.col("Reem1"), "Nota": F.lit("x"), "producto": F.col("Producto"), "REEM3": F.col("Reem3"), "Reem2": F.col("Reem2")}
+    return _grid(spark, sf_dir, mix(spark, sf_dir), "mix", F.monotonically_increasing_id(), 44, cells)
+
+
+def _local(column: str) -> Column:
+    return F.translate(F.format_number(column, 2), ",.", ".,")
+
+
+def suggestion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestion uploads of two layouts."""
+    rows, even = suggestions(spark, sf_dir), F.col("id") % 2 == 0
+    flag = F.when(F.col("es_importado"), " SÍ").when(~F.col("es_importado"), "no").otherwise("")
+    one = {"Código": F.col("producto"), "Sucursal": F.col("sucursal_id"), "Total Sugerido": _local("total_sugerido_suc"),
+           "Es Importado?": flag, "LT Efectivo": F.concat(_text("lt_efectivo"), F.lit(",4")), "Marca": F.col("filtro1_final")}
+    two = {"ABC": F.col("clasificacion_abc"), "valor sugerido (CLP)": F.concat(F.lit("$ "), _local("total_valor_sugerido_clp")),
+           "SucursalID": F.concat(F.lit(" "), "sucursal_id"), "Producto": F.col("producto"), "Otra": F.lit("x")}
+    return _grid(spark, sf_dir, rows.filter(even), "sugerido_a", F.col("id"), 0, one).unionByName(
+        _grid(spark, sf_dir, rows.filter(~even), "sugerido_b", F.col("id"), 0, two)
+    )
+
+
+def sales_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sales uploads of two layouts."""
+    rows, even = monthly_sales(spark, sf_dir), F.length("producto") % 2 == 0
+    one = {"Codigo": F.col("producto"), "Periodo": F.col("mes"), "Sucursal": F.col("sucursal_id"), "Unidades": _local("cantidad")}
+    two = {"ventas": _text("cantidad"), "Año-Mes": F.lit(""), "MES": F.col("mes"), "Nombre Sucursal": F.col("sucursal_id"), "producto": F.col("producto")}
+    number = F.monotonically_increasing_id()
+    return _grid(spark, sf_dir, rows.filter(even), "ventas_a", number, 0, one).unionByName(
+        _grid(spark, sf_dir, rows.filter(~even), "ventas_b", number, 0, two)
+    )

@@ -84,6 +84,46 @@ def upload_ignored(spark, d):
     return grid.ignored_headers(D.upload_grid(spark, d), V.STOCK_ALIASES)
 
 
+@query
+def upload_suggestions(spark, d):
+    made = grid.conform_uploads(D.suggestion_grid(spark, d), V.SUGGESTION_ALIASES)
+    kept = made.select(
+        "archivo", *PAIR, "total_sugerido_suc", "es_importado", "lt_efectivo", "filtro1_final", "clasificacion_abc", "total_valor_sugerido_clp"
+    )
+    return rounded(kept, "total_valor_sugerido_clp")
+
+
+@query
+def upload_sales(spark, d):
+    made = grid.conform_uploads(D.sales_grid(spark, d), V.SALES_ALIASES)
+    return publish.monthly_sales_rows(made)
+
+
+@query
+def border_report(spark, d):
+    return sales.normalize_sales_border(sales.read_border_sales(D.border_grid(spark, d)), P)
+
+
+@query
+def tracking_reports(spark, d):
+    return tracking.union_tracking(
+        tracking.normalize_tracking_national(tracking.read_tracking_national(D.tracking_grid(spark, d, 0, V.REPORT_TRACKING_NATIONAL)), P),
+        tracking.normalize_tracking_imported(tracking.read_tracking_imported(D.tracking_grid(spark, d, 1, V.REPORT_TRACKING_IMPORTED)), P),
+        tracking.normalize_tracking_border(tracking.read_tracking_border(D.tracking_grid(spark, d, 2, V.REPORT_TRACKING_BORDER)), P),
+    )
+
+
+@query
+def mix_report(spark, d):
+    return dims.master_map(sales.read_mix(D.mix_grid(spark, d)), D.mix_sales(spark, d), D.CLOSED_MONTH, P)
+
+
+@query
+def sales_with_history(spark, d):
+    raw, since = D.raw_sales_main(spark, d), F.lit(date(1999, 7, 1))
+    return sales.normalize_sales_main(raw.filter(F.col("Fecha") >= since), P, raw.filter(F.col("Fecha") < since))
+
+
 @query
 def stock_by_branch_map(spark, d):
     raw = D.lines(spark, d).select(
@@ -171,7 +211,12 @@ def _sheet(spark, d):
 
 
 def _summary(spark, d):
-    return postsale.postventa_summary(_sheet(spark, d), D.SHEET_HEADERS)
+    return postsale.summarise_cells(sheet.sheet_cells(D.raw_sheet(spark, d), D.SHEET_HEADERS), D.SHEET_HEADERS)
+
+
+@query
+def postventa_summary_stored(spark, d):
+    return rounded(postsale.postventa_summary(_sheet(spark, d), D.SHEET_HEADERS), "total_clp")
 
 
 @query

@@ -25,6 +25,11 @@ def _sheet_key(header: str) -> str:
 def load_postventa(raw: DataFrame, headers: list[str]) -> DataFrame:
     """Schema-less sheet rows (`valores array<string>`): padded or cut to the header width,
     period and branch taken out, the rest stored as a JSON array."""
+    return sheet_cells(raw, headers).withColumn("datos", F.to_json("valores")).drop("valores")
+
+
+def sheet_cells(raw: DataFrame, headers: list[str]) -> DataFrame:
+    """The same rows with their cells still in `valores`, for what is summed while loading."""
     width = len(headers)
     cells = F.transform("valores", lambda v: F.coalesce(v, F.lit("")))
     missing = F.greatest(F.lit(width) - F.size("valores"), F.lit(0))
@@ -41,7 +46,7 @@ def load_postventa(raw: DataFrame, headers: list[str]) -> DataFrame:
         *kept,
         taken(period).alias("periodo"),
         taken(branch).alias("sucursal"),
-        F.to_json("valores").alias("datos"),
+        "valores",
     )
 
 

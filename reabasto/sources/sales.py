@@ -51,6 +51,11 @@ def read_border_sales(grid: DataFrame) -> DataFrame:
     )
 
 
+def read_mix(grid: DataFrame) -> DataFrame:
+    """Replacement report: a product and up to three replacements."""
+    return read_report(grid, V.REPORT_MIX, ["Producto", "Reem1"])
+
+
 def signed_quantity(document: Column, quantity: Column, params: Params) -> Column:
     """Credit notes subtract, every other document adds, whatever sign the row has."""
     size = F.abs(quantity)
