@@ -250,8 +250,8 @@ BODIES = {
         CAST(coalesce(sum(p_size * 2) FILTER (WHERE p_partkey % 5 <> 0), 0) AS DOUBLE) AS stock_total FROM pt WHERE p_partkey % 97 <> 0 GROUP BY producto""",
     "catalogue_counts": "SELECT count(*) AS leidas, count(*) FILTER (WHERE p_partkey % 97 = 0) AS saltadas, count(DISTINCT producto) FILTER (WHERE p_partkey % 97 <> 0) AS productos FROM pt",
     "load_postventa": "SELECT id, periodo, sucursal, datos FROM hoja",
-    "postventa_meta": """SELECT count(*) AS filas, CAST(to_json(list_sort(list(DISTINCT periodo) FILTER (WHERE periodo IS NOT NULL))) AS VARCHAR) AS periodos,
-        CAST(to_json(list_sort(list(DISTINCT sucursal) FILTER (WHERE sucursal IS NOT NULL))) AS VARCHAR) AS sucursales FROM hoja""",
+    "postventa_meta": """SELECT 'filas' AS campo, NULL AS valor, count(*) AS filas FROM hoja UNION ALL SELECT 'periodo', periodo, count(*) FROM hoja WHERE periodo IS NOT NULL GROUP BY periodo
+        UNION ALL SELECT 'sucursal', sucursal, count(*) FROM hoja WHERE sucursal IS NOT NULL GROUP BY sucursal""",
     "dim_product": """SELECT v.producto AS "Producto", m.c AS "Categoria", v.d AS "Descripcion",
         CASE WHEN r.numero IS NULL AND b.producto IS NOT NULL THEN 'CHEVROLET' ELSE CASE
           WHEN numero BETWEEN 10 AND 14 THEN 'NO REPRESENTADOS' WHEN numero IN (15,17,18,19,20,25) THEN 'FORD' WHEN numero IN (21,22,23,26,41) THEN 'LUBRICANTES'

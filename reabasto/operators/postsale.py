@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reabasto import fixed_values as V
 from reabasto.functions import text as T
@@ -71,31 +70,26 @@ def _by_period(summary: DataFrame) -> DataFrame:
 
 
 def sales_kpis(summary: DataFrame) -> DataFrame:
-    """Newest period against the one present before it; change is null on a zero base.
-
-    The window runs over one row per month, so its single partition stays tiny.
-    """
-    newest = Window.orderBy("periodo")
-
-    def change(now: str, before: str) -> Column:
-        return F.try_divide(F.col(now) - F.col(before), F.col(before)) * 100.0
-
-    before = {f"{c}_anterior": F.lag(c).over(newest) for c in ("periodo", "clp", "unidades", "n_lineas")}
-    compared = _by_period(summary).withColumns(before)
-    zeros = {
-        c: F.coalesce(F.col(c), F.lit(0))
-        for c in ("clp_anterior", "unidades_anterior", "n_lineas_anterior")
-    }
-    return (
-        compared.withColumns(zeros)
-        .withColumns(
-            {
-                "var_clp_pct": change("clp", "clp_anterior"),
-                "var_unidades_pct": change("unidades", "unidades_anterior"),
-            }
-        )
-        .orderBy(F.col("periodo").desc())
-        .limit(1)
+    """Newest period against the one present before it; change is null on a zero base."""
+    columns = ("periodo", "clp", "unidades", "n_lineas")
+    two = _by_period(summary).orderBy(F.col("periodo").desc()).limit(2)
+    ends = two.agg(
+        F.max(F.struct(*columns)).alias("a"), F.min(F.struct(*columns)).alias("b"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 0")
+    there = F.col("n") > 1
+
+    def before(name: str) -> Column:
+        return F.when(there, F.col(f"b.{name}"))
+
+    def change(name: str) -> Column:
+        return F.try_divide(F.col(f"a.{name}") - before(name), before(name)) * 100.0
+
+    return ends.select(
+        *[F.col(f"a.{c}").alias(c) for c in columns],
+        before("periodo").alias("periodo_anterior"),
+        *[F.coalesce(before(c), F.lit(0)).alias(f"{c}_anterior") for c in columns[1:]],
+        change("clp").alias("var_clp_pct"),
+        change("unidades").alias("var_unidades_pct"),
     )
 
 

@@ -226,7 +226,7 @@ def load_postventa(spark, d):
 
 @query
 def postventa_meta(spark, d):
-    return sheet.postventa_meta(_sheet(spark, d), D.SHEET_HEADERS).drop("columnas")
+    return sheet.postventa_meta(_sheet(spark, d))
 
 
 # Dimensions

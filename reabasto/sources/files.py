@@ -62,9 +62,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
-    """Headed CSV with a fixed schema; columns are matched by header name, not by place."""
+    """Headed CSV with a fixed schema; columns are matched by header name, not by place.
+
+    Files that `write_csv` wrote from texts with line breaks need `multiLine=True`, which reads a
+    file in one task; all others are split.
+    """
     wanted = spark.createDataFrame([], schema).schema
-    text = spark.read.options(header=True, multiLine=False, **options).csv(path)
+    settings = {"header": True, "multiLine": False, "quote": '"', "escape": '"', **options}
+    text = spark.read.options(**settings).csv(path)
     return text.select(
         *[F.col(f"`{c.name}`").try_cast(c.dataType).alias(c.name) for c in wanted.fields]
     )
@@ -105,10 +110,11 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """All-text frame of one delimited upload, byte-order mark removed from the header."""
+def read_upload(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """All-text frame of one delimited upload, byte-order mark removed from the header. A file whose
+    fields hold line breaks can't be split; only such a one is read whole by a task."""
     raw = spark.read.options(
-        header=True, sep=sniff_delimiter(spark, path), quote='"', escape='"', multiLine=True
+        header=True, sep=sniff_delimiter(spark, path), quote='"', escape='"', multiLine=line_breaks
     ).csv(path)
     return raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
 

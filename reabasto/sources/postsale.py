@@ -50,11 +50,21 @@ def sheet_cells(raw: DataFrame, headers: list[str]) -> DataFrame:
     )
 
 
-def postventa_meta(rows: DataFrame, headers: list[str]) -> DataFrame:
-    """Columns, row count, sorted periods and sorted branches of the loaded sheet."""
-    return rows.agg(
-        F.to_json(F.array(*[F.lit(h) for h in headers])).alias("columnas"),
-        F.count(F.lit(1)).alias("filas"),
-        F.to_json(F.array_sort(F.collect_set("periodo"))).alias("periodos"),
-        F.to_json(F.array_sort(F.collect_set("sucursal"))).alias("sucursales"),
+def postventa_meta(rows: DataFrame) -> DataFrame:
+    """Rows (campo, valor, filas): each period and each branch of the loaded sheet with its number
+    of rows, and the number of all rows. Rows, not one list, since both texts are free."""
+    pairs = F.explode(
+        F.array(
+            F.struct(F.lit("filas").alias("campo"), F.lit(None).cast("string").alias("valor")),
+            F.struct(F.lit("periodo").alias("campo"), F.col("periodo").alias("valor")),
+            F.struct(F.lit("sucursal").alias("campo"), F.col("sucursal").alias("valor")),
+        )
+    )
+    per_pair = rows.groupBy("periodo", "sucursal").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        per_pair.select(pairs.alias("p"), "n")
+        .select("p.*", "n")
+        .filter((F.col("campo") == "filas") | F.col("valor").isNotNull())
+        .groupBy("campo", "valor")
+        .agg(F.sum("n").alias("filas"))
     )

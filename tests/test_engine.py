@@ -11,6 +11,7 @@ from reabasto.functions.months import first_day, window_months
 from reabasto.operators import abc_class, demand, enrich, leadtime, suggest, transfer
 from reabasto.params import Params
 from reabasto.plans import pipeline
+from reabasto.sources import files
 from reabasto.sources.files import Sources
 
 MONTH = date(2026, 7, 1)
@@ -323,6 +324,17 @@ def test_whole_plan(spark, params, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.columns == table.columns
     assert {r[0] for r in back.select("`Es Importado`").distinct().collect()} == {"False"}
+    text = pipeline.contract_text(made, params)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema)
+    again = files.read_csv(spark, str(tmp_path / "out"), schema)
+    assert sorted(map(str, again.collect())) == sorted(map(str, text.collect()))
+
+
+def test_texts_with_line_breaks_come_back(spark, tmp_path):
+    df = spark.createDataFrame([('a "b"\nc', 1), ("x,y", None)], "t string, n int")
+    files.write_csv(df, str(tmp_path / "out"))
+    again = files.read_csv(spark, str(tmp_path / "out"), "t string, n int", multiLine=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
 
 
 def test_plan_shape(spark, params):
