@@ -79,7 +79,7 @@ def test_best_fit_is_best_fit():
 
 TEXTS = [
     "", " ", "a\n\nb", "It's  don't\tx\x1cy z.", "ΑΣ ΣΑΣ. Σ", "é éa", "İstanbul ǅ ﬁ", "<|endoftext|> x", "日本 語a1 2345 语.",
-    "a b　c d", "'s 're'veil", "क़ ख़. क़ab", "word.. word., a.b, A.", "ª º ʰx", "a!! b?! c.,; d'. e!a f", "!!! ... ,",
+    "a b　c d", "'s 're'veil", "क़ ख़. क़ab", "word.. word., a.b, A.", "ª º ʰx", "a!! b?! c.,; d'. e!a f", "!!! ... ,", "Foo, bar. Baz_. x", "a . b ,c d", "ß ÀÉ. µ ², ½. ª.", ". , .", "x.\ny,",
 ]
 
 
