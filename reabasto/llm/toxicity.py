@@ -5,7 +5,7 @@ compounding languages an insult shows in how a word begins), each hashed. A term
 text. The machine adds to one weight per term a product of factors for each pair of terms, so that
 two terms can be harmful together (an insult and a named group) that are not each alone.
 
-Counts of all terms over all labelled training rows pick the terms that tell the classes apart most
+Counts of all terms over the labelled training rows pick the terms that tell the classes apart most
 (log-likelihood ratio); the machine is fitted on these.
 """
 
@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reabasto.llm.common import stage
+
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 BITS = 20
 TERMS = 4096  # terms that the machine knows, at most
 EVIDENCE = 6.0  # log-likelihood ratio that a term must have
-SAMPLE = 30_000  # labelled rows that it is fitted on, at most
+SAMPLE = 40_000  # labelled rows that it is fitted on, at most
 FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.7
@@ -149,7 +151,7 @@ def _numbers(known: dict[int, int], keep: list[str]):
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, terms: int = TERMS) -> Machine:
     """The machine from rows (text, label 0 or 1); rows with a null label are left out.
 
-    Terms are counted over all rows, at most 2**BITS of them; the `terms` most telling come to the
+    Terms are counted over all given rows, at most 2**BITS of them; the `terms` most telling come to the
     driver, and their counts give the linear weights to start from (half the log odds). The machine
     is fitted on at most `sample` rows, those with the smallest text hashes. No
     rows, or rows of one class only: a machine that gives every text the same low or high score.
@@ -193,14 +195,26 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def machine_for(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def machine_for(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    sample: int = SAMPLE,
+) -> Machine:
     """The machine trained on docs by labels (id, label), without the held-out ids.
 
-    An id that is labelled more than once counts by its largest label.
+    At most `sample` labelled ids are used, those with the smallest hashes: so many ids are sent to
+    all tasks, and texts are picked out where they are read. An id that is labelled more than once
+    counts by its largest label.
     """
     given = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).alias("_mark"))
-    chosen = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_read")).join(given, F.col("_doc") == F.col("_of"))
-    return train(chosen, "_read", "_mark")
+    some = given.orderBy(F.xxhash64("_of"), "_of").limit(sample)
+    read = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_read"))
+    # bounded by `sample`, so the broadcast doesn't grow with the labels
+    chosen = read.join(F.broadcast(some), F.col("_doc") == F.col("_of")).select("_read", "_mark")
+    return train(stage(chosen, "labelled"), "_read", "_mark", sample)
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
