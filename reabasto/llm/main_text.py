@@ -33,6 +33,7 @@ AROUND_WORDS = frozenset(
     pagination paywall popup promo promoted promotion recommended related replies reply respond rss search share sharing sidebar
     skip social sponsor sponsored subscribe tags toolbar widget widgets""".split()
 )
+BESIDE_WORDS = frozenset("has no with without".split())  # as in "has-sidebar": what the element goes with, not what it is
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 
@@ -133,7 +134,7 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
                 around = True
             elif name != "aria-hidden":
                 words = set(PART.findall(value))
-                around |= bool(words & AROUND_WORDS)
+                around |= bool(words & AROUND_WORDS) and not words & BESIDE_WORDS
                 main |= bool(words & MAIN_WORDS) and not words & AROUND_WORDS
     return main, around and tag not in ("html", "body")
 

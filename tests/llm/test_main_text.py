@@ -17,6 +17,7 @@ PAGES = [
      f"{LONG} a < b & c's d"),
     (f"<article><p>{LONG}</p><ul><li><a href=1>One</a></li><li><a href=2>Two more</a></li></ul><p style='display: none'>{LONG}</p><p>{LONG}</p></article>", f"{LONG} {LONG}"),
     (f"<header><p>{LONG}</p></header><p>{LONG}</p><noscript>{LONG}</noscript><template><p>x</p></template><p>{LONG}</p><script>if (a < b) {{ {LONG} }}", f"{LONG} {LONG}"),
+    (f"<body class='home with-sidebar'><div class='page has-sidebar'><article class=post><p>{LONG}</p></article></div><div class='sidebar-left'><p>{LONG}</p></div>", LONG),
     ("", ""), ("   ", ""), ("<p>", ""), ("<!-- never closed <p>x</p>", ""), ("<<<>>>&&", None), ("<a <b <p title='x>y'>", None), ("plain text only with no tag at all, but enough words to be kept as the text of it", "plain text only with no tag at all, but enough words to be kept as the text of it"),
 ]
 
