@@ -42,6 +42,15 @@ def test_every_answer_has_a_query():
     assert ANSWERS.keys() <= entry.queries().keys()
 
 
+def test_building_starts_no_job(spark):
+    spark.sparkContext.setJobGroup("building", "queries are built, not run")
+    made = entry.queries()
+    for name in ANSWERS:
+        made[name](spark, FOLDER)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("name", sorted(ANSWERS.keys() - INSIDE_CONTRACT))
 def test_answer(spark, duck, name):
     made = entry.queries()[name](spark, FOLDER)
