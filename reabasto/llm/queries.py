@@ -115,5 +115,52 @@ def _op7_sql() -> str:
     """
 
 
+OP1_SQL = """
+    WITH payloads AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+    digests AS (SELECT page_id, url, strlen(html) AS n, sha256(html) AS digest FROM payloads),
+    firsts AS (SELECT digest, min(page_id) AS one FROM digests WHERE n >= 100 GROUP BY digest)
+    SELECT page_id, n AS payload_bytes, d.digest AS payload_digest, CASE WHEN page_id <> one THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id <> one THEN one END AS refers_to, coalesce(nullif(url, ''), 'unknown:') AS target_uri, true AS whole
+    FROM digests d LEFT JOIN firsts f ON f.digest = d.digest
+    """
+
+OP5_SQL = """
+    WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+    ),
+    reach(node, root) AS (
+        SELECT vec_id, vec_id FROM vectors UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+    ),
+    roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+    FROM vectors JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
+    """
+
+OP6_SQL = """
+    WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+    strings AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS p FROM texts)),
+    again AS (SELECT doc_id, p FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+    marked AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 AS joined FROM again),
+    numbered AS (SELECT doc_id, p, count(*) FILTER (WHERE joined IS NOT TRUE) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+    runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY doc_id, run),
+    pieces AS (
+        SELECT t.doc_id, run, substr(x, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS piece, b - a AS gone,
+               CASE WHEN lead(a) OVER w IS NULL THEN substr(x, 2 * b + 1) ELSE '' END AS rest
+        FROM runs r JOIN texts t ON t.doc_id = r.doc_id WINDOW w AS (PARTITION BY t.doc_id ORDER BY run)
+    ),
+    cut AS (SELECT doc_id, sum(gone) AS gone, count(*) AS spans, string_agg(piece || rest, '' ORDER BY run) AS left_hex FROM pieces GROUP BY doc_id)
+    SELECT t.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(left_hex, x))) AS kept_sha256
+    FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id
+    """
+
+
 def oracles() -> dict[str, str]:
-    return {"op7_url_rules": _op7_sql()}
+    return {
+        "op1_arc_to_warc": OP1_SQL,
+        "op5_sorted_passes": OP5_SQL,
+        "op6_suffix_dedup": OP6_SQL,
+        "op7_url_rules": _op7_sql(),
+    }
