@@ -30,7 +30,7 @@ WORD = re.compile(r"\w+")
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 TEXTS = 512  # texts that are signed together
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 TILE, TILE_CHARS = 200, 4_000_000  # documents and characters that are compared together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -235,7 +235,8 @@ def groups(
 
     entries = nodes.select("_key", F.explode("_bands").alias("_band"))
     buckets = entries.groupBy("_band").agg(F.min("_key").alias("_leader"), F.max("_key").alias("_other")).where("_leader <> _other")
-    members = stage(entries.join(buckets.drop("_other"), "_band"), "members")
+    # staged, so that both sides of the join are plain and Spark can split a hot bucket
+    members = stage(entries.join(stage(buckets.drop("_other"), "buckets"), "_band"), "members")
     wanted = members.select("_key").distinct()
     texts = stage(read.join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text")), "texts")
 

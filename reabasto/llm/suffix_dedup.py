@@ -321,7 +321,8 @@ def _reranked(pairs: DataFrame) -> DataFrame:
     comes first doesn't matter here. Pairs are counted on the map side, so one that
     very many positions share is no single task's work.
     """
-    shared = pairs.groupBy("left", "right").agg(F.min("at").alias("rank"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # staged, so that both sides of the join are plain and Spark can split a hot pair
+    shared = stage(pairs.groupBy("left", "right").agg(F.min("at").alias("rank"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "names")
     return pairs.join(shared, ["left", "right"]).select("at", "rank")
 
 
@@ -360,7 +361,8 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("strings of at least 64 bytes are asked for")
     on = ["_key", "_size"]
     runs = stage(texts.mapInPandas(_runs(length), RUN), "runs")
-    common = runs.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
+    # staged, so that both sides of the join are plain and Spark can split a hot hash
+    common = stage(runs.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"), "common")
     shared = stage(runs.join(common, "least"), "shared")
     whole, opened = _alike(shared)
     one_text = texts.groupBy(*on).agg(F.first("_text").alias("_text"))
@@ -375,7 +377,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     for offset in _offsets(length):
         ranked = stage(ranked, "ranks")
         later = ranked.select((F.col("at") - offset).alias("at"), F.col("rank").alias("right"))
-        ranked = _reranked(ranked.withColumnRenamed("rank", "left").join(later, "at"))
+        ranked = _reranked(stage(ranked.withColumnRenamed("rank", "left").join(later, "at"), "pairs"))
     range_of = F.shiftright("at", PLACE)
     found = ranked.select("at").repartition(range_of).sortWithinPartitions("at").mapInPandas(_islands, "low long, high long")
     first = (F.col("start") + F.col("low").bitwiseAND((1 << PLACE) - 1)).cast("int")
