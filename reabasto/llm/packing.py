@@ -206,13 +206,13 @@ class Words:
         self.stops: dict[str, bytes] = {}
 
     def _plain(self, parts: list[str]) -> list[bytes]:
-        return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         found = []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) != len(some):  # a letter that falls apart into more than letters
                 found += self._plain(some)
