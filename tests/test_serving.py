@@ -173,7 +173,7 @@ def test_contract_to_serving_names(spark, params):
     fields = ["Producto", "SucursalID", "LT Efectivo", "Stock de Seguridad", "Stock DIEZ DE JULIO (2)", "total_sugerido_suc", "Es Importado"]
     df = spark.createDataFrame([("P", "T", 2.5, 3, 4, 5.0, True)], "a string, b string, c double, d long, e long, f double, g boolean").toDF(*fields)
     made = serving.from_contract(df)
-    assert made.columns == ["producto", "sucursal_id", "lt_efectivo", "stock_seguridad", "stock_diez_de_julio_2", "total_sugerido_suc", "es_importado"]
+    assert made.columns == ["producto", "sucursal_id", "lt_efectivo", "stock_seguridad", "stock_diez_de_julio_2", "total_sugerido_suc", "es_importado", "id"]
     assert made.first().lt_efectivo == 2
 
 
