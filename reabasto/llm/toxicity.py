@@ -169,8 +169,11 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     best = telling.orderBy(F.desc("ratio"), "term").select("term", "a", "b").limit(terms).collect()
     known = {int(r[0]): i for i, r in enumerate(best)}
     start = [0.5 * np.log((r[2] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (r[1] + 0.5)) for r in best] or [0.0]
-    some = rows.orderBy(F.xxhash64("_text"), "_text").limit(sample).repartition(labelled.sparkSession.sparkContext.defaultParallelism)
-    drawn = some.mapInPandas(_numbers(known, ["_label"]), "_label int, _terms array<int>").collect()
+    # texts stay where they are; what is ordered and sent on are their few known terms
+    numbered = rows.withColumn("_order", F.xxhash64("_text")).mapInPandas(
+        _numbers(known, ["_label", "_order"]), "_label int, _order long, _terms array<int>"
+    )
+    drawn = numbered.orderBy("_order", "_label").limit(sample).select("_label", "_terms").collect()
     drawn.sort(key=lambda r: (r[0], r[1]))  # as drawn, whatever the order of tasks
     labels = np.array([r[0] for r in drawn], dtype=float)
     return Machine(known, *fit_machine([np.array(r[1], dtype=np.int64) for r in drawn], labels, np.array(start)))
