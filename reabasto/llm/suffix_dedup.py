@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reabasto.llm.common import stage
+from reabasto.llm.common import drop, stage
 
 LENGTH = 400
 CHUNK = 1 << 21  # bytes that are hashed together
@@ -364,6 +364,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # staged, so that both sides of the join are plain and Spark can split a hot hash
     common = stage(runs.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"), "common")
     shared = stage(runs.join(common, "least"), "shared")
+    drop(runs, common)
     whole, opened = _alike(shared)
     one_text = texts.groupBy(*on).agg(F.first("_text").alias("_text"))
     open_texts = stage(one_text.join(_by_text(opened), on), "texts")
@@ -372,6 +373,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     left = open_texts.drop("_spans").join(_by_text(opened), on)
     schema = "_key long, _size int, start int, at long, left long, right long"
     pairs = stage(left.mapInPandas(_positions(length), schema), "pairs")
+    drop(open_texts)
     ranges = pairs.where("_key is not null").select(F.shiftright("at", PLACE).alias("_range"), "_key", "_size", "start")
     ranked = _reranked(pairs.select("at", "left", "right"))
     for offset in _offsets(length):
