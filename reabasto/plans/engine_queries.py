@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,12 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _lead_time(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+def _lead_time(spark: SparkSession, d: str, pairs: DataFrame, today: date | None = None) -> DataFrame:
+    """With `today` the units on the way come along, from the same pass over the orders."""
+    orders = D.tracking(spark, d, "base" if today is None else "transit")
     lookup = leadtime.supplier_lookup_from_tracking(D.tracking(spark, d, "lead_time"), P)
     return leadtime.lead_time(
-        pairs, D.tracking(spark, d, "transit"), lookup, D.dim_branch(spark, d), D.imported(spark, d), P, D.TODAY
+        pairs, orders, lookup, D.dim_branch(spark, d), D.imported(spark, d), P, today
     )
 
 
@@ -60,7 +63,7 @@ def _stocked(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
 
 def _safety(spark: SparkSession, d: str) -> DataFrame:
     pairs = demand_ops.demand(_pairs(spark, d), P)
-    return suggest.safety_stock(_lead_time(spark, d, pairs), P)
+    return suggest.safety_stock(_lead_time(spark, d, pairs, D.TODAY), P)
 
 
 def _suggestion(spark: SparkSession, d: str) -> DataFrame:

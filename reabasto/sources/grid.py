@@ -33,12 +33,10 @@ def grid_from_csv(spark: SparkSession, paths: list[str], width: int, sep: str =
     )
 
 
-def _position(cells: Column, name: str) -> Column:
+def _position(name: str) -> Column:
     """Place of a wanted header: literal text first, normalised text second, else null."""
-    trimmed = F.transform(cells, lambda c: F.trim(c))
-    keys = F.transform(cells, lambda c: T.label_compact(c))
-    literal = F.array_position(trimmed, F.lit(name.strip()))
-    loose = F.array_position(keys, T.label_compact(F.lit(name)))
+    literal = F.array_position("_textos", F.lit(name.strip()))
+    loose = F.array_position("_claves", T.label_compact(F.lit(name)))
     return F.coalesce(F.nullif(literal, F.lit(0)), F.nullif(loose, F.lit(0)))
 
 
@@ -47,12 +45,18 @@ def find_headers(
 ) -> DataFrame:
     """One row per file: where the header row is and the place of each wanted column."""
     wanted = list(required) if required is not None else list(columns)
-    placed = grid.select(
+    # a header has a cell that starts with no digit for each wanted name that doesn't: rows of
+    # figures go before any cell is normalised
+    texts = F.filter("celdas", lambda c: (F.length(F.trim(c)) > 0) & ~F.ltrim(c).rlike("^[0-9]"))
+    enough = F.size(texts) >= sum(not columns[dst].strip()[:1].isdigit() for dst in wanted)
+    normal = grid.filter(enough).select(
         "archivo",
         "fila",
-        F.struct(*[_position(F.col("celdas"), src).alias(dst) for dst, src in columns.items()]).alias(
-            "lugar"
-        ),
+        F.transform("celdas", lambda c: F.trim(c)).alias("_textos"),
+        F.transform("celdas", lambda c: T.label_compact(c)).alias("_claves"),
+    )
+    placed = normal.select(
+        "archivo", "fila", F.struct(*[_position(src).alias(dst) for dst, src in columns.items()]).alias("lugar")
     )
     complete = F.lit(True)
     for dst in wanted:
