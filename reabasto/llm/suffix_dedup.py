@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from reabasto.llm.common import drop, stage
 
 LENGTH = 400
-CHUNK = 1 << 21  # bytes that are hashed together
+CHUNK = 1 << 19  # bytes that are hashed together
 SLICE = 1 << 23  # bytes of one text that are hashed together
 CELL = 16  # starts that are judged together where runs differ
 PLACE = 24  # bits of a position inside a range
