@@ -9,6 +9,7 @@ labelled table of such blocks, tells which blocks are text.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Element names as HTML defines them.
-RAW = "script style noscript template textarea title iframe svg select button object audio video canvas math"
+RAW = "script style textarea title iframe"  # hold no tags: all up to their end tag is left out
+SKIPPED = frozenset("noscript template svg select button object audio video canvas math".split())  # hold tags: their text is left out
+NESTED = frozenset("template svg object math".split())  # of these, such as may hold one of their own kind
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -38,10 +41,12 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 
 TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*)|<({RAW.replace(' ', '|')})\b[^>]*>(?:.*?</\1\s*>|.*)"
+    rf"<!--(?:.*?-->|.*)|<({RAW.replace(' ', '|')})(?=[\s/>])([^>]*)>"
     r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
+RAW_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in RAW.split()}
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in RAW.split()}
 MARK = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -139,12 +144,54 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
     return main, around and tag not in ("html", "body")
 
 
+def _raw_end(html: str, at: int, name: str, empty: bool) -> int:
+    """Where a raw element ends whose start tag ends at `at`: behind its end tag, else at the end of the page.
+
+    One written as empty (`/>`) is so, unless an end tag of its name comes before the next start tag.
+    """
+    end = (RAW_TAGS if empty else RAW_ENDS)[name].search(html, at)
+    if empty:
+        return end.end() if end and end[1] else at
+    return end.end() if end else len(html)
+
+
+def _tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Comments, raw elements (both without a name) and tags: from, to, "/" of an end tag, name, attributes."""
+    at = 0
+    while token := TOKEN.search(html, at):
+        at = token.end()
+        if token[1]:
+            at = _raw_end(html, at, token[1].lower(), token[2].endswith("/"))
+        yield token.start(), at, token[3] or "", (token[4] or "").lower(), token[5] or ""
+
+
+def _closed(tokens) -> set[int]:
+    """Where those skipped elements begin that have an end tag; one that is never closed hides nothing."""
+    found: set[int] = set()
+    waiting: dict[str, list[int]] = defaultdict(list)
+    for start, _, ending, tag, attributes in tokens:
+        if tag not in SKIPPED:
+            continue
+        if ending:
+            if waiting[tag]:
+                found.add(waiting[tag].pop())
+        elif not attributes.endswith("/"):
+            if tag not in NESTED:
+                waiting[tag].clear()
+            waiting[tag].append(start)
+    return found
+
+
 def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
     """Text blocks in page order: text, words, link density, whether inside content, whether inside surroundings."""
     found: list[tuple[str, int, float, int, int]] = []
     text: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements that are not inline
+    opened: Counter[str] = Counter()  # their names
     anchors, main, around, at = 0, 0, 0, 0
+    skipped = None  # place in the stack of the outermost skipped element
+    tokens = list(_tokens(html))
+    closed = _closed(tokens)
 
     def close() -> None:
         whole = " ".join(unescape("".join(t for t, _ in text)).split())
@@ -154,33 +201,48 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
             found.append((whole, words, min(1.0, linked / words), int(main > 0), int(around > 0)))
         text.clear()
 
-    for token in TOKEN.finditer(html):
-        if token.start() > at:
-            text.append((html[at : token.start()], anchors > 0))
-        at = token.end()
-        ending, tag = token[2], (token[3] or "").lower()
+    def push(tag: str, kind: tuple[bool, bool]) -> None:
+        nonlocal main, around
+        stack.append((tag, *kind))
+        opened[tag] += 1
+        main, around = main + kind[0], around + kind[1]
+
+    def shut(keep: int) -> None:
+        nonlocal main, around, skipped
+        while len(stack) > keep:
+            name, m, a = stack.pop()
+            opened[name] -= 1
+            main, around = main - m, around - a
+        if skipped is not None and keep <= skipped:
+            skipped = None
+
+    for start, end, ending, tag, attributes in tokens:
+        if start > at and skipped is None:
+            text.append((html[at:start], anchors > 0))
+        at = end
         if not tag:
             continue
-        if tag == "a":
+        if tag == "a" and skipped is None:
             anchors = max(0, anchors - 1) if ending else anchors + 1
-        elif tag == "br":
+        elif tag == "br" and skipped is None:
             text.append((" ", False))
-        elif tag in INLINE or (tag in VOID and tag != "hr"):
+        elif tag in INLINE or (tag in VOID and (tag != "hr" or skipped is not None)):
             continue
+        elif tag in SKIPPED and not ending:
+            if start in closed:
+                skipped = len(stack) if skipped is None else skipped
+                push(tag, (False, False))
         else:
-            close()
-            anchors = 0
-            if not ending and tag not in VOID and not token[4].endswith("/"):
-                kind = _kind(tag, token[4])
-                stack.append((tag, *kind))
-                main, around = main + kind[0], around + kind[1]
-            elif ending and any(t == tag for t, _, _ in stack):
-                while stack:
-                    name, m, a = stack.pop()
-                    main, around = main - m, around - a
-                    if name == tag:
-                        break
-    if at < len(html):
+            keep = len(stack)
+            if ending and opened[tag]:
+                keep = max(i for i, e in enumerate(stack) if e[0] == tag)
+            if tag not in SKIPPED and (skipped is None or keep < skipped):
+                close()
+                anchors = 0
+            shut(keep)
+            if not ending and tag not in VOID and not attributes.endswith("/"):
+                push(tag, _kind(tag, attributes))
+    if at < len(html) and skipped is None:
         text.append((html[at:], anchors > 0))
     close()
     return found

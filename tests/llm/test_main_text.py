@@ -22,6 +22,27 @@ PAGES = [
 ]
 
 
+HIDES_NOTHING_BEHIND = [
+    "<video-player></video-player>", "<svg-icon name=x></svg-icon>", "<title-bar></title-bar>", "<svg class=i/>", "<svg class='i' />", "<button>", "<video src=x>", "<object data=x />", "<select><option>",
+    "<button>Share <button>Print</button>", "<svg><title/><path d='M0'/></svg>", "<svg><svg><text>x</text></svg></svg>", "<iframe src='x' />", "<script>var a</script x>", "<template><div><p>x</div></template>",
+    "<div><video src=x><p>Your browser is too old</div></video>", "<math><mi>x</mi></math>", "<button><div>Share</div></button>", "<noscript><a href=x>y<br></noscript>",
+]
+
+
+@pytest.mark.parametrize("between", HIDES_NOTHING_BEHIND)
+def test_elements_that_hide_nothing_behind_them(between):
+    for tail in ("", "<footer><button>Go</button><video></video><svg></svg><select></select></footer>"):
+        made = main_text.main_text(f"<article><p>one {LONG}</p>{between}<p>two {LONG}</p></article>{tail}", main_text.train())
+        assert made.startswith(f"one {LONG}") and made.endswith(f"two {LONG}") and "too old" not in made and "Print" not in made
+    made = main_text.blocks(f"<article><p>a <svg><a>x</a><text>y</text></svg><button>z<p>z</p></button><noscript><img></noscript>b</p></article>")
+    assert [b[0] for b in made] == ["a b"] and made[0][2] == 0.0
+
+
+def test_many_unclosed_elements_quickly():
+    for tag in ("<div>", "<button>", "<object>", "<title/>", "</script ", "<svg>"):
+        assert "end" in main_text.main_text(f"<article>{tag * 100_000}<p>end {LONG}</p>" if tag[1] != "/" else f"<article><p>end {LONG}</p><script>{tag * 100_000}", main_text.train())
+
+
 @pytest.mark.parametrize("html, text", PAGES)
 def test_pages(html, text):
     made = main_text.main_text(html, main_text.train())
