@@ -28,6 +28,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+# End tags that may be left out: a start tag closes an open p, and open elements like its own up to what holds them.
+ENDS_P = frozenset(
+    """address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+    header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp""".split()
+)
+HOLDS_P = SKIPPED | frozenset("applet caption html marquee table td th".split())
+CELLS = frozenset("td th caption".split())
+ROWS = CELLS | frozenset(("tr", "colgroup"))
+PARTS = ROWS | frozenset("tbody thead tfoot".split())
+ENDS = {"li": frozenset(("li",)), "option": frozenset(("option",)), "optgroup": frozenset(("option", "optgroup"))}
+ENDS |= dict.fromkeys(("dt", "dd"), frozenset(("dt", "dd"))) | dict.fromkeys(("td", "th"), CELLS)
+ENDS |= {"tr": ROWS} | dict.fromkeys(("tbody", "thead", "tfoot", "colgroup", "caption"), PARTS)
+LOOSE = frozenset("address div p".split())  # an open one doesn't keep an li, dt or dd from being closed
 # Words in class, id or role that mark surroundings, and those that mark content.
 AROUND_TAGS = frozenset("nav footer aside header form menu dialog".split())
 AROUND_WORDS = frozenset(
@@ -182,6 +195,26 @@ def _closed(tokens) -> set[int]:
     return found
 
 
+def _staying(tag: str, stack: list[tuple[str, bool, bool]], opened: Counter[str]) -> int:
+    """How many elements stay open when `tag` begins, by the end tags that HTML implies."""
+    keep = len(stack)
+    ends = ENDS.get(tag, frozenset())
+    if any(opened[name] for name in ends):
+        for i in range(len(stack) - 1, -1, -1):
+            name = stack[i][0]
+            if name in ends:
+                keep = i
+            elif name == "table" or name in SKIPPED or (tag in ("li", "dt", "dd") and name not in LOOSE):
+                break
+    if tag in ENDS_P and opened["p"]:
+        for i in range(keep - 1, -1, -1):
+            if stack[i][0] == "p":
+                return i
+            if stack[i][0] in HOLDS_P:
+                break
+    return keep
+
+
 def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
     """Text blocks in page order: text, words, link density, whether inside content, whether inside surroundings."""
     found: list[tuple[str, int, float, int, int]] = []
@@ -239,7 +272,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
             if tag not in SKIPPED and (skipped is None or keep < skipped):
                 close()
                 anchors = 0
-            shut(keep)
+            shut(keep if ending else _staying(tag, stack, opened))
             if not ending and tag not in VOID and not attributes.endswith("/"):
                 push(tag, _kind(tag, attributes))
     if at < len(html) and skipped is None:

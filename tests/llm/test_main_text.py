@@ -38,8 +38,29 @@ def test_elements_that_hide_nothing_behind_them(between):
     assert [b[0] for b in made] == ["a b"] and made[0][2] == 0.0
 
 
+IMPLIED_ENDS = [
+    f"<article><p class=ad>{MORE}<p>{LONG}<p>{LONG}</article>",
+    f"<article><p style='display:none'>{MORE}<p>{LONG}<div>{LONG}</div></article>",
+    f"<article><p class=ad>{MORE}<ul><li>{LONG}<li>{LONG}</ul></article>",
+    f"<article><ul><li class=ad>{MORE}<ul><li>{MORE}</ul><li>{LONG}<li>{LONG}</ul></article>",
+    f"<article><dl><dt>{LONG}<dd class=promo><div>{MORE}</div><dd>{LONG}</dl></article>",
+    f"<article><table><tr class=ad><td>{MORE}<td>{MORE}<tr><td class=ad><p>{MORE}<td>{LONG}<tr><td>{LONG}</table></article>",
+    f"<article><table><thead class=ad><tr><th>{MORE}<tbody><tr><td>{LONG}</table><p>{LONG}</article>",
+    f"<article><p>{LONG}<p class=ad>{MORE}<hr>{LONG}</article>",
+    # held: the inner p, li or td closes none outside of the table or list that holds it
+    f"<article><div class=ad><table><tr><td>{MORE}<p>{MORE}<td>{MORE}</table>{MORE}</div><p>{LONG}<p>{LONG}</article>",
+    f"<article><ul><li class=ad>{MORE}<ul><li>{MORE}<li>{MORE}</ul>{MORE}</ul><p>{LONG}<p>{LONG}</article>",
+    f"<article><table><tr><td class=ad>{MORE}<table><tr><td>{MORE}<td>{MORE}</table>{MORE}<td>{LONG}</table>{LONG}</article>",
+]
+
+
+@pytest.mark.parametrize("html", IMPLIED_ENDS)
+def test_end_tags_left_out(html):
+    assert main_text.main_text(html, main_text.train()) == f"{LONG} {LONG}"
+
+
 def test_many_unclosed_elements_quickly():
-    for tag in ("<div>", "<button>", "<object>", "<title/>", "</script ", "<svg>"):
+    for tag in ("<div>", "<button>", "<object>", "<title/>", "</script ", "<svg>", "<li>", "<p class=ad>"):
         assert "end" in main_text.main_text(f"<article>{tag * 100_000}<p>end {LONG}</p>" if tag[1] != "/" else f"<article><p>end {LONG}</p><script>{tag * 100_000}", main_text.train())
 
 
