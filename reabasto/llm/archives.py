@@ -193,8 +193,9 @@ def parse_arc(stream: BinaryIO, archive: str) -> Iterator[dict]:
         if not line.strip():
             continue
         text = line.decode("utf-8", "surrogatepass").rstrip("\r\n")
+        about = not version  # the record that says which version the file has
         try:
-            if not version:
+            if about:
                 if not text.startswith("filedesc:"):
                     raise ValueError("no filedesc record at the beginning")
                 version = 2 if len(text.split(" ")) >= len(FIELDS[2]) else 1
@@ -209,7 +210,7 @@ def parse_arc(stream: BinaryIO, archive: str) -> Iterator[dict]:
             yield _converted(archive, start, version, {}, b"") | {"warc_type": "error", "error": str(e)}
             return
         offset += len(content)
-        if not record["url"].startswith("filedesc:"):
+        if not about:
             yield _converted(archive, start, version, record, content)
 
 

@@ -70,6 +70,12 @@ def test_version_one():
     assert again == one
 
 
+def test_pages_named_like_the_first_record(spark):
+    rows = [(1, "filedesc://a.arc", "<p>one</p>", "", ""), (2, "filedesc:", "<p>two</p>", "", ""), (3, "http://a.com/", "<p>three</p>", "", "")]
+    made = archives.round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in made) == want(rows)
+
+
 def test_version_two():
     about = b"2 0 Org\nURL ...\n"
     data = b"filedesc://b.arc 0.0.0.0 20010203040506 text/plain 200 - - 0 b.arc %d\n" % len(about) + about + b"\n"
