@@ -608,6 +608,11 @@ def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines as four report files: title rows, then a header row in another column order in
     each, in the last one far down."""
+    return report_tops(spark, sf_dir, 4).unionByName(report_lines(spark, sf_dir))
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data rows of the report files."""
     number = F.col("l_linenumber")
     day = (
         F.when(number % 3 == 0, F.date_format("l_shipdate", "dd/MM/yyyy"))
@@ -626,10 +631,9 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_suppkey") % 4 == 2, F.array(day, quantity, kind, document, code, noise, none, branch, sale))
         .otherwise(F.array(day, quantity, kind, document, code, none, none, branch, sale))
     )
-    data = lines(spark, sf_dir).select(
+    return lines(spark, sf_dir).select(
         _report_file(F.col("l_suppkey")).alias("archivo"), (F.col("l_orderkey") + 100).alias("fila"), cells.alias("celdas")
     )
-    return report_tops(spark, sf_dir, 4).unionByName(data)
 
 
 def _report_file(key: Column) -> Column:

@@ -69,7 +69,7 @@ def sales_report(spark, d):
 @query
 def report_without_header(spark, d):
     return grid.files_without_header(
-        D.report_tops(spark, d, 3), {k: v for k, v in V.REPORT_SALES.items() if k not in ("Empresa", "Descripcion Producto")}, ["Producto", "Cantidad", "tipoDocto", "tipoproducto"]
+        D.report_tops(spark, d, 3).unionByName(D.report_lines(spark, d)), {k: v for k, v in V.REPORT_SALES.items() if k not in ("Empresa", "Descripcion Producto")}, ["Producto", "Cantidad", "tipoDocto", "tipoproducto"]
     )
 
 

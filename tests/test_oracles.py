@@ -61,3 +61,8 @@ def test_answer(spark, duck, name):
     mine = Counter(tuple(plain(r[i]) for i in order) for r in made.collect())
     theirs = Counter(tuple(plain(v) for v in r) for r in cursor.fetchall())
     assert mine == theirs
+
+
+def test_header_search_covers_all_lines(spark):
+    read = entry.queries()["report_without_header"](spark, FOLDER).inputFiles()
+    assert any("lineitem" in path for path in read)
