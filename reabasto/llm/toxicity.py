@@ -5,7 +5,7 @@ compounding languages an insult shows in how a word begins), each hashed. A term
 text. The machine adds to one weight per term a product of factors for each pair of terms, so that
 two terms can be harmful together (an insult and a named group) that are not each alone.
 
-Counts of all terms over the labelled training rows pick the terms that tell the classes apart most
+Counts of all terms over all labelled training rows pick the terms that tell the classes apart most
 (log-likelihood ratio); the machine is fitted on these.
 """
 
@@ -34,6 +34,7 @@ FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
+ALL_ROWS = -1  # in the place of a term: the number of rows
 
 
 @dataclass
@@ -133,6 +134,7 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for found, label in zip(_terms_of(batch["_text"], None), batch["_label"], strict=True):
             counts[label].update(found)
+            counts[label][ALL_ROWS] += 1
         if len(counts[0]) + len(counts[1]) > size:
             yield send()
             counts[0].clear(), counts[1].clear()
@@ -148,29 +150,34 @@ def _numbers(known: dict[int, int], keep: list[str]):
     return run
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, terms: int = TERMS) -> Machine:
+def train(
+    labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, terms: int = TERMS, fitted: DataFrame | None = None
+) -> Machine:
     """The machine from rows (text, label 0 or 1); rows with a null label are left out.
 
     Terms are counted over all given rows, at most 2**BITS of them; the `terms` most telling come to the
     driver, and their counts give the linear weights to start from (half the log odds). The machine
-    is fitted on at most `sample` rows, those with the smallest text hashes. No
-    rows, or rows of one class only: a machine that gives every text the same low or high score.
+    is fitted on at most `sample` rows, those with the smallest text hashes, of `fitted` (the same columns)
+    where that is given. No rows, or rows of one class only: a machine that gives every text the same low or
+    high score.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label"))
-    counts = rows.mapInPandas(_term_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    n_clean, n_toxic = (int(x or 0) for x in rows.agg(F.sum(1 - F.col("_label")), F.sum("_label")).first())
+    given = lambda df: df.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label"))
+    rows = given(labelled)
+    seen = rows.mapInPandas(_term_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    counts = stage(seen, "terms")  # a row per term, so the texts are read once for all that follows
+    n_clean, n_toxic = counts.where(F.col("term") == ALL_ROWS).select("a", "b").first() or (0, 0)
     if not n_clean or not n_toxic:
         return Machine({}, 5.0 if n_toxic else -5.0, np.zeros(0), np.zeros((0, FACTORS)))
     part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / of)).otherwise(0.0)
     a, b, n = F.col("a"), F.col("b"), n_clean + n_toxic
     expected = [(a + b) * n_clean / n, (a + b) * n_toxic / n, (n - a - b) * n_clean / n, (n - a - b) * n_toxic / n]
     ratio = sum(part(x, y) for x, y in zip([a, b, n_clean - a, n_toxic - b], expected, strict=True))
-    telling = counts.where("a + b >= 5").withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
+    telling = counts.where((F.col("term") != ALL_ROWS) & (a + b >= 5)).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
     best = telling.orderBy(F.desc("ratio"), "term").select("term", "a", "b").limit(terms).collect()
     known = {int(r[0]): i for i, r in enumerate(best)}
     start = [0.5 * np.log((r[2] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (r[1] + 0.5)) for r in best] or [0.0]
     # texts stay where they are; what is ordered and sent on are their few known terms
-    numbered = rows.withColumn("_order", F.xxhash64("_text")).mapInPandas(
+    numbered = (rows if fitted is None else given(fitted)).withColumn("_order", F.xxhash64("_text")).mapInPandas(
         _numbers(known, ["_label", "_order"]), "_label int, _order long, _terms array<int>"
     )
     drawn = numbered.orderBy("_order", "_label").limit(sample).select("_label", "_terms").collect()
@@ -208,16 +215,18 @@ def machine_for(
 ) -> Machine:
     """The machine trained on docs by labels (id, label), without the held-out ids.
 
-    At most `sample` labelled ids are used, those with the smallest hashes: so many ids are sent to
-    all tasks, and texts are picked out where they are read. An id that is labelled more than once
-    counts by its largest label.
+    Terms are counted over all labelled documents. The machine is fitted on at most `sample` of their ids,
+    those with the smallest hashes: so many ids are sent to all tasks, and texts are picked out where
+    they are read. An id that is labelled more than once counts by its largest label.
     """
     given = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).alias("_mark"))
-    some = given.orderBy(F.xxhash64("_of"), "_of").limit(sample)
     read = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_read"))
+    same = F.col("_doc") == F.col("_of")
+    some = given.join(read, same, "left_semi").orderBy(F.xxhash64("_of"), "_of").limit(sample)
     # bounded by `sample`, so the broadcast doesn't grow with the labels
-    chosen = read.join(F.broadcast(some), F.col("_doc") == F.col("_of")).select("_read", "_mark")
-    return train(stage(chosen, "labelled"), "_read", "_mark", sample)
+    fitted = read.join(F.broadcast(some), same).select("_read", "_mark")
+    # labels grow with the documents, so both sides are dealt by id at any size; texts needn't be sorted for it
+    return train(read.join(given.hint("shuffle_hash"), same).select("_read", "_mark"), "_read", "_mark", sample, fitted=fitted)
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

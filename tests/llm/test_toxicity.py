@@ -65,6 +65,18 @@ def test_reruns_agree(spark):
     assert one.terms == two.terms and np.array_equal(one.factors, two.factors)
 
 
+def test_only_the_fit_is_sampled(spark):
+    docs, labels = corpus(900)
+    docs = [(i, f"{t} Rarest" if i % 60 == 1 else t, s, h) for i, t, s, h in docs]
+    df, given = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, part = toxicity.machine_for(df, given), toxicity.machine_for(df, given, sample=60)
+    assert toxicity.hashed("rarest") in part.terms and part.terms == whole.terms
+    assert not np.array_equal(part.linear, whole.linear)
+    absent = spark.createDataFrame([*labels, *((i, i % 2) for i in range(10_000, 13_000))], "doc_id long, toxic int")
+    again = toxicity.machine_for(df, absent, sample=60)
+    assert again.terms == part.terms and np.array_equal(again.linear, part.linear) and again.bias == part.bias
+
+
 @pytest.mark.parametrize("labels", [[], [(1, None)], [(1, 0), (2, 0)], [(1, 1), (2, 1)], [(9, 1)]])
 def test_nothing_to_learn(spark, labels):
     df = spark.createDataFrame([(1, "a b", "", ""), (2, None, "", "")], DOCS)
