@@ -46,14 +46,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back.
+def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Writes a frame to the shared folder, in folders by the columns `parts`, and reads it back.
 
     The result has no lineage: a lost executor costs no recomputation, and a frame that is used
     twice is computed once.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reabasto.llm import archives, main_text, minhash, mixing, multi_index, packing, sorted_passes, suffix_dedup, toxicity, url_rules
+from reabasto.llm import archives, collocations, line_runs, main_text, minhash, mixing, multi_index, packing, sorted_passes
+from reabasto.llm import suffix_dedup, toxicity, url_rules, whitening
 from reabasto.llm.common import ship
 
 #: Rules of op7: host, path, verdict.
@@ -75,6 +76,19 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(_table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_runs.deduplicate(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_source_mix": op9_source_mix,
     "op10_probminhash": op10_probminhash,
+    "op11_whitening": op11_whitening,
+    "op12_line_runs": op12_line_runs,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -157,10 +174,61 @@ OP6_SQL = """
     """
 
 
+OP12_SQL = f"""
+    WITH lines AS (
+        SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place, unnest(string_split(coalesce(text, ''), chr(10))) AS line
+        FROM documents
+    ),
+    keyed AS (
+        SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_runs.UPPER}', '{line_runs.LOWER}') AS k FROM lines
+    ),
+    repeated AS (SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+    marked AS (SELECT doc_id, place, line, coalesce(top <> doc_id, false) AS gone FROM keyed LEFT JOIN repeated USING (k))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """
+
+OP13_SQL = f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), '{line_runs.UPPER}', '{line_runs.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents
+    ),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    grams AS (
+        SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS g FROM words, range(1, 6) AS ks(k)
+    ),
+    f AS (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY ALL),
+    totals AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+    often AS (SELECT * FROM f WHERE n >= 100),
+    longer AS (
+        SELECT DISTINCT lang, unnest(flatten([[array_to_string(string_split(g, ' ')[i : i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS g, n
+        FROM often WHERE k > 2
+    ),
+    found AS (
+        SELECT * FROM often o WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM longer b WHERE b.lang = o.lang AND b.g = o.g AND 100 * b.n >= 100 * o.n)
+    ),
+    cuts AS (
+        SELECT lang, g, n AS a, c, array_to_string(string_split(g, ' ')[1 : c], ' ') AS one, array_to_string(string_split(g, ' ')[c + 1 :], ' ') AS two
+        FROM found, range(1, 5) AS cs(c) WHERE c < k
+    ),
+    scored AS (
+        SELECT cuts.lang, cuts.g, a, c, x.n AS l, y.n AS r, t.n AS n, 1000::HUGEINT * a * t.n // (x.n::HUGEINT * y.n) AS score
+        FROM cuts JOIN often x ON x.lang = cuts.lang AND x.g = one JOIN often y ON y.lang = cuts.lang AND y.g = two JOIN totals t ON t.lang = cuts.lang
+    ),
+    best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, c) AS nth FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g COLLATE "C") AS place FROM best WHERE nth = 1)
+    SELECT lang, place AS rank, g AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE place <= 2000
+    """
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_arc_to_warc": OP1_SQL,
         "op5_sorted_passes": OP5_SQL,
         "op6_suffix_dedup": OP6_SQL,
         "op7_url_rules": _op7_sql(),
+        "op12_line_runs": OP12_SQL,
+        "op13_collocations": OP13_SQL,
     }
