@@ -7,7 +7,7 @@ from functools import reduce
 from itertools import chain
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,16 @@ def map_value(col: Column, table: Mapping[Any, Any], default: Column | None = No
     """Dictionary lookup inside the row; keys absent from `table` give `default` (null)."""
     if not table:
         return F.lit(None) if default is None else default
-    found = F.when(col.isNotNull(), F.try_element_at(map_literal(table), col))
+    found = F.try_element_at(map_literal(table), col)  # null for a null key
     return found if default is None else F.coalesce(found, default)
 
 
+def literal_rows(spark: SparkSession, columns: str, rows: Iterable[tuple]) -> DataFrame:
+    """Constants as a frame whose size the optimiser knows, so that it picks the join by it."""
+    listed = ", ".join(f"({', '.join('NULL' if x is None else _sql_literal(x) for x in row)})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
+
+
 def round_half_up(col: Column) -> Column:
     """floor(x + 0.5): halves go up, also below zero."""
     return F.floor(col + F.lit(0.5))

@@ -10,24 +10,39 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reabasto.functions.columns import is_true, map_value
+from reabasto.functions.columns import is_true, literal_rows
 from reabasto.functions.months import month_key, window_months, window_start
 from reabasto.params import Params
 
 PAIR = ("producto_master", "sucursal_final")
 
 
-def final_branch(branch: Column, sale_type: Column, params: Params) -> Column:
+def final_branch(branch: str, mobile: bool, params: Params) -> str:
     """Mobile sales of one branch apart, merged branches together, special ones to the CD."""
-    mobile = is_true((branch == params.mobile_branch) & (sale_type == params.mobile_sale_type))
-    merged = F.when(mobile, F.lit(params.mobile_branch_final)).otherwise(
-        map_value(branch, params.branch_merges, branch)
-    )
-    return F.when(merged.isin(*params.cd_special_branches), F.lit(params.cd_id)).otherwise(merged)
+    if mobile and branch == params.mobile_branch:
+        merged = params.mobile_branch_final
+    else:
+        merged = params.branch_merges.get(branch, branch)
+    return params.cd_id if merged in params.cd_special_branches else merged
+
+
+def branch_lookup(spark: SparkSession, params: Params) -> DataFrame:
+    """Branches as sold from (and whether by a mobile sale) to the final one, null where that is excluded.
+
+    Holds only those that the parameters name; any other branch is its own final one.
+    """
+    named = {params.mobile_branch, *params.branch_merges, *params.cd_special_branches, *params.excluded_branches}
+    rows = []
+    for branch in sorted(named):
+        for mobile in (False, True):
+            final = final_branch(branch, mobile, params)
+            rows.append((branch, mobile, None if final in params.excluded_branches else final))
+    found = literal_rows(spark, "SUCURSAL, _movil, _final", rows)
+    return found.select("SUCURSAL", "_movil", F.col("_final").cast("string"), F.lit(True).alias("_nombrada"))
 
 
 def _master_lookup(mapping: DataFrame) -> DataFrame:
@@ -50,11 +65,17 @@ def _to_masters(rows: DataFrame, mapping: DataFrame, dim_product: DataFrame, par
 
 
 def _kept_lines(sales: DataFrame, params: Params) -> DataFrame:
-    branch = final_branch(F.col("SUCURSAL"), F.col("TipoVenta"), params)
-    return sales.withColumn("sucursal_final", branch).filter(
-        F.col("Producto").isNotNull()
-        & F.col("sucursal_final").isNotNull()
-        & ~F.col("sucursal_final").isin(*params.excluded_branches)
+    """Lines with their final branch, looked up by a join: as an expression it would be repeated in
+    filter and keys for every line, more code than gets compiled."""
+    marked = sales.withColumn("_movil", is_true(F.col("TipoVenta") == params.mobile_sale_type))
+    lookup = branch_lookup(sales.sparkSession, params)
+    final = F.when(F.col("_nombrada"), F.col("_final")).otherwise(F.col("SUCURSAL"))
+    return (
+        marked.filter(F.col("Producto").isNotNull() & F.col("SUCURSAL").isNotNull())
+        .join(lookup, ["SUCURSAL", "_movil"], "left")
+        .withColumn("sucursal_final", final)
+        .filter(F.col("sucursal_final").isNotNull())
+        .drop("_movil", "_final", "_nombrada")
     )
 
 
