@@ -251,7 +251,7 @@ def _rule_accepts(params: Params) -> Column:
     )
 
 
-SALTS = 32  # parts that rows are dealt into by pair, so that no key of the join holds them all
+KEY_ROWS = 200_000  # rows of a join key that one task takes
 
 
 def _group_targets(rules: DataFrame, rows: DataFrame, params: Params) -> DataFrame:
@@ -259,8 +259,9 @@ def _group_targets(rules: DataFrame, rows: DataFrame, params: Params) -> DataFra
 
     Rules meet rows by equality on those of branch, brand and class that the rule names. A row
     stands once for each combination of named columns that some rule has, mostly one or two of
-    the eight, and under a salt of its pair; the few rules are repeated for every salt. So a rule
-    that names nothing meets all rows without a key that they share.
+    the eight. Rows are counted by key first; those of a key with more than KEY_ROWS are dealt by their
+    pair into as many parts as that takes, and its rules are repeated for each. So a rule
+    that names nothing meets all rows without a part that grows with them.
     """
     wanted = rules.filter(F.col("modo") != "individual").select(
         F.col("id").alias("recurrente_id"),
@@ -284,10 +285,22 @@ def _group_targets(rules: DataFrame, rows: DataFrame, params: Params) -> DataFra
         placed = placed.withColumn(f"_{name}", F.explode(values))
         named = F.col("_code").bitwiseAND(F.lit(1 << i)) != 0
         keyed = keyed.withColumn(f"_{name}", F.when(named, F.col(column)).otherwise(ANY))
-    placed = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*PAIR), F.lit(SALTS)).cast("int"))
-    met = keyed.join(placed, ["_code", *[f"_{name}" for name in KEYED], "_salt"])
-    return met.filter(_rule_accepts(params))
+    key = ["_code", *[f"_{name}" for name in KEYED]]
+    return _met(keyed, placed, key).filter(_rule_accepts(params))
+
+
+def key_parts(keyed: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Keys with more than `most` rows, and the number of parts they need; fewer rows than keyed / most."""
+    counted = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    return counted.select(*key, F.ceil(F.col("_n") / most).cast("int").alias("_partes"))
+
+
+def _met(keyed: DataFrame, placed: DataFrame, key: list[str], most: int = KEY_ROWS) -> DataFrame:
+    """The join by key, large keys in parts."""
+    parts, count = key_parts(keyed, key, most), F.coalesce("_partes", F.lit(1))
+    dealt = keyed.join(parts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*PAIR), count).cast("int")).drop("_partes")
+    repeated = placed.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("_partes")
+    return dealt.join(repeated, [*key, "_salt"])
 
 
 def recurring_entries(
@@ -440,6 +453,21 @@ def audit_page(
     return page_of(audit_rows(log, action, without), keys, page, limit)
 
 
+def audit_after(
+    log: DataFrame,
+    last: tuple[datetime, int] | None = None,
+    action: str | None = None,
+    without: tuple[str, ...] = (),
+    limit: int = 100,
+) -> DataFrame:
+    """The page of `audit_page` that follows a page whose last event has this time and id; a page deep down costs no more than the first."""
+    kept = audit_rows(log, action, without)
+    if last is not None:
+        when, number = F.lit(last[0]), F.lit(last[1])
+        kept = kept.filter((F.col("creado_en") < when) | ((F.col("creado_en") == when) & (F.col("id") < number)))
+    return kept.orderBy(F.col("creado_en").desc(), F.col("id").desc()).limit(limit)
+
+
 def audit_total(log: DataFrame, action: str | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """How many events all pages of `audit_page` hold."""
     return audit_rows(log, action, without).agg(F.count(F.lit(1)).alias("total"))

@@ -1,9 +1,14 @@
-"""Publishing: staged write, shrink guard, switch of a table's current version.
+"""Publishing: staged write, shrink guard, one manifest for all tables of a publication.
 
-Every attempt writes to a folder of its own, `data/<attempt>/<table>`. A version of a table counts
-once its row stands in `versions/<table>/<number>`: a small file that holds the attempt and the row
-count. Readers follow that row, so they never see a part of a version; a failed or concurrent
-attempt leaves the published one as it was, and its own files are read by nobody.
+Every attempt writes to a folder of its own, `data/<attempt>/<table>`. Its manifest names the tables it
+replaces, each with its version, row count and attempt, and is written last, beside the data. One rename
+puts it to `publications/<number>`, the next free number: from then on, and for all its tables at
+once, it counts. A reader takes of each table the entry with the highest publication number, so it never
+sees a part of a version, nor new suggestions with old dimensions. A failed attempt leaves the
+published tables as they were, and its own files are read by nobody.
+
+Two publishers of different tables take numbers one after the other. One that comes too late with a version of
+a table that another has published meanwhile gives way.
 """
 
 from __future__ import annotations
@@ -11,16 +16,17 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from reabasto.functions.columns import side_by_side
 from reabasto.operators.dims import dim_branch_from_upload, dim_product_from_upload
 from reabasto.params import Params
-from reabasto.sources.files import path_exists
+from reabasto.sources.files import make_folder, move_to_new, path_exists
 
-VERSIONS = "tabla string, version long, filas long, intento string"
+MANIFEST = "tabla string, version long, filas long, intento string"
 SUGGESTION, PRODUCTS, BRANCHES = "sugerido", "dim_producto", "dim_sucursal"
+NUMBER = r"/publications/(\d+)/[^/]*$"
 
 
 class ShrinkError(ValueError):
@@ -31,40 +37,56 @@ class VersionTakenError(RuntimeError):
     """Another publisher has published this version of the table meanwhile."""
 
 
-def _versions(spark: SparkSession, base: str, table: str) -> DataFrame | None:
-    folder = f"{base}/versions/{table}"
-    return spark.read.schema(VERSIONS).json(f"{folder}/*") if path_exists(spark, folder) else None
+def publications(spark: SparkSession, base: str) -> DataFrame:
+    """All entries of all publications: publicacion, tabla, version, filas, intento."""
+    if not path_exists(spark, f"{base}/publications/1"):
+        return spark.createDataFrame([], f"publicacion long, {MANIFEST}")
+    listed = spark.read.schema(MANIFEST).json(f"{base}/publications/*")
+    return listed.withColumn("publicacion", F.regexp_extract("_metadata.file_path", NUMBER, 1).cast("long"))
+
+
+def _newest(spark: SparkSession, base: str) -> dict[str, Row]:
+    """The entry that counts of each table: as many rows as there are tables."""
+    entry = F.struct("publicacion", "version", "filas", "intento")
+    found = publications(spark, base).groupBy("tabla").agg(F.max(entry).alias("e")).select("tabla", "e.*")
+    return {r["tabla"]: r for r in found.collect()}
 
 
 def current_version(spark: SparkSession, base: str, table: str = SUGGESTION) -> tuple[int, int]:
     """Number and row count of the newest published version of a table, (0, 0) before the first."""
-    known = _versions(spark, base, table)
-    newest = known.orderBy(F.col("version").desc()).first() if known is not None else None
+    newest = _newest(spark, base).get(table)
     return (newest["version"], newest["filas"]) if newest else (0, 0)
 
 
+def read_published(spark: SparkSession, base: str, *tables: str) -> dict[str, DataFrame]:
+    """Several tables as one moment shows them: no publication lies between them."""
+    newest = _newest(spark, base)
+    if missing := [t for t in tables if t not in newest]:
+        raise FileNotFoundError(f"{', '.join(missing)} not published in {base}")
+    return {t: spark.read.parquet(f"{base}/data/{newest[t]['intento']}/{t}") for t in tables}
+
+
 def read_current(spark: SparkSession, base: str, table: str) -> DataFrame:
-    known = _versions(spark, base, table)
-    newest = known.orderBy(F.col("version").desc()).first() if known is not None else None
-    if newest is None:
-        raise FileNotFoundError(f"{table} has not been published in {base}")
-    return spark.read.parquet(f"{base}/data/{newest['intento']}/{table}")
-
-
-def _commit(spark: SparkSession, base: str, table: str, version: int, rows: int, attempt: str) -> None:
-    """Makes a written table the current one; refuses when the version is there already."""
-    target = f"{base}/versions/{table}/{version}"
-    row = spark.createDataFrame([(table, version, rows, attempt)], VERSIONS)
-    try:
-        row.coalesce(1).write.mode("errorifexists").json(target)
-    except Exception as e:
-        if path_exists(spark, target):
-            raise VersionTakenError(f"version {version} of {table} is published already") from e
-        raise
-    # two publishers that both found no folder: the row that was written last stands, the other gives way
-    found = spark.read.schema(VERSIONS).json(target).collect()
-    if [r["intento"] for r in found] != [attempt]:
-        raise VersionTakenError(f"version {version} of {table} was published by another attempt")
+    return read_published(spark, base, table)[table]
+
+
+def _commit(spark: SparkSession, base: str, attempt: str, entries: dict[str, tuple[int, int]]) -> int:
+    """Makes written tables, each with (version, rows), the current ones, all of them or none; the publication's number.
+
+    Refuses when a version is there already.
+    """
+    written = f"{base}/data/{attempt}/_manifest"
+    rows = [(table, version, count, attempt) for table, (version, count) in entries.items()]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(written)
+    make_folder(spark, f"{base}/publications")
+    while True:
+        newest = _newest(spark, base)
+        for table, (version, _) in entries.items():
+            if table in newest and newest[table]["version"] >= version:
+                raise VersionTakenError(f"version {version} of {table} is published already")
+        number = 1 + max((r["publicacion"] for r in newest.values()), default=0)
+        if move_to_new(spark, written, f"{base}/publications/{number}"):
+            return number
 
 
 def _write(rows: DataFrame, base: str, table: str, attempt: str) -> DataFrame:
@@ -91,7 +113,8 @@ def publish_snapshot(rows: DataFrame, base: str, params: Params | None = None, o
     """Suggestion table and its two dimensions as their next versions; gives the row count.
 
     The rows are written once, counted from the written files, and switched to only when
-    they are not far fewer than the current ones. The current versions stay on any failure.
+    they are not far fewer than the current ones. The three tables change together, in one
+    publication; the current versions stay on any failure.
     `order` names the column of the upload order; without one (or the column `fila`) rows
     follow product and branch, as the calculation has no order of its own.
     """
@@ -110,20 +133,29 @@ def publish_snapshot(rows: DataFrame, base: str, params: Params | None = None, o
     placed = written if order else written.withColumn("_orden", F.struct("producto", "sucursal_id"))
     products = _write(dim_product_from_upload(placed, order or "_orden"), base, PRODUCTS, attempt)
     branches = _write(dim_branch_from_upload(placed, order or "_orden"), base, BRANCHES, attempt)
-    sizes = {PRODUCTS: products.count(), BRANCHES: branches.count()}
-    _commit(spark, base, SUGGESTION, version + 1, count, attempt)
-    for table, number in numbers.items():
-        _commit(spark, base, table, number, sizes[table], attempt)
+    entries = {SUGGESTION: (version + 1, count)}
+    entries |= {t: (numbers[t], made.count()) for t, made in ((PRODUCTS, products), (BRANCHES, branches))}
+    _commit(spark, base, attempt, entries)
     return count
 
 
+def replace_tables(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], base: str) -> dict[str, int]:
+    """Serving tables, each with its keys, replaced as a whole and all together; rows lacking a key are dropped.
+
+    Gives their row counts. Other tables keep their versions, and all do when one of these can't be written.
+    """
+    attempt, entries = uuid.uuid4().hex, {}
+    spark = next(iter(tables.values()))[0].sparkSession
+    for table, (rows, keys) in tables.items():
+        version, _ = current_version(spark, base, table)
+        entries[table] = (version + 1, _write(valid_rows(rows, keys), base, table, attempt).count())
+    _commit(spark, base, attempt, entries)
+    return {table: count for table, (_, count) in entries.items()}
+
+
 def replace_table(rows: DataFrame, base: str, table: str, keys: tuple[str, ...]) -> int:
     """Any serving table replaced as a whole; rows lacking a key are dropped. Other tables keep their versions."""
-    spark, attempt = rows.sparkSession, uuid.uuid4().hex
-    version, _ = current_version(spark, base, table)
-    count = _write(valid_rows(rows, keys), base, table, attempt).count()
-    _commit(spark, base, table, version + 1, count, attempt)
-    return count
+    return replace_tables({table: (rows, keys)}, base)[table]
 
 
 def monthly_sales_rows(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
+
+
+def move_to_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder in one step; False, and nothing done, where the target is there already."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    rename = getattr(fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = fs.FileContext.getFileContext(fs.Path(source).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(context.makeQualified(fs.Path(source)), context.makeQualified(fs.Path(target)), options)
+    except Py4JJavaError:
+        if path_exists(spark, target):
+            return False
+        raise
+    return True
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
     """Headed CSV with a fixed schema; columns are matched by header name, not by place.
 

@@ -117,6 +117,31 @@ def test_rule_filters_agree_with_the_grid(spark, params, rows, given):
     assert made == rows(serving.filter_suggestions(published, Filters.from_json(json.dumps(given)), params), "producto")
 
 
+def test_a_rule_that_names_nothing_is_dealt_by_its_measured_size(spark, params, rows):
+    rows_ = spark.range(1000).selectExpr("concat('P', id) as producto", "'TALCA' as sucursal_id", "1 as _code", "if(id < 900, 'x', concat('y', id)) as _k")
+    rules_ = spark.createDataFrame([(1, "x", "r1"), (1, "y950", "r2"), (1, "z", "r3")], "_code int, _k string, regla string")
+    parts = {tuple(r) for r in state.key_parts(rows_, ["_code", "_k"], 100).collect()}
+    assert parts == {(1, "x", 9)}  # only the large key
+    met = state._met(rows_, rules_, ["_code", "_k"], 100)
+    assert met.count() == 901 and met.select("producto").distinct().count() == 901
+    assert met.filter("_k = 'x'").select("_salt").distinct().count() == 9
+    largest = met.groupBy("_k", "_salt").count().agg(F.max("count")).first()[0]
+    assert largest < 200
+
+
+def test_audit_pages_by_their_last_event(spark):
+    log = spark.createDataFrame([(i, "a" if i % 3 else "login", datetime(2026, 7, 1 + i % 4), None) for i in range(20)], "id long, accion string, creado_en timestamp, detalle string")
+    last, number = None, 0
+    while True:
+        number += 1
+        page = state.audit_after(log, last, without=("login",), limit=4).collect()
+        assert [r.id for r in page] == [r.id for r in state.audit_page(log, without=("login",), page=number, limit=4).collect()]
+        if not page:
+            break
+        last = (page[-1].creado_en, page[-1].id)
+    assert number == 5
+
+
 def test_notifications(spark, rows):
     events = spark.createDataFrame([(str(i), datetime(2026, 7, 1, i), v) for i, v in enumerate([None, "ana", " beto , ana ", "beto"])], "id string, creado_en timestamp, vistas_por string")
     assert rows(state.unread_count(events, "ana")) == [(2,)]
@@ -185,6 +210,66 @@ def test_a_failed_attempt_leaves_the_published_rows(spark, params, tmp_path):
     assert publish.read_current(spark, base, "sugerido").count() == 10
 
 
+@pytest.mark.parametrize("broken", ["dim_producto", "dim_sucursal", "_manifest"])
+def test_a_fault_between_tables_leaves_the_old_three(spark, params, tmp_path, monkeypatch, broken):
+    base = str(tmp_path)
+    big = spark.range(10).selectExpr("concat('P', id) as producto", "'TALCA' as sucursal_id", "'Talca' as nombre_sucursal", "id")
+    columns = ("descripcion", "filtro1_final", "unidad_medida", "costo_unitario", "proveedor", "es_importado", "abastece_cd", "prioridad_cd")
+    big = big.selectExpr("*", *[f"cast(null as string) as {c}" for c in columns])
+    publish.publish_snapshot(big, base, params)
+    write, move = publish._write, publish.move_to_new
+
+    def failing(rows, base, table, attempt):
+        if table == broken:
+            raise OSError("the store is gone")
+        return write(rows, base, table, attempt)
+
+    def not_moved(*_):
+        raise OSError("the store is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(publish, "_write", failing)
+        m.setattr(publish, "move_to_new", not_moved if broken == "_manifest" else move)
+        with pytest.raises(OSError, match="gone"):
+            publish.publish_snapshot(big.filter("id < 8").withColumn("sucursal_id", F.lit("CURICO")), base, params)
+    old = publish.read_published(spark, base, "sugerido", "dim_producto", "dim_sucursal")
+    assert [old[t].count() for t in old] == [10, 10, 1] and old["dim_sucursal"].first()["sucursal_id"] == "TALCA"
+    assert publish.publish_snapshot(big.filter("id < 9"), base, params) == 9  # and the next one passes
+    new = publish.read_published(spark, base, "sugerido", "dim_producto", "dim_sucursal")
+    assert [new[t].count() for t in new] == [9, 9, 1] and publish.current_version(spark, base) == (2, 9)
+
+
+def test_several_tables_are_replaced_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    tables = lambda n: {"venta": (spark.range(n).selectExpr("cast(id as string) as k"), ("k",)), "stock": (spark.range(2 * n).selectExpr("cast(id as string) as k"), ("k",))}
+    assert publish.replace_tables(tables(3), base) == {"venta": 3, "stock": 6}
+    assert publish.publications(spark, base).select("publicacion", "tabla", "version").orderBy("tabla").collect() == [(1, "stock", 1), (1, "venta", 1)]
+    broken = tables(5) | {"stock": (spark.range(3).selectExpr("raise_error('no') as k"), ("k",))}
+    with pytest.raises(Exception, match="no"):
+        publish.replace_tables(broken, base)
+    read = publish.read_published(spark, base, "venta", "stock")
+    assert (read["venta"].count(), read["stock"].count()) == (3, 6)
+
+
+def test_publishers_of_other_tables_do_not_lose(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    rows = spark.range(4).selectExpr("cast(id as string) as k")
+    publish.replace_table(rows, base, "uno", ("k",))
+    move, raced = publish.move_to_new, []
+
+    def late(spark, source, target):  # between our look and our rename, another publication takes the number
+        if not raced:
+            raced.append(target)
+            monkeypatch.setattr(publish, "move_to_new", move)
+            publish.replace_table(rows.limit(1), base, "dos", ("k",))
+        return move(spark, source, target)
+
+    monkeypatch.setattr(publish, "move_to_new", late)
+    assert publish.replace_table(rows.limit(2), base, "uno", ("k",)) == 2
+    assert publish.current_version(spark, base, "uno") == (2, 2) and publish.current_version(spark, base, "dos") == (1, 1)
+    assert sorted(r.publicacion for r in publish.publications(spark, base).collect()) == [1, 2, 3]
+
+
 def test_engine_output_is_published_and_listed(spark, params, tmp_path, rows):
     base = str(tmp_path / "pub")
     made = serving.from_contract(contract(run_pipeline(*inputs(spark)), PARAMS))
