@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reabasto import fixed_values as V
 from reabasto import schemas as S
@@ -107,38 +108,34 @@ def master_map(mix: DataFrame, sales: DataFrame, closed_month: date, params: Par
     A product with replacements heads a group unless it replaces another product or shares
     a replacement with another head. The final head is the member that sold most in the
     closed six months; ties go to the original head, then to the larger code.
+
+    Two grouped passes: one over what the rows say of each product (whom it lists, whether it replaces any), one over
+    members and sales together (how many heads list a product, what it sold). They carry flags and sums
+    only, so a replacement that very many list is no single task's work; what is gathered is a product's own
+    replacements.
     """
-    rows = mix.select(
-        blank_to_null(F.col("Producto").cast("string")).alias("Producto"),
-        F.array_compact(
-            F.array(*[blank_to_null(F.col(c).cast("string")) for c in REPLACEMENTS])
-        ).alias("reems"),
-    ).filter(F.col("Producto").isNotNull())
-    links = rows.select(F.col("Producto").alias("master"), F.explode("reems").alias("reem")).distinct()
-    replaced = links.select(F.col("reem").alias("master")).distinct()
-    clean = links.join(replaced, "master", "left_anti")
-    shared = clean.groupBy("reem").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bad = clean.join(shared, "reem", "left_semi").select("master").distinct()
-    kept = clean.join(bad, "master", "left_anti")
-    members = kept.select(
-        "master", F.explode(F.array("master", "reem")).alias("Producto")
-    ).distinct()
+    code = lambda c: blank_to_null(F.col(c).cast("string"))
+    listed = mix.select(code("Producto").alias("cabeza"), F.array_compact(F.array(*[code(c) for c in REPLACEMENTS])).alias("reems"))
+    roles = F.transform("reems", lambda r: F.struct(r.alias("p"), F.lit(None).cast("string").alias("reem"), F.lit(True).alias("es_reem")))
+    heads = F.transform("reems", lambda r: F.struct(F.col("cabeza").alias("p"), r.alias("reem"), F.lit(False).alias("es_reem")))
+    named = listed.filter(F.col("cabeza").isNotNull()).select(F.explode(F.concat(roles, heads)).alias("r")).select("r.*")
+    products = named.groupBy("p").agg(F.collect_set("reem").alias("reems"), F.bool_or("es_reem").alias("es_reem"))
+    own = products.filter((F.size("reems") > 0) & ~F.col("es_reem"))
+    members = own.select(F.col("p").alias("master"), F.explode(F.array_union(F.array("p"), "reems")).alias("Producto"))
     start = first_day(window_start(closed_month, params.window_mid))
-    sold = (
-        sales.filter((F.col("Fecha") >= F.lit(start)) & (F.col("Fecha") < F.lit(closed_month)))
-        .groupBy("Producto")
-        .agg(F.sum("Cantidad").alias("ventas"))
+    sold = sales.filter((F.col("Fecha") >= F.lit(start)) & (F.col("Fecha") < F.lit(closed_month))).select(
+        "Producto", F.lit(0).alias("listas"), F.col("Cantidad").alias("ventas")
     )
-    ranked = members.join(sold, "Producto", "left").withColumn(
-        "puntaje",
-        F.struct(
-            F.coalesce("ventas", F.lit(0)).alias("ventas"),
-            (F.col("Producto") == F.col("master")).cast("int").alias("es_master"),
-            "Producto",
-        ),
+    listed_or_sold = members.select("Producto", F.lit(1).alias("listas"), F.lit(0).cast("long").alias("ventas")).unionByName(sold)
+    sums = listed_or_sold.groupBy("Producto").agg((F.sum("listas") > 1).alias("compartido"), F.coalesce(F.sum("ventas"), F.lit(0)).alias("ventas"))
+    ranked = members.join(sums, "Producto")
+    group = Window.partitionBy("master")
+    score = F.struct("ventas", (F.col("Producto") == F.col("master")).cast("int").alias("es_master"), "Producto")
+    return (
+        ranked.withColumns({"_mala": F.bool_or("compartido").over(group), "_mejor": F.max(score).over(group)})
+        .filter(~F.col("_mala"))
+        .select("Producto", F.col("_mejor.Producto").alias("Producto_Master"))
     )
-    chosen = ranked.groupBy("master").agg(F.max("puntaje").getField("Producto").alias("Producto_Master"))
-    return members.join(chosen, "master").select("Producto", "Producto_Master")
 
 
 def imported_products(tracking_imported: DataFrame) -> DataFrame:

@@ -37,6 +37,48 @@ def test_head_by_sales_in_the_window(spark, rows, params):
     assert mapped(spark, rows, params, [("A", "B", None, None)], sold) == {"A": "B", "B": "B"}
 
 
+def brute_master(mix, sold):
+    listed = {}
+    for head, *reems in mix:
+        if head and head.strip():
+            listed.setdefault(head.strip(), set()).update(r.strip() for r in reems if r and r.strip())
+    replaced = {r for reems in listed.values() for r in reems}
+    clean = {h: reems for h, reems in listed.items() if reems and h not in replaced}
+    count = {}
+    for reems in clean.values():
+        for r in reems:
+            count[r] = count.get(r, 0) + 1
+    made = {}
+    for head, reems in clean.items():
+        if all(count[r] == 1 for r in reems):
+            members = {head, *reems}
+            best = max(members, key=lambda p: (sum(n for q, d, n in sold if q == p and date(2026, 1, 1) <= d < MONTH), p == head, p))
+            made |= dict.fromkeys(members, best)
+    return made
+
+
+def test_groups_against_brute_force(spark, rows, params):
+    import random
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        codes = [f"C{i}" for i in range(25)]
+        pick = lambda: rng.choice([*codes, None, " ", "Z " + rng.choice(codes)])
+        mix = [(rng.choice([*codes, None, ""]) if rng.random() < 0.9 else rng.choice(codes) + " ", pick() if rng.random() < 0.6 else None, pick() if rng.random() < 0.3 else None, None) for _ in range(14)]
+        mix += mix[:2]
+        sold = [(rng.choice(codes), date(2026, rng.randrange(1, 8), 1), rng.randrange(-3, 5)) for _ in range(60)]
+        assert mapped(spark, rows, params, mix, sold) == brute_master(mix, sold)
+
+
+def test_a_replacement_that_very_many_list_is_flagged_not_gathered(spark, rows, params):
+    mix = [(f"H{i}", "X", None, None) for i in range(2000)] + [("A", "B", None, None)]
+    assert mapped(spark, rows, params, mix) == {"A": "A", "B": "A"}
+    made = dims.master_map(spark.createDataFrame(mix, MIX), spark.createDataFrame([], SOLD), MONTH, params)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines()) <= 4
+
+
 def test_rubro_brand_and_unit(spark, params):
     cases = [
         ("70 123", None, False, "CHEVROLET"),
