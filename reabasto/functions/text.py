@@ -28,8 +28,9 @@ _NOT_ALPHANUMERIC = r"[^\p{L}\p{N}]"
 
 
 def strip_accents(col: Column) -> Column:
-    """Lower-case accented letters to plain ones; combining marks are dropped."""
-    return F.regexp_replace(F.translate(col, ACCENTED, PLAIN), r"\p{M}", "")
+    """Lower-case accented letters to plain ones; combining marks are dropped. Text of single bytes has none."""
+    stripped = F.regexp_replace(F.translate(col, ACCENTED, PLAIN), r"\p{M}", "")
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(stripped)
 
 
 def _base_label(col: Column) -> Column:

@@ -608,7 +608,12 @@ def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines as four report files: title rows, then a header row in another column order in
     each, in the last one far down."""
-    return report_tops(spark, sf_dir, 4).unionByName(report_lines(spark, sf_dir))
+    return _flagged(report_tops(spark, sf_dir, 4), report_lines(spark, sf_dir))
+
+
+def _flagged(tops: DataFrame, data: DataFrame) -> DataFrame:
+    """A grid that tells the rows above the data, among which its headers are."""
+    return tops.withColumn("cabecera", F.lit(True)).unionByName(data.withColumn("cabecera", F.lit(False)))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -696,7 +701,7 @@ def upload_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = lines(spark, sf_dir).select(
         file_of(F.col("l_suppkey")).alias("archivo"), (F.col("l_orderkey") + 1).alias("fila"), cells.alias("celdas")
     )
-    return headers.unionByName(data)
+    return _flagged(headers, data)
 
 
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -740,7 +745,7 @@ def _grid(spark: SparkSession, sf_dir: str, rows: DataFrame, name: str, fila: Co
     )
     if at == 0:  # an upload has nothing above its header
         tops = tops.filter(F.size(F.array_compact("celdas")) == len(cells))
-    return tops.unionByName(rows.select(F.lit(name).alias("archivo"), (fila + 100).alias("fila"), F.array(*cells.values()).alias("celdas")))
+    return _flagged(tops, rows.select(F.lit(name).alias("archivo"), (fila + 100).alias("fila"), F.array(*cells.values()).alias("celdas")))
 
 
 def border_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Report grids: rows of cells whose header row and column order differ per file.
 
 A grid is a frame `archivo string, fila long, celdas array<string>`; `fila` grows
-down the file and the title and header rows come first.
+down the file and the title and header rows come first. It may also have a flag `cabecera`: headers are
+then looked for among the flagged rows only. `write_grid` sets it, in folders of their own, so
+that a report that is read many times is searched for its header once and its data rows are read once each time.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
 from reabasto.functions import text as T
-from reabasto.functions.columns import any_of, map_value
+from reabasto.functions.columns import any_of, is_true, map_value
 
 # Spark numbers rows from this multiple of the task's number on.
 ROWS_PER_TASK = 1 << 33
@@ -40,16 +42,21 @@ def _position(name: str) -> Column:
     return F.coalesce(F.nullif(literal, F.lit(0)), F.nullif(loose, F.lit(0)))
 
 
-def find_headers(
+def _searched(grid: DataFrame) -> DataFrame:
+    """The rows that a header may be among."""
+    return grid.filter("cabecera") if "cabecera" in grid.columns else grid
+
+
+def _header_rows(
     grid: DataFrame, columns: Mapping[str, str], required: Iterable[str] | None = None
 ) -> DataFrame:
-    """One row per file: where the header row is and the place of each wanted column."""
+    """Rows that name all required columns, with the place of each wanted one."""
     wanted = list(required) if required is not None else list(columns)
     # a header has a cell that starts with no digit for each wanted name that doesn't: rows of
     # figures go before any cell is normalised
     texts = F.filter("celdas", lambda c: (F.length(F.trim(c)) > 0) & ~F.ltrim(c).rlike("^[0-9]"))
     enough = F.size(texts) >= sum(not columns[dst].strip()[:1].isdigit() for dst in wanted)
-    normal = grid.filter(enough).select(
+    normal = _searched(grid).filter(enough).select(
         "archivo",
         "fila",
         F.transform("celdas", lambda c: F.trim(c)).alias("_textos"),
@@ -61,14 +68,41 @@ def find_headers(
     complete = F.lit(True)
     for dst in wanted:
         complete = complete & F.col(f"lugar.`{dst}`").isNotNull()
+    return placed.filter(complete)
+
+
+def find_headers(
+    grid: DataFrame, columns: Mapping[str, str], required: Iterable[str] | None = None
+) -> DataFrame:
+    """One row per file: where the header row is and the place of each wanted column."""
     return (
-        placed.filter(complete)
+        _header_rows(grid, columns, required)
         .groupBy("archivo")
-        .agg(F.min(F.struct("fila", "lugar")).alias("cabecera"))
-        .select("archivo", F.col("cabecera.fila").alias("fila_cabecera"), "cabecera.lugar")
+        .agg(F.min(F.struct("fila", "lugar")).alias("primera"))
+        .select("archivo", F.col("primera.fila").alias("fila_cabecera"), "primera.lugar")
     )
 
 
+def write_grid(
+    grid: DataFrame, path: str, columns: Mapping[str, str] | None = None, required: Iterable[str] | None = None
+) -> None:
+    """Writes a grid with its flag `cabecera`: the rows that name all required columns, or, without
+    `columns`, the first row of each file, as in uploads."""
+    bare = grid.drop("cabecera")
+    if columns is None:
+        found = bare.groupBy("archivo").agg(F.min("fila").alias("fila"))
+    else:
+        found = find_headers(bare, columns, required).select("archivo", F.col("fila_cabecera").alias("fila"))
+    heads = found.groupBy("archivo").agg(F.min("fila").alias("_cabecera"))
+    flag = is_true(F.col("fila") == F.col("_cabecera"))
+    marked = bare.join(heads, "archivo", "left").withColumn("cabecera", flag).drop("_cabecera")
+    marked.write.partitionBy("cabecera").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("archivo string, fila long, celdas array<string>, cabecera boolean").parquet(path)
+
+
 def read_report(
     grid: DataFrame, columns: Mapping[str, str], required: Iterable[str] | None = None
 ) -> DataFrame:
@@ -105,12 +139,12 @@ def files_without_header(
 
 def _upload_fields(grid: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     """One row per file: its first row, and the field of each cell there (null without an alias)."""
-    first = grid.groupBy("archivo").agg(F.min(F.struct("fila", "celdas")).alias("cabecera"))
+    first = _searched(grid).groupBy("archivo").agg(F.min(F.struct("fila", "celdas")).alias("primera"))
     return first.select(
         "archivo",
-        F.col("cabecera.fila").alias("fila_cabecera"),
-        F.transform("cabecera.celdas", lambda c: map_value(T.label_upload(c), aliases)).alias("campos"),
-        F.col("cabecera.celdas").alias("titulos"),
+        F.col("primera.fila").alias("fila_cabecera"),
+        F.transform("primera.celdas", lambda c: map_value(T.label_upload(c), aliases)).alias("campos"),
+        F.col("primera.celdas").alias("titulos"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
@@ -136,6 +136,22 @@ def select_sales_years(sales: DataFrame, closed_month: date, params: Params) ->
     return kept
 
 
+def write_sales_by_year(sales: DataFrame, path: str) -> None:
+    """Sales in a folder per calendar year (`anio`); a year with much more rows than others is split over several tasks."""
+    kept = sales.withColumn("anio", F.year("Fecha")).hint("rebalance", "anio")
+    kept.write.mode("overwrite").partitionBy("anio").parquet(path)
+
+
+def read_sales_years(spark: SparkSession, path: str, closed_month: date, params: Params) -> DataFrame:
+    """The years of `write_sales_by_year` that the engine looks at; the folders of other years are not listed."""
+    return select_sales_years(spark.read.parquet(path), closed_month, params).drop("anio")
+
+
+def main_sales_extract(table: DataFrame, company: str, since: date) -> DataFrame:
+    """Sales of a company from a day on, all columns: two plain comparisons, which files and databases evaluate themselves."""
+    return table.filter((F.col("Empresa") == company) & (F.col("Fecha") >= F.lit(since)))
+
+
 def _series(model: Column) -> Column:
     pick = None
     for pattern, name in V.SERIES_PATTERNS:

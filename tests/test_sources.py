@@ -1,9 +1,10 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
+from reabasto import schemas as S
 from reabasto.functions import text
 from reabasto.sources import catalogue, files, freshness, grid, postsale, sales, stock, tracking
 
@@ -239,3 +240,53 @@ def test_border_extract_columns(spark, rows):
         ("CARGO INTERNO", "SERIE N", "LUBRICANTE", "02 LINDEROS", 10.0, "Emitido", "aceite de motor dies"),
         ("NOTA CREDITO ST", "SERIE N", "LUBRICANTE", "02 LINDEROS", -10.0, "Emision Pendiente", "aceite de motor dies"),
     ]
+
+
+def test_a_stored_grid_is_searched_for_its_header_once(spark, rows, tmp_path):
+    header, columns = ["Producto", "Cantidad", "nota"], {"Producto": "Producto", "Cantidad": "cantidad"}
+    lines = report(spark, "uno", header, [["A", "1", "Producto"], ["Producto", "Cantidad", "x"], ["B", "2", None]], before=2)
+    lines += report(spark, "dos", ["x", "CANTIDAD", "producto"], [["n", "7", "C"]], before=40)
+    made = spark.createDataFrame(lines, GRID)
+    path = str(tmp_path / "grid")
+    grid.write_grid(made, path, columns)
+    stored = grid.read_grid(spark, path)
+    want = [("A", "1"), ("B", "2"), ("C", "7"), ("Producto", "Cantidad")]
+    assert rows(grid.read_report(stored, columns)) == rows(grid.read_report(made, columns)) == want
+    assert rows(grid.files_without_header(stored, columns)) == []
+    searched = grid.find_headers(stored, columns)
+    assert len(searched.inputFiles()) > 0
+    plan = searched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cabecera" in plan
+
+
+def test_a_stored_upload_knows_its_first_row(spark, rows, tmp_path):
+    made = spark.createDataFrame([("a", 0, ["Código", "Stock"]), ("a", 1, ["P1", "3,5"]), ("b", 4, ["stock", "producto"]), ("b", 9, ["2", "P2"])], GRID)
+    path = str(tmp_path / "grid")
+    grid.write_grid(made, path)
+    stored = grid.read_grid(spark, path)
+    assert rows(stored.filter("cabecera"), "archivo", "fila") == [("a", 0), ("b", 4)]
+    assert rows(grid.conform_uploads(stored, V.STOCK_ALIASES), "producto", "stock") == [("P1", 3.5), ("P2", 2.0)]
+
+
+def test_years_that_are_not_looked_at_are_not_read(spark, params, rows, tmp_path):
+    sold = [(f"P{y}", "TALCA", "VTA MESON", date(y, m, 1), 1, "Principal") for y in range(2018, 2028) for m in (1, 12)]
+    made = spark.createDataFrame(sold, S.SALES)
+    path = str(tmp_path / "ventas")
+    sales.write_sales_by_year(made, path)
+    kept = sales.read_sales_years(spark, path, date(2026, 7, 1), params)
+    assert rows(kept, "Producto") == rows(sales.select_sales_years(made, date(2026, 7, 1), params).filter("year(Fecha) <= 2026"), "Producto")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [anio" in plan and "PushedFilters: [IsNotNull(Fecha), GreaterThanOrEqual(Fecha,2025-01-01)]" in plan
+    kept.collect()
+    assert {p.split("anio=")[1][:4] for p in spark.read.parquet(path).filter("anio in (2025, 2026)").inputFiles()} >= {"2025", "2026"}
+
+
+def test_main_extract_reaches_the_files(spark, rows, tmp_path):
+    path = str(tmp_path / "prod")
+    rows_in = [("E01", datetime(2018, 12, 30), 1), ("E01", datetime(2018, 12, 31), 2), ("E07", datetime(2020, 1, 1), 3), (None, datetime(2020, 1, 1), 4), ("E01", None, 5)]
+    spark.createDataFrame(rows_in, "Empresa string, Fecha timestamp_ntz, n int").write.parquet(path)
+    made = sales.main_sales_extract(spark.read.parquet(path), "E01", date(2018, 12, 31))
+    assert rows(made, "n") == [(2,)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "EqualTo(Empresa,E01)" in pushed and "GreaterThanOrEqual(Fecha,2018-12-31" in pushed
