@@ -239,6 +239,8 @@ BODIES = {
         CASE WHEN o_orderkey % 6 = 0 AND docto NOT IN ('CARGO INTERNO', 'CARGO GARANTIA') THEN 'Emision Pendiente' ELSE 'Emitido' END AS "Docto-Emitido"
         FROM docs JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         WHERE empresa = 'E07' AND docto <> 'OTRO' AND o_orderkey % 13 <> 0 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""",
+    "main_extract": """SELECT o_orderstatus AS "Empresa", o_orderdate AS "Fecha", o_orderkey AS "Numero", round(o_totalprice, 2) AS "Total" FROM orders
+        WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1998-12-31 00:00:00'""",
     "national_extract": """SELECT producto AS "Producto", 'SUC' || lpad(CAST(plaza * 10 AS VARCHAR), 3, '0') AS "Sucursal", razon AS "RazonSocial", motivo AS "Motivo", fecha_oc AS "FechaOC", noc AS "NOC",
         cantidad AS "Cantidad", estado_oc AS "EstadoOC", estado_doc AS "EstadoDoc", fecha_doc AS "FechaDoc", fecha_pe AS "FechaPE" FROM seg WHERE o = 0""",
     "source_freshness": """SELECT fuente, max(d) AS entregado, any_value(lim) AS limite_dias, CAST(DATE '2024-02-05' - max(d) AS INTEGER) AS edad_dias, DATE '2024-02-05' - max(d) > any_value(lim) AS vencida
@@ -281,6 +283,8 @@ BODIES = {
     "views_cd": "SELECT producto, sucursal_id FROM ped WHERE sucursal_id = 'NATION_0'",
     "views_distribucion": f"SELECT producto, sucursal_id FROM vis WHERE sucursal_id <> 'NATION_0' AND {VIA_CD} AND (sugerido_traslado > 0 OR total_sugerido_suc > 0)",
     "suggestion_page": f"SELECT producto, sucursal_id, costo_unitario FROM vis {page('costo_unitario ASC NULLS LAST, producto, sucursal_id', 80, 40)}",
+    "suggestion_page_seek": """SELECT producto, sucursal_id, costo_unitario FROM vis WHERE costo_unitario > 980 OR costo_unitario IS NULL
+        OR (costo_unitario = 980 AND (producto, sucursal_id) > ('25 Brand#13', 'NATION_7')) ORDER BY costo_unitario ASC NULLS LAST, producto, sucursal_id LIMIT 40""",
     "suggestion_total": "SELECT count(*) AS total FROM ped",
     "list_search_total": """WITH pag AS (SELECT * FROM vis WHERE producto ILIKE '%x1%' OR descripcion ILIKE '%x1%' OR nombre_sucursal ILIKE '%x1%' OR proveedor ILIKE '%x1%' OR filtro1_final ILIKE '%x1%'
             OR tipo_origen ILIKE '%x1%' OR clasificacion_abc ILIKE '%x1%' OR abastece_cd ILIKE '%x1%'),
@@ -332,6 +336,9 @@ BODIES = {
     "cart_lines": "SELECT *, round(cantidad * coalesce(costo_unitario, 0), 2) AS subtotal_clp FROM carro",
     "cart_totals": "SELECT proveedor, count(*) AS n_productos, sum(cantidad) AS total_unidades, round(sum(cantidad * coalesce(costo_unitario, 0)), 2) AS total_clp FROM carro GROUP BY proveedor",
     "cart_grand_totals": "SELECT count(DISTINCT proveedor) AS total_proveedores, round(sum(cantidad * coalesce(costo_unitario, 0)), 2) AS total_clp, sum(cantidad) AS total_unidades FROM carro_a",
+    "cart_report": """SELECT 0 AS nivel, proveedor, producto, descripcion, clasificacion_abc, costo_unitario, cantidad, round(cantidad * coalesce(costo_unitario, 0), 2) AS subtotal_clp, 1 AS n_productos FROM carro
+        UNION ALL SELECT 1, proveedor, NULL, NULL, NULL, NULL, sum(cantidad), round(sum(cantidad * coalesce(costo_unitario, 0)), 2), count(*) FROM carro GROUP BY proveedor
+        UNION ALL SELECT 2, NULL, NULL, NULL, NULL, NULL, coalesce(sum(cantidad), 0), round(coalesce(sum(cantidad * coalesce(costo_unitario, 0)), 0), 2), count(*) FROM carro""",
     "purchase_orders": """SELECT proveedor, 0 AS renglon, producto AS "Producto", descripcion AS "Descripcion", clasificacion_abc AS "ABC", cantidad AS "Cantidad", costo_unitario AS "Costo Unitario",
         round(cantidad * coalesce(costo_unitario, 0), 2) AS "Subtotal" FROM carro
         UNION ALL SELECT proveedor, 1, 'TOTAL', NULL, NULL, NULL, NULL, round(sum(cantidad * coalesce(costo_unitario, 0)), 2) FROM carro GROUP BY proveedor""",
@@ -341,6 +348,8 @@ BODIES = {
     "supplier_list": "SELECT DISTINCT proveedor FROM sgx WHERE proveedor IS NOT NULL",
     "catalogue_list": """SELECT c.producto, glosa, costo, coalesce(t, stock_total) AS stock_total FROM (SELECT * FROM ctg WHERE (producto ILIKE '%red%' OR glosa ILIKE '%red%') AND procedencia = 'NACIONAL' AND stock_total > 0
           ORDER BY costo DESC NULLS LAST, producto LIMIT 25 OFFSET 25) c LEFT JOIN (SELECT producto, sum(stock) AS t FROM stu GROUP BY producto) s ON s.producto = c.producto""",
+    "catalogue_list_seek": """SELECT c.producto, glosa, costo, coalesce(t, stock_total) AS stock_total FROM (SELECT * FROM ctg WHERE (producto ILIKE '%red%' OR glosa ILIKE '%red%') AND procedencia = 'NACIONAL' AND stock_total > 0
+          AND (costo < 990 OR costo IS NULL OR (costo = 990 AND producto > '25 Brand#13')) ORDER BY costo DESC NULLS LAST, producto LIMIT 25) c LEFT JOIN (SELECT producto, sum(stock) AS t FROM stu GROUP BY producto) s ON s.producto = c.producto""",
     "catalogue_detail": """SELECT c.producto, coalesce(t, stock_total) AS stock_total, coalesce(p, '') AS partes FROM ctg c LEFT JOIN (
           SELECT producto, sum(stock) AS t, string_agg(bodega || '|' || sucursal_id || '|' || origen || '|' || CAST(stock AS INTEGER), ';' ORDER BY stock DESC, bodega, sucursal_id, origen) AS p FROM stu GROUP BY producto) s
         ON s.producto = c.producto WHERE c.producto = '11 Brand#2'""",
@@ -411,6 +420,8 @@ BODIES = {
     "expire_manual": f"SELECT id, archivada OR coalesce(expira_en <= {NOW}, false) AS archivada FROM man",
     "count_expired": f"SELECT count(*) FILTER (WHERE NOT archivada AND expira_en <= {NOW}) AS archivadas FROM man",
     "audit_page": f"SELECT * FROM aud WHERE accion NOT IN ('error', 'click') {page('creado_en DESC, id DESC', 100, 100)}",
+    "audit_page_seek": """SELECT * FROM aud WHERE accion NOT IN ('error', 'click') AND (creado_en < TIMESTAMP '2024-01-12 06:00:00' OR (creado_en = TIMESTAMP '2024-01-12 06:00:00' AND id < 100))
+        ORDER BY creado_en DESC, id DESC LIMIT 100""",
     "last_event": "SELECT creado_en, detalle FROM aud WHERE accion = 'signup' ORDER BY creado_en DESC, id DESC LIMIT 1",
     "unread_notifications": """SELECT id, creado_en, false AS leida FROM leen WHERE NOT list_contains(lectores, 'ana') ORDER BY creado_en DESC, id DESC LIMIT 20""",
     "unread_count": "SELECT count(*) FILTER (WHERE NOT list_contains(lectores, 'ana')) AS no_leidas FROM leen",

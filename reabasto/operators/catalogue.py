@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from reabasto.functions.columns import side_by_side
 from reabasto.functions.text import like_any
-from reabasto.operators.serving import page_of, placed_page, sort_keys
+from reabasto.operators.serving import page_after, page_of, placed_page, sort_keys
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,21 @@ def catalogue_list(
     return _with_stock(shown, stock).orderBy("pos").drop("pos")
 
 
+def catalogue_list_after(
+    catalogue: DataFrame,
+    stock: DataFrame,
+    f: CatalogueFilters,
+    last: Mapping[str, object] | None = None,
+    limit: int = 100,
+    sort: str | None = None,
+) -> DataFrame:
+    """The page of `catalogue_list` that follows a page whose last catalogue row is `last`."""
+    shown = page_after(filter_catalogue(catalogue, f), last, limit, sort, "producto", ("producto",))
+    keys = sort_keys(sort, catalogue.columns, "producto", ("producto",))
+    placed = shown.withColumn("pos", F.row_number().over(Window.orderBy(*keys)))  # of one page
+    return _with_stock(placed, stock).orderBy("pos").drop("pos")
+
+
 def catalogue_total(catalogue: DataFrame, f: CatalogueFilters) -> DataFrame:
     """How many products all pages of `catalogue_list` hold."""
     return filter_catalogue(catalogue, f).agg(F.count(F.lit(1)).alias("total"))
@@ -148,7 +164,11 @@ def _matching(frame: DataFrame, q: str | None, text: str) -> DataFrame:
 def search_products(
     dim: DataFrame, catalogue: DataFrame, q: str | None, page: int = 1, limit: int = 20
 ) -> DataFrame:
-    """A page of the product dimension, filled up from the catalogue when it falls short."""
+    """A page of the product dimension, filled up from the catalogue when it falls short.
+
+    A page can take away `limit` of the catalogue's matches at most, so twice as many of these, in order, are
+    enough to fill it up; of a product in both the dimension's row stays.
+    """
     keys = [F.col("producto")]
     fields = (
         "producto",
@@ -159,14 +179,13 @@ def search_products(
         "proveedor",
         "es_importado",
     )
-    shown = page_of(_matching(dim, q, "descripcion"), keys, page, limit).select(*fields)
+    shown = page_of(_matching(dim, q, "descripcion"), keys, page, limit).select(*fields).withColumn("orden", F.lit(0))
     if not q:
-        return shown.withColumn("orden", F.lit(0))
+        return shown
     extra = (
         _matching(catalogue, q, "glosa")
-        .join(shown.select("producto"), "producto", "left_anti")
         .orderBy("producto")
-        .limit(limit)
+        .limit(2 * limit)
         .select(
             "producto",
             F.col("glosa").alias("descripcion"),
@@ -175,21 +194,36 @@ def search_products(
             F.lit(1).alias("orden"),
         )
     )
-    both = shown.withColumn("orden", F.lit(0)).unionByName(extra, allowMissingColumns=True)
-    return both.orderBy("orden", "producto").limit(limit)
+    both = shown.unionByName(extra, allowMissingColumns=True)
+    listed = F.min("orden").over(Window.partitionBy("producto"))  # of a few pages of rows
+    fresh = both.withColumn("_primero", listed).filter(F.col("orden") == F.col("_primero")).drop("_primero")
+    return fresh.orderBy("orden", "producto").limit(limit)
 
 
 def search_total(
     dim: DataFrame, catalogue: DataFrame, q: str | None, page: int = 1, limit: int = 20
 ) -> DataFrame:
-    """Matches of the dimension plus, when the page falls short, the catalogue's others."""
+    """Matches of the dimension plus, when the page falls short, the catalogue's others.
+
+    One full join by product counts both sides and what they share. How many rows the page holds follows from the
+    first count; a first page that falls short holds all of them, a later one is read for what it shares.
+    """
     matching = _matching(dim, q, "descripcion")
-    shown = page_of(matching, [F.col("producto")], page, limit)
     if not q:
         return matching.agg(F.count(F.lit(1)).alias("total"))
-    others = _matching(catalogue, q, "glosa").join(shown.select("producto"), "producto", "left_anti")
-    counts = side_by_side({"propios": matching, "en_pagina": shown, "otros": others})
-    filled = F.when(F.col("en_pagina") < limit, F.col("otros")).otherwise(0)
+    own = matching.groupBy("producto").agg(F.count(F.lit(1)).alias("propios"))
+    others = _matching(catalogue, q, "glosa").select("producto", F.lit(1).alias("otros"))
+    counts = own.join(others, "producto", "full").agg(
+        F.coalesce(F.sum("propios"), F.lit(0)).alias("propios"),
+        F.count("otros").alias("otros"),
+        F.count_if(F.col("propios").isNotNull() & F.col("otros").isNotNull()).alias("en_pagina"),
+    )
+    if page > 1:
+        shown = page_of(matching, [F.col("producto")], page, limit).select("producto")
+        shared = others.join(shown, "producto", "left_semi").agg(F.count(F.lit(1)).alias("compartidos"))
+        counts = counts.withColumn("en_pagina", shared.scalar())
+    held = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("propios") - (page - 1) * limit))
+    filled = F.when(held < limit, F.col("otros") - F.col("en_pagina")).otherwise(0)
     return counts.select((F.col("propios") + filled).alias("total"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from datetime import date, datetime
 from functools import reduce
@@ -113,13 +114,51 @@ def filter_suggestions(rows: DataFrame, f: Filters, params: Params) -> DataFrame
     return rows.filter(suggestion_condition(f, params))
 
 
-def sort_keys(sort: str | None, columns: list[str], default: str, ties: tuple[str, ...]) -> list[Column]:
-    """`field` or `-field`, nulls last either way; unknown fields fall back to the default."""
+def sort_order(sort: str | None, columns: list[str], default: str, ties: tuple[str, ...]) -> tuple[list[str], bool]:
+    """Columns to sort by and whether the first one falls; unknown fields fall back to the default."""
     wanted = sort if sort and sort.removeprefix("-") in columns else default
     name = wanted.removeprefix("-")
-    col = F.col(name)
-    first = col.desc_nulls_last() if wanted.startswith("-") else col.asc_nulls_last()
-    return [first, *[F.col(c) for c in ties if c != name]]
+    return [name, *[c for c in ties if c != name]], wanted.startswith("-")
+
+
+def sort_keys(sort: str | None, columns: list[str], default: str, ties: tuple[str, ...]) -> list[Column]:
+    """`field` or `-field`, nulls last either way; unknown fields fall back to the default."""
+    (name, *rest), falls = sort_order(sort, columns, default, ties)
+    first = F.col(name).desc_nulls_last() if falls else F.col(name).asc_nulls_last()
+    return [first, *[F.col(c) for c in rest]]
+
+
+def is_after(last: Mapping[str, object], names: list[str], falls: bool) -> Column:
+    """Whether a row stands after the row `last` in the order of `sort_order`; nulls of the first column
+    come last, those of the others first."""
+    found, same = F.lit(False), F.lit(True)
+    for place, name in enumerate(names):
+        col, value = F.col(name), F.lit(last[name])
+        if place == 0:
+            beyond = F.lit(False) if last[name] is None else is_true(col < value if falls else col > value) | col.isNull()
+        else:
+            beyond = col.isNotNull() if last[name] is None else is_true(col > value)
+        found, same = found | (same & beyond), same & col.eqNullSafe(value)
+    return found
+
+
+def page_after(
+    rows: DataFrame,
+    last: Mapping[str, object] | None,
+    limit: int,
+    sort: str | None,
+    default: str,
+    ties: tuple[str, ...],
+) -> DataFrame:
+    """The `limit` rows that follow the row `last` (its sort columns; None: the first ones), in order.
+
+    The same pages as by number, but a page costs the same however deep it lies: the rows before it are
+    filtered out where they are read, and of the others each task keeps no more than `limit`. The ties
+    must tell rows apart, or rows equal to `last` in all columns of the order would be left out.
+    """
+    names, falls = sort_order(sort, rows.columns, default, ties)
+    kept = rows if last is None else rows.filter(is_after(last, names, falls))
+    return kept.orderBy(*sort_keys(sort, rows.columns, default, ties)).limit(limit)
 
 
 def page_of(rows: DataFrame, keys: list[Column], page: int, limit: int) -> DataFrame:
@@ -149,6 +188,18 @@ def placed_suggestions(
     return placed_page(filter_suggestions(rows, f, params), keys, page, limit)
 
 
+def suggestion_page_after(
+    rows: DataFrame,
+    f: Filters,
+    params: Params,
+    last: Mapping[str, object] | None = None,
+    limit: int = 50,
+    sort: str | None = None,
+) -> DataFrame:
+    """The page of `suggestion_page` that follows a page whose last row is `last`."""
+    return page_after(filter_suggestions(rows, f, params), last, limit, sort, DEFAULT_SORT, PAIR)
+
+
 def kpis(rows: DataFrame, f: Filters, params: Params) -> DataFrame:
     """Totals and counts of products and suppliers. Rows are summed per product and supplier first,
     so the two distinct counts expand those sums, not the rows."""

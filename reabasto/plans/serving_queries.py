@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,6 +189,14 @@ def national_extract(spark, d):
     return tracking.national_tracking_extract(wide)
 
 
+@query
+def main_extract(spark, d):
+    orders = D.table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("Empresa"), F.col("o_orderdate").alias("Fecha"), F.col("o_orderkey").alias("Numero"), F.col("o_totalprice").alias("Total")
+    )
+    return rounded(sales.main_sales_extract(orders, "F", date(1998, 12, 31)), "Total")
+
+
 @query
 def source_freshness(spark, d):
     return freshness.source_freshness(D.delivery_log(spark, d), date(2024, 2, 5))
@@ -321,6 +329,13 @@ def suggestion_page(spark, d):
     return page.select(*PAIR, "costo_unitario")
 
 
+@query
+def suggestion_page_seek(spark, d):
+    last = {"costo_unitario": 980.0, "producto": "25 Brand#13", "sucursal_id": "NATION_7"}
+    page = serving.suggestion_page_after(D.suggestions(spark, d), ALL, P, last, limit=40, sort="costo_unitario")
+    return page.select(*PAIR, "costo_unitario")
+
+
 @query
 def suggestion_total(spark, d):
     return serving.suggestion_total(D.suggestions(spark, d), Filters(), P)
@@ -472,6 +487,11 @@ def cart_grand_totals(spark, d):
     return rounded(manual.cart_grand_totals(_cart(spark, d, Filters(abc=("A",)))), "total_clp")
 
 
+@query
+def cart_report(spark, d):
+    return rounded(manual.cart_report(_cart(spark, d)), "subtotal_clp")
+
+
 @query
 def purchase_orders(spark, d):
     return rounded(manual.purchase_orders(_cart(spark, d)), "Subtotal")
@@ -501,6 +521,14 @@ def catalogue_list(spark, d):
     return made.select("producto", "glosa", "costo", "stock_total")
 
 
+@query
+def catalogue_list_seek(spark, d):
+    f = catalogue_ops.CatalogueFilters(q="red", procedencia=("NACIONAL",), con_stock=True)
+    last = {"costo": 990.0, "producto": "25 Brand#13"}
+    made = catalogue_ops.catalogue_list_after(D.serving_catalogue(spark, d), D.unified_stock(spark, d), f, last, 25, "-costo")
+    return made.select("producto", "glosa", "costo", "stock_total")
+
+
 @query
 def catalogue_total(spark, d):
     f = catalogue_ops.CatalogueFilters(q="red", procedencia=("NACIONAL",), con_stock=True)
@@ -793,6 +821,11 @@ def audit_page(spark, d):
     return state.audit_page(D.audit_log(spark, d), without=("error", "click"), page=2, limit=100)
 
 
+@query
+def audit_page_seek(spark, d):
+    return state.audit_after(D.audit_log(spark, d), (datetime(2024, 1, 12, 6), 100), without=("error", "click"))
+
+
 @query
 def last_event(spark, d):
     return state.last_event(D.audit_log(spark, d), "signup")

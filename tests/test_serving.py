@@ -72,6 +72,39 @@ def test_page_sorts_nulls_last(spark, params):
     assert order("no_existe") == ["P0", "P1", "P2", "P3"]
 
 
+@pytest.mark.parametrize("sort", ["costo_unitario", "-costo_unitario", "descripcion", "-total_sugerido_suc", None, "sucursal_id"])
+def test_pages_by_their_last_row_are_those_by_number(spark, params, sort):
+    costs = [3.0, None, 1.0, 2.0, 3.0, 3.0, None, None, 1.0]
+    df = table(spark, *[{"producto": f"P{i % 5}", "sucursal_id": f"S{i}", "costo_unitario": c, "descripcion": None if i % 3 else f"d{i % 2}", "total_sugerido_suc": c} for i, c in enumerate(costs)])
+    last, number = None, 0
+    while True:
+        number += 1
+        page = serving.suggestion_page_after(df, Filters(solo_pedir=False), params, last, 2, sort).collect()
+        other = serving.suggestion_page(df, Filters(solo_pedir=False), params, number, 2, sort)
+        assert [(r.producto, r.sucursal_id) for r in page] == [(r.producto, r.sucursal_id) for r in other.collect()]
+        if not page:
+            break
+        last = page[-1].asDict()
+    assert number == 6
+
+
+def test_a_deep_page_reads_no_sort_of_the_pages_before(spark, params):
+    df = table(spark, {"producto": "P1"})
+    last = {"costo_unitario": 5.0, "producto": "P", "sucursal_id": "S"}
+    plan = serving.suggestion_page_after(df, Filters(), params, last, 50, "costo_unitario")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=50" in plan and "offset" not in plan.lower()
+
+
+def test_catalogue_pages_by_their_last_row(spark):
+    listed = catalogue(spark, *[(f"A{i}", f"g{i}", c, None) for i, c in enumerate([5.0, None, 7.0, 5.0, 1.0])])
+    stock = spark.createDataFrame([("A0", "B", "TALCA", 4.0, "M")], S.STOCK_UNIFIED)
+    f, last, seen = cat.CatalogueFilters(), None, []
+    while page := cat.catalogue_list_after(listed, stock, f, last, 2, "-costo").collect():
+        seen += [r.producto for r in page]
+        last = page[-1].asDict()
+    assert seen == ["A2", "A0", "A3", "A4", "A1"]
+
+
 def test_manual_units_on_a_row(spark, rows):
     df = table(spark, {}, {"producto": "P2", "sugerido_compra_neto": 0.0, "costo_unitario": None}, {"producto": "P3"})
     units = manual.active_manual_units(entries(spark, ("P1", "TALCA", 15), ("P2", "TALCA", 4), ("P3", "TALCA", 9, True), ("P3", "TALCA", 9, False, datetime(2026, 7, 10, 12))), NOW)
@@ -138,6 +171,19 @@ def test_coverage(spark, params, rows):
     assert rows(made, "stock_optimo", "cobertura_pct", "parte_traslado") == [(0.0, 0.0, None), (30.0, 50.0, 0.25)]
 
 
+def test_cart_report_is_one_aggregate(spark, params, rows):
+    df = table(spark, {}, {"producto": "P2", "costo_unitario": None}, {"producto": "P3", "proveedor": "ZETA", "sugerido_compra_neto": 1.0})
+    lines = manual.cart_lines(df, entries(spark), catalogue(spark), Filters(abc=("A",)), params, NOW)
+    made = manual.cart_report(lines)
+    assert rows(made, "nivel", "proveedor", "producto", "cantidad", "subtotal_clp", "n_productos") == [
+        (0, "ACME", "P1", 6.0, 30000.0, 1), (0, "ACME", "P2", 6.0, 0.0, 1), (0, "ZETA", "P3", 1.0, 5000.0, 1),
+        (1, "ACME", None, 12.0, 30000.0, 2), (1, "ZETA", None, 1.0, 5000.0, 1), (2, None, None, 13.0, 35000.0, 3),
+    ]
+    assert rows(made.filter("nivel = 0"), "producto", "descripcion", "costo_unitario")[1] == ("P2", "filtro aceite", None)
+    empty = manual.cart_report(lines.limit(0)).collect()
+    assert [(r.nivel, r.cantidad, r.n_productos) for r in empty] in ([], [(2, 0.0, 0)])
+
+
 def test_carts(spark, params, rows):
     df = table(
         spark, {}, {"sucursal_id": "CURICO", "sugerido_compra_neto": None}, {"producto": "P2", "sugerido_compra_neto": 0.0}, {"producto": "P3", "proveedor": None},
@@ -197,6 +243,22 @@ def test_product_search_fills_up(spark, rows):
     assert cat.search_products(dim, listed, None).count() == 1
 
 
+def test_product_search_against_brute_force(spark):
+    fields = "producto string, descripcion string, filtro1_final string, unidad_medida string, costo_unitario string, proveedor string, es_importado string"
+    own = [f"X{i}" for i in range(7)]
+    dim = spark.createDataFrame([(p, "d", None, None, None, None, None) for p in own], fields)
+    names = [f"X{i}" for i in range(4, 15)]
+    listed = catalogue(spark, *[(p, "g", 1.0, None) for p in names])
+    for limit in (2, 3, 5, 7, 20):
+        for page in (1, 2, 3, 4):
+            shown = sorted(own)[(page - 1) * limit : page * limit]
+            others = sorted(set(names) - set(shown))
+            made = cat.search_products(dim, listed, "x", page, limit).collect()
+            assert [r.producto for r in made] == (shown + others)[:limit]
+            total = cat.search_total(dim, listed, "x", page, limit).first().total
+            assert total == len(own) + (len(others) if len(shown) < limit else 0)
+
+
 HEADERS = ["Periodo", "SUCURSAL", "Fecha", "Cantidad", "Neto", "Total"]
 
 
@@ -260,6 +322,21 @@ def test_match_against_brute_force(spark, params, rows):
     assert rows(match.match_codes(df, "v", codes, params), "codigo", "valor") == sorted(expected, key=str)
 
 
+def test_a_value_stands_under_its_grams_once(spark, params):
+    df = spark.createDataFrame([("ababab",), ("abc",), ("a",)], "v string")
+    sizes = F.array(F.lit(2), F.lit(3))
+    made = {r.v: r.g for r in df.select("v", match.grams_of(F.col("v"), sizes).alias("g")).collect()}
+    assert made == {"ababab": ["ab", "ba", "aba", "bab"], "abc": ["ab", "bc", "abc"], "a": []}
+
+
+def test_a_code_is_looked_up_by_its_rarest_gram(spark, params, rows):
+    """All values share most grams of the code; only those with the rare one are met."""
+    df = spark.range(500).selectExpr("concat('Brand#', id, if(id % 100 = 7, ' xyz', '')) as v")
+    made = match.match_codes(df, "v", ["brand#7 xyz", "Brand#107 XYZ"], params)
+    assert rows(made, "codigo", "valor", "tipo") == [("Brand#107 XYZ", "Brand#107 xyz", "exacto"), ("brand#7 xyz", "Brand#7 xyz", "exacto")]
+    assert rows(match.match_codes(df, "v", [], params)) == []
+
+
 def test_column_filter_and_order(spark, params, rows):
     df = spark.createDataFrame([("P10",), ("P9",), ("p1",), (None,)], "v string")
     assert [r.valor for r in match.distinct_values(df, "v", params).collect()] == ["(en blanco)", "p1", "P9", "P10"]
