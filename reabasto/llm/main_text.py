@@ -9,9 +9,11 @@ labelled table of such blocks, tells which blocks are text.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -54,10 +56,10 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 
 TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*)|<({RAW.replace(' ', '|')})(?=[\s/>])([^>]*)>"
-    r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>""",
-    re.DOTALL | re.IGNORECASE,
+    rf"<!--(?:.*?-->|.*)|<({RAW.replace(' ', '|')})(?=[\s/>])([^>]*)>|<(/?)([a-z][a-z0-9:-]*)|<[!?/][^>]*>", re.DOTALL | re.IGNORECASE
 )
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")  # of a tag behind its name
+SPECIAL = re.compile(r"""[>"']""")
 RAW_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in RAW.split()}
 RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in RAW.split()}
 MARK = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -168,14 +170,63 @@ def _raw_end(html: str, at: int, name: str, empty: bool) -> int:
     return end.end() if end else len(html)
 
 
+class _Ends:
+    """Where tags end: at the first `>` outside of quotes, or, where quotes are left open up to the end of the page, at the first one at all.
+
+    A quote that is left open is seen only at the end of the page. After the first such search all ends are worked out from
+    the back, once, so that a page of many such tags costs no more than its length.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def __call__(self, at: int) -> int:
+        """The place of the `>` that ends the tag whose name ends at `at`; -1 for none."""
+        if at > self.last:
+            return -1
+        if self.places is None:
+            found = REST.match(self.html, at)
+            if found:
+                return found.end() - 1
+            self._work_out()
+        i = bisect_left(self.places, at)
+        return self.ends[i] if i < len(self.ends) and self.ends[i] >= 0 else self.html.find(">", at)
+
+    def _work_out(self) -> None:
+        self.places = [m.start() for m in SPECIAL.finditer(self.html)]
+        self.ends, quote = [-1] * len(self.places), {}
+        for i in range(len(self.places) - 1, -1, -1):
+            mark = self.html[self.places[i]]
+            if mark == ">":
+                self.ends[i] = self.places[i]
+            else:
+                behind = quote.get(mark, len(self.places)) + 1  # what follows the closing quote
+                self.ends[i] = self.ends[behind] if behind < len(self.ends) else -1
+                quote[mark] = i
+
+
 def _tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
     """Comments, raw elements (both without a name) and tags: from, to, "/" of an end tag, name, attributes."""
-    at = 0
-    while token := TOKEN.search(html, at):
-        at = token.end()
-        if token[1]:
+    at, ends = 0, _Ends(html)
+    until = ends.last + 1  # behind the last `>` nothing but a comment that is never closed can begin
+    while token := TOKEN.search(html, at, until):
+        start, at = token.span()
+        ending = name = attributes = ""
+        if token[4]:
+            ending, name, end = token[3], token[4].lower(), ends(at)
+            if end < 0:
+                break
+            attributes, at = html[at:end], end + 1
+        elif token[1]:
             at = _raw_end(html, at, token[1].lower(), token[2].endswith("/"))
-        yield token.start(), at, token[3] or "", (token[4] or "").lower(), token[5] or ""
+        elif html.startswith("<!--", start) and not (len(token[0]) > 6 and token[0].endswith("-->")):
+            at = len(html)
+        yield start, at, ending, name, attributes
+    start = html.find("<!--", at)
+    if start >= 0:
+        yield start, len(html), "", "", ""
 
 
 def _closed(tokens) -> set[int]:
@@ -195,32 +246,76 @@ def _closed(tokens) -> set[int]:
     return found
 
 
-def _staying(tag: str, stack: list[tuple[str, bool, bool]], opened: Counter[str]) -> int:
-    """How many elements stay open when `tag` begins, by the end tags that HTML implies."""
-    keep = len(stack)
-    ends = ENDS.get(tag, frozenset())
-    if any(opened[name] for name in ends):
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i][0]
-            if name in ends:
-                keep = i
-            elif name == "table" or name in SKIPPED or (tag in ("li", "dt", "dd") and name not in LOOSE):
-                break
-    if tag in ENDS_P and opened["p"]:
-        for i in range(keep - 1, -1, -1):
-            if stack[i][0] == "p":
-                return i
-            if stack[i][0] in HOLDS_P:
-                break
-    return keep
+@lru_cache(maxsize=4096)
+def _keeps_open(name: str) -> tuple[str, ...]:
+    """For which start tags an open element of that name keeps those below it from being closed."""
+    loose = name in LOOSE
+    return tuple(
+        kind
+        for kind, keeps in (
+            ("li", not loose and name != "li"),
+            ("dd", not loose and name not in ENDS["dd"]),
+            ("other", name == "table" or name in SKIPPED),
+            ("p", name in HOLDS_P),
+        )
+        if keeps
+    )
+
+
+class _Open:
+    """The open elements that are not inline, with the places of each name and of those that keep others open.
+
+    Each question costs a search in places, never a walk over the open elements.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.keepers: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, name: str, kind: tuple[bool, bool]) -> None:
+        self.places[name].append(len(self.stack))
+        for start in _keeps_open(name):
+            self.keepers[start].append(len(self.stack))
+        self.stack.append((name, *kind))
+
+    def pop(self) -> tuple[str, bool, bool]:
+        top = self.stack.pop()
+        self.places[top[0]].pop()
+        for start in _keeps_open(top[0]):
+            self.keepers[start].pop()
+        return top
+
+    def last(self, name: str) -> int:
+        """Place of the innermost element of that name, else all that are open."""
+        places = self.places.get(name)
+        return places[-1] if places else len(self.stack)
+
+    def staying(self, tag: str) -> int:
+        """How many elements stay open when `tag` begins, by the end tags that HTML implies."""
+        keep = len(self.stack)
+        ends = ENDS.get(tag, frozenset())
+        if any(self.places.get(name) for name in ends):
+            keepers = self.keepers["li" if tag == "li" else "dd" if tag in ("dt", "dd") else "other"]
+            above = keepers[-1] + 1 if keepers else 0
+            for name in ends:
+                places = self.places.get(name, ())
+                i = bisect_left(places, above)
+                if i < len(places):
+                    keep = min(keep, places[i])
+        if tag in ENDS_P and (places := self.places.get("p")):
+            p, holds = bisect_left(places, keep), self.keepers["p"]
+            held = bisect_left(holds, keep)
+            if p and (not held or places[p - 1] > holds[held - 1]):
+                return places[p - 1]
+        return keep
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
     """Text blocks in page order: text, words, link density, whether inside content, whether inside surroundings."""
     found: list[tuple[str, int, float, int, int]] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements that are not inline
-    opened: Counter[str] = Counter()  # their names
+    opened = _Open()
     anchors, main, around, at = 0, 0, 0, 0
     skipped = None  # place in the stack of the outermost skipped element
     tokens = list(_tokens(html))
@@ -236,15 +331,13 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
 
     def push(tag: str, kind: tuple[bool, bool]) -> None:
         nonlocal main, around
-        stack.append((tag, *kind))
-        opened[tag] += 1
+        opened.push(tag, kind)
         main, around = main + kind[0], around + kind[1]
 
     def shut(keep: int) -> None:
         nonlocal main, around, skipped
-        while len(stack) > keep:
-            name, m, a = stack.pop()
-            opened[name] -= 1
+        while len(opened.stack) > keep:
+            _, m, a = opened.pop()
             main, around = main - m, around - a
         if skipped is not None and keep <= skipped:
             skipped = None
@@ -263,16 +356,14 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
             continue
         elif tag in SKIPPED and not ending:
             if start in closed:
-                skipped = len(stack) if skipped is None else skipped
+                skipped = len(opened.stack) if skipped is None else skipped
                 push(tag, (False, False))
         else:
-            keep = len(stack)
-            if ending and opened[tag]:
-                keep = max(i for i, e in enumerate(stack) if e[0] == tag)
+            keep = opened.last(tag) if ending else len(opened.stack)
             if tag not in SKIPPED and (skipped is None or keep < skipped):
                 close()
                 anchors = 0
-            shut(keep if ending else _staying(tag, stack, opened))
+            shut(keep if ending else opened.staying(tag))
             if not ending and tag not in VOID and not attributes.endswith("/"):
                 push(tag, _kind(tag, attributes))
     if at < len(html) and skipped is None:

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import time
+from html.parser import HTMLParser
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from reabasto.llm import main_text
 
@@ -64,6 +69,102 @@ def test_many_unclosed_elements_quickly():
         assert "end" in main_text.main_text(f"<article>{tag * 100_000}<p>end {LONG}</p>" if tag[1] != "/" else f"<article><p>end {LONG}</p><script>{tag * 100_000}", main_text.train())
 
 
+N = 40_000
+MEGABYTES = {
+    "divs, then li": "<div>" * (2 * N) + "<li>some text" * N, "divs, then p": "<div>" * (2 * N) + "<p>a</p>" * (2 * N), "a without an end": "<a " * (8 * N), "open quotes": '<a "' * (6 * N),
+    "quoted ends": '<a ">"' * (4 * N) + '"', "lone quotes": "<a 'x>" * (2 * N) + '<b "y>' * (2 * N), "declarations": "<p>" + "<!x" * (8 * N), "li and p": "<li><p>" * (4 * N),
+    "nested lists": "<dl><dd>x" * (3 * N), "nested tables": "<table><tr><td>" * N + "<td>x" * (2 * N), "end tags": "<div>" * N + "</p>" * (2 * N) + "</div>" * N, "raw": "<script " * (3 * N) + "<title/>" * N,
+}
+
+
+@pytest.mark.parametrize("kind", MEGABYTES)
+def test_time_grows_with_the_length_of_a_page(kind):
+    html = MEGABYTES[kind]
+    assert len(html) > 600_000
+    start = time.process_time()
+    main_text.main_text(f"<article><p>{LONG}</p>{html}", main_text.train())
+    assert time.process_time() - start < 5
+
+
+def walked(tag, stack):
+    """How many elements stay open, by walking up the open elements as HTML tells it."""
+    keep, ends = len(stack), main_text.ENDS.get(tag, ())
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i] in ends:
+            keep = i
+        elif stack[i] == "table" or stack[i] in main_text.SKIPPED or (tag in ("li", "dt", "dd") and stack[i] not in main_text.LOOSE):
+            break
+    if tag in main_text.ENDS_P:
+        for i in range(keep - 1, -1, -1):
+            if stack[i] == "p":
+                return i
+            if stack[i] in main_text.HOLDS_P:
+                break
+    return keep
+
+
+NAMES = "div p li ul dl dt dd table tr td th tbody thead caption colgroup option optgroup select article nav section address button object h1 form".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(NAMES), max_size=25), st.integers(0, 10))
+def test_implied_ends_are_those_of_a_walk(names, pops):
+    opened = main_text._Open()
+    for name in names:
+        opened.push(name, (False, False))
+    for _ in range(min(pops, len(names))):
+        opened.pop()
+    stack = [e[0] for e in opened.stack]
+    for tag in NAMES:
+        assert opened.staying(tag) == walked(tag, stack), tag
+        assert opened.last(tag) == (len(stack) - 1 - stack[::-1].index(tag) if tag in stack else len(stack))
+
+
+class Reference(HTMLParser):
+    """Blocks of a page by the standard library's parser: text, and whether content or surroundings hold it."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text, self.found = [], [], []
+        self.feed(html)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        whole = " ".join("".join(self.text).split())
+        if whole:
+            self.found.append((whole, int(any(k[0] for _, k in self.open)), int(any(k[1] for _, k in self.open))))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in main_text.INLINE:
+            self.cut()
+            self.open.append((tag, main_text._kind(tag, " ".join(f'{k}="{v}"' for k, v in attrs))))
+
+    def handle_endtag(self, tag):
+        if tag not in main_text.INLINE:
+            self.cut()
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def pages(depth=3):
+    words = st.sampled_from(["some words ", "a &lt; b &amp; c ", "x", " \n ", "&eacute;t&eacute; ", "fin.", "<b>bold</b> ", "<a href='x>y'>link</a> "])
+    mark = st.sampled_from(["", " class=ad", ' class="post big"', " id='sidebar'", " hidden", ' title="a > b"', " style='display: none'"])
+    if depth == 0:
+        return words
+    inner = st.lists(pages(depth - 1), max_size=4).map("".join)
+    return st.builds(lambda tag, m, x: f"<{tag}{m}>{x}</{tag}>", st.sampled_from("div section article nav aside main footer blockquote".split()), mark, inner) | words
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(pages(), max_size=5).map("".join))
+def test_blocks_are_those_of_a_reference_parser(html):
+    assert [(b[0], b[3], b[4]) for b in main_text.blocks(html)] == Reference(html).found
+
+
 @pytest.mark.parametrize("html, text", PAGES)
 def test_pages(html, text):
     made = main_text.main_text(html, main_text.train())
