@@ -36,10 +36,11 @@ def cosine(a, b):
     return float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
 
 
-@pytest.mark.parametrize("window", [16, 1000])
-def test_links(spark, window):
+@pytest.mark.parametrize("widest, block", [(16, 4), (16, 16), (40, 64), (256, 2048)])
+def test_links(spark, widest, block):
+    """With small blocks the crowd's block is cut into tiles."""
     rows = [*vectors(), *ODD]
-    made = {r.vec_id: r for r in sorted_passes.link(frame(spark, rows), window=window, missed=1e-9).collect()}
+    made = {r.vec_id: r for r in sorted_passes.link(frame(spark, rows), widest=widest, block=block, missed=1e-9).collect()}
     near = {i: set() for i, _, _ in rows}
     for i, v, a in rows:
         for j, w, b in rows:
@@ -61,10 +62,42 @@ def test_repeated_and_null_ids(spark):
     ]
 
 
-def test_passes_grow_with_the_order():
-    assert sorted_passes.leading(1000, 1024) == 0 and sorted_passes.leading(1_000_000, 1024) == 10
-    assert sorted_passes.passes_for(0, 0.93, 1e-4) == 1
-    assert sorted_passes.passes_for(10, 0.93, 1e-4) > sorted_passes.passes_for(3, 0.93, 1e-4) > 1
+def test_window_hashes_and_passes_follow_one_rule():
+    assert [sorted_passes.window_of(n) for n in (1, 59, 218, 5000, 10**6)] == [16, 16, 16, 256, 256]
+    assert [sorted_passes.shared_of(n) for n in (16, 59, 218, 5000, 10**6)] == [1, 3, 5, 6, 13]
+    passes = [sorted_passes.passes_for(h, 0.93, 1e-4) for h in (1, 3, 5, 6, 13)]
+    assert passes == sorted(passes) and 1 < passes[0] < passes[1] and sorted_passes.passes_for(0, 0.93) == 1
+
+
+def test_neighbours_are_bounded_windows():
+    rng = np.random.default_rng(0)
+    run = np.sort(rng.integers(0, 40, 200))
+    place = np.arange(200)
+    for window in (3, 16):
+        met = set()
+        for low, high, until in sorted_passes.neighbours(place, run, window):
+            assert until - low <= 2 * window + np.bincount(run).max()
+            met |= {(a, b) for a in range(low, high) for b in range(a + 1, until)}
+        assert {(a, b) for a in range(200) for b in range(a + 1, 200) if b - a <= window or run[a] == run[b]} <= met
+
+
+@pytest.mark.parametrize("size", [50, 500, 5000])
+def test_pairs_at_the_threshold_are_found_at_any_size(spark, size):
+    """Pairs just above the threshold among unrelated vectors of one label: all compared by windows, not all with all."""
+    rng = np.random.default_rng(size)
+    rows = rng.standard_normal((size, 24))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    pairs = size // 10
+    for i in range(pairs):  # row 2 i + 1 lies at a cosine of 0.935 from row 2 i
+        other = rng.standard_normal(24)
+        other -= (other @ rows[2 * i]) * rows[2 * i]
+        rows[2 * i + 1] = 0.935 * rows[2 * i] + np.sqrt(1 - 0.935**2) * other / np.linalg.norm(other)
+    df = spark.createDataFrame([(i, [float(x) for x in r], 1, "s", "l") for i, r in enumerate(rows)], ROWS.replace("float", "double"))
+    made = {r.vec_id: r for r in sorted_passes.link(df).collect()}
+    found = sum(made[2 * i + 1].component_id == 2 * i for i in range(pairs))
+    want = np.triu(rows @ rows.T >= 0.93, 1).sum()
+    assert found >= 0.99 * pairs and sum(r.n_links for r in made.values()) >= 0.99 * 2 * want
+    assert sorted_passes.window_of(size) < size / 3
 
 
 def test_nearest(spark):
