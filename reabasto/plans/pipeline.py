@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reabasto import fixed_values as V
+from reabasto import schemas as S
 from reabasto.operators.abc_class import abc
 from reabasto.operators.demand import demand
 from reabasto.operators.enrich import enrich
@@ -19,7 +20,7 @@ from reabasto.operators.leadtime import (
 from reabasto.operators.suggest import attach_stock, safety_stock, suggestion
 from reabasto.operators.transfer import transfers
 from reabasto.params import Params
-from reabasto.sources.files import Sources, write_csv
+from reabasto.sources.files import Sources, read_csv, write_csv
 
 
 def lead_time_lookup(sources: Sources, params: Params) -> DataFrame:
@@ -90,5 +91,17 @@ def contract_text(rows: DataFrame, params: Params | None = None) -> DataFrame:
     return contract(rows, params).withColumns(flags)
 
 
+def read_contract(spark: SparkSession, path: str, params: Params | None = None, **options: object) -> DataFrame:
+    """An exported contract under its own types again, to be published or compared without a new calculation.
+
+    Columns are found by their headers; one that is missing stops the read. Texts with line breaks need `multiLine=True`.
+    """
+    params = params or Params()
+    kinds = {name: kind for kind, names in S.CONTRACT_TYPES.items() for name in names}
+    kinds |= {f"Stock {b}": "long" for b in params.stock_columns}
+    headers = [header for header, _ in V.CONTRACT] + [f"Stock {b}" for b in params.stock_columns]
+    return read_csv(spark, path, ", ".join(f"`{h}` {kinds.get(h, 'string')}" for h in headers), **options)
+
+
 def export_csv(rows: DataFrame, path: str, params: Params | None = None) -> None:
     write_csv(contract_text(rows, params), path)

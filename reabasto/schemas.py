@@ -47,3 +47,17 @@ FILTERS = (
     "tipo_origen array<string>, proveedores array<string>, proveedor string, "
     "solo_pedir boolean, solo_nacionales boolean, vista string"
 )
+
+# Columns of the contract that hold no text, by type; its stock columns are whole numbers.
+CONTRACT_TYPES = {
+    "long": (
+        "Meses con Venta 3m", "Meses con Venta 6m", "Meses con Venta 12m", "Stock de Seguridad",
+        "stock_activo_suc", "stock_en_transito_suc", "stock_en_cd",
+    ),
+    "int": ("LT CD a Sucursal Dias", "Prioridad CD"),
+    "double": (
+        "Lead Time Dias", "LT Efectivo", "Demanda Mensual", "Desv Std Mensual", "Demanda Diaria", "Costo Unitario",
+        "Punto de Pedido", "total_sugerido_suc", "total_valor_sugerido_clp", "sugerido_suc", "sugerido_traslado", "sugerido_compra_neto",
+    ),
+    "boolean": ("Es Importado", "Tiene Stock CD"),
+}

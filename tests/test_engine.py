@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from reabasto import schemas as S
 from reabasto.functions.months import first_day, window_months
-from reabasto.operators import abc_class, demand, enrich, leadtime, suggest, transfer
+from reabasto.operators import abc_class, demand, enrich, leadtime, serving, suggest, transfer
 from reabasto.params import Params
-from reabasto.plans import pipeline
+from reabasto.plans import pipeline, publish
 from reabasto.sources import files
 from reabasto.sources.files import Sources
 
@@ -328,6 +328,15 @@ def test_whole_plan(spark, params, tmp_path):
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema)
     again = files.read_csv(spark, str(tmp_path / "out"), schema)
     assert sorted(map(str, again.collect())) == sorted(map(str, text.collect()))
+    # the exported contract is as good as the calculated one: same types, same rows, and it can be published
+    reread = pipeline.read_contract(spark, str(tmp_path / "out"), params)
+    assert [(f.name, f.dataType) for f in reread.schema] == [(f.name, f.dataType) for f in table.schema]
+    assert sorted(map(str, reread.collect())) == sorted(map(str, table.collect()))
+    assert publish.publish_snapshot(serving.from_contract(reread), str(tmp_path / "pub"), params) == table.count()
+    (tmp_path / "short").mkdir()
+    (tmp_path / "short" / "x.csv").write_text("Producto,SucursalID\nP,TALCA\n")
+    with pytest.raises(Exception, match="Descripcion"):
+        pipeline.read_contract(spark, str(tmp_path / "short"), params).collect()
 
 
 def test_texts_with_line_breaks_come_back(spark, tmp_path):
