@@ -170,18 +170,20 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     distinct = stage(rows.select("_x").distinct(), "fit_list")
     models = fit(distinct)
     _measure(distinct, models, kept)
-    known = vectors.sparkSession.createDataFrame(
-        [(size, m.n, m.explained(kept), m.identity_error) for size, m in models.items()],
-        "_size int, n long, _explained array<double>, identity_error double",
-    )
     made = rows.where(F.size("_x") > 0).withColumn("_made", _projected(models, kept)("_x"))
     made = made.select("_id", F.size("_x").alias("_size"), F.col("_made.deviation").alias("deviation"), F.posexplode("_made.whitened").alias("_at", "_w"))
-    return made.join(known, "_size").select(
+
+    def of_model(value: Callable, kind: str) -> Column:
+        """A constant of the model of the row's length; there are as many as lengths of vectors."""
+        known = [F.when(F.col("_size") == size, F.lit(value(m)).cast(kind)) for size, m in models.items()]
+        return F.coalesce(*known, F.lit(None).cast(kind))
+
+    return made.select(
         F.col("_id").alias(id_col),
         (F.col("_at") + 1).alias("component"),
-        "n",
+        of_model(lambda m: m.n, "long").alias("n"),
         "deviation",
         F.when(~F.isnan("_w"), F.col("_w")).alias("whitened"),
-        F.get("_explained", F.col("_at")).alias("explained"),
-        "identity_error",
+        F.get(of_model(lambda m: F.array(*[F.lit(e).cast("double") for e in m.explained(kept)]), "array<double>"), F.col("_at")).alias("explained"),
+        of_model(lambda m: m.identity_error, "double").alias("identity_error"),
     )
