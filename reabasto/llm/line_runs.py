@@ -113,14 +113,15 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, shortest: int, holders: in
         held = keys.where(F.col("_batch") == batch).select("_id", F.explode(F.array_distinct("_keys")).alias("_key"))
         held = held.where("_key is not null").select("_id", F.unhex("_key").alias("key"))
         runs.add(held.groupBy("key").agg(F.count("*").alias("docs"), F.max("_id").alias("top")))
-    repeated = runs.totals().where(F.col("docs") >= holders).select("key", "top")
+    # staged, so that both sides of the join are plain and Spark can split a line that very many documents hold
+    repeated = stage(runs.totals().where(F.col("docs") >= holders).select("key", "top"), "repeated")
+    runs.close()
     lines = keys.select("_id", "_row", F.posexplode("_keys").alias("_at", "_key")).where("_key is not null")
     lines = lines.select("_id", "_row", "_at", F.unhex("_key").alias("key"))
     gone = lines.join(repeated, "key").where(~F.col("_id").eqNullSafe(F.col("top")))
     places = gone.groupBy("_id", "_row").agg(F.collect_set("_at").alias("_drop"))
     places = stage(places, "places")
-    runs.close()
-    drop(keys)
+    drop(keys, repeated)
 
     there = places.select(F.col("_id").alias("_of"), F.col("_row").alias("_row_of"), "_drop")
     same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_row_of"))
