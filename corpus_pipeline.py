@@ -9,6 +9,9 @@ from reabasto.llm import minhash, mixing, packing, suffix_dedup, toxicity
 from reabasto.llm.common import scratch, ship
 from reabasto.llm.queries import tokenizer_path
 
+#: Bytes of a string that `cut_repeats` takes for repeated: 99 of 100 stretches of 51 words are longer.
+REPEAT_BYTES = 250
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject.
@@ -29,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings that occur more than once; n_chars is counted anew."""
     ship(spark)
-    return suffix_dedup.removed(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix_dedup.removed(docs, REPEAT_BYTES).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
