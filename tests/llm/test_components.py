@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pytest
 
@@ -35,3 +36,19 @@ def test_components(spark, monkeypatch, n, m, edges):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([("x", "x")], "a string, b string")).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=Conf(conf), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://host:7077", "k8s://https://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(session(master))
+        assert common.shared_folder(session(master, **{"spark.checkpoint.dir": "hdfs:///tmp/"})) == "hdfs:///tmp"
+    for master in ("local", "local[8]", "local[*]"):
+        assert common.shared_folder(session(master)).startswith("file:///")

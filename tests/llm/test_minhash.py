@@ -113,3 +113,16 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert minhash.groups(df).collect() == [] and minhash.deduplicated(df).collect() == []
     assert np.array_equal(minhash.bands_of(["", " "]), [[], []])
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(60_000)}" for _ in range(200_000)]
+    near = list(base)
+    for i in rng.sample(range(len(base)), 2000):
+        near[i] = "other"
+    rows = [(1, " ".join(base), "k", "c"), (2, " ".join(near), "k", "c"), (3, " ".join(reversed(base)), "k", "c"), (4, None, "k", "c")]
+    df = spark.createDataFrame(rows, DOCS)
+    made = {r.doc_id: r.class_id for r in minhash.groups(df).collect()}
+    assert made[1] == made[2] == 1 and made[3] == 3
+    assert minhash.deduplicated(df).columns == ["doc_id", "text", "kept", "class_id"]

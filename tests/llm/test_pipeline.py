@@ -79,7 +79,7 @@ def test_repeated_strings_go(stages):
     out = {r.doc_id: r for r in after}
     assert len(before) == len(after)
     removed = 0
-    for r, (n, gone, _, _) in zip(before, cut_of([r.text for r in before], suffix_dedup.LENGTH), strict=True):
+    for r, (n, gone, _, _) in zip(before, cut_of([r.text for r in before], corpus_pipeline.REPEAT_BYTES), strict=True):
         left = out[r.doc_id].text
         assert len((left or "").encode()) == n - gone
         assert (out[r.doc_id].n_chars or 0) == len(left or "")
