@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reabasto.llm.common import stage
+from reabasto.llm.common import counted, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MOST = 2  # passes over one document
 DP_BUDGET = 16_384  # words that the dynamic program covers; what is left beyond goes by whole lengths
-BUCKETS = 256  # slices of a length's documents by seeded hash, so that no length is one task's work
+SLICES, SLICE_ROWS = 256, 1 << 16  # slices of a length's documents by seeded hash: at least so many, and so many rows together, so that no length is one task's work
 
 
 def targets(totals: dict, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST) -> dict:
@@ -108,8 +108,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     One scan counts words; the texts themselves are never moved. Only one number per source reaches
     the driver. Lengths are counted per source on the map side; the plan of a source is made from
-    its counts, bounded by its distinct lengths. Documents of one length are sliced by seeded hash
-    into BUCKETS counts; whole slices are in or out, and rows are ordered within a slice only.
+    its counts, bounded by its distinct lengths. Documents of one length are sliced by seeded hash, into the more
+    counts the more rows there are; whole slices are in or out, and only the rows of the one slice that the
+    limit falls into are ordered.
     Null text: size 0, taken 0. Null source: a source of its own, the last. Rows that share an id, a
     size and a source are alike; the mix takes the right number of them. Empty table: no rows.
     """
@@ -133,7 +134,8 @@ def _taken(
     read = docs.select(
         F.col(id_col).alias("_id"), text.alias("_text"), key.alias("_source"), word_count(text_col).alias("size"), order.alias("_order")
     )
-    rows = stage(read.withColumn("_slice", F.pmod("_order", F.lit(BUCKETS)).cast("int")), "sizes")
+    rows, number = counted(read, "sizes")
+    rows = rows.withColumn("_slice", F.pmod("_order", F.lit(max(SLICES, number // SLICE_ROWS))).cast("int"))
     slices = rows.groupBy("_source", "size", "_slice").agg(F.count("*").alias("n"))
     lengths = slices.groupBy("_source", "size").agg(F.sum("n").alias("n"))
     totals = {r[0]: int(r[1] or 0) for r in lengths.groupBy("_source").agg(F.sum(F.col("size") * F.col("n"))).collect()}
@@ -160,21 +162,15 @@ def _taken(
     cut = (
         slices.withColumn("before", before)
         .join(plans, ["_source", "size"])
-        .select("_source", "size", "_slice", "passes", "source_size", "target", (F.col("chosen") - F.col("before")).alias("open"))
-    )
-    place = F.row_number().over(Window.partitionBy("_source", "size", "_slice").orderBy("_order", "_id", "_text"))
-    return (
-        rows.join(cut, ["_source", "size", "_slice"])
-        .withColumn("place", place)
-        .select(
-            "_id",
-            "_text",
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * (F.col("passes") + (F.col("place") <= F.col("open")).cast("long"))).alias("taken"),
-        )
+        .select("_source", "size", "_slice", "n", "passes", "source_size", "target", (F.col("chosen") - F.col("before")).alias("open"))
     )
+    cut = stage(cut, "slices")  # whole slices and the one cut in two read it, each for its rows
+    on, whole = ["_source", "size", "_slice"], (F.col("open") <= 0) | (F.col("open") >= F.col("n"))
+    place = F.row_number().over(Window.partitionBy(*on).orderBy("_order", "_id", "_text"))
+    taken = rows.join(cut.where(whole), on).withColumn("more", (F.col("open") > 0).cast("long"))
+    split = rows.join(cut.where(~whole), on).withColumn("place", place).withColumn("more", (F.col("place") <= F.col("open")).cast("long"))
+    columns = ["_id", "_text", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken")]
+    return taken.select(*columns).unionByName(split.select(*columns))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

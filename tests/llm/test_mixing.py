@@ -84,3 +84,29 @@ def test_empty_table(spark):
     blank = spark.createDataFrame([(1, None, None, None, None), (2, "", "a", None, None)], DOCS)
     assert [(r["size"], r.taken, r.target) for r in mixing.mix(blank).collect()] == [(0, 0, 0.0)] * 2
     assert mixing.repeated(blank).collect() == []
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rows = [(1, "word " * 400_000, "a", "s", "t"), (2, "one two three", "a", "s", "t"), (3, "x" * 2_000_000, "b", "s", "t"), (4, "y z " * 1000, "b", "s", "t")]
+    made = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [made[i]["size"] for i in (1, 2, 3, 4)] == [400_000, 3, 1, 2000]
+    assert sum(r.target for r in {r.source_size: r for r in made.values()}.values()) == 1.5 * 402_004
+    assert mixing.repeated(spark.createDataFrame(rows, DOCS)).columns == ["doc_id", "text", "source", "size", "taken"]
+
+
+def test_a_hot_length_is_sliced_by_its_rows(spark, monkeypatch):
+    """Slices follow the number of rows; the plan and what it takes of each length stay the same."""
+    rows = [(i, "a b c d", "s1", "x", "y") for i in range(3000)] + rows_of(200)
+    df = spark.createDataFrame(rows, DOCS)
+    one = mixing.mix(df).collect()
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 4)
+    other = mixing.mix(df).collect()
+
+    def totals(made):
+        found = {}
+        for r in made:
+            key = (r.source_size, r.target, r["size"])
+            found[key] = found.get(key, 0) + r.taken
+        return found
+
+    assert totals(one) == totals(other) and len(one) == len(other) == len(rows)
