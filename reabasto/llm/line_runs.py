@@ -30,17 +30,24 @@ BATCHES = 4
 FAN_OUT = 3  # runs of a level that are merged
 
 
+def _trimmed(line: Column) -> Column:
+    """Trimming looks at the whole line, so only lines that begin or end with a blank are trimmed."""
+    blank = lambda c: F.ascii(c).isin(*map(ord, BLANK))
+    return F.when(blank(line) | blank(F.right(line, F.lit(1))), F.btrim(line, F.lit(BLANK))).otherwise(line)
+
+
 def _lower(key: Column) -> Column:
     """A-Z in lower case. Translating is slow, so only where other letters might change too."""
-    lowered = F.lower(key)
     plain = F.octet_length(key) == F.char_length(key)
-    return F.when(lowered == key, key).when(plain, lowered).otherwise(F.translate(key, UPPER, LOWER))
+    return F.when(plain, F.lower(key)).when(F.lower(key) == key, key).otherwise(F.translate(key, UPPER, LOWER))
 
 
-def line_key(line: Column, shortest: int = SHORTEST) -> Column:
-    """128-bit digest of the line's key in hexadecimal, null for a shorter key."""
-    key = F.btrim(line, F.lit(BLANK))
-    return F.when(F.char_length(key) >= shortest, F.md5(_lower(key)))
+def line_keys(lines: Column, shortest: int = SHORTEST) -> Column:
+    """For each line the 128-bit digest of its key in hexadecimal, null for a shorter key.
+
+    In two steps, as an expression inside a step is worked out anew wherever it stands.
+    """
+    return F.transform(F.transform(lines, _trimmed), lambda key: F.when(F.char_length(key) >= shortest, F.md5(_lower(key))))
 
 
 class Runs:
@@ -51,6 +58,7 @@ class Runs:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, DataFrame]] = []
         self.repeats: list[DataFrame] = []
+        self._tables: list[DataFrame] = []  # all that are there, also those of a step that failed
 
     def add(self, entries: DataFrame) -> None:
         """Takes the entries (key, docs, top) of a batch, each key once."""
@@ -81,7 +89,7 @@ class Runs:
 
     def close(self) -> None:
         """Deletes all tables; nothing may read them any more."""
-        self._forget(*[run for _, run in self.runs])
+        self._forget(*self._tables)
         drop(*self.repeats)
         self.runs, self.repeats = [], []
 
@@ -90,12 +98,14 @@ class Runs:
         rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
         run = self.spark.table(name)
         run.staged_at, run.table = path, name
+        self._tables.append(run)
         return run
 
     def _forget(self, *runs: DataFrame) -> None:
         for run in runs:
             self.spark.sql(f"DROP TABLE {run.table}")
         drop(*runs)
+        self._tables = [t for t in self._tables if all(t is not run for run in runs)]
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, shortest: int, holders: int, batches: int, fan_out: int) -> DataFrame:
@@ -104,18 +114,19 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, shortest: int, holders: in
     text = F.coalesce(F.col(f"_doc.`{text_col}`"), F.lit(""))
     read = docs.select(doc).select("_doc", F.col(f"_doc.`{id_col}`").alias("_id"), text.alias("_text"))
     rows = read.withColumn("_row", F.xxhash64("_id", "_text")).withColumn("_lines", F.split("_text", "\n", -1))
-    keyed = rows.select("_id", "_row", F.transform("_lines", lambda line: line_key(line, shortest)).alias("_keys"))
-    keyed = keyed.where(F.exists("_keys", lambda k: k.isNotNull())).withColumn("_batch", F.pmod("_row", F.lit(batches)))
-    keys = stage(keyed, "line_keys", "_batch")
+    keyed = rows.select("_id", "_row", line_keys(F.col("_lines"), shortest).alias("_keys"))
+    keys = stage(keyed.withColumn("_batch", F.pmod("_row", F.lit(batches))), "line_keys", "_batch")
 
     runs = Runs(docs.sparkSession, fan_out)
-    for batch in range(batches):
-        held = keys.where(F.col("_batch") == batch).select("_id", F.explode(F.array_distinct("_keys")).alias("_key"))
-        held = held.where("_key is not null").select("_id", F.unhex("_key").alias("key"))
-        runs.add(held.groupBy("key").agg(F.count("*").alias("docs"), F.max("_id").alias("top")))
-    # staged, so that both sides of the join are plain and Spark can split a line that very many documents hold
-    repeated = stage(runs.totals().where(F.col("docs") >= holders).select("key", "top"), "repeated")
-    runs.close()
+    try:
+        for batch in range(batches):
+            held = keys.where(F.col("_batch") == batch).select("_id", F.explode(F.array_distinct("_keys")).alias("_key"))
+            held = held.where("_key is not null").select("_id", F.unhex("_key").alias("key"))
+            runs.add(held.groupBy("key").agg(F.count("*").alias("docs"), F.max("_id").alias("top")))
+        # staged, so that both sides of the join are plain and Spark can split a line that very many documents hold
+        repeated = stage(runs.totals().where(F.col("docs") >= holders).select("key", "top"), "repeated")
+    finally:
+        runs.close()
     lines = keys.select("_id", "_row", F.posexplode("_keys").alias("_at", "_key")).where("_key is not null")
     lines = lines.select("_id", "_row", "_at", F.unhex("_key").alias("key"))
     gone = lines.join(repeated, "key").where(~F.col("_id").eqNullSafe(F.col("top")))

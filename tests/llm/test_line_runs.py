@@ -86,6 +86,16 @@ def test_runs_hold_each_key_once_and_nothing_is_left(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
+def test_a_failed_step_leaves_no_table(spark):
+    broken = spark.range(3).selectExpr("cast(id as binary) as key", "if(id = 2, raise_error('no'), id) as docs", "id as top")
+    runs = line_runs.Runs(spark)
+    runs.add(spark.range(2).selectExpr("cast(cast(id as string) as binary) as key", "1L as docs", "id as top"))
+    with pytest.raises(Exception):
+        runs.add(broken)
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
 def test_a_run_is_not_shuffled_again(spark):
     runs = line_runs.Runs(spark)
     rows = spark.range(100).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(1).alias("docs"), F.col("id").alias("top"))
