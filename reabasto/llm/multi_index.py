@@ -27,8 +27,9 @@ BITS = 256
 SAMPLE = 4096  # vectors that rotations and radius are learned from, at most
 QUANTILE = 0.98
 ROUNDS = 15
-BLOCK = 4096  # vectors to an index block
-QUERIES = 1024  # queries to a block
+BLOCK = 16_384  # vectors to an index block
+QUERIES = 8192  # queries that meet it together: each vector is sent once for so many
+CHUNK = 64  # of them that are looked up at a time
 VALUES = np.arange(256, dtype=np.uint8)
 
 
@@ -95,31 +96,37 @@ class Index:
         return q[near], r[near]
 
 
+def _found(index: Index, codes: np.ndarray, rows: np.ndarray, queries: np.ndarray, radius: int, neighbours: int) -> tuple[np.ndarray, ...]:
+    """Pairs (query, row) that the index retrieves, and their cosines; at least one more than asked for each, if there are so many."""
+    q, r = index.retrieve(codes, radius)
+    # one more than asked for: a query may find itself
+    few = np.flatnonzero(np.bincount(q, minlength=len(codes)) <= neighbours)
+    if len(few):  # the radius grows for them until enough rows are inside
+        apart = _distance(codes[few][:, None, :], index.codes[None, :, :])
+        wide = np.sort(apart, axis=1)[:, min(neighbours, len(rows) - 1)]
+        more_q, more_r = np.nonzero(apart <= wide[:, None])
+        old = ~np.isin(q, few)
+        q, r = np.concatenate([q[old], few[more_q]]), np.concatenate([r[old], more_r])
+    return q, r, np.einsum("ij,ij->i", queries[q], rows[r])
+
+
 def _search(coders: dict[int, Coder], neighbours: int, seed: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for size, asked in queries.groupby(queries["_vector"].map(len)):
+        for size, all_asked in queries.groupby(queries["_vector"].map(len)):
             there = rows[rows["_vector"].map(len) == size]
             if not len(there):
                 continue
             coder = coders.get(size) or Coder(size, np.zeros((0, size)), neighbours, seed=seed)
-            q_rows, t_rows = unit(asked["_vector"]), unit(there["_vector"])
-            q_codes, t_codes = coder.codes(q_rows), coder.codes(t_rows)
-            q, r = Index(t_codes).retrieve(q_codes, coder.radius)
-            # one more than asked for: a query may find itself
-            few = np.flatnonzero(np.bincount(q, minlength=len(asked)) <= neighbours)
-            if len(few):  # the radius grows for them until enough rows are inside
-                apart = _distance(q_codes[few][:, None, :], t_codes[None, :, :])
-                wide = np.sort(apart, axis=1)[:, min(neighbours, len(there) - 1)]
-                more_q, more_r = np.nonzero(apart <= wide[:, None])
-                old = ~np.isin(q, few)
-                q, r = np.concatenate([q[old], few[more_q]]), np.concatenate([r[old], more_r])
-            score = np.einsum("ij,ij->i", q_rows[q], t_rows[r])
-            pairs = pd.DataFrame({"query_id": asked["_id"].to_numpy()[q], "vec_id": there["_id"].to_numpy()[r], "score": score})
-            pairs = pairs[(asked["_row"].to_numpy()[q] != there["_row"].to_numpy()[r])].sort_values(
-                ["query_id", "score", "vec_id"], ascending=[True, False, True]
-            )
-            found.append(pairs.groupby("query_id").head(neighbours))
+            t_rows = unit(there["_vector"])
+            index, ids, places = Index(coder.codes(t_rows)), there["_id"].to_numpy(), there["_row"].to_numpy()
+            for at in range(0, len(all_asked), CHUNK):
+                asked = all_asked.iloc[at : at + CHUNK]
+                q_rows = unit(asked["_vector"])
+                q, r, score = _found(index, coder.codes(q_rows), t_rows, q_rows, coder.radius, neighbours)
+                pairs = pd.DataFrame({"query_id": asked["_id"].to_numpy()[q], "vec_id": ids[r], "score": score})
+                pairs = pairs[asked["_row"].to_numpy()[q] != places[r]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                found.append(pairs.groupby("query_id").head(neighbours))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     return run
@@ -144,7 +151,7 @@ def nearest(
     the smaller id. Rows that share an id are candidates of their own, but not for each other. Empty
     table: no rows.
 
-    Every row is indexed, in blocks of about `block` by a hash; blocks of queries meet blocks of rows,
+    Every row is indexed, in blocks of about `block` by a hash; blocks of QUERIES queries meet blocks of rows,
     so a task holds two blocks whatever the table. A block sends its best for each query on.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_vector"), queries.alias("_asks"))
