@@ -14,12 +14,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reabasto.llm.common import stage
@@ -35,6 +35,8 @@ EPOCHS = 30
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
 ALL_ROWS = -1  # in the place of a term: the number of rows
+FIRST_BUCKET = -2  # and, from there down, of those in each bucket of their order
+BUCKETS, ORDER = 16, 63  # bits of a bucket, and of the order that rows are drawn in
 
 
 @dataclass
@@ -132,36 +134,69 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         {"term": list(terms := counts[0] | counts[1]), "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]}
     )
     for batch in batches:
-        for found, label in zip(_terms_of(batch["_text"], None), batch["_label"], strict=True):
+        buckets = batch["_order"].to_numpy() >> (ORDER - BUCKETS)
+        for found, label, bucket in zip(_terms_of(batch["_text"], None), batch["_label"], buckets.tolist(), strict=True):
             counts[label].update(found)
             counts[label][ALL_ROWS] += 1
+            counts[label][FIRST_BUCKET - bucket] += 1
         if len(counts[0]) + len(counts[1]) > size:
             yield send()
             counts[0].clear(), counts[1].clear()
     yield send()
 
 
-def _numbers(known: dict[int, int], keep: list[str]):
+def _numbers(known: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [sorted(f) for f in _terms_of(batch["_text"], known)]
-            yield batch[keep].assign(_terms=found)
+            yield batch[["_label", "_order"]].assign(_terms=found)
 
     return run
 
 
+def cutoff(rows: dict[int, int], sample: int) -> int:
+    """The order below which at most `sample` rows lie, from their numbers by bucket.
+
+    The bucket that would pass it is left out; where less than half the sample would be left, a part of it goes in, by its hashes.
+    """
+    before = 0
+    for bucket in sorted(rows):
+        if before + rows[bucket] > sample:
+            part = 0.9 * (sample - before) / rows[bucket] if 2 * before < sample else 0
+            return int((bucket + part) * 2 ** (ORDER - BUCKETS))
+        before += rows[bucket]
+    return 2**ORDER - 1
+
+
+def order_of(column: str) -> Column:
+    """A number of 63 bits from a hash, by which rows are drawn."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - ORDER)
+
+
 def train(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, terms: int = TERMS, fitted: DataFrame | None = None
+    labelled: DataFrame,
+    text_col: str = "text",
+    label_col: str = "label",
+    sample: int = SAMPLE,
+    terms: int = TERMS,
+    order_by: str | None = None,
+    drawn_by: Callable[[int], DataFrame] | None = None,
 ) -> Machine:
     """The machine from rows (text, label 0 or 1); rows with a null label are left out.
 
     Terms are counted over all given rows, at most 2**BITS of them; the `terms` most telling come to the
     driver, and their counts give the linear weights to start from (half the log odds). The machine
-    is fitted on at most `sample` rows, those with the smallest text hashes, of `fitted` (the same columns)
-    where that is given. No rows, or rows of one class only: a machine that gives every text the same low or
-    high score.
+    is fitted on at most `sample` rows, those with the smallest hashes of `order_by` (the text by default). The same pass
+    counts rows by bucket of that hash, so that a plain filter picks them: nothing is sorted for it. `drawn_by` may give the
+    rows below a hash in a way of its own. No rows, or rows of one class only: a machine that gives every text the same
+    low or high score.
     """
-    given = lambda df: df.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label"))
+
+    def given(df: DataFrame) -> DataFrame:
+        return df.where(F.col(label_col).isin(0, 1)).select(
+            F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label"), order_of(order_by or text_col).alias("_order")
+        )
+
     rows = given(labelled)
     seen = rows.mapInPandas(_term_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     counts = stage(seen, "terms")  # a row per term, so the texts are read once for all that follows
@@ -172,18 +207,18 @@ def train(
     a, b, n = F.col("a"), F.col("b"), n_clean + n_toxic
     expected = [(a + b) * n_clean / n, (a + b) * n_toxic / n, (n - a - b) * n_clean / n, (n - a - b) * n_toxic / n]
     ratio = sum(part(x, y) for x, y in zip([a, b, n_clean - a, n_toxic - b], expected, strict=True))
-    telling = counts.where((F.col("term") != ALL_ROWS) & (a + b >= 5)).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
+    telling = counts.where((F.col("term") >= 0) & (a + b >= 5)).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
     best = telling.orderBy(F.desc("ratio"), "term").select("term", "a", "b").limit(terms).collect()
     known = {int(r[0]): i for i, r in enumerate(best)}
     start = [0.5 * np.log((r[2] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (r[1] + 0.5)) for r in best] or [0.0]
-    # texts stay where they are; what is ordered and sent on are their few known terms
-    numbered = (rows if fitted is None else given(fitted)).withColumn("_order", F.xxhash64("_text")).mapInPandas(
-        _numbers(known, ["_label", "_order"]), "_label int, _order long, _terms array<int>"
-    )
-    drawn = numbered.orderBy("_order", "_label").limit(sample).select("_label", "_terms").collect()
-    drawn.sort(key=lambda r: (r[0], r[1]))  # as drawn, whatever the order of tasks
+    buckets = {FIRST_BUCKET - r[0]: r[1] for r in counts.where(F.col("term") <= FIRST_BUCKET).select("term", a + b).collect()}  # at most 2**BUCKETS
+    # texts stay where they are; what is sent on are their few known terms
+    limit = cutoff(buckets, sample)
+    fitted = given(drawn_by(limit)) if drawn_by else rows
+    drawn = fitted.where(F.col("_order") < limit).mapInPandas(_numbers(known), "_label int, _order long, _terms array<int>").limit(sample).collect()
+    drawn.sort(key=lambda r: (r[1], r[0], r[2]))  # the same order, whatever that of tasks
     labels = np.array([r[0] for r in drawn], dtype=float)
-    return Machine(known, *fit_machine([np.array(r[1], dtype=np.int64) for r in drawn], labels, np.array(start)))
+    return Machine(known, *fit_machine([np.array(r[2], dtype=np.int64) for r in drawn], labels, np.array(start)))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: dict | None = None) -> DataFrame:
@@ -215,18 +250,20 @@ def machine_for(
 ) -> Machine:
     """The machine trained on docs by labels (id, label), without the held-out ids.
 
-    Terms are counted over all labelled documents. The machine is fitted on at most `sample` of their ids,
-    those with the smallest hashes: so many ids are sent to all tasks, and texts are picked out where
-    they are read. An id that is labelled more than once counts by its largest label.
+    Terms are counted over all labelled documents. The machine is fitted on at most `sample` of them, those with
+    the smallest hashes of their ids. An id that is labelled more than once counts by its largest label.
     """
     given = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).alias("_mark"))
     read = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_read"))
     same = F.col("_doc") == F.col("_of")
-    some = given.join(read, same, "left_semi").orderBy(F.xxhash64("_of"), "_of").limit(sample)
-    # bounded by `sample`, so the broadcast doesn't grow with the labels
-    fitted = read.join(F.broadcast(some), same).select("_read", "_mark")
-    # labels grow with the documents, so both sides are dealt by id at any size; texts needn't be sorted for it
-    return train(read.join(given.hint("shuffle_hash"), same).select("_read", "_mark"), "_read", "_mark", sample, fitted=fitted)
+
+    def drawn_by(limit: int) -> DataFrame:
+        """The documents below the hash, texts picked out where they are read: no more ids than `sample` are sent to all tasks."""
+        some = given.where(order_of("_of") < limit).join(read.select("_doc"), same, "left_semi")
+        return read.join(F.broadcast(some), same)
+
+    # labels grow with the documents, so both sides are dealt by id at any size
+    return train(read.join(given.hint("merge"), same), "_read", "_mark", sample, order_by="_doc", drawn_by=drawn_by)
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from reabasto.llm import toxicity
 
@@ -50,6 +52,51 @@ def test_pairs_of_terms_and_word_beginnings(spark):
     assert np.mean([(alone[i] >= 0.5) == truth[i] for i in held]) < np.mean([(made[i].score >= 0.5) == truth[i] for i in held])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 11), max_size=8, unique=True), min_size=1, max_size=6), st.integers(0, 10**6))
+def test_scores_are_the_machines_formula(rows, seed):
+    """bias + sum of weights + sum over all pairs of terms of the product of their factors, pair by pair."""
+    rng = np.random.default_rng(seed)
+    linear, factors = rng.normal(0, 1, 12), rng.normal(0, 0.7, (12, toxicity.FACTORS))
+    machine = toxicity.Machine({}, float(rng.normal()), linear, factors)
+    for row, score in zip(rows, machine.scores([np.array(r, dtype=np.int64) for r in rows]), strict=True):
+        z = machine.bias + sum(linear[i] for i in row) + sum(float(factors[i] @ factors[j]) for a, i in enumerate(row) for j in row[:a])
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-12
+
+
+def test_steps_go_down_the_gradient():
+    """One step on one batch changes each weight against the loss's slope, which differences of the loss tell."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(10, size=rng.integers(1, 6), replace=False)) for _ in range(40)]
+    labels, start = rng.integers(0, 2, 40).astype(float), rng.normal(0, 0.5, 10)
+    bias, linear, factors = toxicity.fit_machine(rows, labels, start, seed=1, epochs=1, decay=0)
+    first = np.random.default_rng(1).normal(0, 0.02, (10, toxicity.FACTORS))
+    bias0 = float(np.log(labels.mean() / (1 - labels.mean())))
+
+    def loss(b, w, v):
+        p = toxicity.Machine({}, b, w, v).scores(rows)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for i in range(10):
+        step = np.zeros(10)
+        step[i] = 1e-5
+        slope = (loss(bias0, start + step, first) - loss(bias0, start - step, first)) / 2e-5
+        assert abs(linear[i] - (start[i] - 0.3 * slope / np.sqrt(1e-2 + slope**2))) < 1e-4
+    i, k = 3, 2
+    step = np.zeros_like(first)
+    step[i, k] = 1e-5
+    slope = (loss(bias0, start, first + step) - loss(bias0, start, first - step)) / 2e-5
+    assert abs(factors[i, k] - (first[i, k] - 0.05 * slope / np.sqrt(1e-2 + slope**2))) < 1e-4
+
+
+def test_cutoff_keeps_within_the_sample():
+    rows = {b: 3 for b in range(100)}
+    unit = 2 ** (toxicity.ORDER - toxicity.BUCKETS)
+    assert toxicity.cutoff(rows, 300) == 2**toxicity.ORDER - 1
+    assert toxicity.cutoff(rows, 299) == 99 * unit and toxicity.cutoff(rows, 31) == 10 * unit
+    assert 0 < toxicity.cutoff({0: 1000}, 10) < 0.01 * unit and toxicity.cutoff({}, 5) == 2**toxicity.ORDER - 1
+
+
 def test_held_out_labels_and_ids_are_not_used(spark):
     docs, labels = corpus(300)
     df = spark.createDataFrame(docs, DOCS)
