@@ -77,6 +77,21 @@ def test_clean_up(spark, params, rows):
     ]
 
 
+def test_branches_are_resolved_by_a_small_join(spark, rows):
+    """Mobile before merged, merged before special, excluded last; a branch that no parameter names stays."""
+    params = Params(
+        cd_id="CD", excluded_branches=("FUERA", "M"), cd_special_branches=("ESPECIAL", "MOVIL F"), branch_merges={"A": "B", "C": "FUERA", "D": "ESPECIAL"},
+        mobile_branch="MOVIL", mobile_branch_final="MOVIL F", mobile_sale_type="VTA MOVIL",
+    )
+    entries = [(b, b, 202605, 1, t) for b in ("A", "B", "C", "D", "FUERA", "M", "ESPECIAL", "MOVIL", "OTRA", None) for t in ("VTA MOVIL", "VTA MESON", None)]
+    made = abc_class.prepare_sales(sales(spark, entries), empty(spark, S.MAPPING), empty(spark, S.DIM_PRODUCT), params)
+    want = {"A": "B", "B": "B", "D": "CD", "ESPECIAL": "CD", "OTRA": "OTRA"}
+    expected = [(b, "VTA MOVIL" if t == 0 else "VTA MESON" if t == 1 else None, f) for b, f in want.items() for t in range(3)]
+    expected += [("MOVIL", "VTA MOVIL", "CD"), ("MOVIL", "VTA MESON", "MOVIL"), ("MOVIL", None, "MOVIL")]
+    assert rows(made, "Producto", "TipoVenta", "sucursal_final") == sorted(expected, key=str)
+    assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_month_counts_by_its_positive_lines(spark, params, rows):
     entries = [("P", "TALCA", 202606, 1), ("P", "TALCA", 202606, -5), ("P", "TALCA", 202605, -2), ("P", "TALCA", 202607, 3)]
     assert rows(classified(spark, params, entries), "m3", "m12") == [(2, 2)]
