@@ -11,8 +11,9 @@ phrase, so that a phrase which only ever occurs inside a longer one isn't report
 
 Counts below `least` are of no use, and a phrase can't occur more often than two neighbours of it. So pairs of
 neighbours are counted first, by hash, and the graph isn't drawn across a pair that is rarer: its first word
-is then treated like the end of a piece. That loses no phrase of `least` or more and changes no count of one;
-equal hashes only add pairs. The pairs that stay are broadcast where they are at most PAIRS; else the whole graph is drawn.
+is then treated like the end of a piece. That loses no phrase of `least` or more and changes no count of one. The
+pairs that stay are told to all tasks as bits, one for each leading part of a hash, at most 32 MB of them however many pairs there
+are; pairs that share a bit with one that stays only make the graph larger.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reabasto.llm.common import counted, stage
+from reabasto.llm.common import counted, drop, stage
 from reabasto.llm.minhash import GOLDEN, mixed
 
 LONGEST = 5  # words of an edge
@@ -37,7 +38,8 @@ LEAST = 100
 FIRST = 2000  # phrases reported per language
 SCALE = 1000
 UNKNOWN = "und"
-PAIRS = 4_000_000  # hashes of neighbours that are broadcast, at most: 32 MB
+SPARSE, MOST_BITS = 16, 28  # bits to a pair that stays; as a power of two, bits at most: 32 MB
+PAGE = 15  # bits of a place within a page of them
 CHUNK = 4_000_000  # bytes of text that are taken apart together; a longer text is taken whole
 #: Punctuation and line ends become line feeds, a tab a space; words are divided by these two only.
 DIVIDE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
@@ -96,14 +98,34 @@ def reaches(linked: np.ndarray, longest: int) -> np.ndarray:
     return reach
 
 
-def _edges(frequent: Broadcast | None, longest: int) -> Callable:
+def _page(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << PAGE, dtype=np.uint8)
+    bits[part["place"].to_numpy() & ((1 << PAGE) - 1)] = 1
+    return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def bits_of(hashes: DataFrame, power: int) -> np.ndarray:
+    """A bit for each value of the leading `power` bits (PAGE at least), set where some hash has it."""
+    places = hashes.select(F.shiftrightunsigned("pair", 64 - power).alias("place"))
+    made = np.zeros(1 << (power - 3), dtype=np.uint8)
+    for page, bits in places.groupBy(F.shiftright("place", PAGE)).applyInPandas(_page, "page long, bits binary").collect():
+        at = page << (PAGE - 3)
+        made[at : at + (1 << (PAGE - 3))] = np.frombuffer(bits, dtype=np.uint8)
+    return made
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    places = hashes >> np.uint64(64 - 3 - (len(bits).bit_length() - 1))
+    return (bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _edges(frequent: Broadcast, longest: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, codes, words in _chunks(batches):
             if not len(codes):
                 continue
             linked, pair = _pair_hashes(lang, codes, words)
-            if frequent is not None:
-                linked[linked] = np.isin(pair, frequent.value)
+            linked[linked] = has_bit(frequent.value, pair)
             reach = reaches(linked, longest)
             reach[codes == BREAK] = 0
             alone = np.bincount(codes[reach == 1], minlength=len(words))
@@ -123,13 +145,13 @@ def _edges(frequent: Broadcast | None, longest: int) -> Callable:
     return run
 
 
-def graph(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, pairs: int = PAIRS) -> DataFrame:
+def graph(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, most_bits: int = MOST_BITS) -> DataFrame:
     """Edges and piece ends of the texts (_lang, _text): lang, phrase, size (words), n."""
-    spark = texts.sparkSession
-    hashes, found = counted(texts.mapInPandas(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair"), "pairs")
-    frequent = None
-    if found <= pairs:
-        frequent = spark.sparkContext.broadcast(np.sort(hashes.toArrow()["pair"].to_numpy().view(np.uint64)))
+    often = texts.mapInPandas(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hashes, found = counted(often.select("pair"), "pairs")
+    power = min(most_bits, max(PAGE, (SPARSE * found).bit_length()))
+    frequent = texts.sparkSession.sparkContext.broadcast(bits_of(hashes, power))
+    drop(hashes)
     drawn = texts.mapInPandas(_edges(frequent, longest), "lang string, phrase string, size int, n long")
     return stage(drawn.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")), "edges")
 
@@ -166,7 +188,7 @@ def collocations(
     least: int = LEAST,
     longest: int = LONGEST,
     first: int | None = FIRST,
-    pairs: int = PAIRS,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """Phrases of 2 to `longest` words that occur `least` times or more: lang, rank, phrase, a, l, r, n, score.
 
@@ -175,11 +197,11 @@ def collocations(
     occurring as often are left out. Rank by score, then a, both falling, then phrase in byte order; `first` of each language, None for all.
 
     Words are divided by spaces and tabs, pieces by `.,;:!?`, line feed, vertical tab, form feed and carriage return; A-Z in lower
-    case. Null text: empty. Null language: `und`, together with that name. Every row counts, repeated ones too. Empty
+    case. `most_bits` bounds what is told to all tasks and changes nothing in the result. Null text: empty. Null language: `und`, together with that name. Every row counts, repeated ones too. Empty
     table: no rows. `least` must be 1 or more.
     """
     texts = docs.select(F.coalesce(lang_col, F.lit(UNKNOWN)).alias("_lang"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    levels = flows(graph(texts, least, longest, pairs), longest)
+    levels = flows(graph(texts, least, longest, most_bits), longest)
     words = levels[0].groupBy("lang").agg(F.sum("n").alias("words"))
     counts = stage(reduce(DataFrame.unionByName, levels).where(F.col("n") >= least), "phrases")
     found = counts.where("size > 1").join(_compacted(counts), ["lang", "phrase"], "left_anti")

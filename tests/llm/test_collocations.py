@@ -68,11 +68,26 @@ def test_against_brute_force(spark, least):
     want = brute(rows, least)
     df = frame(spark, rows).repartition(3)
     assert rows_of(collocations.collocations(df, least=least, first=None)) == want
-    # without the broadcast pairs the whole graph is drawn, to the same result
-    assert rows_of(collocations.collocations(df, least=least, first=None, pairs=0)) == want
     assert rows_of(collocations.collocations(df, least=least, first=3)) == brute(rows, least, 3)
 
 
+def test_pairs_that_share_a_bit_change_nothing(spark, monkeypatch):
+    rows = texts(150, 5)
+    monkeypatch.setattr(collocations, "has_bit", lambda bits, hashes: np.ones(len(hashes), dtype=bool))  # the whole graph
+    assert rows_of(collocations.collocations(frame(spark, rows), least=5, first=None)) == brute(rows, 5)
+
+
+@pytest.mark.parametrize("power", [15, 18, 22])
+def test_bits(spark, power):
+    rng = np.random.default_rng(power)
+    held, others = rng.integers(0, 2**64, 2000, dtype=np.uint64), rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    bits = collocations.bits_of(spark.createDataFrame([(int(h),) for h in held.view(np.int64)], "pair long"), power)
+    assert len(bits) == 2**power // 8 and collocations.has_bit(bits, held).all()
+    wrong = collocations.has_bit(bits, others)
+    assert abs(wrong.mean() - len(np.unique(held >> np.uint64(64 - power))) / 2**power) < 0.01
+    assert (wrong == np.isin(others >> np.uint64(64 - power), held >> np.uint64(64 - power))).all()
+
+
 def test_counts_flow_out_of_nodes(spark):
     rows = [("a b c d e f", "en"), ("a b c d e g", "en"), ("a b c d", "en"), ("a b", "en")]
     levels = collocations.flows(collocations.graph(frame(spark, rows).selectExpr("lang as _lang", "text as _text"), least=1))
