@@ -40,7 +40,7 @@ SCALE = 1000
 UNKNOWN = "und"
 SPARSE, MOST_BITS = 16, 28  # bits to a pair that stays; as a power of two, bits at most: 32 MB
 PAGE = 15  # bits of a place within a page of them
-CHUNK = 4_000_000  # bytes of text that are taken apart together; a longer text is taken whole
+CHUNK = 1_000_000  # bytes of text that are taken apart together; a longer text is taken whole
 #: Punctuation and line ends become line feeds, a tab a space; words are divided by these two only.
 DIVIDE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 BREAK = -1
