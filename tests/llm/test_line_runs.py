@@ -87,7 +87,7 @@ def test_runs_hold_each_key_once_and_nothing_is_left(spark):
 
 
 def test_a_failed_step_leaves_no_table(spark):
-    broken = spark.range(3).selectExpr("cast(id as binary) as key", "if(id = 2, raise_error('no'), id) as docs", "id as top")
+    broken = spark.range(3).selectExpr("cast(cast(id as string) as binary) as key", "if(id = 2, raise_error('no'), id) as docs", "id as top")
     runs = line_runs.Runs(spark)
     runs.add(spark.range(2).selectExpr("cast(cast(id as string) as binary) as key", "1L as docs", "id as top"))
     with pytest.raises(Exception):
