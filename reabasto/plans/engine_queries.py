@@ -12,6 +12,7 @@ from reabasto.operators import abc_class, enrich, leadtime, suggest, transfer
 from reabasto.operators import demand as demand_ops
 from reabasto.plans import driver_tables as D
 from reabasto.plans.pipeline import contract_text, run_pipeline
+from reabasto.session import configured
 from reabasto.sources import sales as sales_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +22,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    QUERIES[fn.__name__] = configured(fn)
+    return QUERIES[fn.__name__]
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:

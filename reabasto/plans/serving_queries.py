@@ -16,6 +16,7 @@ from reabasto.operators.serving import Filters
 from reabasto.plans import driver_tables as D
 from reabasto.plans import publish
 from reabasto.plans.pipeline import contract, run_pipeline
+from reabasto.session import configured
 from reabasto.sources import catalogue as catalogue_source
 from reabasto.sources import freshness, grid, postsale as sheet, sales, stock, tracking
 
@@ -28,8 +29,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    QUERIES[fn.__name__] = configured(fn)
+    return QUERIES[fn.__name__]
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:

@@ -51,6 +51,17 @@ def test_building_starts_no_job(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_queries_bring_their_settings(spark, duck):
+    """A session made elsewhere, with Spark's own size of a task, gets the package's settings."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for name in ("lead_time_supplier", "master_map"):
+        elsewhere = spark.newSession()
+        elsewhere.conf.set(size, "64m")
+        made = entry.queries()[name](elsewhere, FOLDER)
+        assert made.sparkSession.conf.get(size) == "16m"
+        assert made.count() == len(duck.execute(ANSWERS[name]).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(ANSWERS.keys() - INSIDE_CONTRACT))
 def test_answer(spark, duck, name):
     made = entry.queries()[name](spark, FOLDER)
